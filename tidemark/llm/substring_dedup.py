@@ -206,8 +206,7 @@ def _next_lookup(n: int, before: int, level: int, n_buckets: int, n_doc_buckets:
 
 
 def _answers(final: bool, n_doc_buckets: int):
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
+    def settle(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         ids, places = (np.concatenate([_unpack(r[k]) for r in rows]) for k in (2, 3))
         many = np.concatenate([np.frombuffer(r[4], np.uint8) if r[4] else np.zeros(len(r[1]) // 8, np.uint8) for r in rows])
@@ -218,7 +217,13 @@ def _answers(final: bool, n_doc_buckets: int):
             hit = (ids != ids[start]) | (places != places[start])
         else:
             hit = (np.bincount(group)[group] > 1) & (many[order] == 0)
-        for b, (i, p) in _by_bucket(spread_array(ids[hit], n_doc_buckets), ids[hit], places[hit]):
+        return ids[hit], places[hit]
+
+    def send(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """One row for each document bucket, however many hash buckets the task has."""
+        ids, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        out: list[list] = [[], [], []]
+        for b, (i, p) in _by_bucket(spread_array(ids, n_doc_buckets), ids, places):
             by_id = np.lexsort((p, i))
             for column, value in zip(out, (b, _pack(i[by_id]), _pack(p[by_id])), strict=True):
                 column.append(value)
@@ -227,19 +232,23 @@ def _answers(final: bool, n_doc_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            passed = batch.filter(batch.column("hashes").is_null())
-            if len(passed):
-                yield pa.record_batch([passed.column(k) for k in (0, 2, 3)], schema=_FLAG)
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[1] is None:
+                    found.append((_unpack(row[2]), _unpack(row[3])))
                     continue
                 if rows and rows[0][0] != row[0]:
-                    yield from settle(rows)
+                    found.append(settle(rows))
                     rows = []
                 rows.append(row)
+            if sum(len(i) for i, _ in found) >= CHUNK:
+                yield from send(found)
+                found = []
         if rows:
-            yield from settle(rows)
+            found.append(settle(rows))
+        if found:
+            yield from send(found)
 
     return run
 
@@ -305,7 +314,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     width = partitions(spark)
-    n_buckets, n_doc_buckets = width + 1, 4 * width + 1
+    n_buckets, n_doc_buckets = width + 1, 2 * width + 1
     texts = docs.select(known_id("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     dealt = texts.withColumn("_db", spread(F.col("_id"), n_doc_buckets)).repartition(width, "_db")
     flags = None
