@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import op7_decontamination
 from tidemark.llm.near_dedup import op2_near_dedup
 from tidemark.llm.substring_dedup import op4_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
