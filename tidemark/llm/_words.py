@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once (one document may be longer).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

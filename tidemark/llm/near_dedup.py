@@ -10,7 +10,8 @@ again, `DEPTH` times at most; what shares all choices and still is too large is
 and counts as one candidate group around its least member.
 
 Pairs at the threshold of 0.85 meet in a given root child with probability 0.85, so
-they miss all twelve with probability 0.15 ** 12, below one in a thousand million.
+they miss all eight with probability 0.15 ** 8, below one in a million; a pair that
+has to branch four times on the way, below one in a hundred thousand.
 
 Nodes yield a spanning forest of their candidate pairs, never all pairs. The
 candidates' connected components are closed groups that hold every link, and each
@@ -33,8 +34,10 @@ from tidemark.llm import _words
 from tidemark.llm._spark import cut, partitions, spread, table
 
 COORDINATES = 64
-TREES, BRANCHES, DEPTH = 6, 2, 4
+TREES, BRANCHES, DEPTH = 4, 2, 4
 LIMIT = 128
+#: Large nodes up to this number (16 bytes each) are sent to all tasks; beyond it they are joined.
+BROADCAST_NODES = 500_000
 BLOCK, PIVOTS = 1500, 32
 #: Sketch coordinates that must agree beyond chance: 0.85 of 64 less over four standard deviations.
 AGREE = 41
@@ -151,15 +154,15 @@ def _compare(least_size: int, threshold: int):
         lo = 0
         total = np.cumsum(later)
         while lo < len(node):  # whole nodes, a bounded number of pairs at once
-            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 1_000_000, side="right"))
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 400_000, side="right"))
             hi = int((edge + size)[np.searchsorted(edge + size, max(hi, lo + 1))]) if hi < len(node) else len(node)
             a = np.repeat(np.arange(lo, hi), later[lo:hi])
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[lo:hi]) - later[lo:hi], later[lo:hi])
             ok = threshold * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b])
             a, b = a[ok], b[ok]
             ok = np.zeros(len(a), bool)
-            for k in range(0, len(a), 200_000):
-                ok[k : k + 200_000] = (sketch[a[k : k + 200_000]] == sketch[b[k : k + 200_000]]).sum(1) >= least_size
+            for k in range(0, len(a), 100_000):
+                ok[k : k + 100_000] = (sketch[a[k : k + 100_000]] == sketch[b[k : k + 100_000]]).sum(1) >= least_size
             label = _labels(hi - lo, a[ok] - lo, b[ok] - lo)
             tied = np.flatnonzero(label != np.arange(hi - lo))
             if len(tied):
@@ -190,7 +193,10 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     found = None
     for depth in range(DEPTH + 1):
         large = cut(rows.groupBy("node").agg(F.count("*").alias("_c"), F.min("id").alias("_least")).where(F.col("_c") > LIMIT).select("node", "_least"))
-        done = large.isEmpty()
+        number = large.count()
+        done = not number
+        if number <= BROADCAST_NODES:
+            large = F.broadcast(large)
         small = rows if done else rows.join(large, "node", "left_anti")
         links = small.repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(AGREE, threshold), _EDGE_SQL)
         found = links if found is None else found.unionByName(links)
