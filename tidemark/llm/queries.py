@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import op7_decontamination
+from tidemark.llm.license_scan import op9_license_scan
 from tidemark.llm.near_dedup import op2_near_dedup
+from tidemark.llm.packing import op3_packing
+from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.substring_dedup import op4_substring_dedup
 
+QUERIES = (op2_near_dedup, op3_packing, op4_substring_dedup, op6_secret_scan, op7_decontamination, op9_license_scan)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op7_decontamination)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
