@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
 from tidemark.llm.decontamination import op7_decontamination
+from tidemark.llm.fingerprint import op1_fingerprint
 from tidemark.llm.license_scan import op9_license_scan
 from tidemark.llm.near_dedup import op2_near_dedup
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.substring_dedup import op4_substring_dedup
+from tidemark.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = (op2_near_dedup, op3_packing, op4_substring_dedup, op6_secret_scan, op7_decontamination, op9_license_scan)
+QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": OP8_SQL, "op10_chat_format": OP10_SQL}
