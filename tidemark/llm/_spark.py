@@ -19,12 +19,23 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that the cluster shares and go on from there, without its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """df with a hint to broadcast it if it has at most `most` rows, and without one beyond."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder that the cluster shares and go on from there, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -69,6 +69,36 @@ def _scan(patterns, key: str, last: bool):
     return run
 
 
+def _parts(benchmark: DataFrame, window: int) -> Iterator[tuple]:
+    """(number, of how many, broadcast windows, key) of each automaton, each of about PART_BYTES of items."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(size / PART_BYTES))
+    for part in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        windows = windows_of([tuple(r) for r in own.collect()], window)  # bounded by the size above
+        key = hashlib.sha256(repr((window, sorted((w, sorted(i)) for w, i in windows.items()))).encode()).hexdigest()
+        yield part, parts, spark.sparkContext.broadcast(windows), key
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs without any window of an item, with all their columns."""
+
+    def clean(windows, key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton.build(key, windows.value)
+            for batch in batches:
+                hit = [_automaton.any_place(automaton, _automaton.words((x.as_py() or "").encode())) for x in batch.column("text")]
+                yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
+
+        return run
+
+    for _, _, windows, key in _parts(benchmark, window):
+        docs = docs.mapInArrow(clean(windows, key), docs.schema)
+    return docs
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, items, hits (runs of words) and spans (code points) for each row of docs.
 
@@ -77,17 +107,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     count once; an item without an id marks words but isn't listed. Other columns are
     not read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_BYTES))
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        windows = windows_of([tuple(r) for r in own.collect()], window)  # of PART_BYTES, by the check above
-        key = hashlib.sha256(repr((window, sorted((w, sorted(i)) for w, i in windows.items()))).encode()).hexdigest()
-        state = state.mapInArrow(_scan(spark.sparkContext.broadcast(windows), key, part == parts - 1), _FOUND_SQL)
-        if part < parts - 1 and part % 8 == 7:
+    parts = _parts(benchmark, window)
+    for part, parts_in_all, windows, key in parts:
+        last = part == parts_in_all - 1
+        state = state.mapInArrow(_scan(windows, key, last), _FOUND_SQL)
+        if not last and part % 8 == 7:
             state = cut(state)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return state.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "spans")

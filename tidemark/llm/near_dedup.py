@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _words
-from tidemark.llm._spark import cut, partitions, spread, table
+from tidemark.llm._spark import checked_broadcast, cut, partitions, table
 
 COORDINATES = 64
 TREES, BRANCHES, DEPTH = 4, 2, 4
@@ -372,5 +372,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 85) -> D
     return out.withColumn("kept", F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id")))
 
 
+#: Ids that are sent to all tasks, at most (8 bytes each).
+BROADCAST_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, threshold: int = 85) -> DataFrame:
+    """The rows of docs whose document is kept, with all their columns.
+
+    Rows that share a doc_id are one document and stay or go together; rows without a
+    doc_id stay.
+    """
+    gone = near_duplicates(docs, shingle, threshold).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(checked_broadcast(gone, BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -6,21 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
 from tidemark.llm.decontamination import op7_decontamination
 from tidemark.llm.fingerprint import op1_fingerprint
 from tidemark.llm.license_scan import op9_license_scan
 from tidemark.llm.near_dedup import op2_near_dedup
 from tidemark.llm.packing import op3_packing
+from tidemark.llm.quality import op5_quality_classifier
 from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.substring_dedup import op4_substring_dedup
 from tidemark.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format)
+QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
