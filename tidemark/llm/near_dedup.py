@@ -11,7 +11,7 @@ and counts as one candidate group around its least member.
 
 Pairs at the threshold of 0.85 meet in a given root child with probability 0.85, so
 they miss all eight with probability 0.15 ** 8, below one in a million; a pair that
-has to branch four times on the way, below one in a hundred thousand.
+has to branch three times on the way, below one in a hundred thousand.
 
 Nodes yield a spanning forest of their candidate pairs, never all pairs. The
 candidates' connected components are closed groups that hold every link, and each
@@ -34,7 +34,7 @@ from tidemark.llm import _words
 from tidemark.llm._spark import checked_broadcast, cut, partitions, table
 
 COORDINATES = 64
-TREES, BRANCHES, DEPTH = 4, 2, 4
+TREES, BRANCHES, DEPTH = 4, 2, 3
 LIMIT = 128
 #: Large nodes up to this number (16 bytes each) are sent to all tasks; beyond it they are joined.
 BROADCAST_NODES = 500_000
