@@ -53,10 +53,13 @@ def exact_sum(text: Column) -> Column:
     return F.aggregate(paragraphs(text), F.array_repeat(F.lit(0).cast("long"), EXACT), lambda acc, p: F.zip_with(acc, exact_vector(p), add))
 
 
-def pair_hashes(paragraph: Column) -> Column:
-    """A hash for each word of a paragraph and its successor there."""
-    words = F.split(paragraph, " ")
-    return F.transform(words, lambda w, k: F.xxhash64(w, F.get(words, k + 1)))
+def words_of(paragraph: Column) -> Column:
+    return F.split(paragraph, " ")
+
+
+def pair_hashes(words: str) -> Column:
+    """A hash for each word of a paragraph and its successor there; words is a column, so that the split isn't done again inside."""
+    return F.zip_with(F.col(words), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
 
 
 def near_sums(h: Column) -> list[Column]:
@@ -123,8 +126,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null ids stay, repeated rows are fingerprinted each, other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
-    rows = rows.select("doc_id", "_row", exact_sum(F.col("text")).alias("_exact"), F.explode(paragraphs(F.col("text"))).alias("_p"))
-    rows = rows.select("doc_id", "_row", "_exact", F.explode(pair_hashes(F.col("_p"))).alias("_h"))
+    rows = rows.withColumn("_exact", exact_sum(F.col("text")))  # before the explode, else it is worked out for each paragraph
+    rows = rows.select("doc_id", "_row", "_exact", F.explode(paragraphs(F.col("text"))).alias("_p"))
+    rows = rows.select("doc_id", "_row", "_exact", words_of(F.col("_p")).alias("_w")).select("doc_id", "_row", "_exact", F.explode(pair_hashes("_w")).alias("_h"))
     out = rows.groupBy("_row", "doc_id", "_exact").agg(F.count("_h").alias("_n"), *near_sums(F.col("_h")))
     return out.select("doc_id", to_fingerprint(F.col("_exact"), near_lanes(F.col("_n"))).alias("fingerprint"))
 
@@ -181,8 +185,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     versions = F.array(version(0, F.col("text"), F.sha2("_edited", 256)), version(1, F.col("_edited"), F.lit("")))
     rows = rows.select("_id", "b", "guest", "rn", "n_chars", F.explode(versions).alias("v")).where("v.which = 0 or not guest")
     keys = ["b", "rn", "which", "_id", "guest", "n_chars", "sha", "exact"]
-    rows = rows.select("b", "rn", "v.which", "_id", "guest", "n_chars", "v.sha", to_exact_hex(F.col("v.text")).alias("exact"), F.explode(paragraphs(F.col("v.text"))).alias("_p"))
-    rows = rows.select(*keys, F.explode(pair_hashes(F.col("_p"))).alias("_h"))
+    # the exact lanes before the explode, else they are worked out for each paragraph
+    rows = rows.select("b", "rn", "v.which", "_id", "guest", "n_chars", "v.sha", "v.text", to_exact_hex(F.col("v.text")).alias("exact"))
+    rows = rows.select(*keys, F.explode(paragraphs(F.col("text"))).alias("_p"))
+    rows = rows.select(*keys, words_of(F.col("_p")).alias("_w")).select(*keys, F.explode(pair_hashes("_w")).alias("_h"))
     sums = rows.groupBy(*keys).agg(F.count("_h").alias("_n"), *near_sums(F.col("_h")))
     sums = sums.select(*keys, near_lanes(F.col("_n")).alias("near"))
 
