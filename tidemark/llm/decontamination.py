@@ -128,3 +128,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS b FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(b)) AS size, array_to_string(b[k + 1 : k + least(10, len(b))], ' ') AS win
+  FROM items, LATERAL (SELECT unnest(range(0, len(b) - least(10, len(b)) + 1)) AS k) WHERE len(b) > 0
+), sizes AS (SELECT DISTINCT size FROM windows), starts AS (
+  SELECT n, size, s, array_to_string(w[s + 1 : s + size], ' ') AS win
+  FROM docs, sizes, LATERAL (SELECT unnest(range(0, len(w) - size + 1)) AS s)
+), hits AS (
+  SELECT n, s, starts.size, item_id FROM starts JOIN windows USING (size, win)
+), words_hit AS (
+  SELECT n, count(DISTINCT p) AS n_hit FROM hits, LATERAL (SELECT unnest(range(s, s + size)) AS p) GROUP BY n
+), found AS (
+  SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY n
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words_hit USING (n) LEFT JOIN found USING (n)
+"""

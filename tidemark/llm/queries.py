@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
-from tidemark.llm.decontamination import op7_decontamination
+from tidemark.llm.decontamination import OP7_SQL, op7_decontamination
 from tidemark.llm.fingerprint import op1_fingerprint
 from tidemark.llm.license_scan import op9_license_scan
-from tidemark.llm.near_dedup import op2_near_dedup
+from tidemark.llm.near_dedup import OP2_SQL, op2_near_dedup
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.quality import op5_quality_classifier
 from tidemark.llm.secret_scan import op6_secret_scan
-from tidemark.llm.substring_dedup import op4_substring_dedup
+from tidemark.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from tidemark.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format)
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL, "op10_chat_format": OP10_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_chat_format": OP10_SQL}

@@ -332,3 +332,22 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT n, coalesce(doc_id, -9223372036854775808) AS i, s, md5_number(array_to_string(w[s + 1 : s + 20], ' ')) AS h FROM docs, LATERAL (SELECT unnest(range(0, len(w) - 19)) AS s)
+), firsts AS (
+  SELECT h, min((i, s)) AS f FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT n, p FROM windows JOIN firsts USING (h), LATERAL (SELECT unnest(range(s, s + 20)) AS p) WHERE (i, s) <> f
+), counts AS (
+  SELECT n, count(*) AS n_removed FROM gone GROUP BY n
+), kept AS (
+  SELECT n, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT n, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM docs) ANTI JOIN gone USING (n, p) GROUP BY n
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN counts USING (n) LEFT JOIN kept USING (n)
+"""
