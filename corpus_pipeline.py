@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import shared_folder, table
+from tidemark.llm._spark import drop_folder, shared_folder, table
 from tidemark.llm.decontamination import keep_clean
 from tidemark.llm.near_dedup import keep_one
 from tidemark.llm.packing import pack
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result but the last written to the shared folder."""
+    """The stages applied to documents, each result but the last written to the shared folder; of these one is kept at a time."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -71,4 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs

@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
     """df with a hint to broadcast it if it has at most `most` rows, and without one beyond."""
     df = cut(df)
