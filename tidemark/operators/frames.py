@@ -62,21 +62,26 @@ def area_change(area: Column | str = "area") -> Column:
 
 
 def motion_frames(frames: DataFrame) -> DataFrame:
-    """frames with motion (from brightness), area_change (from area) and horizontal (from aspect_ratio)."""
-    return frames.withColumns({"motion": frame_motion("brightness"), "area_change": area_change(), "horizontal": logistic_posture("aspect_ratio")})
+    """frames with area_change (from area), horizontal (from aspect_ratio) and motion, from brightness where a decoder hasn't measured it."""
+    motion = {} if "motion" in frames.columns else {"motion": frame_motion("brightness")}
+    return frames.withColumns(motion | {"area_change": area_change(), "horizontal": logistic_posture("aspect_ratio")})
 
 
-def clip_signals(frames: DataFrame) -> DataFrame:
-    """Means of brightness, motion, posture and area change, population std of motion, distress, per clip."""
-    rows = motion_frames(frames)
-    out = rows.groupBy("clip_id").agg(
+def signal_sums(scale: int = 1000) -> list[Column]:
+    """Aggregates of clip_signals; brightness, motion and area change are taken in units of 1 / scale."""
+    return [
         F.count("*").alias("sample_count"),
-        exact_mean("brightness").alias("brightness_mean"),
-        exact_mean("motion").alias("motion_mean"),
-        exact_std("motion").alias("motion_std"),
+        exact_mean("brightness", scale).alias("brightness_mean"),
+        exact_mean("motion", scale).alias("motion_mean"),
+        exact_std("motion", scale).alias("motion_std"),
         exact_mean("horizontal", 1_000_000).alias("horizontal_posture_score"),
-        exact_mean("area_change").alias("area_change_mean"),
-    )
+        exact_mean("area_change", scale).alias("area_change_mean"),
+    ]
+
+
+def clip_signals(frames: DataFrame, scale: int = 1000) -> DataFrame:
+    """Means of brightness, motion, posture and area change, population std of motion, distress, per clip."""
+    out = motion_frames(frames).groupBy("clip_id").agg(*signal_sums(scale))
     return out.withColumn("distress_score", clamp(F.col("motion_std") / DISTRESS_SCALE))
 
 
@@ -91,17 +96,22 @@ def clip_timing(clips: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return clips.withColumn("fps", fps).withColumn("duration_seconds", safe_divide(F.col("total_frames"), F.col("fps")))
 
 
-def latency_summary(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Exact interpolated p50 and p95, max, violations and whether the target was met, per clip."""
+def latency_sums(settings: Settings = DEFAULTS) -> list[Column]:
+    """Aggregates of latency_summary."""
     ms, target = F.col("latency_ms"), float(settings.latency_target_ms)
-    return frames.groupBy("clip_id").agg(
+    return [
         F.count("*").alias("frame_count_processed"),
         F.percentile(ms, F.lit(0.5)).alias("p50_ms"),
         F.percentile(ms, F.lit(0.95)).alias("p95_ms"),
         F.max(ms).alias("max_ms"),
         F.count_if(ms > target).alias("violations"),
         F.bool_and(ms <= target).alias("met_target"),
-    )
+    ]
+
+
+def latency_summary(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Exact interpolated p50 and p95, max, violations and whether the target was met, per clip."""
+    return frames.groupBy("clip_id").agg(*latency_sums(settings))
 
 
 def latency_gate(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,15 +120,18 @@ def latency_gate(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clips.where(met), clips.where(~met)
 
 
+def series_of(value: str, settings: Settings = DEFAULTS) -> Column:
+    """Aggregate: the first values of a clip in frame order, four places each. Only those are gathered."""
+    kept = F.when(F.col("frame_idx") < settings.series_cap, F.struct("frame_idx", F.col(value).alias("x")))
+    return F.transform(F.array_sort(F.collect_list(kept)), lambda r: F.bround(r["x"], 4))
+
+
 def series(frames: DataFrame, value: str, into: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """The first values of a clip in frame order, four places each. Only those rows are collected."""
-    kept = frames.where(F.col("frame_idx") < settings.series_cap)
-    rows = F.array_sort(F.collect_list(F.struct("frame_idx", F.col(value).alias("x"))))
-    return kept.groupBy("clip_id").agg(F.transform(rows, lambda r: F.bround(r["x"], 4)).alias(into))
+    return frames.where(F.col("frame_idx") < settings.series_cap).groupBy("clip_id").agg(series_of(value, settings).alias(into))
 
 
-def adaptive_controller(frames: DataFrame, settings: Settings = DEFAULTS, skip_frames: bool = True) -> DataFrame:
-    """Final downscale (in hundredths) and stride of each clip, and what was processed.
+def controller_fold(settings: Settings = DEFAULTS, skip_frames: bool = True) -> Column:
+    """Aggregate: final downscale (in hundredths) and stride of each clip, and what was processed.
 
     On a latency over the target the downscale falls by a tenth to a quarter at least and
     the stride grows to four at most; neither relaxes. With skip_frames, a frame is
@@ -140,10 +153,56 @@ def adaptive_controller(frames: DataFrame, settings: Settings = DEFAULTS, skip_f
         return F.when((r["frame_idx"] % a["s"] == 0) & (a["n"] < settings.max_frames), seen).otherwise(a) if skip_frames else seen
 
     rows = F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("int").alias("frame_idx"), F.col("latency_ms").cast("double").alias("latency_ms"))))
-    out = frames.groupBy("clip_id").agg(F.aggregate(rows, start, step).alias("_c"))
+    return F.aggregate(rows, start, step)
+
+
+def adaptive_controller(frames: DataFrame, settings: Settings = DEFAULTS, skip_frames: bool = True) -> DataFrame:
+    """The controller's final state for each clip."""
+    out = frames.groupBy("clip_id").agg(controller_fold(settings, skip_frames).alias("_c"))
     names = {"d": "downscale_hundredths", "s": "skip_stride_final", "n": "frames_processed", "v": "violations"}
     return out.select("clip_id", *(F.col(f"_c.{k}").cast("long").alias(v) for k, v in names.items()))
 
 
 def distress(std: Column | str) -> Column:
     return F.least(F.lit(1.0), col(std) / DISTRESS_SCALE)
+
+
+def signal_bundle(clips: DataFrame, settings: Settings = DEFAULTS) -> Column:
+    """The nested record of a clip's signals, from a row with clip_signals, latency_summary, controller and series columns.
+
+    Columns that a caller doesn't have (series, controller, probabilities, timing) are null in it.
+    """
+    have = set(clips.columns)
+    c = lambda name, kind="double": F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+    s = lambda **fields: F.struct(*(v.alias(k) for k, v in fields.items()))
+    doubles = "array<double>"
+    video = s(
+        fps=c("fps"), total_frames=c("total_frames", "int"), duration_seconds=c("duration_seconds"), sample_count=c("sample_count", "int"),
+        brightness_mean=c("brightness_mean"), motion_mean=c("motion_mean"), motion_std=c("motion_std"), motion_series=c("motion_series", doubles),
+    )
+    pose = s(pose_sample_count=c("sample_count", "int"), horizontal_posture_score=c("horizontal_posture_score"), area_change_mean=c("area_change_mean"), horizontal_series=c("horizontal_series", doubles))
+    audio = s(distress_score=c("distress_score"), audio_pipeline_status=F.lit("placeholder_from_video_proxy"))
+    latency = s(
+        target_ms=F.lit(settings.latency_target_ms), frame_count_processed=c("frame_count_processed", "int"), p50_ms=c("p50_ms"), p95_ms=c("p95_ms"), max_ms=c("max_ms"), violations=c("violations", "int"),
+        met_target=c("met_target", "boolean"), downscale_final=c("downscale_hundredths") / 100, skip_stride_final=c("skip_stride_final", "int"), total_analysis_ms=c("total_analysis_ms"),
+    )
+    fast = s(available=F.coalesce(c("fast_available", "boolean"), F.lit(False)), event_probs=c("event_probs", "map<string,double>"), top_event=c("top_event", "string"), top_confidence=c("top_confidence"))
+    return s(video=video, pose=pose, audio=audio, latency=latency, fast_path=fast)
+
+
+def sampled_signals(frames: DataFrame, samples: int = 48) -> DataFrame:
+    """The older extractor's signals: about `samples` frames at a stride, NaN counting as 0, and changes over the n - 1 differences of the kept frames.
+
+    Its area change thus leaves out the first area, unlike clip_signals; aspect ratios are averaged too.
+    """
+    kept = stride_sample(frames, samples)
+    change = lambda name: F.abs(F.col(name) - F.lag(name).over(in_order()))
+    kept = kept.withColumns({"_m": change("brightness"), "_a": change("area"), "_h": logistic_posture("aspect_ratio")})
+    return kept.groupBy("clip_id").agg(
+        F.count("*").alias("sample_count"),
+        F.coalesce(exact_mean(F.nanvl("_m", F.lit(0.0))), F.lit(0.0)).alias("motion_mean"),
+        F.coalesce(exact_std(F.nanvl("_m", F.lit(0.0))), F.lit(0.0)).alias("motion_std"),
+        exact_mean("_h", 1_000_000).alias("horizontal_posture_score"),
+        exact_mean("aspect_ratio", 10_000).alias("aspect_ratio_mean"),
+        pose_change_mean("_a").alias("area_change_mean"),
+    )

@@ -169,6 +169,12 @@ SELECT camera, coalesce(line, {_text(config.QUIET_SUMMARY)}) AS summary FROM (SE
     "horizontal_posture": f"WITH {FRAMES} SELECT clip_id, frame_idx, {_scaled('horizontal', 1_000_000)} AS posture_millionths, {_scaled('greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), aspect_ratio))', 10_000)} AS clamped_ratio FROM moved",
     "stride_sampled_frames": f"""WITH {FRAMES}, kept AS (SELECT * FROM frames WHERE frame_idx < 600), n AS (SELECT clip_id, greatest(1, count(*) // 10) AS s FROM kept GROUP BY clip_id)
 SELECT clip_id, count(*) AS samples, max(frame_idx) AS last_frame FROM kept JOIN n USING (clip_id) WHERE frame_idx % s = 0 GROUP BY clip_id""",
+    "sampled_signals": f"""WITH {FRAMES}, n AS (SELECT clip_id, greatest(1, count(*) // 20) AS s FROM frames GROUP BY clip_id),
+kept AS (SELECT frames.* FROM frames JOIN n USING (clip_id) WHERE frame_idx % s = 0),
+changed AS (SELECT *, abs(brightness - lag(brightness) OVER v) AS m, abs(area - lag(area) OVER v) AS a, 1 / (1 + exp(-(aspect_ratio - CAST(1.4 AS DOUBLE)) * 3)) AS h FROM kept WINDOW v AS (PARTITION BY clip_id ORDER BY frame_idx))
+SELECT clip_id, count(*) AS sample_count, coalesce({_mean('m')}, CAST(0 AS DOUBLE)) AS motion_mean, coalesce({_std('m')}, CAST(0 AS DOUBLE)) AS motion_std, {_mean('h', 1_000_000)} AS horizontal_posture_score,
+  {_mean('aspect_ratio', 10_000)} AS aspect_ratio_mean, coalesce({_mean('a')}, CAST(0 AS DOUBLE)) AS area_change_mean FROM changed GROUP BY clip_id""",
+    "signal_bundles": f"""WITH {SIGNALS}, {LATENCY} SELECT clip_id, motion_mean, distress_score, met_target, false AS fast_available, frame_count_processed AS frames, CAST(100 AS BIGINT) AS target_ms FROM signals JOIN latency USING (clip_id)""",
     "motion_series": f"WITH {FRAMES} SELECT clip_id, count(*) AS n, string_agg(CAST({_scaled('motion')} AS VARCHAR), ',' ORDER BY frame_idx) AS series FROM moved WHERE frame_idx < 40 GROUP BY clip_id",
     "adaptive_controller": """SELECT user_id AS clip_id, greatest(25, 50 - 10 * v) AS downscale_hundredths, least(4, 1 + v) AS skip_stride_final, n AS frames_processed, v AS violations
 FROM (SELECT user_id, count(*) AS n, count(*) FILTER (value > 100) AS v FROM events GROUP BY user_id)""",

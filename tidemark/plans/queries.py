@@ -146,6 +146,17 @@ def stride_sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("clip_id").agg(F.count("*").alias("samples"), F.max("frame_idx").cast("long").alias("last_frame"))
 
 
+def sampled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.sampled_signals(_frames(spark, sf_dir), 20)
+
+
+def signal_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read back from the nested record of a clip's signals."""
+    rows = clip_signals(spark, sf_dir).join(clip_latency_summary(spark, sf_dir), "clip_id")
+    out = rows.select("clip_id", frames.signal_bundle(rows).alias("s"))
+    return out.select("clip_id", F.col("s.video.motion_mean").alias("motion_mean"), F.col("s.audio.distress_score").alias("distress_score"), F.col("s.latency.met_target").alias("met_target"), F.col("s.fast_path.available").alias("fast_available"), *_long(frames="s.latency.frame_count_processed", target_ms="s.latency.target_ms"))
+
+
 def motion_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames.motion_frames(_frames(spark, sf_dir))
     out = frames.series(rows, "motion", "series", SERIES)
@@ -476,7 +487,7 @@ def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     clip_signals, clip_latency_summary, latency_gate, clip_incidents, clip_incidents_fastpath, incident_reports, incident_alerts, incident_summary_top2, report_listing, report_point,
-    frame_motion, horizontal_posture, stride_sampled_frames, motion_series, adaptive_controller, adaptive_controller_skipping,
+    frame_motion, horizontal_posture, stride_sampled_frames, sampled_signals, signal_bundles, motion_series, adaptive_controller, adaptive_controller_skipping,
     sliding_windows, window_counts, window_signals, window_incidents, head_window_pad, runtime_tensor, longest_track, frame_key_order,
     label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
     sft_union, sft_rows, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text,

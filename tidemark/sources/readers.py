@@ -13,7 +13,7 @@ from tidemark.operators.windows import longest_track
 
 
 def read_clips(spark: SparkSession, path: str) -> DataFrame:
-    """Media files as rows; content is read only where it is selected."""
+    """Media files as rows; content is read only where it is selected. Empty files are no rows, so they never get on."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
