@@ -6,8 +6,9 @@ of its set under `COORDINATES` hash functions. In each of `TREES` independent tr
 the root chooses `BRANCHES` coordinates; a class goes to one child for each of them,
 the one named by its least hash there. A node of at most `LIMIT` classes is compared
 exhaustively on sketches. Larger nodes choose coordinates of their own and branch
-again, `DEPTH` times at most; what shares all choices and still is too large is dense
-and counts as one candidate group around its least member.
+again, `DEPTH` times at most. A large child that keeps `DENSE` of its parent's classes
+holds mostly similar ones, so branching would only copy it: it counts as one candidate
+group around its least member, and so does what is still too large at the last level.
 
 Pairs at the threshold of 0.85 meet in a given root child with probability 0.85, so
 they miss all eight with probability 0.15 ** 8, below one in a million; a pair that
@@ -38,7 +39,10 @@ TREES, BRANCHES, DEPTH = 4, 2, 3
 LIMIT = 128
 #: Large nodes up to this number (16 bytes each) are sent to all tasks; beyond it they are joined.
 BROADCAST_NODES = 500_000
+DENSE = 0.6
 BLOCK, PIVOTS = 1500, 32
+#: Classes whose texts are fetched by a broadcast of their ids, at most (32 bytes each); beyond, texts are shuffled.
+BROADCAST_SEATS = 200_000
 #: Sketch coordinates that must agree beyond chance: 0.85 of 64 less over four standard deviations.
 AGREE = 41
 
@@ -48,8 +52,8 @@ _SALTS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 _META = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("nodes", pa.list_(pa.int64()))])
 _META_SQL = "doc_id long, n long, h1 long, h2 long, sketch binary, nodes array<long>"
-_ROW = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-_ROW_SQL = "node long, id long, n long, sketch binary"
+_ROW = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("parent", pa.int64())])
+_ROW_SQL = "node long, id long, n long, sketch binary, parent long"
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _EDGE_SQL = "u long, v long"
 
@@ -189,24 +193,25 @@ def _compare(least_size: int, threshold: int):
 def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     """(u, v): candidate links whose components hold every real link."""
     width = partitions(classes.sparkSession)
-    rows = classes.select(F.explode("nodes").alias("node"), "id", "n", "sketch")
+    rows = classes.select(F.explode("nodes").alias("node"), "id", "n", "sketch").withColumn("parent", F.lit(None).cast("long"))
     found = None
     for depth in range(DEPTH + 1):
-        large = cut(rows.groupBy("node").agg(F.count("*").alias("_c"), F.min("id").alias("_least")).where(F.col("_c") > LIMIT).select("node", "_least"))
+        large = rows.groupBy("node").agg(F.count("*").alias("_c"), F.min("id").alias("_least"), F.max("parent").alias("_p")).where(F.col("_c") > LIMIT)
+        large = cut(large.select("node", "_c", "_least", F.coalesce(F.col("_c") >= DENSE * F.col("_p"), F.lit(False)).alias("_dense")))
         number = large.count()
-        done = not number
         if number <= BROADCAST_NODES:
             large = F.broadcast(large)
-        small = rows if done else rows.join(large, "node", "left_anti")
-        links = small.repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(AGREE, threshold), _EDGE_SQL)
+        small = rows.join(large, "node", "left_anti") if number else rows
+        links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(AGREE, threshold), _EDGE_SQL)
         found = links if found is None else found.unionByName(links)
-        if done:
+        if not number:
             break
-        inside = rows.join(large, "node")
-        if depth == DEPTH:
-            found = found.unionByName(inside.where("id != _least").select(F.col("id").alias("u"), F.col("_least").alias("v")))
-        else:
-            rows = cut(inside.select("node", "id", "n", "sketch").mapInArrow(_branch, _ROW_SQL))
+        dense = F.col("_dense") | F.lit(depth == DEPTH)
+        stars = rows.select("node", "id").join(large, "node").where(dense & (F.col("id") != F.col("_least")))
+        found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("_least").alias("v")))
+        if depth < DEPTH:
+            inside = rows.join(large.where(~dense), "node")
+            rows = cut(inside.select("node", "id", "n", "sketch", F.col("_c").alias("parent")).mapInArrow(_branch, _ROW_SQL))
     return found.distinct()
 
 
@@ -312,7 +317,10 @@ def _settle(threshold: int):
 def _exact_links(texts: DataFrame, seats: DataFrame, size: int, threshold: int) -> DataFrame:
     """(u, v): links among the classes that share a group; seats: group, id, h1, h2."""
     width = partitions(texts.sparkSession)
-    sets = texts.join(seats.hint("shuffle_hash"), texts["doc_id"] == seats["id"]).select("group", "id", "h1", "h2", "text").mapInArrow(_full_sets(size), _SET_SQL)
+    seats = cut(seats)
+    few = seats.limit(BROADCAST_SEATS + 1).count() <= BROADCAST_SEATS
+    seats = F.broadcast(seats) if few else seats.hint("shuffle_hash")
+    sets = texts.join(seats, texts["doc_id"] == seats["id"]).select("group", "id", "h1", "h2", "text").mapInArrow(_full_sets(size), _SET_SQL)
     return sets.repartition(width, "group").sortWithinPartitions("group").mapInArrow(_settle(threshold), _EDGE_SQL)
 
 
