@@ -51,3 +51,25 @@ def test_odd_rows(spark):
     nothing = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
     assert quality.score(docs.limit(0), nothing).collect() == []
+
+
+def test_only_label_1_and_unlabelled_texts_are_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a, b = quality.train(docs, labels).parameters, quality.train(docs, labels.where("quality = 1")).parameters
+    assert all((a[k] == b[k]).all() for k in a)
+    rows = quality.score(docs, quality.train(docs, labels.where("quality = 1"))).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in rows]) >= 0.97
+    # documents without a label are in U
+    some = quality.train(docs.join(labels, "doc_id", "left_semi"), labels).parameters
+    assert any((a[k] != some[k]).any() for k in a)
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.86):
+        p = rng.normal(2, 1, (2000, 3))
+        n = rng.normal(-2, 1, (4000, 3))
+        u = np.where(rng.random((4000, 1)) < share, rng.normal(2, 1, (4000, 3)), n)
+        z, is_p = np.concatenate([p, u]), np.arange(6000) < 2000
+        assert abs(quality.class_prior(z, is_p, ~is_p, rng.random(6000) < 0.5) - share) < 0.04

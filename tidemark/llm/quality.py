@@ -1,21 +1,25 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled 1; the unlabelled texts are all sampled
-documents with their labels put aside; the class prior, the share of positives among
-the unlabelled, is estimated from the training labels. A small network over features
-of the text alone minimises the non-negative unbiased risk
+Trusted positives are documents labelled 1; the unlabelled texts are a sample of all
+documents, labelled or not, by a hash of their ids. No other label is read. The class
+prior, the share of positives among the unlabelled, is estimated from the two sets
+(best bin estimation, Garg et al., 2021): networks that tell P from U, each scoring the
+half that it wasn't fitted on, put them in order; above a cut that holds positives
+alone, U's share over P's share is the prior. A small network over features of the
+text alone minimises the non-negative unbiased risk
 
     prior * R+(P) + max(0, R-(U) - prior * R-(P))
 
 with logistic losses, so its output estimates the probability of label 1. Where the
 second term falls below zero, the step goes against it, as the estimator's authors
-(Kiryo et al., 2017) do. Fitting sees at most `SAMPLE` labelled rows, the ones with
-the least hashes of their ids; scoring reads every whole text.
+(Kiryo et al., 2017) do. Fitting sees at most `SAMPLE` positives, the ones with the
+least hashes of their ids, and about `SAMPLE` unlabelled texts; held-out documents are
+in neither. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,10 @@ from pyspark.sql import types as T
 from tidemark.llm import _words
 from tidemark.llm._spark import table
 
-#: Labelled rows that a model is fitted on, at most.
+#: Positive rows that a model is fitted on, at most, and the unlabelled rows that the hash sample aims at.
 SAMPLE = 20_000
+#: Steps of the networks behind the class prior, and how often its bound may fail.
+PRIOR_EPOCHS, PRIOR_DELTA = 100, 0.1
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
 
 _UPPER = np.zeros(256, np.float32)
@@ -124,36 +130,70 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(x: np.ndarray, positive: np.ndarray, seed: int = 7) -> Model:
-    """Non-negative unbiased risk over U = all rows of x and P = the positive ones."""
-    if not positive.any():
-        return Model(None)
+def _logits(z: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.maximum(z @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
+
+
+def _descend(z: np.ndarray, slope: Callable[[np.ndarray], np.ndarray], epochs: int, seed: int) -> dict[str, np.ndarray]:
+    """A network by Adam, slope being the risk's gradient by the logits."""
     rng = np.random.default_rng(seed)
-    prior = (positive.sum() + 1) / (len(x) + 2)  # Laplace's estimate of the class prior
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.clip((x - mean) / scale, -8, 8)
     p = {"w1": rng.normal(0, (2 / z.shape[1]) ** 0.5, (z.shape[1], HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, HIDDEN**-0.5, HIDDEN), "b2": np.zeros(1)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    of_p = positive / positive.sum()
-    of_u = np.full(len(x), 1 / len(x))
-    for step in range(1, EPOCHS + 1):
+    for step in range(1, epochs + 1):
         hidden = z @ p["w1"] + p["b1"]
         active = np.maximum(hidden, 0)
-        logit = active @ p["w2"] + p["b2"]
-        up = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        loss_minus = np.logaddexp(0, logit)
-        minus = (loss_minus * (of_u - prior * of_p)).sum()
-        # gradients of the losses by the logit: -(1 - up) for label 1, up for label 0
-        g_minus = up * (of_u - prior * of_p)
-        g = -(1 - up) * prior * of_p + g_minus if minus >= 0 else -g_minus
+        g = slope(active @ p["w2"] + p["b2"])
         back = np.outer(g, p["w2"]) * (hidden > 0)
         grads = {"w2": active.T @ g + DECAY * p["w2"], "b2": np.array([g.sum()]), "w1": z.T @ back + DECAY * p["w1"], "b1": back.sum(0)}
         for k, d in grads.items():
             m, v = moments[k]
             m += 0.1 * (d - m)
             v += 0.001 * (d * d - v)
-            p[k] = p[k] - RATE * (1 - step / (EPOCHS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return Model(p | {"mean": mean, "scale": scale})
+            p[k] = p[k] - RATE * (1 - step / (epochs + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    return p
+
+
+def _share(of: np.ndarray) -> np.ndarray:
+    return of / max(1, of.sum())
+
+
+def _up(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+
+
+def class_prior(z: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, half: np.ndarray, seed: int = 7) -> float:
+    """The share of positives among the unlabelled rows, from P and U alone."""
+    order = np.zeros(len(z))
+    for h in (False, True):
+        seen = half != h
+        of_p, of_u = _share(positive[seen]), _share(unlabelled[seen])
+        order[~seen] = _logits(z[~seen], _descend(z[seen], lambda x: _up(x) * of_u - (1 - _up(x)) * of_p, PRIOR_EPOCHS, seed))
+    p, u = np.sort(order[positive]), np.sort(order[unlabelled])
+    cuts = np.unique(p)
+    p_above = 1 - np.searchsorted(p, cuts) / len(p)
+    u_above = 1 - np.searchsorted(u, cuts) / len(u)
+    slack = (np.log(4 / PRIOR_DELTA) / 2) ** 0.5 * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = np.argmin((u_above + slack) / p_above)
+    return float(min(1, u_above[best] / p_above[best]))
+
+
+def fit(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, half: np.ndarray, seed: int = 7) -> Model:
+    """Non-negative unbiased risk over the rows of x that are in P, in U or in both; half splits them for the class prior."""
+    if not positive.any() or not unlabelled.any():
+        return Model(None)
+    mean, scale = x[unlabelled].mean(0), x[unlabelled].std(0) + 1e-6
+    z = np.clip((x - mean) / scale, -8, 8)
+    prior = class_prior(z, positive, unlabelled, half, seed)
+    of_p, of_u = _share(positive), _share(unlabelled)
+
+    def slope(logit: np.ndarray) -> np.ndarray:
+        up = _up(logit)
+        minus = (np.logaddexp(0, logit) * (of_u - prior * of_p)).sum()
+        # gradients of the losses by the logit: -(1 - up) for label 1, up for label 0
+        g_minus = up * (of_u - prior * of_p)
+        return -(1 - up) * prior * of_p + g_minus if minus >= 0 else -g_minus
+
+    return Model(_descend(z, slope, EPOCHS, seed) | {"mean": mean, "scale": scale})
 
 
 # ---- on tables
@@ -169,22 +209,24 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.SAME):
             x = features(w)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.record_batch([batch.column("label").slice(lo, hi - lo), rows], ["label", "x"])
+            yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("p", "u", "half")), rows], ["p", "u", "half", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows of labels, none of them held out. A null label is no label."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    marked = marked.select(F.col("doc_id").cast("long").alias("_id"), (F.col(label) == 1).cast("int").alias("label"))
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("label", "text").mapInArrow(_feature_rows, "label int, x array<double>").toArrow()
+    """Fit on at most `sample` documents labelled 1 and a hash sample of about `sample` documents, whatever their label; none is held out."""
+    marked = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("p", F.lit(True))
+    open_docs = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    every = max(1, open_docs.count())
+    draw = F.pmod(F.xxhash64(F.lit("unlabelled"), "_id"), F.lit(every).cast("long")) < sample
+    rows = open_docs.join(F.broadcast(chosen), "_id", "left").select(F.coalesce("p", F.lit(False)).alias("p"), draw.alias("u"), (F.xxhash64(F.lit("half"), "_id") < 0).alias("half"), "text").where("p or u")
+    rows = rows.mapInArrow(_feature_rows, "p boolean, u boolean, half boolean, x array<double>").toArrow()
     if not len(rows):
         return Model(None)
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(len(rows), len(FEATURES))
-    y = rows["label"].to_numpy() == 1
-    order = np.lexsort((*x.T, y))  # the same model whatever the order of tasks
-    return fit(x[order], y[order])
+    p, u, half = (rows[c].to_numpy() for c in ("p", "u", "half"))
+    order = np.lexsort((*x.T, half, u, p))  # the same model whatever the order of tasks
+    return fit(x[order], p[order], u[order], half[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
