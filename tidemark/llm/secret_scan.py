@@ -5,8 +5,9 @@ English prose, still above two in words that nobody has seen. Random strings fal
 apart into one to two characters a token. A run of letters, digits and +/_=- of at
 least `LEAST` characters is a secret (kind `random`) if its characters per token
 under a tiktoken vocabulary stay below `RATIO`, unless it is a known digest (hex of
-the length of a common hash, or a UUID), or an identifier (words, numbers and
-camel-case parts). Spans that a base pattern has found aren't tested again.
+the length of a common hash, or a UUID), or an identifier: mostly numbers that stand
+alone and camel-case words that the vocabulary itself encodes in few tokens. Of a run
+that base patterns have found in part, each rest of `LEAST` characters is tested.
 """
 
 from __future__ import annotations
@@ -37,18 +38,23 @@ _LONG_HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 _ANY_LONG = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_CHUNK = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
+#: Share of an identifier's letters and digits that are in known words and numbers.
+KNOWN = 0.75
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SPAN_SQL = "array<struct<kind:string,start:long,end:long>>"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("spans", _SPAN)])
 
 
-def identifier(s: str) -> bool:
-    """Made of words, camel-case parts and numbers, of three characters and more on average."""
-    body = s.strip("+/_=-")
-    parts = _PART.findall(body)
-    return len(body) >= 3 * len(parts)
+def identifier(s: str, count: Callable[[str], int]) -> bool:
+    """Mostly numbers between marks, and camel-case words of three characters and more that take few tokens each."""
+    chunks = _CHUNK.findall(s)
+    known = 0
+    for chunk in chunks:
+        known += len(chunk) if chunk.isdigit() else sum(len(w) for w in _WORD.findall(chunk) if len(w) >= 3 and len(w) >= RATIO * count(w))
+    return known >= KNOWN * sum(map(len, chunks))
 
 
 def token_counter(ranks: str, pattern: str) -> Callable[[str], int]:
@@ -68,14 +74,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _rests(a: int, b: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What of [a, b) lies outside the spans of base, which come by start."""
+    for _, lo, hi in base:
+        if lo < b and a < hi:
+            if lo > a:
+                yield a, lo
+            a = hi
+    if a < b:
+        yield a, b
+
+
 def random_spans(text: str, base: list[tuple[str, int, int]], count: Callable[[str], int]) -> list[tuple[str, int, int]]:
     out = []
     for m in _RUN.finditer(text):
-        s, (a, b) = m[0], m.span()
-        if any(x[1] < b and a < x[2] for x in base) or _DIGEST.match(s) or identifier(s):
-            continue
-        if len(s) < RATIO * count(s):
-            out.append(("random", a, b))
+        for a, b in _rests(*m.span(), base):
+            s = text[a:b]
+            if len(s) >= LEAST and not _DIGEST.match(s) and len(s) < RATIO * count(s) and not identifier(s, count):
+                out.append(("random", a, b))
     return out
 
 
