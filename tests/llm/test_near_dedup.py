@@ -89,3 +89,14 @@ def test_labels_find_long_paths():
     n = 200
     order = np.random.default_rng(0).permutation(n)
     assert (nd._labels(n, order[:-1], order[1:]) == 0).all()
+
+
+def test_lower_thresholds_match_brute_force(spark):
+    assert (nd.agree(85), nd.agree(80)) == (41, 36)
+    rows = []
+    for k in range(30):  # pairs that share 78 of 122 shingles, and no third document that would tie them
+        words = [f"d{k}w{i}" for i in range(102)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:40] + [f"x{w}" for w in words[40:60]] + words[60:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, threshold=60).collect())
+    assert got == brute(rows, 60)

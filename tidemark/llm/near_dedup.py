@@ -43,8 +43,8 @@ DENSE = 0.6
 BLOCK, PIVOTS = 1500, 32
 #: Classes whose texts are fetched by a broadcast of their ids, at most (32 bytes each); beyond, texts are shuffled.
 BROADCAST_SEATS = 200_000
-#: Sketch coordinates that must agree beyond chance: 0.85 of 64 less over four standard deviations.
-AGREE = 41
+#: Standard deviations by which the agreeing sketch coordinates of a link may fall short of the threshold.
+SHORT = 4.5
 
 _rng = np.random.default_rng(85)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,6 +134,12 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(child.view(np.int64)), *batch.columns[1:]], schema=_ROW)
 
 
+def agree(threshold: int) -> int:
+    """Sketch coordinates that must agree for a candidate at `threshold` percent: 41 of 64 at 85, 36 at 80."""
+    share = threshold / 100
+    return max(1, int(COORDINATES * share - SHORT * (COORDINATES * share * (1 - share)) ** 0.5))
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least member of each place's connected component."""
     label = np.arange(n)
@@ -202,7 +208,7 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
         if number <= BROADCAST_NODES:
             large = F.broadcast(large)
         small = rows.join(large, "node", "left_anti") if number else rows
-        links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(AGREE, threshold), _EDGE_SQL)
+        links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(agree(threshold), threshold), _EDGE_SQL)
         found = links if found is None else found.unionByName(links)
         if not number:
             break
