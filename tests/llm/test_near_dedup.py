@@ -11,13 +11,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = WORD.findall((text or "").translate(FOLD))
-    return frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute(rows, threshold=85):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, threshold=85, size=3):
+    sets = [shingles(t, size) for _, t in rows]
     root = {}
 
     def find(x):
@@ -52,9 +52,9 @@ def corpus(seed, groups=14, size=9, words=80):
     return rows + [(2000, None), (2001, ""), (2002, " \n "), (2003, "one"), (2004, "ONE"), (2005, "one two"), (2006, "two one")]
 
 
-def run(spark, rows):
+def run(spark, rows, shingle=3, threshold=85):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
-    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df).collect())
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, shingle, threshold).collect())
 
 
 def test_matches_brute_force(spark):
@@ -78,7 +78,7 @@ def test_no_id_and_repeated_rows(spark):
 
 def run_any(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return [tuple(r) for r in nd.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    return [tuple(r) for r in nd.near_duplicates(df, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()]
 
 
 def test_empty_table(spark):
@@ -98,5 +98,76 @@ def test_lower_thresholds_match_brute_force(spark):
         words = [f"d{k}w{i}" for i in range(102)]
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:40] + [f"x{w}" for w in words[40:60]] + words[60:]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, threshold=60).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, 3, 60).collect())
     assert got == brute(rows, 60)
+
+
+def thue_morse(n):
+    a = [0]
+    while len(a) < n:
+        a += [1 - x for x in a]
+    return "".join("ab"[x] for x in a), "".join("ba"[x] for x in a)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_a_polynomial_would_confuse(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, f"x y {a} z"), (2, f"x y {b} z"), (3, f"{a} {b} {a} {b} q"), (4, f"{b} {a} {b} {a} q")]
+    assert run(spark, rows) == brute(rows) and all(r[3] for r in run(spark, rows))
+
+
+@pytest.mark.parametrize("open_", [6, 1024])
+def test_five_words_and_hot_groups(spark, monkeypatch, open_):
+    monkeypatch.setattr(nd, "LIMIT", 4)
+    monkeypatch.setattr(nd, "OPEN", open_)
+    monkeypatch.setattr(nd, "SALT_ROWS", 7)
+    monkeypatch.setattr(nd, "HUB", 3)
+    rows = corpus(9, groups=4, size=60, words=120)
+    assert run(spark, rows, 5, 80) == brute(rows, 80, 5)
+
+
+def test_boilerplate_links_nothing_and_is_settled_nowhere(spark, monkeypatch):
+    rng = random.Random(2)
+    footer = " ".join(f"f{k}" for k in range(80))
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) + " " + footer) for k in range(3000)]
+    seats = []
+    real = nd._exact_links
+    monkeypatch.setattr(nd, "_exact_links", lambda texts, s, *a: seats.append(s.count()) or real(texts, s, *a))
+    got = run(spark, rows)
+    assert all(i == root and kept for i, _, root, kept in got) and len(got) == 3000
+    assert sum(seats) < 300  # chance candidates only, not the group with the footer
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(1500):  # pairs just above 0.85, of 3-word shingles
+        words = [f"d{k}w{i}" for i in range(102)]
+        at = rng.randrange(0, 97)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:at] + [f"x{w}" for w in words[at : at + 5]] + words[at + 5 :]))]
+    got = run(spark, rows)
+    want = brute_pairs(rows)
+    assert 1300 < len(want) and sum(root == i - 1 for i, _, root, _ in got if i in want) == len(want)
+
+
+def brute_pairs(rows):
+    return {b for (a, s), (b, t) in zip(rows[::2], rows[1::2]) if 100 * len(shingles(s) & shingles(t)) >= 85 * len(shingles(s) | shingles(t))}
+
+
+def test_repeated_ids_and_no_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:-1] + ["z"])
+    far = " ".join(f"v{k}" for k in range(60))
+    rows = [(9, " ".join(base)), (9, " ".join(base)), (3, near), (None, " ".join(["y", *base[1:]])), (None, far), (None, far + " end"), (4, None)]
+    got = Counter(map(str, run_any(spark, rows)))
+    assert got == Counter(map(str, [(9, 58, 3, False)] * 2 + [(3, 58, 3, True), (None, 58, 3, False), (None, 58, None, True), (None, 59, None, True), (4, 0, 4, True)]))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(1_500_000)]  # some 10 MB
+    other = list(words)
+    other[7] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 10_000_000), (4, "short text of words")]
+    got = {r[0]: r for r in run(spark, rows)}
+    assert got[2][2] == 1 and got[3][1] == 1 and got[3][2] == 3 and got[4][3]

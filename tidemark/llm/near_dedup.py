@@ -2,24 +2,31 @@
 
 Documents are sets of distinct word shingles. Equal sets are one class from the
 start, so exact copies cost nothing further on. Each class carries the least hashes
-of its set under `COORDINATES` hash functions. In each of `TREES` independent trees
-the root chooses `BRANCHES` coordinates; a class goes to one child for each of them,
-the one named by its least hash there. A node of at most `LIMIT` classes is compared
-exhaustively on sketches. Larger nodes choose coordinates of their own and branch
-again, `DEPTH` times at most. A large child that keeps `DENSE` of its parent's classes
-holds mostly similar ones, so branching would only copy it: it counts as one candidate
-group around its least member, and so does what is still too large at the last level.
-
-Pairs at the threshold of 0.85 meet in a given root child with probability 0.85, so
-they miss all eight with probability 0.15 ** 8, below one in a million; a pair that
-has to branch three times on the way, below one in a hundred thousand.
-
-Nodes yield a spanning forest of their candidate pairs, never all pairs. The
-candidates' connected components are closed groups that hold every link, and each
-group is then settled on the full shingle sets, exactly: groups of up to `BLOCK`
-classes in one task with one sparse-to-dense product, larger ones in blocks which
-share pivots; classes that no pivot reaches are compared with every block in a
-second round. All counts, components and links stay distributed.
+of its set under `COORDINATES` hash functions, one byte of each. In each of `TREES`
+independent trees the root chooses `BRANCHES` coordinates; a class goes to one child
+for each of them, the one named by its least hash there. A node of at most `LIMIT`
+classes is compared exhaustively on sketches. Every larger node chooses coordinates
+that its path hasn't used and branches again, until no large node is left: documents
+that only share boilerplate part on the way, half of them at a coordinate if they
+share half.
+
+Similar classes wouldn't part, so a large node is first held against a pivot. Classes
+whose sketches agree with it take its label, and pairs of one label need not meet
+again: both are candidates of one pivot. A child with one label alone is dropped. Once
+a large node has one label and few classes without, `OPEN` or a sixteenth of its own,
+these are compared with all of it and the node is done.
+
+Recall: a pair at the threshold of 0.85 agrees at a coordinate with probability 0.85.
+Branching twice at each level it stays together down to any depth with a probability
+of at least 0.969, so it misses all eight root children with one of about a
+millionth; its sketches fall short of `agree` with one of three millionths.
+
+Candidates are spanning forests, never all pairs. The candidates' components hold
+every link, and are settled on the full sets of 128-bit shingles, exactly: those of up
+to `BLOCK` classes and `BLOCK_SHINGLES` shingles in one task with one sparse-to-dense
+product, larger ones in blocks which share pivots; classes that aren't linked with the
+component's main part then are compared with every block in a second round. All
+counts, components and links stay distributed.
 """
 
 from __future__ import annotations
@@ -28,23 +35,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _words
 from tidemark.llm._spark import checked_broadcast, cut, partitions, table
 
 COORDINATES = 64
-TREES, BRANCHES, DEPTH = 4, 2, 3
+TREES, BRANCHES = 4, 2
 LIMIT = 128
-#: Large nodes up to this number (16 bytes each) are sent to all tasks; beyond it they are joined.
-BROADCAST_NODES = 500_000
-DENSE = 0.6
-BLOCK, PIVOTS = 1500, 32
+#: Classes without a label that are held against all of a large node: as many in one go (80 bytes each), or a node's size by OPEN_SHARE in several.
+OPEN, OPEN_SHARE = 1024, 16
+#: Rows of a large node that meet these few in one task, about.
+SALT_ROWS = 20_000
+#: Large nodes up to this number (some 100 bytes each) are sent to all tasks; beyond it they are joined.
+BROADCAST_NODES = 200_000
+BLOCK, BLOCK_SHINGLES, PIVOTS = 1500, 4_000_000, 32
+#: Ends of links with more others than this are joined by a broadcast, as long as it has at most BROADCAST_NODES of them.
+HUB = 1000
 #: Classes whose texts are fetched by a broadcast of their ids, at most (32 bytes each); beyond, texts are shuffled.
 BROADCAST_SEATS = 200_000
 #: Standard deviations by which the agreeing sketch coordinates of a link may fall short of the threshold.
 SHORT = 4.5
+#: Ids from here on stand for sets whose documents have none.
+NAMELESS = 1 << 62
 
 _rng = np.random.default_rng(85)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,46 +66,54 @@ _SALTS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 _META = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("nodes", pa.list_(pa.int64()))])
 _META_SQL = "doc_id long, n long, h1 long, h2 long, sketch binary, nodes array<long>"
-_ROW = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("parent", pa.int64())])
-_ROW_SQL = "node long, id long, n long, sketch binary, parent long"
+_ROW = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("used", pa.int64()), ("label", pa.int64())])
+_ROW_SQL = "node long, id long, n long, sketch binary, used long, label long"
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _EDGE_SQL = "u long, v long"
 
 
-def shingle_sets(w: _words.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, offsets by document) of each document's set of word shingles."""
-    room = w.room()
-    at = np.flatnonzero(room >= size)
-    doc, h = w.doc[at], _words.rolling(w.hash, size)[at]
+def shingle_sets(w: _words.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes of each distinct shingle, sorted; offsets by document) of each document's set of word shingles."""
+    at = np.flatnonzero(w.room() >= size)
+    doc, both = w.doc[at], [_words.rolling(w.hashes(k), size, k)[at] for k in (0, 1)]
     for few in range(1, size):
         short = np.flatnonzero(w.count == few)
-        doc = np.append(doc, short)
-        h = np.append(h, _words.mix(_words.rolling(w.hash, few)[w.first[short]] + np.uint64(few)))
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(w.count))))
-
-
-def set_ids(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(short):
+            doc = np.append(doc, short)
+            both = [np.append(h, _words.mix(_words.rolling(w.hashes(k), few, k)[w.first[short]] + np.uint64(few))) for k, h in enumerate(both)]
+    order = np.lexsort((both[0], doc))
+    a, b, d = both[0][order], both[1][order], doc[order]
+    same = (a[1:] == a[:-1]) & (d[1:] == d[:-1])
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((both[1], both[0], doc))
+        a, b, d = both[0][order], both[1][order], doc[order]
+        same = (a[1:] == a[:-1]) & (d[1:] == d[:-1])
+    new = np.append(np.ones(min(len(a), 1), bool), ~(same & (b[1:] == b[:-1])))
+    return a[new], b[new], np.append(0, np.cumsum(np.bincount(d[new], minlength=len(w.count))))
+
+
+def set_ids(a: np.ndarray, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set, as two longs."""
     full = np.flatnonzero(np.diff(offsets))
     out = np.zeros((2, len(offsets) - 1), np.uint64)
     if len(full):
-        for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+        for k, (h, salt) in enumerate(((a, 0x243F6A8885A308D3), (b, 0x13198A2E03707344))):
             out[k, full] = np.add.reduceat(_words.mix(h ^ np.uint64(salt)), offsets[full])
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+#: The coordinates that the trees' roots choose.
+_ROOTS = np.random.default_rng(11).permutation(COORDINATES)[: TREES * BRANCHES]
+
+
 def _describe(size: int):
-    chosen = np.random.default_rng(11).permutation(COORDINATES)[: TREES * BRANCHES]
+    chosen = _ROOTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.LOWER):
-                h, offsets = shingle_sets(w, size)
+                h, more, offsets = shingle_sets(w, size)
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
                 least = np.zeros((hi - lo, COORDINATES), np.uint64)
@@ -101,7 +123,7 @@ def _describe(size: int):
                 least = _words.mix(least)
                 sketch = np.ascontiguousarray((least & np.uint64(255)).astype(np.uint8))
                 nodes = _words.mix(least[:, chosen] + np.arange(1, len(chosen) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                h1, h2 = set_ids(h, offsets)
+                h1, h2 = set_ids(h, more, offsets)
                 every = np.arange(hi - lo + 1, dtype=np.int32)
                 yield pa.record_batch(
                     [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), _blobs(sketch), pa.ListArray.from_arrays(pa.array(every * len(chosen)), pa.array(nodes.ravel()))],
@@ -122,16 +144,29 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a large node goes to the children that the node's own coordinates name."""
+    """Each row of a large node goes to the children that the node's own coordinates name, none of them used on its path."""
     for batch in batches:
         node = batch.column("node").to_numpy().view(np.uint64)
+        used = batch.column("used").to_numpy().view(np.uint64)
         sketch = _sketches(batch.column("sketch"))
+        every = np.arange(len(node))
         start = _words.mix(node ^ np.uint64(0x452821E638D01377))
-        for k in range(BRANCHES):  # two places in one odd stride are two coordinates
-            stride = (start >> np.uint64(32)) | np.uint64(1)
-            at = ((start + np.uint64(k) * stride) % np.uint64(COORDINATES)).astype(np.int64)
-            child = _words.mix(node + _words.mix((at * 256 + sketch[np.arange(len(node)), at]).astype(np.uint64) + np.uint64(1)))
-            yield pa.record_batch([pa.array(child.view(np.int64)), *batch.columns[1:]], schema=_ROW)
+        stride = (start >> np.uint64(32)) | np.uint64(1)  # odd, so that all coordinates come once
+        taken = used.copy()
+        for _ in range(BRANCHES):
+            at, open_ = np.zeros(len(node), np.uint64), np.ones(len(node), bool)
+            for k in range(COORDINATES):
+                next_ = (start + np.uint64(k) * stride) % np.uint64(COORDINATES)
+                free = open_ & ((taken >> next_) & np.uint64(1) == 0)
+                at[free] = next_[free]
+                open_ &= ~free
+                if not open_.any():
+                    break
+            bit = np.uint64(1) << at
+            taken |= bit
+            child = _words.mix(node + _words.mix(at * np.uint64(256) + sketch[every, at.astype(np.int64)] + np.uint64(1)))
+            rows = [pa.array(child.view(np.int64)), batch.column("id"), batch.column("n"), batch.column("sketch"), pa.array((used | bit).view(np.int64)), batch.column("label")]
+            yield pa.record_batch(rows, schema=_ROW).filter(pa.array(~open_))
 
 
 def agree(threshold: int) -> int:
@@ -196,43 +231,123 @@ def _compare(least_size: int, threshold: int):
     return run
 
 
+_TIED = pa.schema([*_ROW, ("pivot", pa.int64()), ("tie", pa.bool_())])
+_TIED_SQL = f"{_ROW_SQL}, pivot long, tie boolean"
+
+
+def _tie(least_size: int, threshold: int):
+    """Whether each row's sketch agrees with its node's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, pivot_n = batch.column("n").to_numpy(), batch.column("pivot_n").to_numpy()
+            same = (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).sum(1)
+            tie = (same >= least_size) & (threshold * np.maximum(n, pivot_n) <= 100 * np.minimum(n, pivot_n))
+            yield pa.record_batch([*(batch.column(c) for c in _ROW.names), batch.column("pivot"), pa.array(tie)], schema=_TIED)
+
+    return run
+
+
+_SEAT = pa.schema([("node", pa.int64()), ("salt", pa.int64()), ("few", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+
+def _few_against_all(least_size: int, threshold: int):
+    """Candidate links between the few rows that open a (node, salt) and all that follow there, as a forest for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, few = None, None
+        for batch in batches:
+            node, salt, is_few, ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            sketch = _sketches(batch.column("sketch"))
+            edge = np.flatnonzero((node[1:] != node[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(node)], strict=True):
+                if hi == lo:
+                    continue
+                if (node[lo], salt[lo]) != at:
+                    at, few = (node[lo], salt[lo]), None
+                mid = lo + int(is_few[lo:hi].sum())
+                new = (ids[lo:mid], n[lo:mid], sketch[lo:mid])
+                few = new if few is None else tuple(np.concatenate(x) for x in zip(few, new, strict=True))
+                ends = np.append(ids[mid:hi], few[0])
+                left, right = [], []
+                for k in range(len(few[0])):
+                    same = (sketch[mid:hi] == few[2][k]).sum(1)
+                    near = (same >= least_size) & (threshold * np.maximum(n[mid:hi], few[1][k]) <= 100 * np.minimum(n[mid:hi], few[1][k])) & (ids[mid:hi] != few[0][k])
+                    left.append(np.flatnonzero(near))
+                    right.append(np.full(len(left[-1]), hi - mid + k))
+                label = _labels(len(ends), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(ends))
+                tied = np.flatnonzero(label != np.arange(len(ends)))
+                if len(tied):
+                    yield pa.record_batch([pa.array(ends[tied]), pa.array(ends[label[tied]])], schema=_EDGE)
+
+    return run
+
+
+def _sent(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(a small table of nodes, with a hint to broadcast it up to BROADCAST_NODES; its rows)."""
+    nodes = cut(nodes)
+    number = nodes.count()
+    return (F.broadcast(nodes) if number <= BROADCAST_NODES else nodes), number
+
+
 def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     """(u, v): candidate links whose components hold every real link."""
-    width = partitions(classes.sparkSession)
-    rows = classes.select(F.explode("nodes").alias("node"), "id", "n", "sketch").withColumn("parent", F.lit(None).cast("long"))
+    width, least_size = partitions(classes.sparkSession), agree(threshold)
+    bits = F.array(*(F.lit(int(np.uint64(1 << int(k)).view(np.int64))) for k in _ROOTS))
+    rows = classes.select(F.posexplode("nodes").alias("_k", "node"), "id", "n", "sketch").select("node", "id", "n", "sketch", F.get(bits, F.col("_k")).alias("used"), F.lit(None).cast("long").alias("label"))
+    own = F.coalesce("label", "id")
     found = None
-    for depth in range(DEPTH + 1):
-        large = rows.groupBy("node").agg(F.count("*").alias("_c"), F.min("id").alias("_least"), F.max("parent").alias("_p")).where(F.col("_c") > LIMIT)
-        large = cut(large.select("node", "_c", "_least", F.coalesce(F.col("_c") >= DENSE * F.col("_p"), F.lit(False)).alias("_dense")))
-        number = large.count()
-        if number <= BROADCAST_NODES:
-            large = F.broadcast(large)
+    while True:
+        sizes = rows.groupBy("node").agg(F.count("*").alias("_c"), (F.min(own) == F.max(own)).alias("_one"))
+        large, number = _sent(sizes.where(F.col("_c") > LIMIT).select("node", "_one"))
         small = rows.join(large, "node", "left_anti") if number else rows
-        links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(agree(threshold), threshold), _EDGE_SQL)
+        links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(least_size, threshold), _EDGE_SQL)
         found = links if found is None else found.unionByName(links)
         if not number:
-            break
-        dense = F.col("_dense") | F.lit(depth == DEPTH)
-        stars = rows.select("node", "id").join(large, "node").where(dense & (F.col("id") != F.col("_least")))
-        found = found.unionByName(stars.select(F.col("id").alias("u"), F.col("_least").alias("v")))
-        if depth < DEPTH:
-            inside = rows.join(large.where(~dense), "node")
-            rows = cut(inside.select("node", "id", "n", "sketch", F.col("_c").alias("parent")).mapInArrow(_branch, _ROW_SQL))
-    return found.distinct()
+            return found.distinct()
+        inside = rows.join(large.where(~F.col("_one")), "node").select(rows.columns)
+        first = F.struct(F.col("label").isNotNull().alias("labelled"), F.xxhash64("node", "id").alias("h"), "id", "n", "sketch")
+        pivots, _ = _sent(inside.groupBy("node").agg(F.min(first).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch")))
+        tied = cut(inside.join(pivots, "node").mapInArrow(_tie(least_size, threshold), _TIED_SQL))
+        found = found.unionByName(tied.where("tie and id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
+        # labels that the pivot ties together; a path has at most one for each of its levels
+        merged, _ = _sent(tied.groupBy("node").agg(F.collect_set(F.when(F.col("tie"), F.col("label"))).alias("_merged")))
+        label = F.when(F.col("tie") | F.coalesce(F.array_contains("_merged", F.col("label")), F.lit(False)), F.col("pivot")).otherwise(F.col("label"))
+        labelled = tied.join(merged, "node").select("node", "id", "n", "sketch", "used", label.alias("label"))
+        state = labelled.groupBy("node").agg(F.count_if(F.col("label").isNull()).alias("_open"), (F.min("label") == F.max("label")).alias("_one"), F.count("*").alias("_c"))
+        done = (F.col("_open") <= F.greatest(F.lit(OPEN), F.col("_c") / OPEN_SHARE)) & F.col("_one")
+        state, _ = _sent(state.select("node", "_open", F.ceil(F.col("_c") / SALT_ROWS).alias("_salts"), F.ceil(F.col("_open") / OPEN).alias("_chunks"), done.alias("_done")))
+        labelled = labelled.join(state, "node")
+        ends = labelled.where("_done and _open > 0")
+        few = ends.where("label is null").withColumn("_s", F.explode(F.expr("sequence(0L, _salts - 1)"))).withColumn("_k", F.expr("pmod(xxhash64(id, 3), _chunks)")).withColumn("few", F.lit(True))
+        all_of = ends.withColumn("_s", F.expr("pmod(xxhash64(id), _salts)")).withColumn("_k", F.explode(F.expr("sequence(0L, _chunks - 1)"))).withColumn("few", F.lit(False))
+        few, all_of = (x.withColumn("salt", F.expr("_s * _chunks + _k")) for x in (few, all_of))
+        seats = few.select(_SEAT.names).unionByName(all_of.select(_SEAT.names)).repartition(width, "node", "salt").sortWithinPartitions("node", "salt", F.desc("few"))
+        found = found.unionByName(seats.mapInArrow(_few_against_all(least_size, threshold), _EDGE_SQL))
+        rows = cut(labelled.where("not _done").select("node", "id", "n", "sketch", "used", "label").mapInArrow(_branch, _ROW_SQL))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each end of the edges (u, v), root being the least id of its component.
 
     Alternating large and small stars: each round costs two shuffles of the edges, and
-    the rounds grow with the logarithm of the longest path.
+    the rounds grow with the logarithm of the longest path. Hubs, the ends of many
+    edges, meet their edges in a broadcast, so that none is gathered in one task.
     """
     edges = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_c")).select("u", F.least("u", "_m").alias("_m"), "_c")
+        hubs = cut(least.where(F.col("_c") > HUB).select("u", "_m"))
+        number = hubs.limit(BROADCAST_NODES + 1).count()
+        up = both.where("v > u")
+        if 0 < number <= BROADCAST_NODES:
+            known = up.join(F.broadcast(hubs), "u", "left").select("u", "v", "_m")
+            large = known.where("_m is not null").select("v", "_m").unionByName(known.where("_m is null").select("u", "v").join(least.where(F.col("_c") <= HUB), "u").select("v", "_m"))
+        else:
+            large = up.join(least, "u").select("v", "_m")
+        large = large.select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("_m"))
         tied = large.join(low, "u")
         edges = cut(tied.where("v != _m").select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(low.withColumnRenamed("_m", "v")).distinct())
@@ -251,33 +366,41 @@ _SET_SQL = "group long, id long, hashes binary"
 
 
 def _full_sets(size: int):
-    """(group, id, hashes); a row whose text isn't that of the class drops out."""
+    """(group, id, hashes: the first hashes of all shingles, then the second); a row whose text isn't that of the class drops out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
             for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.LOWER):
-                h, offsets = shingle_sets(w, size)
-                a, b = set_ids(h, offsets)
-                blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary())
+                h, more, offsets = shingle_sets(w, size)
+                a, b = set_ids(h, more, offsets)
+                n = np.diff(offsets)
+                to = np.arange(len(h)) + np.repeat(offsets[:-1], n)
+                both = np.zeros(2 * len(h), np.uint64)
+                both[to], both[to + np.repeat(n, n)] = h, more
+                blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((offsets * 16).astype(np.int64)), pa.py_buffer(both)]).cast(pa.binary())
                 kept = pa.array((a == h1[lo:hi]) & (b == h2[lo:hi]))
                 yield pa.record_batch([batch.column("group").slice(lo, hi - lo).filter(kept), batch.column("id").slice(lo, hi - lo).filter(kept), blobs.filter(kept)], schema=_SET)
 
     return run
 
 
-def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
-    """Component of each set, as its least place, over all pairs with 100 * common >= threshold * union."""
-    n = np.array([len(s) for s in sets], np.int64)
-    values = np.concatenate(sets)
-    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times > 1
+def linked(sets: list[np.ndarray], threshold: int, ids: np.ndarray) -> np.ndarray:
+    """Component of each set, as its least place, over all pairs of one id or with 100 * common >= threshold * union.
+
+    A set is its shingles' hashes, two rows; ids ascend.
+    """
+    n = np.array([s.shape[1] for s in sets], np.int64)
+    values = np.concatenate(sets, 1)
+    order = np.lexsort((values[1], values[0]))
+    values = values[:, order]
+    new = np.append(True, (values[:, 1:] != values[:, :-1]).any(0))
+    column = np.cumsum(new) - 1
+    owner = np.repeat(np.arange(len(sets)), n)[order]
+    shared = np.bincount(column) > 1
     number = np.cumsum(shared) - 1
-    owner = np.repeat(np.arange(len(sets)), n)
     keep = shared[column]
     column, owner = number[column[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
     width = max(64, 4_000_000 // len(sets))
     common = np.zeros((len(sets), len(sets)), np.float32)
     for lo in range(0, int(shared.sum()), width):
@@ -287,17 +410,18 @@ def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
         common += block @ block.T
     common = common.astype(np.int64)
     left, right = np.nonzero(np.triu(100 * common >= threshold * (n[:, None] + n[None, :] - common), 1))
-    return _labels(len(sets), left, right)
+    one = np.flatnonzero(ids[1:] == ids[:-1])
+    return _labels(len(sets), np.append(left, one), np.append(right, one + 1))
 
 
 def _settle(threshold: int):
     def some(ids: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
         order = np.argsort(np.array(ids, np.int64), kind="stable")
-        arrays = [np.frombuffer(sets[k], np.uint64) for k in order]
-        ids = [ids[k] for k in order]
-        for place, label in enumerate(linked(arrays, threshold)):
-            if label != place:
-                yield ids[place], ids[label]
+        arrays = [np.frombuffer(sets[k], np.uint64).reshape(2, -1) for k in order]
+        known = np.array(ids, np.int64)[order]
+        label = known[linked(arrays, threshold, known)]
+        tied = known != label
+        yield from set(zip(known[tied].tolist(), label[tied].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sets, out = None, [], [], []
@@ -326,15 +450,20 @@ def _exact_links(texts: DataFrame, seats: DataFrame, size: int, threshold: int)
     seats = cut(seats)
     few = seats.limit(BROADCAST_SEATS + 1).count() <= BROADCAST_SEATS
     seats = F.broadcast(seats) if few else seats.hint("shuffle_hash")
-    sets = texts.join(seats, texts["doc_id"] == seats["id"]).select("group", "id", "h1", "h2", "text").mapInArrow(_full_sets(size), _SET_SQL)
+    sets = texts.join(seats, texts["key"] == seats["id"]).select("group", "id", "h1", "h2", "text").mapInArrow(_full_sets(size), _SET_SQL)
     return sets.repartition(width, "group").sortWithinPartitions("group").mapInArrow(_settle(threshold), _EDGE_SQL)
 
 
+def _parts() -> Column:
+    """Blocks that a group's classes make, by their number and by their shingles."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
 def _settled(texts: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, threshold: int) -> DataFrame:
     """(id, root) of every class that has a link to another."""
     members = components(candidates).withColumnRenamed("root", "cluster")
-    members = members.join(classes.select("id", "h1", "h2"), "id")
-    blocks = members.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(classes.select("id", "n", "h1", "h2"), "id")
+    blocks = members.groupBy("cluster").agg(_parts().alias("blocks"))
     members = cut(members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks").cast("long")).cast("int")))
     at = lambda *c: F.xxhash64("cluster", *c).alias("group")
     seats = members.select(at("block"), "id", "h1", "h2")
@@ -348,10 +477,10 @@ def _settled(texts: DataFrame, classes: DataFrame, candidates: DataFrame, size:
     # what isn't in the largest component of its cluster is held against all of the cluster
     named = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     largest = named.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root"))["root"].alias("_main"))
-    rest = cut(named.join(largest, "cluster").where("root != _main").select("cluster", "blocks", "id", "h1", "h2"))
+    rest = cut(named.join(largest, "cluster").where("root != _main").select("cluster", "blocks", "id", "n", "h1", "h2"))
     if rest.isEmpty():
         return roots
-    parts = rest.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    parts = rest.groupBy("cluster").agg(_parts().alias("parts"))
     rest = rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts").cast("long")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     against = large.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     seats = rest.select(at("block", "part"), "id", "h1", "h2").unionByName(against.select(at("block", "part"), "id", "h1", "h2")).distinct()
@@ -360,27 +489,45 @@ def _settled(texts: DataFrame, classes: DataFrame, candidates: DataFrame, size:
 
 def _star(links: DataFrame) -> DataFrame:
     """Components from forests that don't touch: each group gave its own, rooted at its least member."""
-    links = cut(links)
-    return links.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return cut(links.select(F.col("u").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _keyed(size: int):
+    """(key, text): the key that a set without any id goes by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.LOWER):
+                a, _ = set_ids(*shingle_sets(w, size))
+                yield pa.record_batch([pa.array((a.view(np.uint64) >> np.uint64(2)).view(np.int64) + NAMELESS), batch.column("text").slice(lo, hi - lo)], ["key", "text"])
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
     Documents whose sets of distinct `shingle`-word shingles have a Jaccard similarity
     of at least `threshold` percent are linked; component_id is the least doc_id that
     is reachable, kept marks the document that has it. Fewer words make one shingle;
     null, empty and blank texts have none and are linked with nothing. Rows that share
-    a doc_id are one document. Rows without a doc_id get the component of an equal set
-    that has one, else null; they are kept unless there is one. Other columns are not read.
+    a doc_id are one document. Rows without a doc_id are linked like others and get the
+    least doc_id that they reach, else null; they are kept unless there is one. Ids are
+    under 2 ** 62. A very long text is one set, of any size: its shingles are sorted in
+    one task, and it is sent whole to be compared. An empty table gives no rows. Other
+    columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     meta = cut(texts.mapInArrow(_describe(shingle), _META_SQL))
-    classes = meta.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
-    classes = cut(classes.where("id is not null"))
-    roots = _settled(texts, classes, _candidates(classes, threshold), shingle, threshold)
-    named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("_root"))
-    out = meta.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = F.coalesce("doc_id", F.shiftrightunsigned("h1", 2) + F.lit(NAMELESS))
+    classes = cut(meta.where("n > 0").groupBy("h1", "h2").agg(F.min(named).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")))
+    keyed = texts.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
+    if not meta.where("doc_id is null").isEmpty():
+        keyed = keyed.unionByName(texts.where("doc_id is null").select("text").mapInArrow(_keyed(shingle), "key long, text string"))
+    roots = _settled(keyed, classes, _candidates(classes, threshold), shingle, threshold)
+    root = F.coalesce("root", "id")
+    found = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.when(root < NAMELESS, root).alias("_root"))
+    out = meta.select("doc_id", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("_root")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id")))
@@ -390,7 +537,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 85) -> D
 BROADCAST_IDS = 500_000
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, threshold: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs whose document is kept, with all their columns.
 
     Rows that share a doc_id are one document and stay or go together; rows without a
@@ -401,7 +548,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, threshold: int = 85) -> DataFram
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
 OP2_SQL = r"""
