@@ -13,8 +13,8 @@ share half.
 Similar classes wouldn't part, so a large node is first held against a pivot. Classes
 whose sketches agree with it take its label, and pairs of one label need not meet
 again: both are candidates of one pivot. A child with one label alone is dropped. Once
-a large node has one label and few classes without, `OPEN` or a sixteenth of its own,
-these are compared with all of it and the node is done.
+few classes of a large node are without its main label, `OPEN` or a sixteenth of its
+own, these are compared with all of it and the node is done.
 
 Recall: a pair at the threshold of 0.85 agrees at a coordinate with probability 0.85.
 Branching twice at each level it stays together down to any depth with a probability
@@ -44,7 +44,7 @@ from tidemark.llm._spark import checked_broadcast, cut, partitions, table
 COORDINATES = 64
 TREES, BRANCHES = 4, 2
 LIMIT = 128
-#: Classes without a label that are held against all of a large node: as many in one go (80 bytes each), or a node's size by OPEN_SHARE in several.
+#: Classes outside its main label that are held against all of a large node: as many in one go (80 bytes each), or its size by OPEN_SHARE in several.
 OPEN, OPEN_SHARE = 1024, 16
 #: Rows of a large node that meet these few in one task, about.
 SALT_ROWS = 20_000
@@ -283,13 +283,6 @@ def _few_against_all(least_size: int, threshold: int):
     return run
 
 
-def _sent(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(a small table of nodes, with a hint to broadcast it up to BROADCAST_NODES; its rows)."""
-    nodes = cut(nodes)
-    number = nodes.count()
-    return (F.broadcast(nodes) if number <= BROADCAST_NODES else nodes), number
-
-
 def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     """(u, v): candidate links whose components hold every real link."""
     width, least_size = partitions(classes.sparkSession), agree(threshold)
@@ -299,27 +292,31 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     found = None
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("_c"), (F.min(own) == F.max(own)).alias("_one"))
-        large, number = _sent(sizes.where(F.col("_c") > LIMIT).select("node", "_one"))
-        small = rows.join(large, "node", "left_anti") if number else rows
+        large = cut(sizes.where(F.col("_c") > LIMIT).select("node", "_one"))
+        number = large.count()
+        sent = F.broadcast if number <= BROADCAST_NODES else lambda df: df
+        small = rows.join(sent(large), "node", "left_anti") if number else rows
         links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(least_size, threshold), _EDGE_SQL)
         found = links if found is None else found.unionByName(links)
         if not number:
             return found.distinct()
-        inside = rows.join(large.where(~F.col("_one")), "node").select(rows.columns)
+        inside = rows.join(sent(large.where(~F.col("_one"))), "node").select(rows.columns)
         first = F.struct(F.col("label").isNotNull().alias("labelled"), F.xxhash64("node", "id").alias("h"), "id", "n", "sketch")
-        pivots, _ = _sent(inside.groupBy("node").agg(F.min(first).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch")))
-        tied = cut(inside.join(pivots, "node").mapInArrow(_tie(least_size, threshold), _TIED_SQL))
+        pivots = inside.groupBy("node").agg(F.min(first).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch"))
+        tied = cut(inside.join(sent(pivots), "node").mapInArrow(_tie(least_size, threshold), _TIED_SQL))
         found = found.unionByName(tied.where("tie and id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
         # labels that the pivot ties together; a path has at most one for each of its levels
-        merged, _ = _sent(tied.groupBy("node").agg(F.collect_set(F.when(F.col("tie"), F.col("label"))).alias("_merged")))
+        merged = tied.groupBy("node").agg(F.collect_set(F.when(F.col("tie"), F.col("label"))).alias("_merged"))
         label = F.when(F.col("tie") | F.coalesce(F.array_contains("_merged", F.col("label")), F.lit(False)), F.col("pivot")).otherwise(F.col("label"))
-        labelled = tied.join(merged, "node").select("node", "id", "n", "sketch", "used", label.alias("label"))
-        state = labelled.groupBy("node").agg(F.count_if(F.col("label").isNull()).alias("_open"), (F.min("label") == F.max("label")).alias("_one"), F.count("*").alias("_c"))
-        done = (F.col("_open") <= F.greatest(F.lit(OPEN), F.col("_c") / OPEN_SHARE)) & F.col("_one")
-        state, _ = _sent(state.select("node", "_open", F.ceil(F.col("_c") / SALT_ROWS).alias("_salts"), F.ceil(F.col("_open") / OPEN).alias("_chunks"), done.alias("_done")))
-        labelled = labelled.join(state, "node")
-        ends = labelled.where("_done and _open > 0")
-        few = ends.where("label is null").withColumn("_s", F.explode(F.expr("sequence(0L, _salts - 1)"))).withColumn("_k", F.expr("pmod(xxhash64(id, 3), _chunks)")).withColumn("few", F.lit(True))
+        labelled = tied.join(sent(merged), "node").select("node", "id", "n", "sketch", "used", label.alias("label"))
+        # all but the classes of a node's main label must meet the others yet
+        counts = labelled.groupBy("node", "label").agg(F.count("*").alias("_k"))
+        state = counts.groupBy("node").agg(F.sum("_k").alias("_c"), F.max(F.when(F.col("label").isNotNull(), F.struct("_k", "label"))).alias("_main"))
+        others = F.col("_c") - F.col("_main._k")
+        state = state.select("node", F.col("_main.label").alias("_label"), others.alias("_others"), F.ceil(F.col("_c") / SALT_ROWS).alias("_salts"), F.ceil(others / OPEN).alias("_chunks"), (others <= F.greatest(F.lit(OPEN), F.col("_c") / OPEN_SHARE)).alias("_done"))
+        labelled = labelled.join(sent(state), "node")
+        ends = labelled.where("_done and _others > 0")
+        few = ends.where("label is null or label != _label").withColumn("_s", F.explode(F.expr("sequence(0L, _salts - 1)"))).withColumn("_k", F.expr("pmod(xxhash64(id, 3), _chunks)")).withColumn("few", F.lit(True))
         all_of = ends.withColumn("_s", F.expr("pmod(xxhash64(id), _salts)")).withColumn("_k", F.explode(F.expr("sequence(0L, _chunks - 1)"))).withColumn("few", F.lit(False))
         few, all_of = (x.withColumn("salt", F.expr("_s * _chunks + _k")) for x in (few, all_of))
         seats = few.select(_SEAT.names).unionByName(all_of.select(_SEAT.names)).repartition(width, "node", "salt").sortWithinPartitions("node", "salt", F.desc("few"))
