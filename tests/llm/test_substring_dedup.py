@@ -51,7 +51,7 @@ def corpus(seed, n=60):
         for _ in range(rng.randrange(0, 5)):
             w += rng.choice(passages) if rng.random() < 0.5 else [rng.choice(vocab) for _ in range(rng.randrange(0, 40))]
         rows.append((i * 3, rng.choice([" ", "\n", " \t "]).join(w)))
-    return rows + [(1, None), (4, ""), (7, "a " * 100), (None, rows[0][1]), (10, rows[5][1])]
+    return rows + [(1, None), (4, ""), (7, "a " * 100), (None, rows[0][1]), (None, rows[0][1]), (10, rows[5][1])]
 
 
 @pytest.mark.parametrize("chunk", [50, 4_000_000])
@@ -80,3 +80,39 @@ def test_levels():
     assert sd.levels(20) == [10, 20]
     assert sd.levels(80) == [10, 20, 40, 80]
     assert sd.levels(7) == [7]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_a_polynomial_would_confuse(spark, n):
+    a = [0]
+    while len(a) < n:
+        a += [1 - x for x in a]
+    x, y = "".join("ab"[k] for k in a), "".join("ba"[k] for k in a)
+    rows = [(1, f"{x} " * 20), (2, f"{y} " * 20), (3, " ".join([x, y] * 10)), (4, " ".join([y, x] * 10))]
+    got = run(spark, rows)
+    assert got == brute(rows) and all(r[2] == 0 for r in got)
+
+
+def test_rows_without_an_id_are_texts_of_their_own(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(None, passage), (None, "other words first " + passage), (None, " ".join(f"q{k}" for k in range(30))), (5, passage)]
+    got = run(spark, rows)
+    assert [r[:3] for r in got if r[0] == 5] == [(5, 30, 30)]
+    assert sorted(r[2] for r in got if r[0] is None) == [0, 0, 30]
+
+
+def test_nothing_repeats(spark):
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(50))) for k in range(5)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_very_long_text(spark):
+    words = [f"w{k}" for k in range(1_200_000)]  # some 10 MB
+    rows = [(1, " ".join(words)), (2, " ".join(words[500:900])), (3, "y" * 10_000_000)]
+    assert [r[:3] for r in run(spark, rows)] == [(1, 1_200_000, 0), (2, 400, 400), (3, 1, 0)]
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 1 << 10)
+    rows = corpus(3)
+    assert run(spark, rows) == brute(rows)

@@ -20,11 +20,20 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as the session names it; a temporary one where it names none and all is one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return named or context.getCheckpointDir()
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table as the planner knows them from its files; where it doesn't, its texts are measured."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -6,13 +6,16 @@ of its level-long parts (its anchor: equal windows have equal anchors, and
 neighbouring windows mostly share one, so about one part in six is looked up). Only
 windows whose anchor occurs twice go on to twice the length, until the full windows
 that are left are looked up themselves, or none is left. No level loses a repeat.
+Levels under n go by one hash of 64 bits, as a chance collision there only keeps a
+window in play; full windows agree in two, 128 bits, before a word goes.
 
 A lookup never gathers the occurrences of a hash. Each map task sorts the hashes of
 a bounded chunk, settles what repeats inside the chunk, and sends one entry for each
 distinct hash to the hash's bucket, packed in binary columns. A window that occurs in
 a third of all documents thus costs its bucket one entry a chunk. The answers
 (document, position) return packed by document bucket and meet the texts in a
-cogroup; the texts are shuffled once for all levels.
+cogroup; the texts are shuffled once for all levels. The buckets' number follows the
+table's size, so that a task holds about `BUCKET_BYTES` of texts whatever their sum.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _words
-from tidemark.llm._spark import known_id, null_id, partitions, spread, spread_array, table
+from tidemark.llm._spark import cut, partitions, size_of, spread, spread_array, table
 
 #: Entries that a map task gathers before it settles and sends them.
 CHUNK = 4_000_000
+#: Texts of a document bucket, about.
+BUCKET_BYTES = 64 << 20
+#: Rows without an id get ids of their own from here on, by a hash of their text; other ids are above.
+NAMELESS, NAMELESS_IDS = -(1 << 63), 1 << 48
 
-_ENTRY = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("many", pa.binary())])
-_ENTRY_SQL = "bucket int, hashes binary, ids binary, places binary, many binary"
+_ENTRY = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("many", pa.binary())])
+_ENTRY_SQL = "bucket int, hashes binary, more binary, ids binary, places binary, many binary"
 _FLAG = pa.schema([("_db", pa.int32()), ("ids", pa.binary()), ("places", pa.binary())])
 _FLAG_SQL = "_db int, ids binary, places binary"
 
@@ -71,12 +78,15 @@ def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int,
             yield int(bucket[lo]), [c[lo:hi] for c in columns]
 
 
-def _groups(h: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by hash, id and place; first of its hash, in that order; group number, in that order)."""
-    order = np.lexsort((places, ids, h))
+def _groups(h: np.ndarray, more: np.ndarray | None, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, id and place; first of its hash, in that order; group number, in that order); more: the hashes' second halves, if any."""
+    order = np.lexsort((places, ids, h) if more is None else (places, ids, more, h))
     h = h[order]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
+    if more is not None:
+        more = more[order]
+        first[1:] |= more[1:] != more[:-1]
     return order, first, np.cumsum(first) - 1
 
 
@@ -91,9 +101,9 @@ class _Sender:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, ids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, h: np.ndarray, more: np.ndarray | None, ids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(h):
-            self.parts.append((h, ids, places))
+            self.parts.append((h, ids, places) if more is None else (h, ids, places, more))
             self.size += len(h)
         if self.size >= CHUNK:
             yield from self.flush()
@@ -101,10 +111,10 @@ class _Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        h, ids, places = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        h, ids, places, *more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order, first, group = _groups(h, ids, places)
-        h, ids, places = h[order], ids[order], places[order]
+        order, first, group = _groups(h, more[0] if more else None, ids, places)
+        h, ids, places, *more = (x[order] for x in (h, ids, places, *more))
         sizes = np.bincount(group)
         if self.final:
             start = np.flatnonzero(first)[group]
@@ -113,13 +123,13 @@ class _Sender:
             known = sizes[group] > 1
         rows: list[list] = [[] for _ in _ENTRY]
         bucket = (h[first] >> np.uint64(20)) % np.uint64(self.n_buckets)
-        for b, (x, i, p, m) in _by_bucket(bucket.astype(np.int64), h[first], ids[first], places[first], (sizes > 1).astype(np.uint8)):
+        for b, (x, i, p, m, *y) in _by_bucket(bucket.astype(np.int64), h[first], ids[first], places[first], (sizes > 1).astype(np.uint8), *(z[first] for z in more)):
             by_id = np.lexsort((p, i))
-            for column, value in zip(rows, (b, x[by_id].tobytes(), _pack(i[by_id]), _pack(p[by_id]), m[by_id].tobytes() if m.any() else b""), strict=True):
+            for column, value in zip(rows, (b, x[by_id].tobytes(), y[0][by_id].tobytes() if y else None, _pack(i[by_id]), _pack(p[by_id]), m[by_id].tobytes() if m.any() else b""), strict=True):
                 column.append(value)
         for b, (i, p) in _by_bucket(spread_array(ids[known], self.n_doc_buckets), ids[known], places[known]):
             by_id = np.lexsort((p, i))
-            for column, value in zip(rows, (b, None, _pack(i[by_id]), _pack(p[by_id]), None), strict=True):
+            for column, value in zip(rows, (b, None, None, _pack(i[by_id]), _pack(p[by_id]), None), strict=True):
                 column.append(value)
         for lo in range(0, len(rows[0]), 2000):
             yield pa.record_batch([pa.array(c[lo : lo + 2000], f.type) for c, f in zip(rows, _ENTRY, strict=True)], schema=_ENTRY)
@@ -144,6 +154,10 @@ def _candidates(w: _words.Words, n: int, level: int, survives: np.ndarray | None
     return at, parts[at]
 
 
+def _second_halves(w: _words.Words, at: np.ndarray, n: int, level: int) -> np.ndarray | None:
+    return _words.rolling(w.hashes(1), n, 1)[at] if level == n else None
+
+
 def _least_parts(parts: np.ndarray, n: int, level: int) -> np.ndarray:
     return _words.sliding(np.minimum, parts, n - level + 1, np.iinfo(np.uint64).max)
 
@@ -180,7 +194,7 @@ def _first_lookup(n: int, level: int, n_buckets: int, n_doc_buckets: int):
             ids = batch.column("_id").to_numpy()
             for lo, _hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.SAME):
                 at, h = _candidates(w, n, level, None)
-                yield from sender.add(h, ids[lo + w.doc[at]], at - w.first[w.doc[at]])
+                yield from sender.add(h, _second_halves(w, at, n, level), ids[lo + w.doc[at]], at - w.first[w.doc[at]])
         yield from sender.flush()
 
     return run
@@ -195,7 +209,7 @@ def _next_lookup(n: int, before: int, level: int, n_buckets: int, n_doc_buckets:
                 flagged = _flagged_words(flags, ids, w, lo, hi, cache)
                 if len(flagged):
                     at, h = _candidates(w, n, level, _survivors(w, n, before, flagged))
-                    out += sender.add(h, ids[lo + w.doc[at]], at - w.first[w.doc[at]])
+                    out += sender.add(h, _second_halves(w, at, n, level), ids[lo + w.doc[at]], at - w.first[w.doc[at]])
             out += sender.flush()
         return pa.Table.from_batches(out, _ENTRY)
 
@@ -208,9 +222,10 @@ def _next_lookup(n: int, before: int, level: int, n_buckets: int, n_doc_buckets:
 def _answers(final: bool, n_doc_buckets: int):
     def settle(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-        ids, places = (np.concatenate([_unpack(r[k]) for r in rows]) for k in (2, 3))
-        many = np.concatenate([np.frombuffer(r[4], np.uint8) if r[4] else np.zeros(len(r[1]) // 8, np.uint8) for r in rows])
-        order, first, group = _groups(h, ids, places)
+        more = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]) if final else None
+        ids, places = (np.concatenate([_unpack(r[k]) for r in rows]) for k in (3, 4))
+        many = np.concatenate([np.frombuffer(r[5], np.uint8) if r[5] else np.zeros(len(r[1]) // 8, np.uint8) for r in rows])
+        order, first, group = _groups(h, more, ids, places)
         ids, places = ids[order], places[order]
         if final:
             start = np.flatnonzero(first)[group]
@@ -236,7 +251,7 @@ def _answers(final: bool, n_doc_buckets: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[1] is None:
-                    found.append((_unpack(row[2]), _unpack(row[3])))
+                    found.append((_unpack(row[3]), _unpack(row[4])))
                     continue
                 if rows and rows[0][0] != row[0]:
                     found.append(settle(rows))
@@ -308,15 +323,20 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A word goes if a window of `window` words that covers it also starts earlier, in
     a smaller doc_id or further up in the same document; windows are judged on the
-    input. Null and empty texts have no words and keep an empty text. Rows that
-    repeat a doc_id are one occurrence: none of them is earlier than the other. A
-    null doc_id comes before all others and stays null. Other columns are not read.
+    input. Null and empty texts have no words and keep an empty text. An id names one
+    text: rows that repeat it are one occurrence, none of them earlier than the other.
+    Rows without a doc_id come before all others, by a hash of their texts, and equal
+    ones are one occurrence; ids of others are above -(2 ** 63) + 2 ** 48. A very long text
+    is worked on whole, in one task, at some hundred bytes for each of its words. An
+    empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    width = partitions(spark)
-    n_buckets, n_doc_buckets = width + 1, 2 * width + 1
-    texts = docs.select(known_id("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    dealt = texts.withColumn("_db", spread(F.col("_id"), n_doc_buckets)).repartition(width, "_db")
+    buckets = max(partitions(spark), size_of(docs) // BUCKET_BYTES + 1)
+    n_buckets, n_doc_buckets = buckets + 1, 2 * buckets + 1
+    text = F.col("text").cast("string")
+    own = F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(NAMELESS_IDS))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("_id"), text.alias("text"))
+    dealt = texts.withColumn("_db", spread(F.col("_id"), n_doc_buckets)).repartition(buckets, "_db")
     flags = None
     steps = levels(window)
     for k, level in enumerate(steps):
@@ -324,9 +344,13 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
             asked = texts.mapInArrow(_first_lookup(window, level, n_buckets, n_doc_buckets), _ENTRY_SQL)
         else:
             asked = dealt.groupBy("_db").cogroup(flags.groupBy("_db")).applyInArrow(_next_lookup(window, steps[k - 1], level, n_buckets, n_doc_buckets), _ENTRY_SQL)
-        flags = asked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(level == window, n_doc_buckets), _FLAG_SQL)
+        flags = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(level == window, n_doc_buckets), _FLAG_SQL)
+        if level < window:
+            flags = cut(flags)
+            if flags.isEmpty():  # no candidate is left
+                break
     left = dealt.groupBy("_db").cogroup(flags.groupBy("_db")).applyInArrow(_finish(window), _RESULT_SQL)
-    return left.select(null_id("_id").alias("doc_id"), "n_words", "n_removed", "kept_text", "removed")
+    return left.select(F.when(F.col("_id") >= NAMELESS + NAMELESS_IDS, F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept_text", "removed")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
