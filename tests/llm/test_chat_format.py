@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format as cf
 
@@ -52,3 +53,20 @@ def test_query_against_sql(spark, tmp_path):
 @pytest.mark.parametrize("rows", [[]])
 def test_empty_table(spark, rows):
     assert chats(spark, rows) == {}
+
+
+def test_long_roles_texts_and_conversations(spark):
+    rows = [(1, 0, ":" * 100_000, "x"), (1, 1, "r" * 100_000, "y"), (2, 0, "assistant", "ü<" * 2_500_000), (2, 1, "user", "#" * 5_000_000)]
+    rows += [(3, k, "assistant" if k % 2 else "user", f"é{k} " * 50) for k in range(6400)]
+    got = chats(spark, rows)
+    for conv in (1, 2, 3):
+        assert [(t.role, t.text) for t in got[conv].turns] == [(r, x) for c, _, r, x in rows if c == conv]
+        assert got[conv].loss == "".join(x for c, _, r, x in rows if c == conv and r == "assistant")
+    for s in got[3].loss_spans[:50]:
+        assert got[3].formatted[s.start : s.start + s.length].startswith("é")
+
+
+def test_rows_without_an_id_are_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    got = sorted(len(r.t) for r in cf.format_chats(df).select(cf.read_turns(F.col("formatted")).alias("t")).collect())
+    assert got == [1, 2]

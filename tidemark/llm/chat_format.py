@@ -8,10 +8,12 @@ block, whose texts are one array (`merge_turns`). The template is
 and the texts of a block of several turns stand apart by " </turn><turn> ". Inside
 texts a backslash goes before each backslash, # and <, inside roles before each :
 too. So no text holds a control string, and a backslash's next character as itself
-gives the text back. The loss mask is the spans of the assistant's texts.
+gives the text back. The loss mask is the spans of the assistant's texts, in code
+points and in bytes of UTF-8; read-back cuts the bytes, which needs no walk from the
+string's start.
 
-A conversation is one string and so one row; a span is cut out by walking the string
-from its start, so the work on a conversation is its length times its turns.
+A conversation is one string and so one row. Work on it grows with its length; the
+list of its spans is copied for each turn, which counts from some ten thousand on.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from tidemark.llm._spark import table
 HEAD, MIDDLE, NEXT, END = "### ", ": ", " </turn><turn> ", " </turn>\n"
 LEARNED = "assistant"
 
+_SPAN = "struct<start:long,length:long,at:long,bytes:long>"
+#: A block: its role, in which colons have a backslash, and its texts. No loop of it steps back, so its depth doesn't grow with the role.
+_BLOCK = r"(?s)^" + HEAD + r"([^\\:]*+(?:\\.[^\\:]*+)*+)" + MIDDLE + r"(.*)$"
+
 
 def escape(text: Column, role: bool = False) -> Column:
     return F.regexp_replace(text, r"([\\#<:])" if role else r"([\\#<])", r"\\$1")
@@ -45,29 +51,36 @@ def merge_turns(turns: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted and loss_spans (start, length in code points) of each conversation.
+    """conv_id, formatted and loss_spans (start, length in code points; at, bytes in UTF-8) of each conversation.
 
     Turns are ordered by turn, then by role and text, null turns first; repeated rows
-    stay. A null text or role is an empty one; rows without a conv_id are one
-    conversation. An empty table has none. Other columns are not read.
+    stay. A null text or role is an empty one, and roles and texts may be of any length
+    and hold anything. A row without a conv_id is a conversation of its own, with the
+    rows that equal it. An empty table has none. Other columns are not read.
     """
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
-    chats = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("_t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("_t"))
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("_t"))
+    chats = rows.groupBy("conv_id", alone.alias("_alone")).agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
     written = F.transform("_turns", lambda t: F.struct(escape(t["role"], True).alias("role"), escape(t["text"]).alias("text")))
     chats = chats.select("conv_id", written.alias("_written")).select("conv_id", merge_turns(F.col("_written")).alias("_blocks"))
     render = lambda b: F.concat(F.lit(HEAD), b["role"], F.lit(MIDDLE), F.array_join(b["texts"], NEXT), F.lit(END))
-    span = "struct<start:long,length:long>"
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    number = lambda x: x.cast("long")
+    state = F.struct(number(F.lit(0)).alias("start"), number(F.lit(0)).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+
+    def moved(x: Column, chars: Column, size: Column, spans: Column) -> Column:
+        return F.struct((x["start"] + chars).alias("start"), (x["at"] + size).alias("at"), spans.alias("spans"))
 
     def texts(s: Column, b: Column) -> Column:
         def one(x: Column, t: Column) -> Column:
-            n = F.char_length(t).cast("long")
-            spans = F.when(b["role"] == LEARNED, F.concat(x["spans"], F.array(F.struct(x["at"].alias("start"), n.alias("length"))))).otherwise(x["spans"])
-            return F.struct((x["at"] + n + len(NEXT)).alias("at"), spans.alias("spans"))
+            chars, size = number(F.char_length(t)), number(F.octet_length(t))
+            span = F.struct(x["start"].alias("start"), chars.alias("length"), x["at"].alias("at"), size.alias("bytes"))
+            spans = F.when(b["role"] == LEARNED, F.concat(x["spans"], F.array(span))).otherwise(x["spans"])
+            return moved(x, chars + len(NEXT), size + len(NEXT), spans)
 
-        begin = F.struct((s["at"] + len(HEAD) + F.char_length(b["role"]) + len(MIDDLE)).alias("at"), s["spans"].alias("spans"))
-        return F.aggregate(b["texts"], begin, one, lambda x: F.struct((x["at"] - len(NEXT) + len(END)).alias("at"), x["spans"].alias("spans")))
+        begin = moved(s, number(F.char_length(b["role"])) + len(HEAD + MIDDLE), number(F.octet_length(b["role"])) + len(HEAD + MIDDLE), s["spans"])
+        return F.aggregate(b["texts"], begin, one, lambda x: moved(x, F.lit(len(END) - len(NEXT)), F.lit(len(END) - len(NEXT)), x["spans"]))
 
     spans = F.aggregate("_blocks", state, texts, lambda x: x["spans"])
     return chats.select("conv_id", F.array_join(F.transform("_blocks", render), "").alias("formatted"), spans.alias("loss_spans"))
@@ -77,18 +90,19 @@ def read_turns(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation."""
     blocks = F.split(formatted, r"\Q" + END + r"\E")
     blocks = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-    shape = r"(?s)^" + HEAD + r"((?:[^\\:]|\\.)*)" + MIDDLE + r"(.*)$"
 
     def turns(b: Column) -> Column:
-        role = unescape(F.regexp_extract(b, shape, 1))
-        return F.transform(F.split(F.regexp_extract(b, shape, 2), r"\Q" + NEXT + r"\E"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        role = unescape(F.regexp_extract(b, _BLOCK, 1))
+        return F.transform(F.split(F.regexp_extract(b, _BLOCK, 2), r"\Q" + NEXT + r"\E"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     return F.flatten(F.transform(blocks, turns))
 
 
 def read_loss(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the loss mask, without the escapes."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, without the escapes; the string's bytes are taken once for all spans."""
+    whole = F.array_repeat(formatted.cast("binary"), F.size(loss_spans))
+    cut = F.zip_with(loss_spans, whole, lambda s, b: F.substr(b, (s["at"] + 1).cast("int"), s["bytes"].cast("int")).cast("string"))
+    return F.array_join(F.transform(cut, unescape), "")
 
 
 # The conversation that the query adds, whose texts hold the template's own control strings.
@@ -112,13 +126,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN (turn, role, text) END AS alone FROM conversations
+  UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok', NULL FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
 ), sized AS (
   SELECT *,
          length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) AS text_chars,
          length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) AS role_chars,
-         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+         lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before
   FROM rows
 )
 SELECT conv_id,
@@ -127,5 +141,5 @@ SELECT conv_id,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(text_chars + CASE WHEN before = role THEN length(' </turn><turn> ') ELSE length('### : ') + role_chars + length(' </turn> ') END) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
