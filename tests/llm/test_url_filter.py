@@ -1,4 +1,5 @@
 import random
+import time
 
 import duckdb
 import pytest
@@ -35,9 +36,7 @@ def test_query_matches_brute_force_and_sql(spark, tmp_path):
     assert got == sorted(con.execute(uf.OP8_SQL).fetchall())
 
 
-@pytest.mark.parametrize("most", [200_000, 3])
-def test_any_rules_by_trie_and_by_join(spark, monkeypatch, most):
-    monkeypatch.setattr(uf, "TRIE_RULES", most)
+def test_any_rules(spark):
     rng = random.Random(1)
     hosts = ["a", "b.a", "c.b.a", "net", "x.net"]
     paths = ["/", "/p", "/p/", "/p/q", "/pq", "/p/q/r/"]
@@ -52,3 +51,26 @@ def test_any_rules_by_trie_and_by_join(spark, monkeypatch, most):
 def test_empty_tables(spark):
     assert uf.filter_urls(frame(spark, []).limit(0)).collect() == []
     assert {r.rule for r in uf.filter_urls(frame(spark, URLS), []).collect()} == {None}
+
+
+def test_many_rules_of_one_host():
+    rules = [uf.Rule("block", "big.example", f"/page{k}") for k in range(100_000)]
+    trie = uf.Trie(rules)
+    began = time.perf_counter()
+    for k in range(2000):
+        path = f"/page{k}x{'y' * (k % 9)}"
+        assert trie.find("www.big.example", path).path == f"/page{k}"
+    assert time.perf_counter() - began < 5
+    assert trie.find("big.example", "/pag") is None
+
+
+def test_too_many_rules_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(uf, "MOST_RULES", 2)
+    with pytest.raises(ValueError):
+        uf.filter_urls(frame(spark, URLS), uf.RULES)
+
+
+def test_very_long_url(spark):
+    url = "http://a." + "b." * 100_000 + "example.net/en/" + "x/" * 2_000_000
+    (r,) = uf.filter_urls(frame(spark, [url])).collect()
+    assert (r.rule, r.verdict, len(r.path)) == ("example.net/en/", "allow", 4_000_004)

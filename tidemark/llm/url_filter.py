@@ -1,13 +1,14 @@
 """URL filter: allow and block rules by host and path prefix, the longest match first.
 
-The rules are a trie over reversed host labels and then path segments. It is built
-once for each worker process from a broadcast list, whose size is checked; more than
-`TRIE_RULES` rules are joined instead, on the (host suffix, path prefix) pairs that a
-URL has, which are as many as its labels times its path's characters.
+The rules are a trie over reversed host labels and then path segments. What follows a
+path's last slash may be a part of a segment; a node finds it by the lengths that its
+rules have there, the longest first. The trie is broadcast as the list of its rules,
+at most `MOST_RULES` of them, and built once in each worker process.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._spark import table
 
-TRIE_RULES = 200_000
+#: Rules that are broadcast (a trie takes some 300 bytes for each); a longer list is refused, not cut.
+MOST_RULES = 1_000_000
 
 
 class Rule(NamedTuple):
@@ -59,9 +61,13 @@ class Trie:
             for segment in segments:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
             # what follows the last slash may be a part of a segment
-            held = node.setdefault("ends", {}).get(rest)
+            ends = node.setdefault("ends", {})
+            held = ends.get(rest)
             if held is None or (rule.verdict, str(rule)) < (held.verdict, str(held)):
-                node["ends"][rest] = rule
+                ends[rest] = rule
+                if len(rest) not in (sizes := node.setdefault("sizes", [])):
+                    sizes.append(len(rest))
+                    sizes.sort(reverse=True)
 
     def find(self, host: str, path: str) -> Rule | None:
         """The rule that fits with the longest host and path together; of equals the one with the longer host, then allow before block."""
@@ -72,10 +78,11 @@ class Trie:
         while node is not None:
             at, k = node.get("path"), 0
             while at is not None:
-                for end, rule in at.get("ends", {}).items():
-                    new = (len(rule.host) + len(rule.path), len(rule.host))
-                    if segments[k].startswith(end) and new > size:
-                        best, size = rule, new
+                for n in at.get("sizes", ()):
+                    if n <= len(segments[k]) and (rule := at["ends"].get(segments[k][:n])) is not None:
+                        if (new := (len(rule.host) + len(rule.path), len(rule.host))) > size:
+                            best, size = rule, new
+                        break
                 at = at.get("segments", {}).get(segments[k]) if k < len(segments) - 1 else None
                 k += 1
             node = node.get("labels", {}).get(label) if (label := next(labels, None)) is not None else None
@@ -86,55 +93,47 @@ _JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa
 _JUDGED_SQL = "page_id long, host string, path string, rule string, verdict string"
 
 
+_tries: dict[str, Trie] = {}
+
+
+def _trie(key: str, rules: list[tuple]) -> Trie:
+    """A worker process keeps the last trie that it built."""
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = Trie([Rule(*r) for r in rules])
+    return _tries[key]
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages.
 
     A rule fits its host and all subdomains where the URL's path starts with the
-    rule's; the longest wins. Without a rule that fits, rule is null and the verdict
-    the default. A null URL or one without :// has an empty host and path; null ids
-    stay; repeated rows are judged each. Other columns are not read. Rules are a list,
-    or a table with verdict, host and path, which is collected only up to TRIE_RULES rows.
+    rule's; the longest wins, of equals the longer host, of equal rules allow. Without a
+    rule that fits, rule is null and the verdict the default. A null URL or one without
+    :// has an empty host and path; a very long one is split like others; null ids stay;
+    repeated rows are judged each; an empty table gives no rows. Other columns are not
+    read. Rules are a list, or a table with verdict, host and path; more than MOST_RULES
+    are an error.
     """
-    spark = pages.sparkSession
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     if isinstance(rules, DataFrame):
-        held = rules.select("verdict", "host", "path").limit(TRIE_RULES + 1).collect()
-        if len(held) > TRIE_RULES:
-            return _joined(urls, rules, default)
-        rules = [Rule(*r) for r in held]
-    elif len(rules) > TRIE_RULES:
-        return _joined(urls, spark.createDataFrame(rules, "verdict string, host string, path string"), default)
-    sent = spark.sparkContext.broadcast([tuple(r) for r in rules])
+        rules = [Rule(*r) for r in rules.select("verdict", "host", "path").limit(MOST_RULES + 1).collect()]
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    key = hashlib.sha256(repr(sorted(rules)).encode()).hexdigest()
+    sent = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in rules])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie([Rule(*r) for r in sent.value])
+        trie = _trie(key, sent.value)
         for batch in batches:
             parts = [split_url(x) for x in batch.column("url").to_pylist()]
             found = [trie.find(*p) for p in parts]
             columns = [[h for h, _ in parts], [p for _, p in parts], [str(r) if r else None for r in found], [r.verdict if r else default for r in found]]
             yield pa.record_batch([batch.column("page_id"), *(pa.array(c, pa.string()) for c in columns)], schema=_JUDGED)
 
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     return urls.mapInArrow(run, _JUDGED_SQL)
 
 
-def _joined(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for any number of rules: one equi-join on the URL's (host suffix, path prefix) pairs."""
-    rest = F.regexp_extract("url", r"(?s)://(.*)", 1)
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    keyed = urls.select("page_id", F.monotonically_increasing_id().alias("_row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    longest = rules.agg(F.max(F.char_length("path"))).first()[0] or 0
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.char_length("path"), F.lit(longest))), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    pairs = keyed.select("*", F.explode(hosts).alias("_host")).select("*", F.explode(prefixes).alias("_path"))
-    known = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "verdict")
-    rank = F.struct(F.char_length("_host") + F.char_length("_path"), F.char_length("_host"), F.when(F.col("verdict") == "allow", 1).otherwise(0), F.concat("_host", "_path").alias("rule"), "verdict")
-    best = pairs.join(known, ["_host", "_path"]).groupBy("_row").agg(F.max(rank).alias("_best"))
-    out = keyed.join(best, "_row", "left")
-    return out.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
-
-
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
