@@ -56,9 +56,7 @@ def run(spark, docs, bench, n=10):
     return sorted(((r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest()) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("part", [1 << 20, 100])
-def test_matches_brute_force(spark, monkeypatch, part):
-    monkeypatch.setattr(dc, "PART_BYTES", part)
+def test_matches_brute_force(spark):
     docs, bench = corpus(1)
     assert run(spark, docs, bench) == brute(docs, bench)
 
@@ -76,3 +74,24 @@ def test_empty_tables(spark):
 
 def test_item_without_id(spark):
     assert run(spark, [(1, "a b c")], [(None, "b")])[0][2:4] == (1, 0)
+
+
+@pytest.mark.parametrize("limit", ["MOST_WORDS", "MOST_BYTES"])
+def test_items_beyond_the_limit_are_an_error(spark, monkeypatch, limit):
+    monkeypatch.setattr(dc, limit, 5)
+    docs, bench = corpus(3)
+    with pytest.raises(ValueError):
+        run(spark, docs, bench)
+
+
+def test_very_long_text(spark):
+    docs = [(1, "a b " * 2_500_000 + "the item has five words " + "x" * 1_000_000)]
+    assert run(spark, docs, [(7, "The item has FIVE words!")])[0][:4] == (1, 5_000_006, 5, 1)
+
+
+def test_keep_clean(spark):
+    docs, bench = corpus(4)
+    rows = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, lang string")
+    got = dc.keep_clean(rows, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    hit = {(i, t) for i, t in docs if brute([(i, t)], bench)[0][2]}
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, t, "c")) for i, t in docs if (i, t) not in hit)

@@ -51,12 +51,6 @@ def places(automaton: ahocorasick.Automaton | None, normal: list[bytes]) -> tupl
     return patterns, np.searchsorted(gaps, ends) - 1
 
 
-def any_place(automaton: ahocorasick.Automaton | None, normal: list[bytes]) -> bool:
-    if automaton is None or not normal:
-        return False
-    return next(automaton.iter((b" " + b" ".join(normal) + b" ").decode("latin-1")), None) is not None
-
-
 def spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of each word in the original's code points."""
     return [m.span() for m in WORD.finditer(text.translate(FOLD))]

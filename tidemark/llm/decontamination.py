@@ -1,121 +1,144 @@
 """Benchmark decontamination: windows of test items that occur in documents.
 
-All windows of the normalised items go into one Aho-Corasick automaton, which reads
-each normalised text once; hits are mapped back to the original's code points. The
-automaton is broadcast, and its size is checked: items beyond `PART_BYTES` of text
-make further automata, and the documents pass them one after another, narrowly,
-with what was found so far.
+All windows of the normalised items go into one Aho-Corasick automaton over words: an
+item's word is a number, and a word that no item has is 0. It reads each normalised
+text once; hits are mapped back to the original's code points. The items are
+broadcast, at most `MOST_WORDS` words of them, and a worker process builds the
+automaton once: a window takes at most as many nodes as it has words.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _automaton
-from tidemark.llm._spark import cut, table
+from tidemark.llm._spark import table
 
-#: Text of the items in one automaton; windows overlap, so it takes some hundred bytes for each of these.
-PART_BYTES = 1 << 20
+#: Words of the items, at most (some 600 bytes each in a worker); more are refused, not cut.
+MOST_WORDS = 1_000_000
+#: Bytes of the items' texts that the driver reads, at most.
+MOST_BYTES = 32 << 20
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", _SPAN), ("spans", _SPAN), ("text", pa.string())])
-_FOUND_SQL = "doc_id long, n_words long, items array<string>, hits array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, text string"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", _SPAN), ("spans", _SPAN)])
+_FOUND_SQL = "doc_id long, n_words long, items array<string>, hits array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>"
 
 
-def windows_of(items: list[tuple[str | None, str | None]], size: int) -> dict[bytes, set[str]]:
-    """The ids of the items that have each window, which is a run of normalised words."""
-    out: dict[bytes, set[str]] = {}
-    for item, text in items:
-        w = _automaton.words((text or "").encode())
-        for k in range(max(1, len(w) - size + 1) if w else 0):
-            out.setdefault(b" ".join(w[k : k + size]), set()).update([item] if item is not None else [])
-    return out
+class Windows:
+    """The windows of (item, words) pairs as one automaton over word numbers."""
 
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[str]] = {}
+        for item, words in items:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words)
+            for k in range(max(1, len(w) - size + 1) if w else 0):
+                found.setdefault(w[k : k + size], set()).update([item] if item is not None else [])
+        self.items = list(found.values())
+        self.length = np.array([len(w) for w in found], np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, w in enumerate(found):
+            self.automaton.add_word(w, k)
+        if found:
+            self.automaton.make_automaton()
 
-def _scan(patterns, key: str, last: bool):
+    def _numbers(self, words: list[bytes]) -> tuple[int, ...]:
+        get = self.number.get
+        return tuple([get(x, 0) for x in words])
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(window, last word) of each occurrence in a text's words."""
+        hits = list(self.automaton.iter(self._numbers(words))) if self.items and words else []
+        end, window = np.array(hits, np.int64).reshape(-1, 2).T
+        return window, end
+
+    def any_place(self, words: list[bytes]) -> bool:
+        return bool(self.items and words) and next(self.automaton.iter(self._numbers(words)), None) is not None
+
+
+_built: dict[str, Windows] = {}
+
+
+def _windows(key: str, items: list[tuple[str | None, list[bytes]]], size: int) -> Windows:
+    """A worker process keeps the last automaton that it built."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(items, size)
+    return _built[key]
+
+
+def _sent(benchmark: DataFrame, window: int) -> tuple:
+    """(broadcast items, a key for them)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"the items have over {MOST_BYTES} bytes")
+    held = sorted(((r.item, _automaton.words((r.text or "").encode())) for r in items.collect()), key=repr)
+    if sum(len(w) for _, w in held) > MOST_WORDS:
+        raise ValueError(f"the items have over {MOST_WORDS} words")
+    return benchmark.sparkSession.sparkContext.broadcast(held), hashlib.sha256(repr((window, held)).encode()).hexdigest()
+
+
+def _scan(sent, key: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = list(patterns.value.items())
-        automaton = _automaton.build(key, (w for w, _ in windows))
-        length = np.array([w.count(b" ") + 1 for w, _ in windows], np.int64)
+        windows = _windows(key, sent.value, size)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            before = zip(batch.column("items").to_pylist(), batch.column("hits").to_pylist(), strict=True) if "items" in batch.schema.names else ((None, None) for _ in texts)
             n_words, items, hits, spans = [], [], [], []
-            for text, (old_items, old_hits) in zip(texts, before, strict=True):
-                w = _automaton.words((text or "").encode())
-                which, end = _automaton.places(automaton, w)
-                found = set(old_items or ()).union(*(windows[k][1] for k in set(which.tolist())))
+            for x in batch.column("text"):
+                text = x.as_py() or ""
+                w = _automaton.words(text.encode())
+                which, end = windows.places(w)
                 mask = np.zeros(len(w) + 1, np.int64)
-                np.add.at(mask, end - length[which] + 1, 1)
+                np.add.at(mask, end - windows.length[which] + 1, 1)
                 np.add.at(mask, end + 1, -1)
-                mask = np.cumsum(mask)[: len(w)] > 0
-                for x in old_hits or ():
-                    mask[x["start"] : x["end"]] = True
-                runs = _automaton.runs(mask)
-                at = _automaton.spans(text) if runs and last else []
+                runs = _automaton.runs(np.cumsum(mask)[: len(w)] > 0)
+                at = _automaton.spans(text) if runs else []
                 n_words.append(len(w))
-                items.append(sorted(found))
+                items.append(sorted(set().union(*(windows.items[k] for k in set(which.tolist())))))
                 hits.append([{"start": a, "end": b} for a, b in runs])
-                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs] if last else [])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, _SPAN), pa.array(spans, _SPAN), pa.nulls(len(texts), pa.string()) if last else batch.column("text")], schema=_FOUND)
+                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, _SPAN), pa.array(spans, _SPAN)], schema=_FOUND)
 
     return run
 
 
-def _parts(benchmark: DataFrame, window: int) -> Iterator[tuple]:
-    """(number, of how many, broadcast windows, key) of each automaton, each of about PART_BYTES of items."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_BYTES))
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        windows = windows_of([tuple(r) for r in own.collect()], window)  # bounded by the size above
-        key = hashlib.sha256(repr((window, sorted((w, sorted(i)) for w, i in windows.items()))).encode()).hexdigest()
-        yield part, parts, spark.sparkContext.broadcast(windows), key
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs without any window of an item, with all their columns."""
+    """The rows of docs without any window of an item, with all their columns.
 
-    def clean(windows, key: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton.build(key, windows.value)
-            for batch in batches:
-                hit = [_automaton.any_place(automaton, _automaton.words((x.as_py() or "").encode())) for x in batch.column("text")]
-                yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
+    Null and empty texts and null ids stay; repeated rows are judged each; an empty table
+    of either kind removes nothing. A very long text is scanned whole, in one task.
+    """
+    sent, key = _sent(benchmark, window)
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(key, sent.value, window)
+        for batch in batches:
+            hit = [windows.any_place(_automaton.words((x.as_py() or "").encode())) for x in batch.column("text")]
+            yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
 
-    for _, _, windows, key in _parts(benchmark, window):
-        docs = docs.mapInArrow(clean(windows, key), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, items, hits (runs of words) and spans (code points) for each row of docs.
 
     A window is `window` consecutive words of an item, or all of a shorter item. Null
-    and empty texts have no words, and such items no window. Items that share an id
-    count once; an item without an id marks words but isn't listed. Other columns are
-    not read.
+    and empty texts have no words, and such items no window. Null ids stay; repeated rows
+    are judged each; an empty table gives no rows. Items that share an id count once; an
+    item without an id marks words but isn't listed. A very long text is scanned whole,
+    in one task. Other columns are not read.
     """
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = _parts(benchmark, window)
-    for part, parts_in_all, windows, key in parts:
-        last = part == parts_in_all - 1
-        state = state.mapInArrow(_scan(windows, key, last), _FOUND_SQL)
-        if not last and part % 8 == 7:
-            state = cut(state)
+    sent, key = _sent(benchmark, window)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(_scan(sent, key, window), _FOUND_SQL)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return state.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "spans")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "spans")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
