@@ -58,3 +58,37 @@ def test_query_columns(spark, tmp_path):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_lengths_come_together(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"word{k} and more " * (k % 90)) for k in range(200)], "doc_id long, text string")
+    pieces = packing.pack(docs, longest=64).cache()
+    want = sorted((r.sequence_id, r.bucket, bytes(r.ids)) for r in pieces.collect())
+    got = packing.batches(pieces, 256).collect()
+    rows = []
+    for r in got:
+        size = 4 << r.bucket
+        assert len(r.ids) == r.n * size and len(r.sequence_ids) == r.n <= max(1, 256 >> r.bucket)
+        rows += [(s, r.bucket, bytes(r.ids[k * size : (k + 1) * size])) for k, s in enumerate(r.sequence_ids)]
+    assert sorted(rows) == want
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted((r.sequence_id, r.bucket, bytes(r.ids)) for r in back.collect()) == want
+
+
+def test_query_over_all_rows_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids, at = slow(r.text or "") + [0], 0
+        for n in packing.piece_lengths(len(ids), 1024):
+            want.append((r.doc_id, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids), n.bit_length() - 1))
+            at += n
+    got = packing.op3_packing(spark, sf).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.bucket) for r in got) == sorted(want)
+    assert len({r.sequence_id for r in got}) == len(got) and {r.offset for r in got} == {0}
+
+
+def test_very_long_text(spark):
+    got = packing.pack(spark.createDataFrame([(1, "word " * 2_000_000 + "x" * 300_000)], "doc_id long, text string")).agg({"length": "sum", "doc_tokens": "max"}).first()
+    assert got[0] == got[1] > 2_000_000

@@ -7,8 +7,8 @@ crosses documents, and none is padded.
 
 Token ids are those of a byte-level BPE file of the tokenizers library. A space
 between two characters that aren't white space always begins a new pre-token, so
-words are encoded on their own and common ones are remembered (`CACHE` words); the
-same vocabulary as ranks encodes a word that is seen for the first time.
+words are encoded on their own and common ones are remembered (`CACHE` words of at
+most `CACHE_CHARS`); the same vocabulary as ranks encodes the others.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._spark import table
 
-CACHE = 300_000
+CACHE, CACHE_CHARS = 300_000, 40
 _TWO_SPACES = re.compile(r"\s\s")
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
@@ -51,7 +51,7 @@ def encoder(tokenizer: str, ranks: str, pattern: str) -> Callable[[str], bytes]:
 
     def ids(piece: str) -> bytes:
         out = np.array(encode(piece), "<u4").tobytes()
-        if len(known) < CACHE:
+        if len(known) < CACHE and len(piece) <= CACHE_CHARS:
             known[piece] = out
         return out
 
@@ -114,9 +114,11 @@ def pack(docs: DataFrame, longest: int = 1024, end: int = 0, files: tuple[str, s
     """doc_id, start, length, ids (little-endian 32-bit), doc_tokens, bucket, sequence_id and offset for each piece.
 
     Every row of docs is packed on its own, repeated rows and null ids too; a null or
-    empty text is its end token alone. A sequence holds one piece, from offset 0.
-    Sequence numbers grow in the order of the table's partitions. Nothing is shuffled.
-    Other columns are not read.
+    empty text is its end token alone, and an empty table gives no pieces. A very long
+    text is encoded whole, in one task. A sequence holds one piece, from offset 0, and
+    `bucket` is the logarithm of its length: `batches` and `write_buckets` bring equal
+    lengths together. Sequence numbers grow in the order of the table's partitions.
+    Nothing is shuffled. Other columns are not read.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -136,6 +138,39 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return pieces.select("sequence_id", "bucket", "ids").mapInArrow(unpack, "sequence_id long, bucket int, tokens array<int>")
 
 
+def batches(pieces: DataFrame, tokens: int = 65_536) -> DataFrame:
+    """bucket, n, sequence_ids and ids (little-endian 32-bit) of training batches of equal lengths, of about `tokens` ids each.
+
+    Each task fills a batch for each bucket and hands it on when it is full, so it holds
+    less than `tokens` ids a bucket; what is left at its end are smaller batches. Nothing
+    is shuffled and nothing is padded.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
+
+        def out(buckets: list[int]) -> pa.RecordBatch:
+            parts = [(b, *held.pop(b)) for b in buckets]
+            return pa.record_batch([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([len(s) for _, s, _ in parts], pa.int64()), pa.array([s for _, s, _ in parts], pa.list_(pa.int64())), pa.array([b"".join(x) for _, _, x in parts], pa.binary())], ["bucket", "n", "sequence_ids", "ids"])
+
+        for batch in rows:
+            for b, sequence, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sequence_id", "ids")), strict=True):
+                numbers, texts = held.setdefault(b, ([], []))
+                numbers.append(sequence)
+                texts.append(ids)
+                if len(numbers) << b >= tokens:
+                    yield out([b])
+        if held:
+            yield out(sorted(held))
+
+    return pieces.select("bucket", "sequence_id", "ids").mapInArrow(run, "bucket int, n long, sequence_ids array<long>, ids binary")
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Pieces as Parquet, one folder for each bucket of equal lengths."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
