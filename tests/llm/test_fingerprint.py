@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as fp
@@ -72,3 +73,50 @@ def test_insert_and_delete(spark):
     row = spark.createDataFrame([(a, b, both)], "a string, b string, ab string")
     got = row.select(fp.insert(F.col("a"), F.col("b")), fp.delete(F.col("ab"), F.col("b")), fp.likeness(F.col("a"), F.col("a"))).first()
     assert tuple(got) == (both, a, 1.0)
+
+
+def spark_hash(*values):
+    """xxhash64 of Spark over strings, and 32-bit numbers; a column's hash seeds the next one's."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(4, "little"), seed=h).intdigest()
+    return h
+
+
+def brute_fingerprint(text):
+    exact, near = [0] * fp.EXACT, [0] * fp.NEAR
+    for p in (text or "").split("\n"):
+        for seed in range(fp.EXACT // 2):
+            h = spark_hash(seed, p)
+            exact[2 * seed] += h & 0xFFFFFFFF
+            exact[2 * seed + 1] += h >> 32
+        w = p.split(" ")
+        for a, b in zip(w, w[1:] + [None], strict=True):
+            h = spark_hash(a, b) if b is not None else spark_hash(a)
+            for k in range(fp.NEAR // 2):
+                near[2 * k] += 1 if h >> k & 1 else -1
+                near[2 * k + 1] += 1 if h >> (k + 32) & 1 else -1
+    return "".join(f"{x & 0xFFFFFFFF:08x}" for x in exact + near), near
+
+
+def brute_likeness(a, b):
+    both = sum(x * x for x in a) + sum(x * x for x in b)
+    return min(1.0, max(0.0, 2 * sum(x * y for x, y in zip(a, b, strict=True)) / both)) if both else 1.0
+
+
+def test_fingerprints_and_likeness_match_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(frame(spark, [(-5, "x"), (-4, None), (-3, "a b\n\na b"), (-2, "🙂 é 🙂\n")]).select("doc_id", "text"))
+    want = {}
+    for i, _, e, t, follower in brute([tuple(r) for r in docs.collect()]):
+        (f, a), (g, b), (_, c) = brute_fingerprint(t), brute_fingerprint(e), brute_fingerprint(follower)
+        want[i] = (f, g, pytest.approx(brute_likeness(a, b)), pytest.approx(brute_likeness(a, c)))
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fp.edited_fingerprints(docs).collect()}
+    assert got == want
+
+
+def test_likeness_is_that_of_the_fingerprints(spark):
+    long = "a " * 400_000 + " ".join(f"w{k}" for k in range(900)) + "\n" + "z" * 10_000_000
+    rows = [(1, long), (2, "b c d " * 300_000), (3, "a " * 400_000), *((k, f"text {k} " * 9) for k in range(4, 9))]
+    out = fp.edited_fingerprints(frame(spark, rows))
+    got = out.select("doc_id", "near_edited", fp.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("again")).collect()
+    assert len(got) == 8 and all(r.near_edited == pytest.approx(r.again) for r in got)

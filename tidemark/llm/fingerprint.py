@@ -1,18 +1,19 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs, in Spark expressions.
 
 Each paragraph (line) is hashed to a wide vector, and a document's fingerprint is the
-sum of its paragraphs' vectors: EXACT lanes of 32 uniform bits modulo 2 ** 32, which
-tell texts apart, and NEAR lanes modulo 2 ** 16, in which each pair of neighbouring
-words of the paragraph counts +1 or -1. Sums don't depend on the order, so documents
+sum of its paragraphs' vectors modulo 2 ** 32: EXACT lanes of uniform bits, which tell
+texts apart, and NEAR lanes, in which each pair of neighbouring words of the paragraph
+counts +1 or -1, so that they don't wrap below 2 ** 31 pairs. Sums don't depend on the order, so documents
 with the same paragraphs in any order have equal fingerprints, and `insert` and
 `delete` change a fingerprint by the vectors of what comes or goes. Differences of the
 near lanes estimate how many word pairs two documents don't share, whence `likeness`;
 with 64 lanes its standard error is about 0.18 times one less the likeness.
 
-Neighbours in doc_id order come from one shuffle. Approximate quantiles of doc_id cut
-the ids into ranges; a document goes to its range, the first of a range also to the
-range before, and a window of each range sees every document's successor. Exploded
-words are summed within the same partitioning, without a shuffle of their own.
+Neighbours in doc_id order come from one shuffle. A bounded hash sample of the ids cuts
+them into ranges; a document goes to its range, the first of a range also to the range
+before, and a window of each range, which sorts and spills, sees every document's
+successor. Exploded words are summed within the same partitioning, without a shuffle
+of their own.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import known_id, null_id, table
+from tidemark.llm._spark import table
 
 EXACT, NEAR = 16, 64
-#: Documents in a range, and the most ranges (longs in the plan).
-RANGE_ROWS, RANGES = 128, 50_000
+#: Documents in a range, the most ranges (longs in the plan), and the ids that are sampled for each.
+RANGE_ROWS, RANGES, RANGE_SAMPLE = 128, 50_000, 20
+#: Rows without an id get ids of their own from here on, by a hash of their text; other ids are above.
+NAMELESS, NAMELESS_IDS = -(1 << 63), 1 << 48
 
 _MASK32 = 0xFFFFFFFF
 
@@ -42,7 +45,7 @@ def exact_vector(paragraph: Column) -> Column:
     """EXACT lanes of 32 bits, two from each of EXACT / 2 hashes."""
     lanes = []
     for seed in range(EXACT // 2):
-        h = F.xxhash64(paragraph, F.lit(seed))
+        h = F.xxhash64(F.lit(seed), paragraph)  # the seed first, so that each is a hash of the paragraph itself
         lanes += [h.bitwiseAND(F.lit(_MASK32)), F.shiftrightunsigned(h, 32)]
     return F.array(*lanes)
 
@@ -82,13 +85,13 @@ def _hex(lanes: Column, digits: int) -> Column:
 
 
 def to_fingerprint(exact: Column, near: Column) -> Column:
-    return F.concat(_hex(exact, 8), _hex(near, 4))
+    return F.concat(_hex(exact, 8), _hex(near, 8))
 
 
 def _lanes(fingerprint: Column) -> tuple[Column, Column]:
     at = lambda k, n: F.conv(F.substring(fingerprint, k, n), 16, 10).cast("long")
-    near = [at(EXACT * 8 + k * 4 + 1, 4) for k in range(NEAR)]
-    return F.array(*(at(k * 8 + 1, 8) for k in range(EXACT))), F.array(*(F.when(x >= 1 << 15, x - (1 << 16)).otherwise(x) for x in near))
+    near = [at((EXACT + k) * 8 + 1, 8) for k in range(NEAR)]
+    return F.array(*(at(k * 8 + 1, 8) for k in range(EXACT))), F.array(*(F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x) for x in near))
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
@@ -109,9 +112,9 @@ def delete(fingerprint: Column, other: Column) -> Column:
 
 def near_likeness(a: Column, b: Column) -> Column:
     """2 a.b / (a.a + b.b) of two near vectors, from 0 to 1; 1 if both are zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     both = dot(a, a) + dot(b, b)
-    ratio = F.lit(2.0) * dot(a, b).cast("double") / F.when(both > 0, both)
+    ratio = F.lit(2.0) * dot(a, b) / F.when(both > 0, both)
     return F.when(both == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio)))
 
 
@@ -137,13 +140,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _range_bounds(ids: DataFrame) -> list[int]:
-    """The least ids of the ranges, ascending; the first is the least of all."""
+    """The least ids of the ranges, ascending; the first is the least of all.
+
+    They come from about RANGE_SAMPLE ids for each range, by a hash of the id, sorted at
+    the driver: some eight megabytes at the most, however many documents there are.
+    """
     n, least = ids.agg(F.count("*"), F.min("_id")).first()
     if not n:
         return []
     parts = min(RANGES, -(-n // RANGE_ROWS))
-    inner = ids.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
-    return sorted({least, *inner})
+    if parts == 1:
+        return [least]
+    one_in = max(1, n // (parts * RANGE_SAMPLE))
+    drawn = ids.where(F.pmod(F.xxhash64("_id"), F.lit(one_in)) == 0).distinct()
+    found = sorted(r[0] for r in drawn.limit(4 * parts * RANGE_SAMPLE).collect())
+    return sorted({least, *(found[k * len(found) // parts] for k in range(1, parts) if found)})
 
 
 def _range_of(x: Column, bounds: list[int]) -> tuple[Column, Column]:
@@ -161,11 +172,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     A document's edited text has its last n_chars / 4 code points replaced by the first
     as many (or all) of the next document in ascending doc_id, after the last of the
-    first. Rows that share a doc_id follow each other by text; null ids come first and
-    stay null. Null texts are empty. An empty table has no rows, in a table of one row
-    the document is its own successor. Other columns are not read.
+    first. Rows that share a doc_id follow each other by text, in one range; rows without
+    one come first, by a hash of their texts, and their ids stay null; other ids are above
+    -(2 ** 63) + 2 ** 48. Null texts are empty. An empty table has no rows, in a table of
+    one row the document is its own successor. A very long text is one row and is split
+    in one task. Other columns are not read.
     """
-    rows = docs.select(known_id("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(NAMELESS_IDS))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("_id"), text.alias("text"))
     bounds = _range_bounds(rows.select("_id")) or [0]
     at, values = _range_of(F.col("_id"), bounds)
     rows = rows.withColumn("_b", at).withColumn("_first", F.element_at(values, F.col("_b") + 1) == F.col("_id"))
@@ -196,11 +211,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ahead = lambda c, k: F.lead(c, k).over(in_turn)
     out = sums.select("*", ahead("exact", 1).alias("_exact1"), ahead("near", 1).alias("_near1"), ahead("near", 2).alias("_near2")).where("which = 0 and not guest")
     return out.select(
-        null_id("_id").alias("doc_id"),
+        F.when(F.col("_id") >= NAMELESS + NAMELESS_IDS, F.col("_id")).alias("doc_id"),
         "n_chars",
         F.col("sha").alias("edited_sha256"),
-        F.concat("exact", _hex(F.col("near"), 4)).alias("fingerprint"),
-        F.concat("_exact1", _hex(F.col("_near1"), 4)).alias("edited_fingerprint"),
+        F.concat("exact", _hex(F.col("near"), 8)).alias("fingerprint"),
+        F.concat("_exact1", _hex(F.col("_near1"), 8)).alias("edited_fingerprint"),
         near_likeness(F.col("near"), F.col("_near1")).alias("near_edited"),
         near_likeness(F.col("near"), F.col("_near2")).alias("near_next"),
     )
