@@ -177,6 +177,15 @@ def class_prior(z: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, hal
     return float(min(1, u_above[best] / p_above[best]))
 
 
+def risk_slope(logit: np.ndarray, of_p: np.ndarray, of_u: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:
+    """(gradient of a step by the logits, whether the second term was below zero and the step goes against it)."""
+    up = _up(logit)
+    minus = (np.logaddexp(0, logit) * (of_u - prior * of_p)).sum()
+    # gradients of the losses by the logit: -(1 - up) for label 1, up for label 0
+    g_minus = up * (of_u - prior * of_p)
+    return (-(1 - up) * prior * of_p + g_minus, False) if minus >= 0 else (-g_minus, True)
+
+
 def fit(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, half: np.ndarray, seed: int = 7) -> Model:
     """Non-negative unbiased risk over the rows of x that are in P, in U or in both; half splits them for the class prior."""
     if not positive.any() or not unlabelled.any():
@@ -185,15 +194,7 @@ def fit(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, half: np.nd
     z = np.clip((x - mean) / scale, -8, 8)
     prior = class_prior(z, positive, unlabelled, half, seed)
     of_p, of_u = _share(positive), _share(unlabelled)
-
-    def slope(logit: np.ndarray) -> np.ndarray:
-        up = _up(logit)
-        minus = (np.logaddexp(0, logit) * (of_u - prior * of_p)).sum()
-        # gradients of the losses by the logit: -(1 - up) for label 1, up for label 0
-        g_minus = up * (of_u - prior * of_p)
-        return -(1 - up) * prior * of_p + g_minus if minus >= 0 else -g_minus
-
-    return Model(_descend(z, slope, EPOCHS, seed) | {"mean": mean, "scale": scale})
+    return Model(_descend(z, lambda logit: risk_slope(logit, of_p, of_u, prior)[0], EPOCHS, seed) | {"mean": mean, "scale": scale})
 
 
 # ---- on tables
@@ -209,18 +210,25 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.SAME):
             x = features(w)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("p", "u", "half")), rows], ["p", "u", "half", "x"])
+            yield pa.record_batch([*(batch.column(c).slice(lo, hi - lo) for c in ("p", "u", "half", "key")), rows], ["p", "u", "half", "key", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` documents labelled 1 and a hash sample of about `sample` documents, whatever their label; none is held out."""
+    """Fit on at most `sample` documents labelled 1 and a hash sample of about `sample` documents, whatever their label; none is held out.
+
+    Rows without an id, labels that are null or repeated and labels of no document are
+    not learned from. Rows that share an id and a text count once, and never more than
+    four times `sample` rows reach the driver, as features: those of the least hashes.
+    Without a positive or without documents every score is 0.5.
+    """
     marked = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id")).distinct()
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("p", F.lit(True))
     open_docs = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     every = max(1, open_docs.count())
     draw = F.pmod(F.xxhash64(F.lit("unlabelled"), "_id"), F.lit(every).cast("long")) < sample
-    rows = open_docs.join(F.broadcast(chosen), "_id", "left").select(F.coalesce("p", F.lit(False)).alias("p"), draw.alias("u"), (F.xxhash64(F.lit("half"), "_id") < 0).alias("half"), "text").where("p or u")
-    rows = rows.mapInArrow(_feature_rows, "p boolean, u boolean, half boolean, x array<double>").toArrow()
+    rows = open_docs.join(F.broadcast(chosen), "_id", "left").select(F.coalesce("p", F.lit(False)).alias("p"), draw.alias("u"), (F.xxhash64(F.lit("half"), "_id") < 0).alias("half"), F.xxhash64("_id", "text").alias("key"), "text").where("p or u")
+    rows = rows.mapInArrow(_feature_rows, "p boolean, u boolean, half boolean, key long, x array<double>").dropDuplicates(["key"])
+    rows = rows.orderBy("key").limit(4 * sample).toArrow()
     if not len(rows):
         return Model(None)
     x = np.array(rows["x"].combine_chunks().flatten()).reshape(len(rows), len(FEATURES))
@@ -229,23 +237,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(x[order], p[order], u[order], half[order])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score, in place of one of that name. All rows and other columns stay; null and empty texts are scored as empty texts."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs with a column of scores, in place of one of that name.
+
+    All rows and other columns stay, null ids and repeated rows too; null and empty texts
+    are scored as empty texts, very long ones whole, in one task; an empty table stays empty.
+    """
+    docs = docs.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.scores(features(w)) for _, _, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.SAME)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.record_batch([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+            yield pa.record_batch([*batch.columns, pa.array(scores)], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 #: Scores from here on are label 1.
 ACCEPT = 0.7
 
 
+def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
+    """The rows of docs with a score of `accept` and more, with all their columns, whatever these are called."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).where(F.col(name) >= accept).select(docs.columns)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
