@@ -133,8 +133,9 @@ def vocabulary_files(name: str = "byte_bpe_50k") -> tuple[str, str]:
 def find_secrets(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
     """doc_id and spans (kind, start, end in code points) for each row of docs.
 
-    Null and empty texts have no spans; null ids stay; repeated rows are judged each.
-    Other columns are not read.
+    Null and empty texts have no spans; null ids stay; repeated rows are judged each; an
+    empty table gives no rows. A very long text is scanned whole, in one task. Other
+    columns are not read.
     """
     files = files or vocabulary_files()
 
@@ -151,7 +152,8 @@ def find_secrets(docs: DataFrame, files: tuple[str, str] | None = None) -> DataF
 def redact(docs: DataFrame, files: tuple[str, str] | None = None, mark: str = "[secret]") -> DataFrame:
     """docs with each secret of `text` replaced by a mark, and n_chars, if there is one, counted anew.
 
-    Touching and overlapping spans become one mark. All columns and rows stay.
+    Touching and overlapping spans become one mark. All columns and rows stay, null and
+    repeated ones too; an empty table stays empty; a very long text is one string in one task.
     """
     files = files or vocabulary_files()
 
