@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontamination import brute as contaminated
@@ -19,7 +20,7 @@ def brute(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scored = quality.score(docs, quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
     rows = [(r.doc_id, r.text) for r in scored if r.score >= 0.7]
-    kept = {i for i, _, _, k in near(rows) if k}
+    kept = {i for i, _, _, k in near(rows, 80, 5) if k}
     rows = [r for r in rows if r[0] in kept]
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     dirty = {i for i, _, n, _, _ in contaminated(rows, bench) if n}
@@ -43,14 +44,52 @@ def test_run_matches_brute_force(spark):
     assert sorted(tuple(r) for r in got) == brute(spark)
 
 
-def test_stages_keep_the_columns_and_odd_rows(spark):
+def after(spark, docs, *names):
+    stages = dict(corpus_pipeline.STAGES)
+    for name in names:
+        docs = stages[name](spark, docs, SF)
+    return docs
+
+
+ODD = [(None, None, None, None, None), (None, "no id, token = abcdef123", "en", "s", 1), (-1, "", "en", "s", 0), (-2, "word", None, "s", 4), (-2, "word", None, "s", 4)]
+
+
+def test_odd_rows_of_each_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, "word", None, "s", 4), (-2, "word", None, "s", 4)], docs.schema)
-    now = docs.unionByName(odd)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, SF)
-        assert now.schema.names == docs.columns, name
-    assert now.count() > 50
+    odd = spark.createDataFrame(ODD, docs.schema)
+    both = docs.unionByName(odd)
+    rows = lambda df: sorted(map(str, map(tuple, df.select(docs.columns).collect())))
+    texts = lambda df: sorted(map(str, (tuple(r) for r in df.where("doc_id is null or doc_id < 0").select("doc_id", "text").collect())))
+    kept = after(spark, both, "quality_classifier")
+    model = quality.train(both, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert rows(kept) == rows(quality.score(both, model).where("score >= 0.7"))
+    everything = sorted(str(r[:2]) for r in ODD)
+    assert texts(after(spark, both, "near_dedup")) == everything
+    assert texts(after(spark, both, "decontamination")) == everything
+    hidden = sorted(str((i, t and t.replace("token = abcdef123", "[secret]"))) for i, t, *_ in ODD)
+    assert texts(after(spark, both, "secret_scan")) == hidden
+    packed = after(spark, odd, "packing").collect()
+    want = sorted(str((i, len(slow(t or "")) + 1)) for i, t, *_ in ODD)
+    assert sorted(str((r.doc_id, r.doc_tokens)) for r in packed if r.start == 0) == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in ("score", "score_", "p", "spans", "n", "sketch", "id", "kept", "component_id", "key")))
+    now = after(spark, more, "quality_classifier", "near_dedup", "decontamination", "secret_scan")
+    assert now.dtypes == more.dtypes
+    for r in now.collect():
+        assert r.score == f"score-{r.doc_id}" and r.score_ == f"score_-{r.doc_id}" and r.key == f"key-{r.doc_id}" and r.id == f"id-{r.doc_id}"
+
+
+def test_near_copies_go_and_a_very_long_text_stays(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    words = [f"w{k}" for k in range(100)]
+    copy = [*words[:50], "other", *words[51:]]  # shares 91 of 101 shingles
+    apart = [*words[:50], *(f"z{k}" for k in range(12)), *words[62:]]
+    rows = [(3, " ".join(words)), (2, " ".join(copy)), (4, " ".join(apart)), (5, "a b " * 1_500_000), (6, " ".join(words))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    assert sorted(r.doc_id for r in after(spark, docs, "near_dedup").collect()) == [2, 4, 5]
 
 
 @pytest.mark.parametrize("rows", [[]])
