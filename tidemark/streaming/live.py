@@ -18,8 +18,12 @@ from tidemark.schemas import EVENT
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder that driver and executors share; a temporary one only where the session names none and all is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
