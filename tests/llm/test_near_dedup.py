@@ -91,6 +91,28 @@ def test_labels_find_long_paths():
     assert (nd._labels(n, order[:-1], order[1:]) == 0).all()
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, hub):
+    rng = random.Random(hub)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(1000, k) for k in range(1001, 1060)] + [(k, k + 1) for k in range(2000, 2040)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = sorted((x, find(x)) for x in {y for a, b in edges if a != b for y in (a, b)})
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert sorted(map(tuple, nd.components(df).collect())) == want
+    monkeypatch.setattr(nd, "ONE_TASK_EDGES", 0)
+    monkeypatch.setattr(nd, "HUB", hub)
+    assert sorted(map(tuple, nd.components(df).collect())) == want
+
+
 def test_lower_thresholds_match_brute_force(spark):
     assert (nd.agree(85), nd.agree(80)) == (41, 36)
     rows = []
@@ -122,6 +144,7 @@ def test_five_words_and_hot_groups(spark, monkeypatch, open_):
     monkeypatch.setattr(nd, "OPEN", open_)
     monkeypatch.setattr(nd, "SALT_ROWS", 7)
     monkeypatch.setattr(nd, "HUB", 3)
+    monkeypatch.setattr(nd, "ONE_TASK_EDGES", 0)
     rows = corpus(9, groups=4, size=60, words=120)
     assert run(spark, rows, 5, 80) == brute(rows, 80, 5)
 

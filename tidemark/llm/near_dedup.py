@@ -53,6 +53,8 @@ BROADCAST_NODES = 200_000
 BLOCK, BLOCK_SHINGLES, PIVOTS = 1500, 4_000_000, 32
 #: Ends of links with more others than this are joined by a broadcast, as long as it has at most BROADCAST_NODES of them.
 HUB = 1000
+#: Links whose components one task settles, at most (8 megabytes).
+ONE_TASK_EDGES = 500_000
 #: Classes whose texts are fetched by a broadcast of their ids, at most (32 bytes each); beyond, texts are shuffled.
 BROADCAST_SEATS = 200_000
 #: Standard deviations by which the agreeing sketch coordinates of a link may fall short of the threshold.
@@ -181,8 +183,9 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while len(a):
         low = np.minimum(label[a], label[b])
         before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
+        for ends in (a, b):
+            np.minimum.at(label, label[ends], low)
+            np.minimum.at(label, ends, low)
         label = label[label]
         if (label == before).all():
             break
@@ -324,14 +327,26 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
         rows = cut(labelled.where("not _done").select("node", "id", "n", "sketch", "used", "label").mapInArrow(_branch, _ROW_SQL))
 
 
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) from all edges at once."""
+    held = [(batch.column("u").to_numpy(), batch.column("v").to_numpy()) for batch in batches if len(batch)]
+    if held:
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        yield pa.record_batch([pa.array(ids), pa.array(ids[_labels(len(ids), place[: len(u)], place[len(u) :])])], ["id", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each end of the edges (u, v), root being the least id of its component.
 
-    Alternating large and small stars: each round costs two shuffles of the edges, and
-    the rounds grow with the logarithm of the longest path. Hubs, the ends of many
-    edges, meet their edges in a broadcast, so that none is gathered in one task.
+    Up to ONE_TASK_EDGES edges (16 bytes each) are settled in one task. More take
+    alternating large and small stars: each round costs two shuffles of the edges, and the
+    rounds grow with the logarithm of the longest path. Hubs, the ends of many edges, meet
+    their edges in a broadcast, so that none is gathered in one task.
     """
     edges = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return edges.repartition(1).mapInArrow(_components_of, "id long, root long")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
