@@ -138,7 +138,7 @@ def test_words_that_a_polynomial_would_confuse(spark, n):
     assert run(spark, rows) == brute(rows) and all(r[3] for r in run(spark, rows))
 
 
-@pytest.mark.parametrize("open_", [6, 1024])
+@pytest.mark.parametrize("open_", [6, 4096])
 def test_five_words_and_hot_groups(spark, monkeypatch, open_):
     monkeypatch.setattr(nd, "LIMIT", 4)
     monkeypatch.setattr(nd, "OPEN", open_)

@@ -45,7 +45,7 @@ COORDINATES = 64
 TREES, BRANCHES = 4, 2
 LIMIT = 128
 #: Classes outside its main label that are held against all of a large node: as many in one go (80 bytes each), or its size by OPEN_SHARE in several.
-OPEN, OPEN_SHARE = 1024, 16
+OPEN, OPEN_SHARE = 4096, 16
 #: Rows of a large node that meet these few in one task, about.
 SALT_ROWS = 20_000
 #: Large nodes up to this number (some 100 bytes each) are sent to all tasks; beyond it they are joined.
