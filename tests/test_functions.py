@@ -59,15 +59,31 @@ def test_formats(spark):
     assert value(spark, text.percent(F.lit(0.125))) == "12.5%"
     assert value(spark, text.whole_percent(F.lit(0.125))) == 13
     assert value(spark, text.suffix(F.lit("a.b/C.MoV"))) == ".mov" and value(spark, text.suffix(F.lit("a.b/c"))) == ""
-    df = spark.createDataFrame([(0.125,), (2.5,), (None,)], "x double")
-    assert [r.y for r in df.select(text.python_format(".2f")("x").alias("y")).collect()] == ["0.12", "2.50", None]
     stamp = F.lit("2024-01-02 03:04:05").cast("timestamp")
     assert value(spark, text.stamp(stamp)) == "20240102T030405Z"
     assert value(spark, text.upload_name(stamp, F.lit("a-b"), F.lit("x"))) == "20240102T030405Z_ab.mp4"
     assert value(spark, text.copy_text(F.lit("s"), F.array(F.lit("a"), F.lit("b")))) == "s\n\na\n\nb"
     assert value(spark, text.status_style(F.lit("Monitor"))) is None
     lines = value(spark, text.summary_lines(*(F.lit(float(k)) for k in range(8)), F.create_map(F.lit("none"), F.lit(1.0))))
-    assert lines.split("\n")[3] == 'Fast detector probs: {"none":1.0}.' and lines.startswith("Video: fps=0.0, duration_sec=1.0, motion_mean=2.00,")
+    assert lines.split("\n", 3)[3] == 'Fast detector probs: {\n"none": 1.0\n}.' and lines.startswith("Video: fps=0.0, duration_sec=1.0, motion_mean=2.00,")
+
+
+def test_numbers_are_printed_from_their_exact_value(spark):
+    rng = np.random.default_rng(4)
+    xs = [0.0, -0.0, 0.125, 0.375, 2.675, 1.005, 0.5, 1.5, 2.5, 0.05, 0.15, 0.25, 0.35, -2.5, -0.125, 1e-9, 4e-3, 5e-3, 999999.995, 123456789.125, 1e11 + 0.5, 1e15, 3.0, 1 / 3]
+    xs += [*rng.normal(0, 100, 300).tolist(), *(rng.integers(0, 10**6, 300) / 1000).tolist(), *(rng.integers(0, 4000, 300) / 8).tolist(), *np.exp(rng.normal(0, 8, 200)).tolist()]
+    df = spark.createDataFrame([(float(x),) for x in xs] + [(None,)], "x double")
+    for places in (0, 1, 2):
+        got = [r.y for r in df.select(text.fixed("x", places).alias("y")).collect()]
+        want = [f"{x:.{places}f}" for x in xs] + [None]
+        same = [(x, g, w) for x, g, w in zip(xs, got, want, strict=False) if g != w and not (x <= 0 and float(w) == 0 == float(g))]
+        assert same == [] and got[-1] is None
+    up = [r.y for r in df.select(text.fixed("x", 1, ties_up=True).alias("y")).collect()]
+    assert up[xs.index(0.25)] == "0.3" and up[xs.index(0.35)] == "0.3" and up[xs.index(0.05)] == "0.1"
+    shares = [0.0, 1.0, 0.2, 1 / 3, 0.001, 0.0001, 0.00012, 1e-5, 1.5e-7, 12.0]
+    numbers = spark.createDataFrame([(x,) for x in shares], "x double").select(text.number("x").alias("y")).collect()
+    assert [r.y for r in numbers] == [json.dumps(x) for x in shares]
+    assert value(spark, text.json_text(F.lit('a"b\\c'))) == json.dumps('a"b\\c')
 
 
 def test_insights(spark):

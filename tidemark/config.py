@@ -27,6 +27,8 @@ class Settings:
     max_tokens: int = 1024
     llm_endpoint: str = ""
     llm_model: str = ""
+    hosted_endpoint: str = ""
+    hosted_key: str = ""
     offline_mode: bool = True
     media_stays_local: bool = True
     alert_host: str = ""
@@ -63,6 +65,8 @@ DEFAULTS = Settings()
 INCIDENT_TYPES = ("fainting", "choking", "violent_activity", "shoplifting", "suspicious_activity", "intrusion", "none")
 STRIPPED_TYPES = ("fainting", "choking")
 SEVERE_TYPES = ("fainting", "choking", "violent_activity", "shoplifting")
+#: Characters of a report's id that name its partition.
+REPORT_PART = 2
 VIDEO_SUFFIXES = (".mp4", ".mov", ".avi", ".mkv")
 
 # Action texts by incident type.
@@ -93,36 +97,91 @@ LABEL_TEMPLATES = {
     "none": ("No severe event pattern found in this window; normal or ambiguous activity.", "Continue monitoring."),
 }
 
-# The parts of the classifier prompt. Rules differ between training and serving.
-PROMPT_HEAD = "You are the primary security incident classifier. Use ONLY the multimodal summary below.\n\nRULES:\n"
-TRAINING_RULES = (
-    "Choose the SINGLE most likely incident type. Do NOT default to fainting.",
-    "Fainting = person collapsed (horizontal body, very low movement, medical emergency).",
-    "Shoplifting = concealment, item handling, retail context, person leaving without paying.",
-    "Use 'suspicious_activity' or 'none' for unclear or normal activity.",
-)
-HOSTED_RULES = (
-    "Choose the SINGLE most likely incident type.",
-    "Focus on: shoplifting, suspicious_activity, violent_activity, or none.",
-    "Shoplifting = concealment, item handling, retail context, person leaving without paying.",
-    "Do NOT classify as fainting or choking.",
-)
-LOCAL_RULES = (
-    "Choose the SINGLE most likely incident type.",
-    "Focus on: shoplifting, suspicious_activity, violent_activity, or none.",
-    "Shoplifting = concealment, item handling, retail context, person moving with items.",
-    "Do NOT classify as fainting or choking. Those are not valid.",
+# The prompts, {} standing for what each is about. Rules differ between training, the hosted and the local model.
+PROMPTS = {
+    "training": (
+        "You are the primary security incident classifier. Use ONLY the multimodal summary below.\n"
+        "\n"
+        "RULES:\n"
+        "- Choose the SINGLE most likely incident type. Do NOT default to fainting.\n"
+        "- Fainting = person collapsed (horizontal body, very low movement, medical emergency).\n"
+        "- Shoplifting = concealment, item handling, retail context, person leaving without paying.\n"
+        "- Use 'suspicious_activity' or 'none' for unclear or normal activity.\n"
+        '- Return ONLY a JSON array with exactly one object: {"incident_type", "confidence", "timestamp_seconds", "evidence", "recommended_action"}.\n'
+        "Allowed incident_type: fainting, choking, violent_activity, shoplifting, suspicious_activity, intrusion, none.\n"
+        "\n"
+        "MULTIMODAL SUMMARY:\n"
+        "{}\n"
+        "\n"
+        "JSON array:"
+    ),
+    "hosted": (
+        "You are the primary security incident classifier. Use ONLY the multimodal summary below.\n"
+        "\n"
+        "RULES:\n"
+        "- Choose the SINGLE most likely incident type.\n"
+        "- Focus on: shoplifting, suspicious_activity, violent_activity, or none.\n"
+        "- Shoplifting = concealment, item handling, retail context, person leaving without paying.\n"
+        "- Do NOT classify as fainting or choking.\n"
+        '- Return ONLY a JSON array with exactly one object: {"incident_type", "confidence", "timestamp_seconds", "evidence", "recommended_action"}.\n'
+        "Allowed incident_type: shoplifting, suspicious_activity, violent_activity, intrusion, none.\n"
+        "\n"
+        "MULTIMODAL SUMMARY:\n"
+        "{}\n"
+        "\n"
+        "JSON array:"
+    ),
+    "local": (
+        "You are the primary security incident classifier. Use ONLY the multimodal summary below.\n"
+        "\n"
+        "RULES:\n"
+        "- Choose the SINGLE most likely incident type.\n"
+        "- Focus on: shoplifting, suspicious_activity, violent_activity, or none.\n"
+        "- Shoplifting = concealment, item handling, retail context, person moving with items.\n"
+        "- Do NOT classify as fainting or choking. Those are not valid.\n"
+        '- Return ONLY a JSON array with exactly one object: {"incident_type", "confidence", "timestamp_seconds", "evidence", "recommended_action"}.\n'
+        "Allowed incident_type: shoplifting, suspicious_activity, violent_activity, intrusion, none.\n"
+        "\n"
+        "MULTIMODAL SUMMARY:\n"
+        "{}\n"
+        "\n"
+        "JSON array:"
+    ),
+    "refine": (
+        "You are a local emergency reasoning model.\n"
+        "Given multimodal input and baseline detections, return ONLY JSON array.\n"
+        "Fields: incident_type, confidence, timestamp_seconds, evidence, recommended_action.\n"
+        "Allowed incident_type: fainting, choking, violent_activity, shoplifting, suspicious_activity, intrusion, none.\n"
+        "\n"
+        "signals={}\n"
+        "baseline={}\n"
+    ),
+}
+
+# Lines of the summary of a clip's signals; places of decimals follow the colon.
+SUMMARY_LINES = (
+    "Video: fps={:1}, duration_sec={:1}, motion_mean={:2}, motion_std={:2}, brightness_mean={:1}.",
+    "Body pose (TensorFlow): horizontal_posture_score={:2} (1=lying/collapsed), area_change_mean={:0}.",
+    "Audio: distress_score={:2} (high=distress/coughing).",
 )
-PROMPT_FORMAT = 'Return ONLY a JSON array with exactly one object: {"incident_type", "confidence", "timestamp_seconds", "evidence", "recommended_action"}.'
-TRAINING_TYPES = ("fainting", "choking", "violent_activity", "shoplifting", "suspicious_activity", "intrusion", "none")
-SERVING_TYPES = ("shoplifting", "suspicious_activity", "violent_activity", "intrusion", "none")
-PROMPT_SUMMARY, PROMPT_TAIL = "MULTIMODAL SUMMARY:\n", "\n\nJSON array:"
+SUMMARY_PROBABILITIES = "Fast detector probs: {}."
+# Evidence of the rules.
+EVIDENCE = {
+    "heuristic": {
+        "shoplifting": "Signal heuristic: person is upright (h={:2}), moving (motion={:1}), no distress ({:2}) — retail anomaly pattern.",
+        "violent_activity": "Abrupt high-variance motion pattern observed.",
+    },
+    "fast": {
+        "shoplifting": "TF pose detector: shoplifting={:1}%, suspicious={:1}%, none={:1}%. Signal boost applied (distress={:2}, horizontal={:2}, motion={:1}).",
+        "suspicious_activity": "TF pose detector flagged suspicious activity ({:1}%).",
+    },
+}
+# Lines of a history entry.
+INSIGHT_LATENCY = "Frame latency p95 {:1}ms, max {:1}ms, violations {}."
+INSIGHT_UPLOAD = "Upload analysis latency {:1}ms."
+INSIGHT_TARGET = "Latency target met: {}."
+INSIGHT_INCIDENT = "{} ({}%) at {:1}s: {}"
+INSIGHT_QUIET = "No critical incidents detected."
 SYSTEM_TURN = "You are a security incident reasoning model. Return strict JSON only."
 TEMPLATE_SYSTEM_TURN = "You are a helpful assistant."
 CHAT_START, CHAT_END = "<|im_start|>", "<|im_end|>"
-
-
-def prompt_rules(rules: tuple[str, ...], types: tuple[str, ...]) -> str:
-    """The text before the summary."""
-    lines = [f"- {r}\n" for r in (*rules, PROMPT_FORMAT)]
-    return f"{PROMPT_HEAD}{''.join(lines)}Allowed incident_type: {', '.join(types)}.\n\n"

@@ -30,9 +30,7 @@ def parse_replies(replies: DataFrame, key: str, text: str, strip: bool = True, d
     is_object = F.schema_of_variant("_root").startswith("OBJECT")
     is_list = F.schema_of_variant("_root").startswith("ARRAY")
     rows = rows.where(is_object | is_list).select(key, F.when(is_object, F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]")))).otherwise(F.col("_root")).alias("_list"))
-    rows.createOrReplaceTempView("_tidemark_replies")
-    items = rows.sparkSession.sql(f"SELECT `{key}`, v.pos, v.value FROM _tidemark_replies, LATERAL variant_explode(_list) v")
-    rows.sparkSession.catalog.dropTempView("_tidemark_replies")
+    items = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_list").outer())).select(key, "pos", "value")
     items = items.where(F.schema_of_variant("value").startswith("OBJECT"))
     raw = _field(F.col("value"), "incident_type", "string", "none")
     present = lambda name: F.try_variant_get("value", f"$.{name}", "variant").isNotNull()

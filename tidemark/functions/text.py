@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,19 +12,71 @@ from tidemark import config
 from tidemark.functions.signals import col
 
 
-def python_format(spec: str):
-    """A Pandas UDF that formats numbers as Python does (it rounds the binary value; format_string rounds halves up)."""
+def fixed(x: Column | str, places: int, ties_up: bool = False) -> Column:
+    """A number with so many decimals, rounded from its exact binary value, halves to even (or up).
+
+    format_string rounds the shortest decimal that reads as the number, which differs at
+    values such as 2.675. Here the number times a power of two is a whole number, so the
+    quotient and its rest are exact in decimals. Numbers of 10 ** 12 and more are printed whole.
+    """
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n).cast("decimal(20,0)")
+
+    def digits(v: Column) -> Column:
+        return _let(F.abs(v), lambda size: _let((53 - F.floor(F.log2(F.greatest(size, F.lit(1e-6))))).cast("int"), lambda k: quotient(size, k)))
+
+    def quotient(size: Column, k: Column) -> Column:
+        scaled = (size * F.pow(F.lit(2.0), k)).cast("long").cast("decimal(20,0)") * F.lit(10**places).cast("decimal(10,0)")
+        whole = power(F.least(F.greatest(k, F.lit(0)), F.lit(62))) * power(F.greatest(k - 62, F.lit(0)))
+        return _let(F.struct(scaled.alias("s"), whole.alias("w")), lambda v: _let(F.struct(v["s"].alias("s"), v["w"].alias("w"), (v["s"] % v["w"]).alias("r")), rounded))
+
+    def rounded(v: Column) -> Column:
+        def up(down: Column) -> Column:
+            half = F.lit(True) if ties_up else down % 2 == 1
+            return (down + ((v["r"] * 2 > v["w"]) | ((v["r"] * 2 == v["w"]) & half)).cast("long")).cast("string")
+
+        return _let(((v["s"] - v["r"]) / v["w"]).cast("long"), up)
+
+    def shown(d: Column) -> Column:
+        if not places:
+            return d
+        whole = lambda t: F.concat(F.substr(t, F.lit(1), F.length(t) - places), F.lit("."), F.right(t, F.lit(places)))
+        return _let(F.lpad(d, F.greatest(F.length(d), F.lit(places + 1)), F.lit("0")), whole)
+
+    def one(v: Column) -> Column:
+        exact = F.concat(F.when(v < 0, "-").otherwise(""), _let(digits(v), shown))
+        large, tiny = F.format_string(f"%.{places}f", v), F.lit(f"{0:.{places}f}")
+        return F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), "nan").when(F.abs(v) >= 1e12, large).when(F.abs(v) < 1e-6, tiny).otherwise(exact)
+
+    return _let(col(x).cast("double"), one)
 
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else format(v, spec))
 
-    return run
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def number(x: Column | str) -> Column:
+    """A double's shortest text as JSON has it: 0.0001, but 1e-05; for numbers under ten million."""
+    plain = col(x).cast("double").cast("string")
+    digits = F.regexp_replace(F.regexp_replace(plain, r"E.*$", ""), r"\.0$", "")
+    power = F.regexp_extract(plain, r"E-(\d+)$", 1)
+    small = F.concat(digits, F.lit("e-"), F.lpad(power, 2, "0"))
+    places = F.concat(F.regexp_extract(plain, "^-?", 0), F.lit("0.000"), F.regexp_replace(digits, r"[-.]", ""))
+    return F.when(power == "", plain).when(power == "4", places).otherwise(small)
+
+
+def fill(template: str, *values: Column | str, ties_up: bool = False) -> Column:
+    """A template's text with {} and {:places} replaced by the values in turn; a missing number counts as 0."""
+    parts = re.split(r"\{(:?\d*)\}", template)
+    out = [F.lit(parts[0])]
+    for value, places, after in zip(values, parts[1::2], parts[2::2], strict=True):
+        out += [fixed(F.coalesce(col(value), F.lit(0.0)), int(places[1:]), ties_up) if places else col(value).cast("string"), F.lit(after)]
+    return F.concat(*out)
 
 
 def percent(x: Column | str) -> Column:
     """One decimal and a percent sign."""
-    return F.format_string("%.1f%%", col(x) * 100)
+    return F.concat(fixed(col(x) * 100, 1), F.lit("%"))
 
 
 def whole_percent(x: Column | str) -> Column:
@@ -36,7 +90,7 @@ def confidence_percent(x: Column | str) -> Column:
 
 def label_render(incidents: Column | str) -> Column:
     """`type (0.00)` of each incident, joined by ", "."""
-    return F.array_join(F.transform(col(incidents), lambda i: F.format_string("%s (%.2f)", i["incident_type"], i["confidence"])), ", ")
+    return F.array_join(F.transform(col(incidents), lambda i: fill("{} ({:2})", i["incident_type"], i["confidence"])), ", ")
 
 
 def suffix(path: Column | str) -> Column:
@@ -81,32 +135,43 @@ def strip_code_fence(text: Column | str) -> Column:
 
 def summary_lines(fps, duration, motion_mean, motion_std, brightness, horizontal, area_change, distress, probabilities: Column | None = None) -> Column:
     """The three-line summary of a clip's signals, and a fourth with class probabilities if there are any."""
-    lines = [
-        F.format_string("Video: fps=%.1f, duration_sec=%.1f, motion_mean=%.2f, motion_std=%.2f, brightness_mean=%.1f.", *map(col, (fps, duration, motion_mean, motion_std, brightness))),
-        F.format_string("Body pose (TensorFlow): horizontal_posture_score=%.2f (1=lying/collapsed), area_change_mean=%.0f.", col(horizontal), col(area_change)),
-        F.format_string("Audio: distress_score=%.2f (high=distress/coughing).", col(distress)),
-    ]
+    values = [[fps, duration, motion_mean, motion_std, brightness], [horizontal, area_change], [distress]]
+    lines = [fill(line, *v) for line, v in zip(config.SUMMARY_LINES, values, strict=True)]
     if probabilities is not None:
-        shown = F.concat(F.lit("Fast detector probs: "), F.to_json(probabilities), F.lit("."))
+        pairs = F.transform(F.map_entries(probabilities), lambda e: F.concat(json_text(e["key"]), F.lit(": "), number(e["value"])))
+        shown = fill(config.SUMMARY_PROBABILITIES, F.concat(F.lit("{\n"), F.array_join(pairs, ",\n"), F.lit("\n}")))
         lines.append(F.when(F.size(probabilities) > 0, shown))
     return F.concat_ws("\n", *lines)
 
 
-def prompt(summary: Column | str, rules: tuple[str, ...] = config.TRAINING_RULES, types: tuple[str, ...] = config.TRAINING_TYPES) -> Column:
-    return F.concat(F.lit(config.prompt_rules(rules, types) + config.PROMPT_SUMMARY), col(summary), F.lit(config.PROMPT_TAIL))
+def json_text(x: Column | str) -> Column:
+    """A string as JSON: what to_json makes of it in an object, without the object."""
+    whole = F.to_json(F.struct(col(x).alias("x")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def prompt(summary: Column | str, kind: str = "training") -> Column:
+    before, after = config.PROMPTS[kind].rsplit("{}", 1)
+    return F.concat(F.lit(before), col(summary), F.lit(after))
+
+
+def refine_prompt(signals: Column, baseline: Column) -> Column:
+    """What the local model is asked about a clip's signals and the rules' incidents, both as JSON."""
+    first, second, rest = config.PROMPTS["refine"].split("{}")
+    return F.concat(F.lit(first), F.to_json(signals), F.lit(second), F.to_json(baseline), F.lit(rest))
 
 
 def insight_line(incident: Column) -> Column:
-    return F.format_string("%s (%d%%) at %.1fs: %s", incident["incident_type"], whole_percent(incident["confidence"]), incident["timestamp_seconds"], incident["evidence"])
+    return fill(config.INSIGHT_INCIDENT, incident["incident_type"], whole_percent(incident["confidence"]), incident["timestamp_seconds"], incident["evidence"], ties_up=True)
 
 
 def insights(incidents: Column | str, latency: Column, processing_ms: Column, met: Column, most: int = 4) -> Column:
     """Lines for a history entry: latency, target, and up to four incidents that aren't `none`."""
     shown = F.slice(F.filter(col(incidents), lambda i: i["incident_type"] != "none"), 1, most)
-    line = F.format_string("Frame latency p95 %.1fms, max %.1fms, violations %d.", *(F.coalesce(latency[k], F.lit(0)) for k in ("p95_ms", "max_ms", "violations")))
-    first = F.when(latency.isNotNull(), line).otherwise(F.format_string("Upload analysis latency %.1fms.", processing_ms))
-    target = F.concat(F.lit("Latency target met: "), F.when(met, "Yes").otherwise("No"), F.lit("."))
-    found = F.when(F.size(shown) > 0, F.transform(shown, insight_line)).otherwise(F.array(F.lit("No critical incidents detected.")))
+    line = fill(config.INSIGHT_LATENCY, latency["p95_ms"], latency["max_ms"], F.coalesce(latency["violations"], F.lit(0)), ties_up=True)
+    first = F.when(latency.isNotNull(), line).otherwise(fill(config.INSIGHT_UPLOAD, processing_ms, ties_up=True))
+    target = fill(config.INSIGHT_TARGET, F.when(met, "Yes").otherwise("No"))
+    found = F.when(F.size(shown) > 0, F.transform(shown, insight_line)).otherwise(F.array(F.lit(config.INSIGHT_QUIET)))
     return F.concat(F.array(first, target), found)
 
 

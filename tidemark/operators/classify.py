@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.signals import get_or, uniform_prior
-from tidemark.functions.text import label_render, stable_id
+from tidemark.functions.text import fill, label_render, stable_id
 
 # Thresholds of the two rules.
 MOVING, CALM, UPRIGHT, UPRIGHT_FAST = 0.5, 0.3, 0.85, 0.8
@@ -69,21 +69,15 @@ def choose_route(hosted: DataFrame, rules: DataFrame, key: str, mode: str) -> Da
 
 def evidence(fast_path: bool = False) -> Column:
     """Evidence text of a classified row."""
-    f = F.format_string
-    taking = f(
-        "Signal heuristic: person is upright (h=%.2f), moving (motion=%.1f), no distress (%.2f) — retail anomaly pattern.",
-        F.col("horizontal_posture_score"), F.col("motion_mean"), F.col("distress_score"),
-    )
-    slow = F.when(F.col("incident_type") == "shoplifting", taking).when(F.col("incident_type") == "violent_activity", "Abrupt high-variance motion pattern observed.")
+    slow, fast = config.EVIDENCE["heuristic"], config.EVIDENCE["fast"]
+    taking = fill(slow["shoplifting"], "horizontal_posture_score", "motion_mean", "distress_score")
+    text = F.when(F.col("incident_type") == "shoplifting", taking).when(F.col("incident_type") == "violent_activity", slow["violent_activity"])
     if not fast_path:
-        return slow
+        return text
     share = lambda name, default: get_or("event_probs", name, default) * 100
-    fast = f(
-        "TF pose detector: shoplifting=%.1f%%, suspicious=%.1f%%, none=%.1f%%. Signal boost applied (distress=%.2f, horizontal=%.2f, motion=%.1f).",
-        share("shoplifting", 0.0), share("suspicious_activity", 0.0), share("none", 1.0), F.col("distress_score"), F.col("horizontal_posture_score"), F.col("motion_mean"),
-    )
-    flagged = f("TF pose detector flagged suspicious activity (%.1f%%).", share("suspicious_activity", 0.0))
-    return F.when(F.col("rule") == "fast", F.when(F.col("incident_type") == "shoplifting", fast).otherwise(flagged)).otherwise(slow)
+    found = fill(fast["shoplifting"], share("shoplifting", 0.0), share("suspicious_activity", 0.0), share("none", 1.0), "distress_score", "horizontal_posture_score", "motion_mean")
+    flagged = fill(fast["suspicious_activity"], share("suspicious_activity", 0.0))
+    return F.when(F.col("rule") == "fast", F.when(F.col("incident_type") == "shoplifting", found).otherwise(flagged)).otherwise(text)
 
 
 def default_action(kind: Column | str) -> Column:
@@ -156,15 +150,7 @@ def valid_incident(confidence: Column | str = "confidence", seconds: Column | st
     return F.coalesce(c.between(0, 1) & (t >= 0), F.lit(False))
 
 
-def assemble_reports(clips: DataFrame, incidents: DataFrame, settings: Settings = DEFAULTS, created_at: Column | None = None, signals: Column | None = None) -> DataFrame:
-    """One report for each clip (clip_id, source_filename, processing_time_ms, ...) with its incidents.
-
-    report_id is derived from the clip, so a second run writes the same reports.
-    """
-    lists = incidents.groupBy("clip_id").agg(F.sort_array(F.collect_list(incident())).alias("incidents"))
-    rows = clips.join(lists, "clip_id", "left")
-    rows = rows.withColumn("incidents", strip_types(F.coalesce("incidents", F.array().cast(lists.schema["incidents"].dataType))))
-    rows = rows.withColumn("incidents", sanitize(default_if_empty("incidents")))
+def _report_columns(settings: Settings, created_at: Column | None, signals: Column | None) -> list[Column | str]:
     target = settings.latency_target_ms
     columns = [
         "clip_id",
@@ -180,7 +166,28 @@ def assemble_reports(clips: DataFrame, incidents: DataFrame, settings: Settings
         "incidents",
         timeline("incidents").alias("timeline"),
     ]
-    return rows.select(*columns, *([signals.alias("raw_signals")] if signals is not None else []))
+    return columns + ([signals.alias("raw_signals")] if signals is not None else [])
+
+
+def assemble_reports(clips: DataFrame, incidents: DataFrame, settings: Settings = DEFAULTS, created_at: Column | None = None, signals: Column | None = None) -> DataFrame:
+    """One report for each clip (clip_id, source_filename, processing_time_ms, ...) with its incidents.
+
+    report_id is derived from the clip, so a second run writes the same reports.
+    """
+    lists = incidents.groupBy("clip_id").agg(F.sort_array(F.collect_list(incident())).alias("incidents"))
+    rows = clips.join(lists, "clip_id", "left")
+    rows = rows.withColumn("incidents", strip_types(F.coalesce("incidents", F.array().cast(lists.schema["incidents"].dataType))))
+    rows = rows.withColumn("incidents", sanitize(default_if_empty("incidents")))
+    return rows.select(*_report_columns(settings, created_at, signals))
+
+
+def clip_reports(classified: DataFrame, settings: Settings = DEFAULTS, created_at: Column | None = None, signals: Column | None = None, fast_path: bool = False) -> DataFrame:
+    """The same for classified clips whose one incident, if any, is in their own row: no join and no grouping."""
+    there = (F.col("incident_type") != "none") & (F.col("confidence") >= settings.min_confidence)
+    own = incident(seconds=F.lit(config.INCIDENT_SECONDS), text=F.coalesce(evidence(fast_path), F.lit("")), action=default_action("incident_type"))
+    rows = classified.withColumn("incidents", F.when(there, F.array(own)).otherwise(F.array(none_incident())))
+    rows = rows.withColumn("incidents", sanitize(default_if_empty(strip_types("incidents")))).drop("incident_type", "confidence")
+    return rows.select(*_report_columns(settings, created_at, signals))
 
 
 def alerts(reports: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -7,12 +7,13 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tidemark import config
 from tidemark.config import Settings
-from tidemark.functions.llm_json import LOCAL_EVIDENCE, first_reply, parse_replies
-from tidemark.functions.text import prompt
+from tidemark.functions.llm_json import HOSTED_EVIDENCE, LOCAL_EVIDENCE, first_reply, parse_replies
+from tidemark.functions.text import prompt, refine_prompt
+from tidemark.operators.classify import incident
 
 
 def http_generate(endpoint: str, model: str, timeout: float = 15.0, temperature: float = 0.1) -> Callable[[str], str]:
@@ -27,6 +28,19 @@ def http_generate(endpoint: str, model: str, timeout: float = 15.0, temperature:
     return ask
 
 
+def http_hosted(endpoint: str, key: str, timeout: float = 15.0, temperature: float = 0.1) -> Callable[[str], str]:
+    """A client of a hosted content endpoint: parts of text in, candidates with parts of text out."""
+
+    def ask(text: str) -> str:
+        body = json.dumps({"contents": [{"parts": [{"text": text}]}], "generationConfig": {"temperature": temperature}}).encode()
+        request = urllib.request.Request(endpoint, body, {"Content-Type": "application/json", "x-goog-api-key": key}, method="POST")
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            found = json.load(reply).get("candidates") or [{}]
+            return "".join(str(part.get("text", "")) for part in found[0].get("content", {}).get("parts", []))
+
+    return ask
+
+
 def ask_model(rows: DataFrame, key: str, text: str, client: Callable[[str], str]) -> DataFrame:
     """(key, reply) for each row; a failed call is an empty reply. Filter rows before: Spark won't move a filter below this."""
     kind = rows.schema[key].dataType.simpleString()
@@ -48,11 +62,48 @@ def model_evidence(rows: DataFrame, key: str, summary: str, client: Callable[[st
     """(key, llm_evidence, llm_action) of gated rows, or None without a client."""
     if client is None:
         return None
-    asked = rows.withColumn("_prompt", prompt(summary, config.LOCAL_RULES, config.SERVING_TYPES))
+    asked = rows.withColumn("_prompt", prompt(summary, "local"))
     replies = ask_model(asked, key, "_prompt", client)
     return first_reply(parse_replies(replies, key, "reply", strip=False, default_evidence=LOCAL_EVIDENCE), key)
 
 
+def hosted_incidents(rows: DataFrame, key: str, summary: str, client: Callable[[str], str] | None) -> DataFrame | None:
+    """(key, incident fields) that a hosted model finds in clips' summaries, without the stripped types; None without a client."""
+    if client is None:
+        return None
+    replies = ask_model(rows.withColumn("_prompt", prompt(summary, "hosted")), key, "_prompt", client)
+    return parse_replies(replies, key, "reply", strip=True, default_evidence=HOSTED_EVIDENCE)
+
+
+#: Seconds that a refining call may take.
+REFINE_TIMEOUT = 8.0
+
+
+def refined(baseline: DataFrame, clips: DataFrame, key: str, signals: Column, client: Callable[[str], str] | None) -> DataFrame:
+    """The baseline's incidents (key, incident fields), replaced where a model that sees them and the clip's signals gives any.
+
+    A clip without incidents is asked about too, with an empty list; a failed call, an
+    unreadable reply or an empty one leaves the baseline.
+    """
+    if client is None:
+        return baseline
+    lists = baseline.groupBy(key).agg(F.sort_array(F.collect_list(incident())).alias("_baseline"))
+    empty = F.array().cast(lists.schema["_baseline"].dataType)
+    asked = clips.join(lists, key, "left").withColumn("_prompt", refine_prompt(signals, F.coalesce("_baseline", empty)))
+    replies = parse_replies(ask_model(asked, key, "_prompt", client), key, "reply", strip=False, default_evidence=LOCAL_EVIDENCE)
+    return refine(baseline, replies, key)
+
+
+def refine_client_of(settings: Settings) -> Callable[[str], str] | None:
+    return http_generate(settings.llm_endpoint, settings.llm_model, REFINE_TIMEOUT) if settings.llm_available() else None
+
+
+def hosted_client_of(settings: Settings) -> Callable[[str], str] | None:
+    """The hosted model's client, where it is named, has a key, and the session may go online."""
+    there = settings.hosted_endpoint and settings.hosted_key and not settings.offline_mode
+    return http_hosted(settings.hosted_endpoint, settings.hosted_key) if there else None
+
+
 def client_of(settings: Settings) -> Callable[[str], str] | None:
     return http_generate(settings.llm_endpoint, settings.llm_model) if settings.llm_available() else None
 
