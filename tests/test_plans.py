@@ -70,7 +70,7 @@ def test_training_tables(spark, tmp_path):
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     assert counts == {"none": 9, "shoplifting": 9}
     one = rows.where("label = 'none'").first()
-    assert one.prompt.startswith(config.PROMPT_HEAD) and json.loads(one.response)[0]["incident_type"] == "none"
+    assert one.prompt.startswith(config.PROMPTS["training"][:200]) and json.loads(one.response)[0]["incident_type"] == "none"
     meta = training.recipe(rows, "base", rank=16).first()
     assert meta.rows == 18 and json.loads(meta.settings) == {"rank": "16"}
     assert training.model_file("m", "a").count("\n") == 4

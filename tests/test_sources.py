@@ -46,6 +46,15 @@ def test_pixels():
     assert decode.largest_box(mask) == (1, 1, 7, 5)
     mask[2, 2] = False
     assert decode.largest_box(mask) == (3, 3, 5, 3) and decode.largest_box(mask & False) is None
+    ring = np.zeros((9, 20), bool)  # a ring's hole counts as filled, what lies in it too
+    ring[0:7, 0:7] = True
+    ring[1:6, 1:6] = False
+    ring[3, 3] = True
+    ring[2:8, 9:15] = True
+    assert decode.largest_box(ring) == (0, 0, 7, 7)
+    diagonal = np.eye(12, dtype=bool)  # many pixels, no area
+    diagonal[0:3, 8:11] = True
+    assert decode.largest_box(diagonal) == (8, 0, 3, 3)
     bgr = np.zeros((2, 2, 3), np.uint8)
     bgr[..., 1] = 100
     assert (decode.to_gray(bgr) == 59).all()
@@ -204,3 +213,64 @@ def test_stride_sample(spark):
     assert frames.stride_sample(df(480)).count() == 48
     timing = spark.createDataFrame([(None, 60), (0.0, 60), (25.0, 50)], "fps double, total_frames int")
     assert [(r.fps, r.duration_seconds) for r in frames.clip_timing(timing).collect()] == [(30.0, 2.0), (30.0, 2.0), (25.0, 2.0)]
+
+
+def plain_regions(mask, diagonal):
+    out, number = np.zeros(mask.shape, int), 0
+    for r, c in zip(*np.nonzero(mask)):
+        if not out[r, c]:
+            number += 1
+            todo = [(r, c)]
+            out[r, c] = number
+            while todo:
+                y, x = todo.pop()
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        a, b = y + dy, x + dx
+                        if (diagonal or not dy or not dx) and 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
+                            out[a, b] = number
+                            todo.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_regions_match_a_flood_fill(diagonal):
+    rng = np.random.default_rng(6)
+    for density in (0.2, 0.5, 0.8, 1.0, 0.0):
+        for _ in range(30):
+            mask = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < density
+            assert (decode.regions(mask, diagonal) == plain_regions(mask, diagonal)).all()
+
+
+def test_report_store_reads_one_part(spark, tmp_path):
+    from tidemark.functions.text import stable_id
+    from tidemark.sources import sinks
+
+    reports = spark.range(300).select(stable_id("id").alias("report_id"), "id")
+    sinks.write_report_store(reports, str(tmp_path / "s"))
+    sinks.write_report_store(reports.limit(5), str(tmp_path / "s"))  # replaces parts
+    key = reports.first().report_id
+    found = readers.read_report(spark, str(tmp_path / "s"), key)
+    assert found.collect()[0].id == 0 and len(found.inputFiles()) >= 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "part" in plan.split("PartitionFilters")[1][:120]
+    assert readers.read_report(spark, str(tmp_path / "s"), "zz").collect() == []
+
+
+def test_model_calls(spark):
+    from tidemark import config
+    from tidemark.operators import enrich
+
+    clips = spark.createDataFrame([(1, "one", 0.5), (2, "two", 0.7)], "clip_id long, s string, motion double")
+    seen = lambda t: '[{"incident_type": "intrusion", "confidence": 0.9}, {"incident_type": "choking"}]' if "SUMMARY:\none" in t and "retail context, person leaving" in t else "nothing"
+    got = enrich.hosted_incidents(clips, "clip_id", "s", seen).collect()
+    assert [(r.clip_id, r.incident_type, r.evidence) for r in got] == [(1, "intrusion", "Model reasoning")]
+    assert enrich.hosted_incidents(clips, "clip_id", "s", None) is None
+    base = spark.createDataFrame([(1, "shoplifting", 0.8, 1.5, "e", "a")], "clip_id long, incident_type string, confidence double, timestamp_seconds double, evidence string, recommended_action string")
+    better = lambda t: '{"incident_type": "none", "confidence": 0.2}' if 'signals={"motion":0.7}\nbaseline=[]' in t else "?" if '"incident_type":"shoplifting"' in t else "!"
+    out = enrich.refined(base, clips, "clip_id", F.struct("motion"), better).orderBy("clip_id").collect()
+    assert [(r.clip_id, r.incident_type, r.evidence) for r in out] == [(1, "shoplifting", "e"), (2, "none", "Local model reasoning")]
+    assert enrich.refined(base, clips, "clip_id", F.struct("motion"), None) is base
+    settings = config.Settings(hosted_endpoint="http://h", hosted_key="k")
+    assert enrich.hosted_client_of(settings) is None and enrich.hosted_client_of(config.Settings(hosted_endpoint="http://h", hosted_key="k", offline_mode=False)) is not None
+    assert enrich.REFINE_TIMEOUT == 8 and enrich.refine_client_of(settings) is None

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.functions.text import prompt, summary_lines
+from tidemark.functions.text import json_text, number, prompt, summary_lines
 from tidemark.operators.ranking import numbered
 
-#: Buckets that a group is dealt to where rows are numbered.
-BUCKETS = 64
+#: Buckets that a group is dealt to where rows are numbered, at least, and rows of a bucket, about.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 
 
 def last_wins(rows: DataFrame, key: str, position: Column | str) -> DataFrame:
@@ -44,15 +44,15 @@ def target_confidence(label: Column | str) -> Column:
 
 
 def target_json(label: Column | str, confidence: Column | None = None) -> Column:
-    """The response: a JSON list of one incident."""
-    one = F.struct(
-        (F.col(label) if isinstance(label, str) else label).alias("incident_type"),
-        (target_confidence(label) if confidence is None else confidence).alias("confidence"),
-        F.lit(1.0).alias("timestamp_seconds"),
-        label_templates(label, "evidence").alias("evidence"),
-        label_templates(label, "action").alias("recommended_action"),
-    )
-    return F.to_json(F.array(one))
+    """The response: a JSON list of one incident, with a space after commas and colons."""
+    fields = {
+        "incident_type": json_text(label),
+        "confidence": number(target_confidence(label) if confidence is None else confidence),
+        "timestamp_seconds": number(F.lit(1.0)),
+        "evidence": json_text(label_templates(label, "evidence")),
+        "recommended_action": json_text(label_templates(label, "action")),
+    }
+    return F.concat(F.lit("[{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), value) for name, value in fields.items())), F.lit("}]"))
 
 
 def sft_rows(signals: DataFrame, confidence: Column | None = None) -> DataFrame:
@@ -93,30 +93,38 @@ def class_weights(rows: DataFrame, vocabulary: DataFrame, label: str) -> DataFra
 def balance(rows: DataFrame, label: str, key: str) -> DataFrame:
     """Every label raised to the largest count by repeating rows, with copy (0 for the row itself).
 
-    Row i of n in the order (key mod BUCKETS, key) gets a copy for each number under the
-    largest count that is i modulo n. Numbers are dealt in buckets, see `numbered`.
+    Row i of n in the order (key mod buckets, key) gets a copy for each number under the
+    largest count that is i modulo n. Numbers are dealt in buckets, see `numbered`, of
+    which there are BUCKETS, or more for a label of over BUCKETS * BUCKET_ROWS rows.
     """
-    sizes = class_counts(rows, label).withColumn("_most", F.max("n").over(Window.partitionBy(F.lit(0)))).withColumnRenamed("n", "_n")
-    ranked = numbered(rows, "_rank", F.pmod(F.col(key), F.lit(BUCKETS)), [key], [label])
+    counts = class_counts(rows, label)
+    most = counts.agg(F.max("n")).first()[0] or 0
+    buckets = max(BUCKETS, -(-most // BUCKET_ROWS))
+    sizes = counts.withColumnRenamed("n", "_n")
+    ranked = numbered(rows, "_rank", F.pmod(F.col(key), F.lit(buckets)), [key], [label])
     same = ranked[label].eqNullSafe(sizes[label])
-    joined = ranked.join(F.broadcast(sizes), same).select(*(ranked[c] for c in rows.columns), "_rank", "_n", "_most")
-    copies = F.floor((F.col("_most") - 1 - F.col("_rank")) / F.col("_n")).cast("int")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_rank", "_n", "_most")
+    joined = ranked.join(sizes, same).select(*(ranked[c] for c in rows.columns), "_rank", "_n")  # the planner picks by the labels' number
+    copies = F.floor((F.lit(most) - 1 - F.col("_rank")) / F.col("_n")).cast("int")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_rank", "_n")
+
+
+#: Codes of the permutation, a prime.
+CODES = 10007
 
 
-def shuffled(rows: DataFrame, key: str, into: str = "place") -> DataFrame:
-    """Each row's place in a fixed permutation, by (7919 key mod 10007, key); the places are dealt in buckets of the first."""
-    code = F.pmod(F.col(key) * 7919, F.lit(10007))
-    return numbered(rows.withColumn("_code", code), into, F.floor(F.col("_code") / 157).cast("int"), ["_code", key]).drop("_code")
+def shuffled(rows: DataFrame, key: str, into: str = "place", count: int = 0) -> DataFrame:
+    """Each row's place in a fixed permutation, by (7919 key mod CODES, key); the places are dealt in buckets of codes, more of them for more rows."""
+    code = F.pmod(F.col(key) * 7919, F.lit(CODES))
+    width = max(1, CODES // max(BUCKETS, -(-count // BUCKET_ROWS)) + 1)
+    return numbered(rows.withColumn("_code", code), into, F.floor(F.col("_code") / width).cast("int"), ["_code", key]).drop("_code")
 
 
 def train_validation(rows: DataFrame, key: str, fraction: float = config.DEFAULTS.train_fraction) -> DataFrame:
     """rows with place and split: the first floor(fraction n) train, the rest validation; without a rest, all are both."""
-    placed = shuffled(rows, key)
-    total = rows.agg(F.count("*").alias("_n"))
-    cut = F.floor(F.col("_n") * fraction)
-    split = F.when(cut >= F.col("_n"), F.array(F.lit("train"), F.lit("validation"))).when(F.col("place") < cut, F.array(F.lit("train"))).otherwise(F.array(F.lit("validation")))
-    return placed.join(F.broadcast(total)).withColumn("split", F.explode(split)).drop("_n")
+    total = rows.count()
+    placed, cut = shuffled(rows, key, count=total), int(total * fraction)
+    split = F.array(F.lit("train"), F.lit("validation")) if cut >= total else F.when(F.col("place") < cut, F.array(F.lit("train"))).otherwise(F.array(F.lit("validation")))
+    return placed.withColumn("split", F.explode(split))
 
 
 def distribution(rows: DataFrame, label: str) -> DataFrame:

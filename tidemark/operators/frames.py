@@ -18,8 +18,9 @@ from tidemark.functions.vectors import keypoint_motion
 DISTRESS_SCALE = 25.0
 
 
-def in_order() -> WindowSpec:
-    return Window.partitionBy("clip_id").orderBy("frame_idx")
+def in_order(order: list[str] | None = None) -> WindowSpec:
+    """A clip's frames by number, or by columns that say the same: a sort that has been done for numbering serves again."""
+    return Window.partitionBy("clip_id").orderBy(*(order or ["frame_idx"]))
 
 
 def index_frames(df: DataFrame, order: list[str], into: str = "frame_idx") -> DataFrame:
@@ -38,9 +39,9 @@ def stride_sample(frames: DataFrame, samples: int = 48) -> DataFrame:
     return frames.withColumn("_s", stride).where(F.col("frame_idx") % F.col("_s") == 0).drop("_s")
 
 
-def frame_motion(value: Column | str) -> Column:
+def frame_motion(value: Column | str, order: list[str] | None = None) -> Column:
     """Absolute change from the frame before; 0 for the first."""
-    return F.coalesce(F.abs(col(value) - F.lag(col(value)).over(in_order())), F.lit(0.0))
+    return F.coalesce(F.abs(col(value) - F.lag(col(value)).over(in_order(order))), F.lit(0.0))
 
 
 def pixel_motion(frames: DataFrame, pixels: str = "gray") -> DataFrame:
@@ -56,15 +57,15 @@ def track_motion(frames: DataFrame, keypoints: str = "keypoints") -> DataFrame:
     return frames.withColumn("_before", F.lag(keypoints).over(in_order())).withColumn("motion", keypoint_motion(keypoints, "_before")).drop("_before")
 
 
-def area_change(area: Column | str = "area") -> Column:
+def area_change(area: Column | str = "area", order: list[str] | None = None) -> Column:
     """Absolute change of the area; before the first frame it is 0, so the first change is its own area."""
-    return F.abs(col(area) - F.lag(col(area), 1, 0.0).over(in_order()))
+    return F.abs(col(area) - F.lag(col(area), 1, 0.0).over(in_order(order)))
 
 
-def motion_frames(frames: DataFrame) -> DataFrame:
+def motion_frames(frames: DataFrame, order: list[str] | None = None) -> DataFrame:
     """frames with area_change (from area), horizontal (from aspect_ratio) and motion, from brightness where a decoder hasn't measured it."""
-    motion = {} if "motion" in frames.columns else {"motion": frame_motion("brightness")}
-    return frames.withColumns(motion | {"area_change": area_change(), "horizontal": logistic_posture("aspect_ratio")})
+    motion = {} if "motion" in frames.columns else {"motion": frame_motion("brightness", order)}
+    return frames.withColumns(motion | {"area_change": area_change(order=order), "horizontal": logistic_posture("aspect_ratio")})
 
 
 def signal_sums(scale: int = 1000) -> list[Column]:
@@ -79,12 +80,17 @@ def signal_sums(scale: int = 1000) -> list[Column]:
     ]
 
 
-def clip_signals(frames: DataFrame, scale: int = 1000) -> DataFrame:
-    """Means of brightness, motion, posture and area change, population std of motion, distress, per clip."""
-    out = motion_frames(frames).groupBy("clip_id").agg(*signal_sums(scale))
+def clip_aggregates(frames: DataFrame, *more: Column, scale: int = 1000, settings: Settings = DEFAULTS, order: list[str] | None = None) -> DataFrame:
+    """Signals, and whatever else is asked of a clip's frames, in one grouping of at most max_frames of them."""
+    out = motion_frames(first_frames(frames, settings.max_frames), order).groupBy("clip_id").agg(*signal_sums(scale), *more)
     return out.withColumn("distress_score", clamp(F.col("motion_std") / DISTRESS_SCALE))
 
 
+def clip_signals(frames: DataFrame, scale: int = 1000, settings: Settings = DEFAULTS, order: list[str] | None = None) -> DataFrame:
+    """Means of brightness, motion, posture and area change, population std of motion, distress, per clip, over its first max_frames frames."""
+    return clip_aggregates(frames, scale=scale, settings=settings, order=order)
+
+
 def pose_change_mean(values: Column | str, scale: int = 1000) -> Column:
     """Mean absolute change over the n - 1 differences of a window's column of differences, the first being null; 0 for one frame."""
     return F.coalesce(exact_mean(values, scale), F.lit(0.0))
@@ -110,8 +116,11 @@ def latency_sums(settings: Settings = DEFAULTS) -> list[Column]:
 
 
 def latency_summary(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Exact interpolated p50 and p95, max, violations and whether the target was met, per clip."""
-    return frames.groupBy("clip_id").agg(*latency_sums(settings))
+    """Exact interpolated p50 and p95, max, violations and whether the target was met, per clip, over its first max_frames frames.
+
+    A percentile holds a clip's distinct values, at most max_frames.
+    """
+    return first_frames(frames, settings.max_frames).groupBy("clip_id").agg(*latency_sums(settings))
 
 
 def latency_gate(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,13 +143,20 @@ def controller_fold(settings: Settings = DEFAULTS, skip_frames: bool = True) ->
     """Aggregate: final downscale (in hundredths) and stride of each clip, and what was processed.
 
     On a latency over the target the downscale falls by a tenth to a quarter at least and
-    the stride grows to four at most; neither relaxes. With skip_frames, a frame is
-    processed only where its index is a multiple of the stride so far, and no more than
-    max_frames are; without, all are. The fold needs a clip's frames in order, so they
-    are gathered as one array of (index, latency), which a clip bounds.
+    the stride grows to four at most; neither relaxes. Without skip_frames every one of
+    the first max_frames is processed, and the state is a function of the number of late
+    ones. With it a frame is processed only where its index is a multiple of the stride so
+    far, and no more than max_frames are: a fold over a clip's frames in order, of which
+    max_frames times max_stride can matter and are gathered.
     """
-    start = F.struct(*(F.lit(v).cast("int").alias(k) for k, v in (("d", round(settings.initial_downscale * 100)), ("s", 1), ("n", 0), ("v", 0))))
     down, least = round(settings.downscale_step * 100), round(settings.min_downscale * 100)
+    first = round(settings.initial_downscale * 100)
+    if not skip_frames:
+        seen = F.col("frame_idx") < settings.max_frames
+        late = F.count_if(seen & (F.col("latency_ms") > settings.latency_target_ms)).cast("int")
+        d = F.greatest(F.least(F.lit(first), F.lit(least)), F.lit(first) - late * down)
+        return F.struct(d.alias("d"), F.least(F.lit(settings.max_stride), late + 1).alias("s"), F.count_if(seen).cast("int").alias("n"), late.alias("v"))
+    start = F.struct(*(F.lit(v).cast("int").alias(k) for k, v in (("d", first), ("s", 1), ("n", 0), ("v", 0))))
 
     def step(a: Column, r: Column) -> Column:
         late = r["latency_ms"] > settings.latency_target_ms
@@ -150,9 +166,10 @@ def controller_fold(settings: Settings = DEFAULTS, skip_frames: bool = True) ->
             (a["n"] + 1).alias("n"),
             (a["v"] + late.cast("int")).alias("v"),
         )
-        return F.when((r["frame_idx"] % a["s"] == 0) & (a["n"] < settings.max_frames), seen).otherwise(a) if skip_frames else seen
+        return F.when((r["frame_idx"] % a["s"] == 0) & (a["n"] < settings.max_frames), seen).otherwise(a)
 
-    rows = F.array_sort(F.collect_list(F.struct(F.col("frame_idx").cast("int").alias("frame_idx"), F.col("latency_ms").cast("double").alias("latency_ms"))))
+    row = F.struct(F.col("frame_idx").cast("int").alias("frame_idx"), F.col("latency_ms").cast("double").alias("latency_ms"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("frame_idx") < settings.max_frames * settings.max_stride, row)))
     return F.aggregate(rows, start, step)
 
 

@@ -30,7 +30,7 @@ def clip_table(signals: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
     All are aggregates of one grouping, so frames are decoded once and latencies agree.
     """
-    out = frames.motion_frames(signals).groupBy("clip_id").agg(
+    out = frames.motion_frames(frames.first_frames(signals, settings.max_frames)).groupBy("clip_id").agg(
         F.max("fps").alias("fps"),
         F.max("total_frames").alias("total_frames"),
         *frames.signal_sums(1_000_000),

@@ -16,7 +16,7 @@ from tidemark.sources import readers
 
 @dataclass(frozen=True)
 class TrainingTables:
-    annotations: DataFrame  # clip_id, label, frame_idx, keypoints, motion, audio_distress
+    annotations: DataFrame  # clip_id, path, label, frame_idx, keypoints, motion, audio_distress
     windows: DataFrame  # clip_id, start, pos, features, label
     vocabulary: DataFrame  # label, label_id
     signals: DataFrame  # sample_id, label, window signals
@@ -29,7 +29,7 @@ def tables(spark: SparkSession, poses: str, label_map: str, settings: Settings =
     rows = curate.label_join(windows.long_enough(rows, settings.window), labels, "clip_id").withColumn("audio_distress", F.lit(0.0))
     cut = windows.sliding_windows(rows.withColumn("features", flatten_features("keypoints", "motion", "audio_distress")), settings)
     cut = cut.select("clip_id", "start", "pos", "features", "label")
-    vocabulary = windows.first_appearance(rows, "label", ["clip_id"])
+    vocabulary = windows.first_appearance(rows, "label", ["path"])
     signals = windows.window_signals(windows.vector_window_frames(cut)).join(labels, "clip_id")
     signals = signals.withColumn("sample_id", F.xxhash64("clip_id", "start"))
     return TrainingTables(rows, cut, vocabulary, signals)

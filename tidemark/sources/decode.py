@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-from collections import deque
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -81,27 +80,58 @@ def otsu(image: np.ndarray) -> int:
     return int(gap.argmax())
 
 
+def regions(mask: np.ndarray, diagonal: bool) -> np.ndarray:
+    """A number from 1 for each connected region, in the order of their first pixels; 0 elsewhere.
+
+    Runs of a row are joined with the runs of the row before that they touch, with their
+    corners too if diagonal; the joins are settled by halving paths.
+    """
+    rows, width = mask.shape
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    if not len(row):
+        return np.zeros(mask.shape, np.int64)
+    reach = 1 if diagonal else 0
+    span = width + 2
+    # runs of the row before that end after this begins, up to those that begin before it ends
+    low = np.searchsorted(row * span + end, (row - 1) * span + begin - reach, side="right")
+    high = np.searchsorted(row * span + begin, (row - 1) * span + end + reach, side="left")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(row))
+    while True:
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        for ends in (a, b):
+            np.minimum.at(label, label[ends], least)
+            np.minimum.at(label, ends, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    number = np.unique(label, return_inverse=True)[1] + 1
+    steps = np.zeros((rows, width + 1), np.int64)
+    steps[row, begin] = number
+    steps[row, end] -= number
+    return np.cumsum(steps, axis=1)[:, :width]
+
+
 def largest_box(mask: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(x, y, width, height) of the eight-connected region with the most pixels, the first of equals."""
-    seen = np.zeros(mask.shape, bool)
-    best, size = None, 0
-    for start in zip(*np.nonzero(mask), strict=True):
-        if seen[start]:
-            continue
-        seen[start] = True
-        queue, cells = deque([start]), []
-        while queue:
-            r, c = queue.popleft()
-            cells.append((r, c))
-            for rr in range(max(0, r - 1), min(mask.shape[0], r + 2)):
-                for cc in range(max(0, c - 1), min(mask.shape[1], c + 2)):
-                    if mask[rr, cc] and not seen[rr, cc]:
-                        seen[rr, cc] = True
-                        queue.append((rr, cc))
-        if len(cells) > size:
-            (r0, c0), (r1, c1) = np.min(cells, 0), np.max(cells, 0)
-            best, size = (int(c0), int(r0), int(c1 - c0 + 1), int(r1 - r0 + 1)), len(cells)
-    return best
+    """(x, y, width, height) of the outer contour with the largest area, the first of equals.
+
+    A contour runs through the centres of a region's border pixels, its holes counting as
+    filled: each square of four such centres adds one, each of three a half.
+    """
+    padded = np.pad(mask, 1)
+    ground = regions(~padded, diagonal=False)
+    found = regions(ground != ground[0, 0], diagonal=True)
+    if not found.any():
+        return None
+    corners = np.stack([found[:-1, :-1], found[:-1, 1:], found[1:, :-1], found[1:, 1:]])
+    area = np.bincount(corners.max(0).ravel(), np.maximum((corners > 0).sum(0) - 2, 0).ravel() / 2, minlength=found.max() + 1)
+    rows, columns = np.nonzero(found == area[1:].argmax() + 1)
+    return int(columns.min()) - 1, int(rows.min()) - 1, int(np.ptp(columns)) + 1, int(np.ptp(rows)) + 1
 
 
 def frame_rows(frames: Iterator[np.ndarray], settings: Settings = DEFAULTS) -> Iterator[tuple]:

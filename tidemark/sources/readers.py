@@ -47,7 +47,8 @@ def accepted_uploads(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """filename, label from CSV files with a header, both trimmed; the last of a repeated name wins."""
     rows = spark.read.schema(schemas.LABEL_MAP).option("header", "true").csv(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).select(F.trim("filename").alias("filename"), F.trim("label").alias("label"), "_at")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())  # the order in a file, however its blocks are dealt
+    rows = rows.select(F.trim("filename").alias("filename"), F.trim("label").alias("label"), place.alias("_at"))
     return last_wins(rows.where("filename is not null"), "filename", "_at").drop("_at")
 
 
@@ -77,15 +78,15 @@ def pose_tracks(files: DataFrame) -> DataFrame:
 
 
 def annotation_frames(files: DataFrame, numeric_order: bool = False) -> DataFrame:
-    """clip_id, frame_idx, keypoints (17 x 3) of the longest track of each pose file, frames in key order."""
+    """clip_id, path, frame_idx, keypoints (17 x 3) of the longest track of each pose file, frames in key order; files go by path."""
     best = longest_track(pose_tracks(files), "path", "n", "pos")
-    rows = best.select(F.col("filename").alias("clip_id"), F.explode("frames").alias("key", "frame"))
+    rows = best.select(F.col("filename").alias("clip_id"), "path", F.explode("frames").alias("key", "frame"))
     from tidemark.operators.frames import index_frames
 
     order = F.try_to_number("key", F.lit("999999999999")) if numeric_order else F.col("key")
     indexed = index_frames(rows.withColumn("_k", order), ["_k", "key"])
     empty = F.array().cast("array<double>")
-    return indexed.select("clip_id", "frame_idx", reshape_keypoints(F.coalesce("frame.keypoints", empty)).alias("keypoints"))
+    return indexed.select("clip_id", "path", "frame_idx", reshape_keypoints(F.coalesce("frame.keypoints", empty)).alias("keypoints"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -130,9 +131,15 @@ def read_tensor_file(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(unpack, "clip_id string, start int, label string, window array<array<float>>")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Reports of a folder of indented JSON files; malformed ones are skipped."""
-    return spark.read.schema(schemas.REPORT).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).where("report_id is not null")
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Reports of a folder of indented JSON files, one each, or of files of JSON lines; malformed ones are skipped."""
+    rows = spark.read.schema(schemas.REPORT).option("multiLine", str(not lines).lower()).option("mode", "DROPMALFORMED").json(path)
+    return rows.where("report_id is not null")
+
+
+def read_report(spark: SparkSession, path: str, report_id: str) -> DataFrame:
+    """One report of a folder that `write_report_store` wrote: only its id's partition is listed and read."""
+    return spark.read.parquet(path).where((F.col("part") == report_id[: config.REPORT_PART]) & (F.col("report_id") == report_id)).drop("part")
 
 
 # ---- the driver's tables in place of clips

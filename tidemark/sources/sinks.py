@@ -9,6 +9,7 @@ from email.mime.text import MIMEText
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.text import upload_name
 from tidemark.operators.classify import alerts
@@ -20,6 +21,12 @@ def write_reports(reports: DataFrame, path: str, kind: str = "json") -> None:
     by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").format(kind).save(path)
 
 
+def write_report_store(reports: DataFrame, path: str) -> None:
+    """Reports by the first characters of their ids, for reads by id; a part that is written again is replaced."""
+    parts = reports.withColumn("part", F.substring("report_id", 1, config.REPORT_PART)).repartition("part")
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def write_alerts(reports: DataFrame, path: str, settings: Settings = DEFAULTS) -> None:
     alerts(reports, settings).write.mode("overwrite").json(path)
 
