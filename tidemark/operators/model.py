@@ -57,9 +57,9 @@ def load_model(path: str) -> PipelineModel | None:
         return None
 
 
-def batch_model_udf(load: Callable[[], Callable], batch_size: int = 256):
-    """A column function of float arrays for any model: load runs once in each worker and returns arrays to arrays."""
-    return predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch_size)
+def batch_model_udf(load: Callable[[], Callable], shape: list[int], batch_size: int = 256):
+    """A column function of float arrays, each a tensor of `shape`, for any model: load runs once in each worker and returns arrays to arrays."""
+    return predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch_size, input_tensor_shapes=[shape])
 
 
 def labels_file(path: str) -> list[str] | None:
