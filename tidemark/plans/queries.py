@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark import config
+from tidemark import config, schemas
 from tidemark.functions import chat, signals, text, vectors
 from tidemark.functions.llm_json import LOCAL_EVIDENCE, parse_replies
 from tidemark.operators import classify as C
-from tidemark.operators import curate, frames, windows
+from tidemark.operators import curate, frames, network, windows
 from tidemark.operators import model as ml
-from tidemark.sources import readers
+from tidemark.plans import online
+from tidemark.sources import readers, sinks
 from tidemark.streaming import live
 
 # The class that an event type stands for, and the gap that ends a session.
 CLASS_OF = {"click": "shoplifting", "purchase": "suspicious_activity", "view": "none", "error": "violent_activity", "signup": "intrusion"}
 SESSION_GAP = "2 hours"
-#: Series are cut at 40 here, since the tables' clips are shorter than the default.
-SERIES = config.Settings(series_cap=40)
+#: What orders a clip's frames in the event table; sorting by it once serves numbering and lags.
+ORDER = ["ts", "event_id"]
+#: Users' clips are shorter than the caps on frames and series, so some queries take ten cameras' instead.
+CAMERAS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,16 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.frames_of_events(table(spark, sf_dir, "events"))
 
 
+def _camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.frames_of_events(table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id") % CAMERAS))
+
+
+def _clips(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Signals, latency and more of each clip in one grouping; percentiles of values with two decimals have four."""
+    out = frames.clip_aggregates(_frames(spark, sf_dir), *frames.latency_sums(), *more, order=ORDER)
+    return out.withColumns({c: F.round(c, 4) for c in ("p50_ms", "p95_ms")})
+
+
 def _class_of(event_type: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in CLASS_OF.items() for x in kv)), event_type)
 
@@ -45,7 +58,12 @@ def _time(c: str) -> Column:
 
 
 def clip_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.clip_signals(_frames(spark, sf_dir))
+    return frames.clip_signals(_frames(spark, sf_dir), order=ORDER)
+
+
+def camera_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips longer than the cap on frames."""
+    return frames.clip_signals(_camera_frames(spark, sf_dir), order=ORDER)
 
 
 def clip_latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +89,10 @@ def clip_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clip signals with class probabilities: the shares of a clip's event types."""
-    rows = _frames(spark, sf_dir).withColumn("_class", _class_of(F.col("event_type")))
-    counts = rows.groupBy("clip_id").agg(*(F.count_if(F.col("_class") == c).alias(c) for c in CLASS_OF.values()), F.count("*").alias("_n"))
-    shares = F.create_map(*(x for c in CLASS_OF.values() for x in (F.lit(c), F.col(c) / F.col("_n"))))
-    return frames.clip_signals(_frames(spark, sf_dir)).join(counts.select("clip_id", shares.alias("event_probs")), "clip_id").withColumn("fast_available", F.lit(True))
+    of = _class_of(F.col("event_type"))
+    rows = _clips(spark, sf_dir, *(F.count_if(of == c).alias(f"_n_{c}") for c in CLASS_OF.values()))
+    shares = F.create_map(*(x for c in CLASS_OF.values() for x in (F.lit(c), F.col(f"_n_{c}") / F.col("sample_count"))))
+    return rows.withColumn("event_probs", shares).withColumn("fast_available", F.lit(True))
 
 
 def clip_incidents_fastpath(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +103,10 @@ def clip_incidents_fastpath(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir)
-    latency = clip_latency_summary(spark, sf_dir).select("clip_id", F.col("p95_ms").alias("processing_time_ms"))
-    clips = rows.select("clip_id").join(latency, "clip_id").withColumn("source_filename", F.concat(F.lit("clip_"), F.col("clip_id").cast("string"), F.lit(".mp4")))
-    return C.assemble_reports(clips, C.emit(rows), created_at=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    """A clip has one incident at most, so its report needs no other shuffle than its signals."""
+    rows = C.classify(_clips(spark, sf_dir))
+    clips = rows.withColumn("source_filename", F.concat(F.lit("clip_"), F.col("clip_id").cast("string"), F.lit(".mp4"))).withColumn("processing_time_ms", F.col("p95_ms"))
+    return C.clip_reports(clips, created_at=F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,15 +123,19 @@ def incident_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("report_id", F.col("i.incident_type").alias("incident_type"), F.col("i.confidence").alias("confidence"), F.col("i.recommended_action").alias("recommended_action"))
 
 
+def incident_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence and action of the incidents that the rules and the class shares give."""
+    rows = C.emit(C.classify(_with_shares(spark, sf_dir), fast_path=True), fast_path=True)
+    return rows.select("clip_id", "incident_type", "evidence", "recommended_action")
+
+
 def incident_summary_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two most confident incidents of each group of ten clips, by clip among equals, as one line in whole percents."""
-    rows = C.emit(_classified(spark, sf_dir)).withColumn("camera", F.col("clip_id") % 10)
+    """The summary of the two most confident incidents of each group of ten clips, by clip among equals."""
+    rows = C.emit(_classified(spark, sf_dir)).withColumn("camera", F.col("clip_id") % CAMERAS)
     lists = rows.groupBy("camera").agg(F.transform(F.array_sort(F.collect_list(F.struct("clip_id", C.incident().alias("i")))), lambda x: x["i"]).alias("incidents"))
-    lists = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("camera")).distinct().join(lists, "camera", "left")
+    lists = table(spark, sf_dir, "events").select((F.col("user_id") % CAMERAS).alias("camera")).distinct().join(lists, "camera", "left")
     empty = F.array().cast(lists.schema["incidents"].dataType)
-    top = C.top_incidents(F.coalesce("incidents", empty))
-    line = F.array_join(F.transform(top, lambda i: F.concat(i["incident_type"], F.lit(" "), text.whole_percent(i["confidence"]).cast("string"))), ", ")
-    return lists.select("camera", F.when(F.size(top) == 0, config.QUIET_SUMMARY).otherwise(line).alias("summary"))
+    return lists.withColumn("incidents", F.coalesce("incidents", empty)).select("camera", C.summary("incidents").alias("summary"))
 
 
 def report_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,26 +145,54 @@ def report_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of clip 7, by its id."""
-    key = F.col("report_id") == text.stable_id(F.lit(7).cast("long"), F.lit("clip_7.mp4"))
-    return _reports(spark, sf_dir).where(key).select("report_id", "clip_id", "source_filename")
+    """The report of clip 7, by its id, from stored reports of which one partition is read."""
+    folder = live.shared_folder(spark)
+    sinks.write_report_store(_reports(spark, sf_dir), folder)
+    key = spark.range(1).select(text.stable_id(F.lit(7).cast("long"), F.lit("clip_7.mp4"))).first()[0]
+    return readers.read_report(spark, folder, key).select("report_id", "clip_id", "source_filename", "summary")
+
+
+def reports_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written as JSON by day and read back."""
+    folder = live.shared_folder(spark)
+    sinks.write_reports(_reports(spark, sf_dir), folder)
+    i = F.get("incidents", 0)
+    return readers.read_reports(spark, folder, lines=True).select(
+        "report_id", "source_filename", "processing_time_ms", "met_latency_target", "summary", _time("created_at").alias("created_at"), i["incident_type"].alias("incident_type"), i["confidence"].alias("confidence"), F.get("timeline", 0)["note"].alias("note")
+    )
+
+
+def alerts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts written as JSON and read back."""
+    folder = live.shared_folder(spark)
+    sinks.write_alerts(_reports(spark, sf_dir), folder)
+    out = spark.read.schema(schemas.ALERT).json(folder).select("report_id", "summary", F.explode("critical_incidents").alias("i"))
+    return out.select("report_id", "summary", F.col("i.incident_type").alias("incident_type"), F.col("i.confidence").alias("confidence"))
+
+
+def landed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads under their landed names, written and read back."""
+    folder = live.shared_folder(spark)
+    clips = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"), F.length("html").cast("long").alias("length"), F.lit("2024-02-03 04:05:06").cast("timestamp").alias("modificationTime"))
+    sinks.land_uploads(clips, folder)
+    return spark.read.parquet(folder).select("page_id", "landed_name")
 
 
 # ---- frames
 
 
 def frame_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.motion_frames(_frames(spark, sf_dir))
+    rows = frames.motion_frames(_frames(spark, sf_dir), ORDER)
     return rows.select("clip_id", *_long(frame_idx="frame_idx"), signals.scaled("motion", 1000).alias("motion_thousandths"), signals.scaled("area_change", 100).alias("area_change_hundredths"))
 
 
 def horizontal_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.motion_frames(_frames(spark, sf_dir))
+    rows = frames.motion_frames(_frames(spark, sf_dir), ORDER)
     return rows.select("clip_id", *_long(frame_idx="frame_idx"), signals.scaled("horizontal", 1_000_000).alias("posture_millionths"), signals.scaled(signals.clamp(F.col("aspect_ratio")), 10_000).alias("clamped_ratio"))
 
 
 def stride_sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = frames.stride_sample(frames.first_frames(_frames(spark, sf_dir)), 10)
+    kept = frames.stride_sample(_frames(spark, sf_dir), 10)
     return kept.groupBy("clip_id").agg(F.count("*").alias("samples"), F.max("frame_idx").cast("long").alias("last_frame"))
 
 
@@ -152,24 +202,33 @@ def sampled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields read back from the nested record of a clip's signals."""
-    rows = clip_signals(spark, sf_dir).join(clip_latency_summary(spark, sf_dir), "clip_id")
+    rows = _clips(spark, sf_dir)
     out = rows.select("clip_id", frames.signal_bundle(rows).alias("s"))
     return out.select("clip_id", F.col("s.video.motion_mean").alias("motion_mean"), F.col("s.audio.distress_score").alias("distress_score"), F.col("s.latency.met_target").alias("met_target"), F.col("s.fast_path.available").alias("fast_available"), *_long(frames="s.latency.frame_count_processed", target_ms="s.latency.target_ms"))
 
 
 def motion_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.motion_frames(_frames(spark, sf_dir))
-    out = frames.series(rows, "motion", "series", SERIES)
+    """Clips longer than the cap on series."""
+    rows = frames.motion_frames(_camera_frames(spark, sf_dir), ORDER)
+    out = frames.series(rows, "motion", "series")
     shown = F.array_join(F.transform("series", lambda x: signals.scaled(x, 1000).cast("string")), ",")
     return out.select("clip_id", F.size("series").cast("long").alias("n"), shown.alias("series"))
 
 
+def pixel_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as the pixels of a label's frames, in thousandths."""
+    rows = _vectors(spark, sf_dir).select(F.col("label").alias("clip_id"), "vec_id", F.transform("v", lambda x: F.round(x * 1000).cast("double")).alias("gray"))
+    out = frames.pixel_motion(frames.index_frames(rows, ["vec_id"]))
+    return out.select("vec_id", F.round(F.col("motion") * 64).cast("long").alias("moved"))
+
+
 def adaptive_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.adaptive_controller(_frames(spark, sf_dir), skip_frames=False)
 
 
 def adaptive_controller_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.adaptive_controller(_frames(spark, sf_dir), skip_frames=True)
+    """Clips longer than the cap on frames."""
+    return frames.adaptive_controller(_camera_frames(spark, sf_dir), skip_frames=True)
 
 
 # ---- windows
@@ -186,7 +245,7 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of 32-frame windows; the span of a frame is its value and its box the frame's area."""
-    rows = frames.motion_frames(_frames(spark, sf_dir))
+    rows = frames.motion_frames(_frames(spark, sf_dir), ORDER)
     rows = rows.select("clip_id", "frame_idx", "motion", (F.col("value") / 100).alias("audio"), F.col("value").alias("span"), F.col("area").alias("box_area"))
     out = windows.window_signals(windows.sliding_windows(rows))
     return out.withColumn("start", F.col("start").cast("long"))
@@ -194,7 +253,7 @@ def window_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heuristic rule on windows; a window's motion starts from the clip's frame before."""
-    rows = windows.sliding_windows(frames.motion_frames(_frames(spark, sf_dir)))
+    rows = windows.sliding_windows(frames.motion_frames(_frames(spark, sf_dir), ORDER))
     out = rows.groupBy("clip_id", F.col("start").cast("long").alias("start")).agg(
         signals.exact_mean("motion").alias("motion_mean"), signals.exact_std("motion").alias("motion_std"), signals.exact_mean("horizontal", 1_000_000).alias("horizontal_posture_score")
     )
@@ -210,7 +269,7 @@ def head_window_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runtime_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.motion_frames(_frames(spark, sf_dir))
+    rows = frames.motion_frames(_frames(spark, sf_dir), ORDER)
     heads = windows.head_windows(rows, {"horizontal": "p", "motion": "m", "value": "a"})
     out = heads.select("clip_id", windows.runtime_tensor(F.col("p"), F.col("m"), F.col("a")).alias("t"))
     column = lambda k: F.aggregate("t", F.lit(0).cast("long"), lambda s, r: s + signals.scaled(F.get(r, k), 1000))
@@ -224,15 +283,48 @@ def longest_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of a clip's first twelve frames, as text and as numbers."""
-    kept = _frames(spark, sf_dir).where(F.col("frame_idx") < 12)
-    keys = kept.groupBy("clip_id").agg(F.collect_list(F.col("frame_idx").cast("string")).alias("k"))
-    return keys.select("clip_id", F.array_join(windows.order_frame_keys("k"), ",").alias("as_text"), F.array_join(windows.order_frame_keys("k", True), ",").alias("as_numbers"))
+    """The keys of a clip's frames, as text and as numbers: how many, and a digest of each order."""
+    keys = _frames(spark, sf_dir).groupBy("clip_id").agg(F.collect_list(F.col("frame_idx").cast("string")).alias("k"))
+    line = lambda numeric: F.md5(F.array_join(windows.order_frame_keys("k", numeric), ","))
+    return keys.select("clip_id", F.size("k").cast("long").alias("n"), line(False).alias("as_text"), line(True).alias("as_numbers"))
+
+
+def window_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three values a frame and their vocabulary, written and read back with the labels' names."""
+    folder = live.shared_folder(spark)
+    rows = frames.motion_frames(_frames(spark, sf_dir), ORDER)
+    cut = windows.sliding_windows(rows.select(F.col("clip_id").cast("string").alias("clip_id"), "frame_idx", F.array(F.col("motion"), F.col("value"), F.col("area")).cast("array<float>").alias("features")))
+    tensors = windows.tensor_windows(cut).withColumn("label_id", (F.col("clip_id").cast("long") % 5).cast("int"))
+    vocabulary = label_vocabulary(spark, sf_dir).select(F.col("event_type").alias("label"), "label_id")
+    sinks.write_windows(tensors, vocabulary, folder)
+    back, names = readers.read_windows(spark, folder)
+    value = lambda k: F.aggregate("window", F.lit(0).cast("long"), lambda s, x: s + signals.scaled(F.get(x, k).cast("double"), 10)).alias(f"sum_{k}")
+    out = back.select("clip_id", F.col("start").cast("long").alias("start"), F.col("label_id").cast("long").alias("label_id"), F.size("window").cast("long").alias("frames"), value(1))
+    return out.join(names, "label_id")
 
 
 # ---- labels
 
 
+def label_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last label of each user, written as a label map and read back."""
+    folder = live.shared_folder(spark)
+    rows = label_map_last_wins(spark, sf_dir).select(F.concat(F.lit(" u"), F.col("user_id").cast("string"), F.lit(" ")).alias("filename"), F.concat("event_type", F.lit(" ")).alias("label"))
+    rows.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder)
+    return readers.read_label_map(spark, folder)
+
+
+def annotations_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as annotation records of one frame, written as JSON lines and read back, in sums by label."""
+    folder = live.shared_folder(spark)
+    frame = F.struct(vectors.reshape_keypoints("v").alias("keypoints"), F.get("v", 51).alias("motion"), F.get("v", 52).alias("audio_distress"))
+    sinks.write_annotations(_vectors(spark, sf_dir).select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), F.array(frame).alias("frames")), folder)
+    one = F.get("frames", 0)
+    joints = F.aggregate(one["keypoints"], F.lit(0).cast("long"), lambda s, j: s + signals.scaled(F.get(j, 0), 1000))
+    rows = readers.read_annotations(spark, folder).select("label", signals.scaled(one["motion"], 1000).alias("m"), joints.alias("x"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("m").alias("motion_thousandths"), F.sum("x").alias("x_thousandths"))
+
+
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.trim("lang").alias("lang"), "n_chars")
     return curate.label_join(docs, table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "n_chars", *_long(quality="quality", toxic="toxic"))
@@ -278,7 +370,7 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reasoning_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
-    reasons = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.concat(F.round(F.lit(0.125) * 100).cast("long").cast("string"), F.lit("%")).alias("confidence")).where("id % 3 = 0")
+    reasons = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.concat(F.round(F.lit(0.125) * 100).cast("long").cast("string"), F.lit("%")).alias("confidence"))
     return curate.reasoning_join(events, reasons, "id")
 
 
@@ -303,11 +395,16 @@ def sft_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and response of each window, with the response read back."""
+    """Prompt and response of each window."""
     rows = curate.sft_rows(_labelled_windows(spark, sf_dir))
-    back = F.from_json("response", "array<struct<incident_type:string,confidence:double,timestamp_seconds:double,evidence:string,recommended_action:string>>")
-    one = F.get(back, 0)
-    return rows.select("sample_id", "label", one["incident_type"].alias("incident_type"), one["confidence"].alias("confidence"), one["evidence"].alias("evidence"), one["recommended_action"].alias("action"), F.col("prompt").startswith(config.PROMPT_HEAD).alias("has_rules"), F.col("prompt").endswith(config.PROMPT_TAIL).alias("has_tail"))
+    return rows.select("sample_id", "label", F.md5("prompt").alias("prompt_md5"), "response")
+
+
+def sft_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and responses written as JSON lines and read back."""
+    folder = live.shared_folder(spark)
+    sinks.write_sft(curate.sft_rows(_labelled_windows(spark, sf_dir)), folder)
+    return readers.read_sft(spark, folder).groupBy("response").agg(F.count("*").alias("n"), F.countDistinct("prompt").alias("prompts"))
 
 
 def sft_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,12 +442,22 @@ def token_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with class shares, at the default rate of frames."""
+    fps = F.lit(config.DEFAULTS.default_fps)
+    return _with_shares(spark, sf_dir).withColumns({"fps": fps, "duration_seconds": signals.safe_divide(F.col("sample_count"), fps)})
+
+
 def multimodal_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary's fixed parts around whole numbers, which every engine prints alike."""
-    rows = clip_signals(spark, sf_dir)
-    whole = lambda c: F.floor(F.col(c)).cast("double")
-    lines = text.summary_lines(F.lit(30.0), F.lit(2.0), whole("motion_mean"), whole("motion_std"), whole("brightness_mean"), F.lit(0.0), whole("area_change_mean"), F.lit(1.0))
-    return rows.select("clip_id", lines.alias("summary"), F.md5(text.prompt(lines, config.LOCAL_RULES, config.SERVING_TYPES)).alias("prompt_md5"))
+    lines = online.summary_text()
+    return _summary(spark, sf_dir).select("clip_id", lines.alias("summary"), F.md5(text.prompt(lines, "local")).alias("local_md5"), F.md5(text.prompt(lines, "hosted")).alias("hosted_md5"))
+
+
+def multimodal_summary_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary with a line of class probabilities; those of classes that occur, by name."""
+    names = ("fps", "duration_seconds", "motion_mean", "motion_std", "brightness_mean", "horizontal_posture_score", "area_change_mean", "distress_score")
+    some = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("event_probs", lambda _, v: v > 0))))
+    return _summary(spark, sf_dir).select("clip_id", text.summary_lines(*names, some).alias("summary"))
 
 
 # ---- replies, uploads, vectors
@@ -388,6 +495,26 @@ def llm_reply_parse_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(parse_replies(_replies(spark), "reply_id", "reply", strip=False, default_evidence=LOCAL_EVIDENCE))
 
 
+def llm_reply_parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply for each event, in ten shapes by its number."""
+    one = lambda c: F.concat(F.lit('{"incident_type": "'), _class_of(F.col("event_type")), F.lit('", "confidence": '), c, F.lit(', "timestamp_seconds": '), F.col("event_id").cast("string"), F.lit("}"))
+    share = F.concat(F.lit("0."), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
+    plain, k = one(share), F.col("event_id") % 10
+    reply = (
+        F.when(k == 0, plain)
+        .when(k == 1, F.concat(F.lit("["), plain, F.lit("]")))
+        .when(k == 2, F.concat(F.lit(f"{FENCE}json\n["), plain, F.lit(f"]\n{FENCE}")))
+        .when(k == 3, F.concat(F.lit(f" {FENCE}"), plain, F.lit(FENCE)))
+        .when(k == 4, F.concat(F.lit("[7, "), plain, F.lit(", null, "), plain, F.lit("]")))
+        .when(k == 5, one(F.concat(F.lit('"'), share, F.lit('"'))))
+        .when(k == 6, F.concat(F.lit("["), plain, F.lit(", "), one(F.lit("1.5")), F.lit("]")))
+        .when(k == 7, F.concat(plain, F.lit(" and more")))
+        .when(k == 8, F.lit('{"confidence": 0.5, "evidence": "e"}'))
+        .otherwise(F.lit('[{"incident_type": "choking"}, {"incident_type": "none", "recommended_action": "a"}]'))
+    )
+    return _parsed(parse_replies(table(spark, sf_dir, "events").select(F.col("event_id").alias("reply_id"), reply.alias("reply")), "reply_id", "reply"))
+
+
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as uploads: the URL's path is the name, its HTML the body; every fifth page has a video's suffix."""
     path = F.regexp_replace("url", r"[?#].*$", "")
@@ -469,6 +596,19 @@ def pose_event_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "label", "top_event", "top_confidence")
 
 
+def pose_event_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a network learns which windows move much, from their values and motion: windows judged, and 90 in 100 right."""
+    rows = frames.motion_frames(_frames(spark, sf_dir), ORDER).select("clip_id", "frame_idx", "event_id", "motion", F.array(F.col("motion") / 10, F.col("value") / 100).cast("array<float>").alias("features"))
+    cut = windows.sliding_windows(rows)
+    level = cut.groupBy("clip_id", "start").agg(signals.exact_mean("motion").alias("m"))
+    cut = windows.tensor_windows(cut).join(level, ["clip_id", "start"]).withColumn("label", F.when(F.col("m") > 10, "much").otherwise("little"))
+    cut = cut.withColumn("sample_id", F.col("clip_id") * 1000 + F.col("start"))
+    rounds = max(network.EPOCHS, 12_000 // max(1, cut.count()))  # as many steps for few windows
+    net = network.train_network(curate.train_validation(cut, "sample_id"), "window", "label", weighted=True, epochs=rounds, patience=rounds)
+    out = network.predict_network(net, cut, "window")
+    return out.agg(F.count("*").alias("n"), (F.avg((F.col("top_event") == F.col("label")).cast("double")) >= 0.9).alias("learned"))
+
+
 def incident_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the basic set: counts by camera and type with subtotals."""
     rows = clip_incidents(spark, sf_dir).withColumn("camera", F.col("clip_id") % 10)
@@ -486,11 +626,11 @@ def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    clip_signals, clip_latency_summary, latency_gate, clip_incidents, clip_incidents_fastpath, incident_reports, incident_alerts, incident_summary_top2, report_listing, report_point,
-    frame_motion, horizontal_posture, stride_sampled_frames, sampled_signals, signal_bundles, motion_series, adaptive_controller, adaptive_controller_skipping,
-    sliding_windows, window_counts, window_signals, window_incidents, head_window_pad, runtime_tensor, longest_track, frame_key_order,
-    label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
-    sft_union, sft_rows, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text,
-    llm_reply_parse, llm_reply_parse_local, upload_validation, suffix_parse, embedding_reshape, keypoint_bbox, keypoint_motion,
-    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, pose_event_classifier, incident_rollup, segment_revenue,
+    clip_signals, camera_signals, clip_latency_summary, latency_gate, clip_incidents, clip_incidents_fastpath, incident_reports, incident_alerts, incident_evidence, incident_summary_top2, report_listing, report_point, reports_scan, alerts_scan, landed_uploads,
+    frame_motion, horizontal_posture, stride_sampled_frames, sampled_signals, signal_bundles, motion_series, pixel_motion, adaptive_controller, adaptive_controller_skipping,
+    sliding_windows, window_counts, window_signals, window_incidents, head_window_pad, runtime_tensor, longest_track, frame_key_order, window_store_scan,
+    label_csv_scan, annotations_scan, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
+    sft_union, sft_rows, sft_scan, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text, multimodal_summary_shares,
+    llm_reply_parse, llm_reply_parse_local, llm_reply_parse_events, upload_validation, suffix_parse, embedding_reshape, keypoint_bbox, keypoint_motion,
+    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, pose_event_classifier, pose_event_network, incident_rollup, segment_revenue,
 )
