@@ -272,12 +272,17 @@ def _few_against_all(least_size: int, threshold: int):
                 new = (ids[lo:mid], n[lo:mid], sketch[lo:mid])
                 few = new if few is None else tuple(np.concatenate(x) for x in zip(few, new, strict=True))
                 ends = np.append(ids[mid:hi], few[0])
-                left, right = [], []
+                left, right, pairs = [], [], 0
                 for k in range(len(few[0])):
+                    if pairs > 500_000:  # a forest says the same
+                        label = _labels(len(ends), np.concatenate(left), np.concatenate(right))
+                        tied = np.flatnonzero(label != np.arange(len(ends)))
+                        left, right, pairs = [tied], [label[tied]], len(tied)
                     same = (sketch[mid:hi] == few[2][k]).sum(1)
                     near = (same >= least_size) & (threshold * np.maximum(n[mid:hi], few[1][k]) <= 100 * np.minimum(n[mid:hi], few[1][k])) & (ids[mid:hi] != few[0][k])
                     left.append(np.flatnonzero(near))
                     right.append(np.full(len(left[-1]), hi - mid + k))
+                    pairs += len(left[-1])
                 label = _labels(len(ends), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(ends))
                 tied = np.flatnonzero(label != np.arange(len(ends)))
                 if len(tied):
@@ -292,7 +297,7 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     bits = F.array(*(F.lit(int(np.uint64(1 << int(k)).view(np.int64))) for k in _ROOTS))
     rows = classes.select(F.posexplode("nodes").alias("_k", "node"), "id", "n", "sketch").select("node", "id", "n", "sketch", F.get(bits, F.col("_k")).alias("used"), F.lit(None).cast("long").alias("label"))
     own = F.coalesce("label", "id")
-    found = None
+    found, depth = None, 0
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("_c"), (F.min(own) == F.max(own)).alias("_one"))
         large = cut(sizes.where(F.col("_c") > LIMIT).select("node", "_one"))
@@ -309,15 +314,18 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
         tied = cut(inside.join(sent(pivots), "node").mapInArrow(_tie(least_size, threshold), _TIED_SQL))
         found = found.unionByName(tied.where("tie and id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
         # labels that the pivot ties together; a path has at most one for each of its levels
-        merged = tied.groupBy("node").agg(F.collect_set(F.when(F.col("tie"), F.col("label"))).alias("_merged"))
-        label = F.when(F.col("tie") | F.coalesce(F.array_contains("_merged", F.col("label")), F.lit(False)), F.col("pivot")).otherwise(F.col("label"))
-        labelled = tied.join(sent(merged), "node").select("node", "id", "n", "sketch", "used", label.alias("label"))
+        same = F.col("tie")
+        labelled = tied
+        if depth:  # there are no labels yet at the roots
+            merged = tied.groupBy("node").agg(F.collect_set(F.when(F.col("tie"), F.col("label"))).alias("_merged"))
+            labelled, same = tied.join(sent(merged), "node"), same | F.coalesce(F.array_contains("_merged", F.col("label")), F.lit(False))
+        labelled = labelled.select("node", "id", "n", "sketch", "used", F.when(same, F.col("pivot")).otherwise(F.col("label")).alias("label"))
         # all but the classes of a node's main label must meet the others yet
         counts = labelled.groupBy("node", "label").agg(F.count("*").alias("_k"))
         state = counts.groupBy("node").agg(F.sum("_k").alias("_c"), F.max(F.when(F.col("label").isNotNull(), F.struct("_k", "label"))).alias("_main"))
         others = F.col("_c") - F.col("_main._k")
         state = state.select("node", F.col("_main.label").alias("_label"), others.alias("_others"), F.ceil(F.col("_c") / SALT_ROWS).alias("_salts"), F.ceil(others / OPEN).alias("_chunks"), (others <= F.greatest(F.lit(OPEN), F.col("_c") / OPEN_SHARE)).alias("_done"))
-        labelled = labelled.join(sent(state), "node")
+        labelled, depth = cut(labelled.join(sent(state), "node")), depth + 1  # read three times from here
         ends = labelled.where("_done and _others > 0")
         few = ends.where("label is null or label != _label").withColumn("_s", F.explode(F.expr("sequence(0L, _salts - 1)"))).withColumn("_k", F.expr("pmod(xxhash64(id, 3), _chunks)")).withColumn("few", F.lit(True))
         all_of = ends.withColumn("_s", F.expr("pmod(xxhash64(id), _salts)")).withColumn("_k", F.explode(F.expr("sequence(0L, _chunks - 1)"))).withColumn("few", F.lit(False))
