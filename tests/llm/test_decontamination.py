@@ -95,3 +95,18 @@ def test_keep_clean(spark):
     got = dc.keep_clean(rows, spark.createDataFrame(bench, "item_id long, text string")).collect()
     hit = {(i, t) for i, t in docs if brute([(i, t)], bench)[0][2]}
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, t, "c")) for i, t in docs if (i, t) not in hit)
+
+
+@pytest.mark.parametrize("base", [2, 3, 64])
+def test_windows_in_any_base(monkeypatch, base):
+    monkeypatch.setattr(dc, "BASE", base)
+    docs, bench = corpus(6)
+    windows = dc.Windows([(str(i), dc._automaton.words((t or "").encode())) for i, t in bench], 5)
+    assert len(set(windows.digits.values())) == len(windows.digits)
+    for i, t in docs:
+        w = dc._automaton.words((t or "").encode())
+        which, end = windows.places(w)
+        hit = {p for k, e in zip(which.tolist(), end.tolist()) for p in range(e - int(windows.length[k]) + 1, e + 1)}
+        _, n, n_hit, n_items, _ = brute([(i, t)], bench, 5)[0]
+        assert (len(w), len(hit), len(set().union(*(windows.items[k] for k in which.tolist())))) == (n, n_hit, n_items)
+        assert windows.any_place(w) == (n_hit > 0)

@@ -1,8 +1,10 @@
 """Benchmark decontamination: windows of test items that occur in documents.
 
-All windows of the normalised items go into one Aho-Corasick automaton over words: an
-item's word is a number, and a word that no item has is 0. It reads each normalised
-text once; hits are mapped back to the original's code points. The items are
+All windows of the normalised items go into one Aho-Corasick automaton over words: each
+word of the items is a number of as many digits as they all need, the digits of each
+place having characters of their own, and any other word is the character 0. So a node
+has at most `BASE` children, which the automaton looks through one by one, and no match
+begins inside a word. It reads each normalised text once, as a string of such digits; hits are mapped back to the original's code points. The items are
 broadcast, at most `MOST_WORDS` words of them, and a worker process builds the
 automaton once: a window takes at most as many nodes as it has words.
 """
@@ -10,7 +12,7 @@ automaton once: a window takes at most as many nodes as it has words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import _automaton
 from tidemark.llm._spark import table
 
-#: Words of the items, at most (some 600 bytes each in a worker); more are refused, not cut.
-MOST_WORDS = 1_000_000
+BASE = 64
+#: Words of the items, at most (about two kilobytes each in a worker); more are refused, not cut.
+MOST_WORDS = 300_000
 #: Bytes of the items' texts that the driver reads, at most.
 MOST_BYTES = 32 << 20
 
@@ -32,35 +35,44 @@ _FOUND_SQL = "doc_id long, n_words long, items array<string>, hits array<struct<
 
 
 class Windows:
-    """The windows of (item, words) pairs as one automaton over word numbers."""
+    """The windows of (item, words) pairs as one automaton over the digits of word numbers."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        number: dict[bytes, int] = {}
+        found: dict[tuple[bytes, ...], set[str]] = {}
         for item, words in items:
-            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words)
-            for k in range(max(1, len(w) - size + 1) if w else 0):
-                found.setdefault(w[k : k + size], set()).update([item] if item is not None else [])
+            for x in words:
+                number.setdefault(x, len(number))
+            for k in range(max(1, len(words) - size + 1) if words else 0):
+                found.setdefault(tuple(words[k : k + size]), set()).update([item] if item is not None else [])
+        places = 1
+        while BASE**places < len(number):
+            places += 1
+        self.digits = {x: "".join([chr(1 + BASE * p + k // BASE**p % BASE) for p in range(places)]) for x, k in number.items()}
         self.items = list(found.values())
         self.length = np.array([len(w) for w in found], np.int64)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, w in enumerate(found):
-            self.automaton.add_word(w, k)
+            self.automaton.add_word(self._line(w), k)
         if found:
             self.automaton.make_automaton()
 
-    def _numbers(self, words: list[bytes]) -> tuple[int, ...]:
-        get = self.number.get
-        return tuple([get(x, 0) for x in words])
+    def _parts(self, words: Sequence[bytes]) -> list[str]:
+        get = self.digits.get
+        return [get(x, "\0") for x in words]
+
+    def _line(self, words: Sequence[bytes]) -> str:
+        return "".join(self._parts(words))
 
     def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(window, last word) of each occurrence in a text's words."""
-        hits = list(self.automaton.iter(self._numbers(words))) if self.items and words else []
+        parts = self._parts(words) if self.items else []
+        hits = list(self.automaton.iter("".join(parts))) if parts else []
         end, window = np.array(hits, np.int64).reshape(-1, 2).T
-        return window, end
+        return window, np.searchsorted(np.cumsum([len(x) for x in parts]) - 1, end) if hits else end
 
     def any_place(self, words: list[bytes]) -> bool:
-        return bool(self.items and words) and next(self.automaton.iter(self._numbers(words)), None) is not None
+        return bool(self.items and words) and next(self.automaton.iter(self._line(words)), None) is not None
 
 
 _built: dict[str, Windows] = {}
