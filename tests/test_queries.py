@@ -71,3 +71,13 @@ def test_the_model_learns_what_can_be_learned(spark, tmp_path):
     assert r.n == 200 and r.right >= 190
     assert sorted(out.first().event_probs) == ["c0", "c1", "c2", "c3"]
     assert ml.load_model(str(tmp_path / "nothing")) is None and ml.labels_file(str(tmp_path / "nothing")) is None
+
+
+def test_streams_over_files_in_no_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3, F.hash("event_id")).sortWithinPartitions(F.desc("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda q, sf: sorted(map(tuple, q(spark, sf).collect()))
+    for query in (Q.stream_once_each, Q.stream_motion_state, Q.stream_watermark_agg):
+        assert rows(query, str(tmp_path)) == rows(query, SF)

@@ -564,7 +564,8 @@ def session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.stream_events(spark, f"{sf_dir}/events.parque[t]")  # a pattern, so that it may be a file or a folder
+    """All files in one trigger, as they need not be in the order of ts; the path is a pattern, so that it may be a file or a folder."""
+    return live.stream_events(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=1_000_000)
 
 
 def stream_motion_state(spark: SparkSession, sf_dir: str) -> DataFrame:
