@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.byte_bpe import op11_byte_bpe
 from tidemark.llm.chat_format import OP10_SQL, op10_chat_format
 from tidemark.llm.decontamination import OP7_SQL, op7_decontamination
 from tidemark.llm.fingerprint import op1_fingerprint
@@ -17,7 +18,7 @@ from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from tidemark.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format)
+QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format, op11_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
