@@ -14,6 +14,7 @@ PATH = B.ranks_file()
 with open(PATH, "rb") as f:
     RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+BPE, DECODER = B.ByteBpe(PATH), B.Decoder(PATH)
 PARTS = ["a", " ", "  ", "\n", "\t", "é", "word", "'s", "'", "'re", "'ll", "'l", "re", "12", "!!", "\x85", "\x1c", "x.\ny", "<|endoftext|>", "漢", "́", "　", "🙂", "'S", "''s", " 's", "3's", "²", "Ⅷ", "zqxj", "thlyth"]
 
 
@@ -24,28 +25,27 @@ def split_up(ids, counts):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), min_size=1, max_size=6))
 def test_ids_are_the_librarys(texts):
-    own = B.bpe(PATH)
-    for text, ids in zip(texts, split_up(*own.encode(texts)), strict=True):
+    for text, ids in zip(texts, split_up(*BPE.encode(texts)), strict=True):
         assert ids.tolist() == LIBRARY.encode_ordinary(text)
-        assert own.decode(ids) == text.encode()
+        assert DECODER.decode(ids.tolist()) == text.encode()
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=4))
 def test_any_text(texts):
-    for text, ids in zip(texts, split_up(*B.bpe(PATH).encode(texts)), strict=True):
+    for text, ids in zip(texts, split_up(*BPE.encode(texts)), strict=True):
         assert ids.tolist() == LIBRARY.encode_ordinary(text)
 
 
 def test_every_character_of_the_planes_in_use():
-    own = B.bpe(PATH)
+    own = BPE
     texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}'s" for c in range(lo, lo + 512) if not 0xD800 <= c < 0xE000) for lo in [*range(0, 0x33480, 512), *range(0xE0000, 0xE0200, 512)]]
     for text, ids in zip(texts, split_up(*own.encode(texts)), strict=True):
         assert ids.tolist() == LIBRARY.encode_ordinary(text)
 
 
 def test_perfect_hash():
-    own = B.bpe(PATH).table
+    own = BPE.table
     assert sorted(own.keys.tolist()) == list(range(len(RANKS)))  # minimal: every slot holds one key
     keys = [*list(RANKS)[::7], b"zqxjv", b"\xff\xfe\xfd", b" nottherewhole"]
     blob = np.frombuffer(b"".join(keys), np.uint8)
@@ -70,7 +70,7 @@ def test_equal_hashes_of_different_pieces(monkeypatch):
 
 @pytest.mark.parametrize("piece", ["x" * 3000, "ab" * 999, "aaaaab" * 300, "é" * 501])
 def test_ties_and_long_pieces(piece):
-    assert B.bpe(PATH).merge(piece.encode()) == LIBRARY.encode_ordinary(piece)
+    assert BPE.merge(piece.encode()) == LIBRARY.encode_ordinary(piece)
 
 
 def test_segments_are_cut_where_the_pattern_splits():
@@ -95,9 +95,20 @@ def test_nulls_repeats_and_other_columns(spark):
 def test_decode_keeps_columns_and_refuses_unknown_ids(spark):
     rows = spark.createDataFrame([(1, [64, 65], b"mine"), (2, None, None), (3, [], None)], "k int, ids array<int>, DECODED binary")
     got = {r.k: r.decoded for r in B.decode(rows).collect()}
-    assert {k: v if v is None else bytes(v) for k, v in got.items()} == {1: B.bpe(PATH).decode(np.array([64, 65])), 2: None, 3: b""}
-    with pytest.raises(ValueError):
-        B.bpe(PATH).decode(np.array([60_000]))
+    assert {k: v if v is None else bytes(v) for k, v in got.items()} == {1: DECODER.decode([64, 65]), 2: None, 3: b""}
+    for unknown in (60_000, -1):
+        with pytest.raises(ValueError):
+            DECODER.decode([unknown])
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(B, "CACHE", 20)
+    own, words = B.ByteBpe(PATH), [f"zq{k:x}xj" for k in range(200)]
+    for _ in range(2):
+        for w in words:
+            ids, _ = own.encode([w])
+            assert ids.tolist() == LIBRARY.encode_ordinary(w)
+            assert len(own.known) + len(own.older) <= 20
 
 
 def test_very_long_text(spark):

@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tidemark.llm._spark import table
 
 #: Characters that are split at once, about; pre-tokens that a worker remembers, and their bytes at most.
-CHUNK, CACHE, CACHE_BYTES = 1 << 20, 400_000, 48
+CHUNK, CACHE, CACHE_BYTES = 1 << 19, 500_000, 48
 #: The classes of the split pattern, and its contractions after the apostrophe.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SHORT, LONG = "stmd", ("re", "ve", "ll")
@@ -170,12 +170,17 @@ def split(points: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> np.ndarr
     return np.flatnonzero(begins[:n])
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and their ranks from lines of a token in base 64 and its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class ByteBpe:
-    """Encoder and decoder for the ranks of a file: lines of a token in base 64 and its rank."""
+    """Encoder by the ranks of a file."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = read_ranks(path)
         self.tokens = list(ranks)
         self.table = PerfectHash(self.tokens)
         self.rank = np.array([ranks[t] for t in self.tokens], np.int64)
@@ -183,9 +188,8 @@ class ByteBpe:
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         #: (left id, right id) -> id of both together, for every way to cut a token in two tokens
         self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.place = np.full(int(self.rank.max()) + 1, -1, np.int64)
-        self.place[self.rank] = np.arange(len(self.tokens))
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: always the pair of the least rank is merged, the first of equal ones."""
@@ -217,11 +221,16 @@ class ByteBpe:
                     heappush(heap, x << 32 | prev)
         return [i for i in ids if i >= 0]
 
-    def missed(self, piece: bytes) -> np.ndarray:
+    def missed(self, piece: bytes) -> bytes:
+        """The ids of a pre-token that isn't a token, as 32-bit numbers; what was asked for lately is remembered."""
         out = self.known.get(piece)
         if out is None:
-            out = np.array(self.merge(piece), np.int32)
-            if len(piece) <= CACHE_BYTES and len(self.known) < CACHE:
+            out = self.older.get(piece)
+            if out is None:
+                out = np.array(self.merge(piece), np.int32).tobytes()
+            if len(piece) <= CACHE_BYTES:
+                if len(self.known) >= CACHE // 2:
+                    self.known, self.older = {}, self.known
                 self.known[piece] = out
         return out
 
@@ -257,35 +266,45 @@ class ByteBpe:
 
         counts = np.ones(len(starts), np.int64)
         if len(lost):
-            each = np.array([len(p) for p in pieces], np.int64)
+            each = np.array([len(p) for p in pieces], np.int64) // 4
             counts[lost] = each[which]
         ends = np.cumsum(counts)
         ids = np.empty(int(ends[-1]), np.int32)
         hit = np.flatnonzero(found >= 0)
         ids[(ends - 1)[hit]] = self.rank[found[hit]]
         if len(lost):
-            flat, begin = np.concatenate(pieces), np.cumsum(each) - each
+            flat, begin = np.frombuffer(b"".join(pieces), np.int32), np.cumsum(each) - each
             ids[_ramp((ends - counts)[lost], counts[lost])] = flat[_ramp(begin[which], each[which])]
         return ids, np.diff(np.concatenate([[0], ends])[out_of])
 
-    def decode(self, ids: np.ndarray) -> bytes:
+
+class Decoder:
+    """Ids to bytes by the ranks of a file."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
+    def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; an id without a token is an error."""
-        if not len(ids):
-            return b""
-        ids = np.asarray(ids, np.int64)
-        if ids.min() < 0 or ids.max() >= len(self.place) or (place := self.place[ids]).min() < 0:
-            raise ValueError("an id has no token")
-        return self.table.blob[_ramp(self.table.starts[place], self.table.lengths[place])].tobytes()
+        try:
+            if ids and min(ids) < 0:
+                raise IndexError
+            return b"".join(map(self.tokens.__getitem__, ids))
+        except (IndexError, TypeError) as error:
+            raise ValueError("an id has no token") from error
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple[type, str], ByteBpe | Decoder] = {}
 
 
-def bpe(path: str) -> ByteBpe:
-    """The encoder of a file, made once in a process."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+def loaded(kind: type, path: str) -> ByteBpe | Decoder:
+    """The encoder or decoder of a file, made once in a process."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def segments(text: str, most: int) -> Iterator[str]:
@@ -299,7 +318,7 @@ def segments(text: str, most: int) -> Iterator[str]:
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe(path)
+        own = loaded(ByteBpe, path)
 
         def out(docs: list, texts: list[str]) -> pa.RecordBatch:
             parts = [list(segments(t, CHUNK)) for t in texts]
@@ -361,12 +380,12 @@ def decode(rows: DataFrame, ranks: str | None = None, ids: str = "ids") -> DataF
     schema = StructType([*lists.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe(path)
+        own = loaded(Decoder, path)
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 lists = part.column(part.schema.get_field_index(ids))
-                out = [None if not x.is_valid else own.decode(x.values.to_numpy(zero_copy_only=False)) for x in lists]
+                out = [None if not x.is_valid else own.decode(x.values.to_pylist()) for x in lists]
                 yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return lists.mapInArrow(run, schema)
@@ -375,19 +394,26 @@ def decode(rows: DataFrame, ranks: str | None = None, ids: str = "ids") -> DataF
 _DIGEST_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the ids in decimal and of the decoded bytes, of one row at a time."""
-    for batch in batches:
-        texts = []
-        for ids in batch.column("ids"):
-            digest, values, gap = hashlib.sha256(), ids.values, ""
-            for lo in range(0, len(values), 65_536):
-                digest.update((gap + " ".join(map(str, values.slice(lo, 65_536).to_pylist()))).encode())
-                gap = " "
-            texts.append(digest.hexdigest())
-        decoded = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("decoded")]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("n_tokens"), pa.array(texts), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _digests(path: str):
+    """Digests of the ids in decimal and of the bytes that they decode to, of some thousand ids at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(Decoder, path)
+        decimal = list(map(str, range(len(own.tokens))))
+        for batch in batches:
+            written, decoded = [], []
+            for ids in batch.column("ids"):
+                text, back, values = hashlib.sha256(), hashlib.sha256(), ids.values
+                for lo in range(0, len(values), 65_536):
+                    part = values.slice(lo, 65_536).to_numpy(zero_copy_only=False).tolist()
+                    text.update(((" " if lo else "") + " ".join(map(decimal.__getitem__, part))).encode())
+                    back.update(own.decode(part))
+                written.append(text.hexdigest())
+                decoded.append(back.hexdigest())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("n_tokens"), pa.array(written, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents"))).mapInArrow(_digests, _DIGEST_SQL)
+    return encode(table(spark, sf_dir, "documents")).mapInArrow(_digests(ranks_file()), _DIGEST_SQL)
