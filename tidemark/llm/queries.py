@@ -17,9 +17,10 @@ from tidemark.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from tidemark.llm.quality import op5_quality_classifier
 from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.substring_dedup import OP4_SQL, op4_substring_dedup
+from tidemark.llm.time_partitions import op13_time_partitions
 from tidemark.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format, op11_byte_bpe, op12_prefix_trie)
+QUERIES = (op1_fingerprint, op2_near_dedup, op3_packing, op4_substring_dedup, op5_quality_classifier, op6_secret_scan, op7_decontamination, op8_url_filter, op9_license_scan, op10_chat_format, op11_byte_bpe, op12_prefix_trie, op13_time_partitions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
