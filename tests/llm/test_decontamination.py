@@ -76,12 +76,16 @@ def test_item_without_id(spark):
     assert run(spark, [(1, "a b c")], [(None, "b")])[0][2:4] == (1, 0)
 
 
-@pytest.mark.parametrize("limit", ["MOST_WORDS", "MOST_BYTES"])
-def test_items_beyond_the_limit_are_an_error(spark, monkeypatch, limit):
-    monkeypatch.setattr(dc, limit, 5)
+@pytest.mark.parametrize("most,piece", [(5, 3), (40, 10_000), (60, 1)])
+def test_items_beyond_one_automaton(spark, monkeypatch, most, piece):
+    monkeypatch.setattr(dc, "MOST_WORDS", most)
+    monkeypatch.setattr(dc, "PIECE", piece)
     docs, bench = corpus(3)
-    with pytest.raises(ValueError):
-        run(spark, docs, bench)
+    docs, bench = docs[:40], bench[:4] + bench[-4:]
+    assert run(spark, docs, bench, 4) == brute(docs, bench, 4)
+    rows = spark.createDataFrame(docs, "doc_id long, TEXT string")
+    got = dc.keep_clean(rows, spark.createDataFrame(bench, "item_id long, text string"), 4).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(d) for d in docs if not brute([d], bench, 4)[0][2])
 
 
 def test_very_long_text(spark):

@@ -154,3 +154,11 @@ def test_very_long_text_and_repeated_labelled_rows(spark):
     labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
     out = quality.score(docs, quality.train(docs, labels, sample=50)).collect()
     assert len(out) == 502 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_columns_in_any_case_stay(spark):
+    rows = [(k, f"some words of text {k}", "mine", 1.5) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, Score string, SCORE_ double")
+    got = quality.keep_good(docs, quality.Model(None), accept=0.5)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows
+    assert quality.score(docs, quality.Model(None)).columns == ["doc_id", "Text", "SCORE_", "score"]

@@ -174,3 +174,9 @@ def test_all_spans_match_brute_force_on_all_rows(spark):
 def test_very_long_text():
     text = "word " * 2_000_000 + "token = abcdef123 " + "deadbeef" * 100_000 + " password: hunter2x"
     assert [x[0] for x in SCAN(text)] == ["assign", "hex", "assign"]
+
+
+def test_redact_columns_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "password = abcdef12", 3, "x"), (2, None, None, "y")], "doc_id long, TEXT string, N_Chars int, spans string")
+    got = ss.redact(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "[secret]", 8, "x"), (2, None, None, "y")]

@@ -64,10 +64,15 @@ def test_many_rules_of_one_host():
     assert trie.find("big.example", "/pag") is None
 
 
-def test_too_many_rules_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(uf, "MOST_RULES", 2)
-    with pytest.raises(ValueError):
-        uf.filter_urls(frame(spark, URLS), uf.RULES)
+@pytest.mark.parametrize("most", [1, 2, 7])
+def test_rules_beyond_one_trie(spark, monkeypatch, most):
+    monkeypatch.setattr(uf, "MOST_RULES", most)
+    rules = [uf.Rule(v, h, p) for v in ("block", "allow") for h in ("a", "b.a", "net") for p in ("/", "/p") if (v, h) != ("allow", "a")]
+    urls = ["s://b.a/p/q", "s://a/pq", "s://x.net/p", "s://b.a/", *URLS]
+    want = [(k, *brute(u, rules)) for k, u in enumerate(urls)]
+    assert sorted(tuple(r) for r in uf.filter_urls(frame(spark, urls), rules).collect()) == want
+    held = spark.createDataFrame(rules + rules[:3], "verdict string, host string, path string")
+    assert sorted(tuple(r) for r in uf.filter_urls(frame(spark, urls), held).collect()) == want
 
 
 def test_very_long_url(spark):

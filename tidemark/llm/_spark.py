@@ -54,6 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column_index(df: DataFrame, name: str) -> int:
+    """The place of a column whose name may be spelled in any case, the exact spelling first."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def known_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

@@ -4,9 +4,12 @@ All windows of the normalised items go into one Aho-Corasick automaton over word
 word of the items is a number of as many digits as they all need, the digits of each
 place having characters of their own, and any other word is the character 0. So a node
 has at most `BASE` children, which the automaton looks through one by one, and no match
-begins inside a word. It reads each normalised text once, as a string of such digits; hits are mapped back to the original's code points. The items are
-broadcast, at most `MOST_WORDS` words of them, and a worker process builds the
-automaton once: a window takes at most as many nodes as it has words.
+begins inside a word. It reads each normalised text once, as a string of such digits;
+hits are mapped back to the original's code points. The items are broadcast and a worker
+process builds the automaton once: a window takes at most as many nodes as it has words.
+
+Items of more than `MOST_WORDS` words are dealt to as many automata as they need, and
+the documents pass one after the other, so a worker and the driver hold one at a time.
 """
 
 from __future__ import annotations
@@ -21,13 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _automaton
-from tidemark.llm._spark import table
+from tidemark.llm._spark import column_index, cut, table
 
 BASE = 64
-#: Words of the items, at most (about two kilobytes each in a worker); more are refused, not cut.
-MOST_WORDS = 300_000
-#: Bytes of the items' texts that the driver reads, at most.
-MOST_BYTES = 32 << 20
+#: Words of an automaton, about (some two kilobytes each in a worker), and of a piece of an item.
+MOST_WORDS, PIECE = 300_000, 10_000
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", _SPAN), ("spans", _SPAN)])
@@ -86,55 +87,91 @@ def _windows(key: str, items: list[tuple[str | None, list[bytes]]], size: int) -
     return _built[key]
 
 
-def _sent(benchmark: DataFrame, window: int) -> tuple:
-    """(broadcast items, a key for them)."""
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """item, words (one space between them) and n of each item, in pieces that share window - 1 words with the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item"), batch.column("text"), strict=True):
+                w = _automaton.words((text.as_py() or "").encode())
+                parts = [w[k : k + PIECE + window - 1] for k in range(0, max(1, len(w) - window + 1), PIECE)] if w else []
+                yield pa.record_batch([pa.array([item.as_py()] * len(parts), pa.string()), pa.array([b" ".join(x).decode() for x in parts], pa.string()), pa.array([len(x) for x in parts], pa.int64())], ["item", "words", "n"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MOST_BYTES:
-        raise ValueError(f"the items have over {MOST_BYTES} bytes")
-    held = sorted(((r.item, _automaton.words((r.text or "").encode())) for r in items.collect()), key=repr)
-    if sum(len(w) for _, w in held) > MOST_WORDS:
-        raise ValueError(f"the items have over {MOST_WORDS} words")
-    return benchmark.sparkSession.sparkContext.broadcast(held), hashlib.sha256(repr((window, held)).encode()).hexdigest()
+    return items.mapInArrow(run, "item string, words string, n long")
+
+
+def _sent(benchmark: DataFrame, window: int) -> Iterator[tuple]:
+    """(broadcast items, a key for them) of each automaton; one if the items fit into it, even without any."""
+    pieces = cut(_pieces(benchmark, window))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    parts = 1 if total <= MOST_WORDS else -(-2 * total // MOST_WORDS)
+    part = F.pmod(F.xxhash64("item", "words"), F.lit(parts).cast("long"))
+    for k in range(parts):
+        held = sorted(((r.item, r.words.encode().split(b" ")) for r in pieces.where(part == k).collect()), key=repr)
+        if held or parts == 1:
+            yield benchmark.sparkSession.sparkContext.broadcast(held), hashlib.sha256(repr((window, held)).encode()).hexdigest()
 
 
-def _scan(sent, key: str, size: int):
+_TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("items", pa.list_(pa.string())), ("hits", _SPAN)])
+_TEXT_SQL = "doc_id long, text string, items array<string>, hits array<struct<start:long,end:long>>"
+
+
+def _scan(sent, key: str, size: int, last: bool):
+    """Adds an automaton's items and hits to those of each text; the last one gives words and spans in the text's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _windows(key, sent.value, size)
         for batch in batches:
             n_words, items, hits, spans = [], [], [], []
-            for x in batch.column("text"):
+            for x, old, had in zip(*(batch.column(c) for c in ("text", "items", "hits")), strict=True):
                 text = x.as_py() or ""
                 w = _automaton.words(text.encode())
                 which, end = windows.places(w)
                 mask = np.zeros(len(w) + 1, np.int64)
                 np.add.at(mask, end - windows.length[which] + 1, 1)
                 np.add.at(mask, end + 1, -1)
+                for r in had.as_py():
+                    mask[r["start"]] += 1
+                    mask[r["end"]] -= 1
                 runs = _automaton.runs(np.cumsum(mask)[: len(w)] > 0)
-                at = _automaton.spans(text) if runs else []
                 n_words.append(len(w))
-                items.append(sorted(set().union(*(windows.items[k] for k in set(which.tolist())))))
+                items.append(sorted(set(old.as_py()).union(*(windows.items[k] for k in set(which.tolist())))))
                 hits.append([{"start": a, "end": b} for a, b in runs])
-                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, _SPAN), pa.array(spans, _SPAN)], schema=_FOUND)
+                if last:
+                    at = _automaton.spans(text) if runs else []
+                    spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs])
+            found = [pa.array(items, pa.list_(pa.string())), pa.array(hits, _SPAN)]
+            if last:
+                yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), *found, pa.array(spans, _SPAN)], schema=_FOUND)
+            else:
+                yield pa.record_batch([batch.column("doc_id"), batch.column("text"), *found], schema=_TEXT)
 
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """The rows of docs without any window of an item, with all their columns.
 
     Null and empty texts and null ids stay; repeated rows are judged each; an empty table
-    of either kind removes nothing. A very long text is scanned whole, in one task.
+    of either kind removes nothing. A very long text is scanned whole, in one task. The
+    text's column may be spelled in any case.
     """
-    sent, key = _sent(benchmark, window)
+    at = column_index(docs, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(key, sent.value, window)
-        for batch in batches:
-            hit = [windows.any_place(_automaton.words((x.as_py() or "").encode())) for x in batch.column("text")]
-            yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
+    def of(sent, key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = _windows(key, sent.value, window)
+            for batch in batches:
+                hit = [windows.any_place(_automaton.words((x.as_py() or "").encode())) for x in batch.column(at)]
+                yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    out = None
+    for sent, key in _sent(benchmark, window):
+        out = (docs if out is None else cut(out)).mapInArrow(of(sent, key), docs.schema)
+    return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -146,9 +183,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     item without an id marks words but isn't listed. A very long text is scanned whole,
     in one task. Other columns are not read.
     """
-    sent, key = _sent(benchmark, window)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_scan(sent, key, window), _FOUND_SQL)
+    nothing = [F.array().cast(t).alias(c) for c, t in (("items", "array<string>"), ("hits", "array<struct<start:long,end:long>>"))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *nothing)
+    parts = list(_sent(benchmark, window))
+    for sent, key in parts[:-1]:
+        rows = cut(rows.mapInArrow(_scan(sent, key, window, False), _TEXT_SQL))
+    found = rows.mapInArrow(_scan(*parts[-1], window, True), _FOUND_SQL)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "spans")
 

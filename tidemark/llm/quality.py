@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import _words
-from tidemark.llm._spark import table
+from tidemark.llm._spark import column_index, new_name, table
 
 #: Positive rows that a model is fitted on, at most, and the unlabelled rows that the hash sample aims at.
 SAMPLE = 20_000
@@ -242,12 +242,13 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     All rows and other columns stay, null ids and repeated rows too; null and empty texts
     are scored as empty texts, very long ones whole, in one task; an empty table stays empty.
+    The text's column may be spelled in any case.
     """
-    docs = docs.drop(column)
+    docs, at = docs.drop(column), column_index(docs.drop(column), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.scores(features(w)) for _, _, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.SAME)]
+            parts = [model.scores(features(w)) for _, _, w in _words.words_of(batch.column(at), _words.NOT_SPACE, _words.SAME)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.record_batch([*batch.columns, pa.array(scores)], [*batch.schema.names, column])
 
@@ -260,9 +261,7 @@ ACCEPT = 0.7
 
 def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
     """The rows of docs with a score of `accept` and more, with all their columns, whatever these are called."""
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = new_name(docs, "score")
     return score(docs, model, name).where(F.col(name) >= accept).select(docs.columns)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import table
+from tidemark.llm._spark import column_index, table
 
 LEAST, RATIO = 20, 2.2
 
@@ -153,9 +153,11 @@ def redact(docs: DataFrame, files: tuple[str, str] | None = None, mark: str = "[
     """docs with each secret of `text` replaced by a mark, and n_chars, if there is one, counted anew.
 
     Touching and overlapping spans become one mark. All columns and rows stay, null and
-    repeated ones too; an empty table stays empty; a very long text is one string in one task.
+    repeated ones too; an empty table stays empty; a very long text is one string in one task. The columns may be
+    spelled in any case.
     """
-    files = files or vocabulary_files()
+    files, k = files or vocabulary_files(), column_index(docs, "text")
+    text = docs.columns[k]
 
     def hide(scan: Callable, text: str | None) -> str | None:
         if not text:
@@ -170,11 +172,13 @@ def redact(docs: DataFrame, files: tuple[str, str] | None = None, mark: str = "[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scanner(files)
         for batch in batches:
-            k = batch.schema.get_field_index("text")
             yield batch.set_column(k, batch.schema.field(k), pa.array([hide(scan, x.as_py()) for x in batch.column(k)], batch.schema.field(k).type))
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" not in (c.lower() for c in docs.columns):
+        return out
+    counted = docs.schema[column_index(docs, "n_chars")]
+    return out.withColumn(counted.name, F.char_length(text).cast(counted.dataType))
 
 
 def _line(spans: Column) -> Column:

@@ -2,8 +2,10 @@
 
 The rules are a trie over reversed host labels and then path segments. What follows a
 path's last slash may be a part of a segment; a node finds it by the lengths that its
-rules have there, the longest first. The trie is broadcast as the list of its rules,
-at most `MOST_RULES` of them, and built once in each worker process.
+rules have there, the longest first. The trie is broadcast as the list of its rules and
+built once in each worker process. More than `MOST_RULES` rules are dealt to as many
+tries as they need, and the pages pass one after the other, each row keeping the longest
+match so far, so that a worker and the driver hold one trie at a time.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import table
+from tidemark.llm._spark import cut, table
 
-#: Rules that are broadcast (a trie takes some 300 bytes for each); a longer list is refused, not cut.
+#: Rules of a trie, about (it takes some 300 bytes for each).
 MOST_RULES = 1_000_000
 
 
@@ -89,8 +91,8 @@ class Trie:
         return best
 
 
-_JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
-_JUDGED_SQL = "page_id long, host string, path string, rule string, verdict string"
+_JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("size", pa.int64())])
+_JUDGED_SQL = "page_id long, host string, path string, rule string, verdict string, size long"
 
 
 _tries: dict[str, Trie] = {}
@@ -104,6 +106,20 @@ def _trie(key: str, rules: list[tuple]) -> Trie:
     return _tries[key]
 
 
+def _tries_of(spark: SparkSession, rules: list[Rule] | DataFrame) -> Iterator[tuple]:
+    """(broadcast rules, a key for them) of each trie; one if the rules fit into it, even without any."""
+    if isinstance(rules, DataFrame):
+        rules = rules.select("verdict", "host", "path").distinct()
+        total = rules.count()
+        parts = 1 if total <= MOST_RULES else -(-2 * total // MOST_RULES)
+        part = F.pmod(F.xxhash64("host", "path"), F.lit(parts).cast("long"))
+        blocks = ([tuple(r) for r in rules.where(part == k).collect()] for k in range(parts))
+    else:
+        blocks = ([tuple(r) for r in rules[k : k + MOST_RULES]] for k in range(0, max(1, len(rules)), MOST_RULES))
+    for held in blocks:
+        yield spark.sparkContext.broadcast(held), hashlib.sha256(repr(sorted(held)).encode()).hexdigest()
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages.
 
@@ -112,26 +128,34 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default
     rule that fits, rule is null and the verdict the default. A null URL or one without
     :// has an empty host and path; a very long one is split like others; null ids stay;
     repeated rows are judged each; an empty table gives no rows. Other columns are not
-    read. Rules are a list, or a table with verdict, host and path; more than MOST_RULES
-    are an error.
+    read. Rules are a list, or a table with verdict, host and path, of any length.
     """
-    if isinstance(rules, DataFrame):
-        rules = [Rule(*r) for r in rules.select("verdict", "host", "path").limit(MOST_RULES + 1).collect()]
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    key = hashlib.sha256(repr(sorted(rules)).encode()).hexdigest()
-    sent = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in rules])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(key, sent.value)
-        for batch in batches:
-            parts = [split_url(x) for x in batch.column("url").to_pylist()]
-            found = [trie.find(*p) for p in parts]
-            columns = [[h for h, _ in parts], [p for _, p in parts], [str(r) if r else None for r in found], [r.verdict if r else default for r in found]]
-            yield pa.record_batch([batch.column("page_id"), *(pa.array(c, pa.string()) for c in columns)], schema=_JUDGED)
-
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return urls.mapInArrow(run, _JUDGED_SQL)
+
+    def of(sent, key: str, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = _trie(key, sent.value)
+            for batch in batches:
+                if first:
+                    parts = [split_url(x) for x in batch.column("url").to_pylist()]
+                    best = [(None, default, -1)] * len(parts)
+                else:
+                    parts = list(zip(*(batch.column(c).to_pylist() for c in ("host", "path")), strict=True))
+                    best = list(zip(*(batch.column(c).to_pylist() for c in ("rule", "verdict", "size")), strict=True))
+                for k, p in enumerate(parts):
+                    if (r := trie.find(*p)) is not None:
+                        # by length, then by the host's; the same rule may come twice, with either verdict
+                        new = (str(r), r.verdict, (len(r.host) + len(r.path)) << 31 | len(r.host))
+                        if new[2] > best[k][2] or new[2] == best[k][2] and new[1] < best[k][1]:
+                            best[k] = new
+                columns = [pa.array([x[k] for x in parts], pa.string()) for k in (0, 1)] + [pa.array([x[k] for x in best], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+                yield pa.record_batch([batch.column("page_id"), *columns], schema=_JUDGED)
+
+        return run
+
+    rows, out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), None
+    for sent, key in _tries_of(pages.sparkSession, rules):
+        out = (rows if out is None else cut(out)).mapInArrow(of(sent, key, out is None), _JUDGED_SQL)
+    return out.drop("size")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
