@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.text import json_text, number, prompt, summary_lines
-from tidemark.operators.ranking import numbered
-
-#: Buckets that a group is dealt to where rows are numbered, at least, and rows of a bucket, about.
-BUCKETS, BUCKET_ROWS = 64, 1_000_000
+from tidemark.operators import sampling
 
 
 def last_wins(rows: DataFrame, key: str, position: Column | str) -> DataFrame:
@@ -90,39 +87,23 @@ def class_weights(rows: DataFrame, vocabulary: DataFrame, label: str) -> DataFra
     return out.select(label, "n", (F.col("_total") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
-def balance(rows: DataFrame, label: str, key: str) -> DataFrame:
-    """Every label raised to the largest count by repeating rows, with copy (0 for the row itself).
-
-    Row i of n in the order (key mod buckets, key) gets a copy for each number under the
-    largest count that is i modulo n. Numbers are dealt in buckets, see `numbered`, of
-    which there are BUCKETS, or more for a label of over BUCKETS * BUCKET_ROWS rows.
-    """
-    counts = class_counts(rows, label)
-    most = counts.agg(F.max("n")).first()[0] or 0
-    buckets = max(BUCKETS, -(-most // BUCKET_ROWS))
-    sizes = counts.withColumnRenamed("n", "_n")
-    ranked = numbered(rows, "_rank", F.pmod(F.col(key), F.lit(buckets)), [key], [label])
-    same = ranked[label].eqNullSafe(sizes[label])
-    joined = ranked.join(sizes, same).select(*(ranked[c] for c in rows.columns), "_rank", "_n")  # the planner picks by the labels' number
-    copies = F.floor((F.lit(most) - 1 - F.col("_rank")) / F.col("_n")).cast("int")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_rank", "_n")
-
-
-#: Codes of the permutation, a prime.
-CODES = 10007
+def balance(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """Every label raised to the largest count by drawing its rows with replacement, with copy (0 for the row itself)."""
+    drawn = sampling.with_replacement(rows, key, label, seed)
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).drop("copies")
 
 
-def shuffled(rows: DataFrame, key: str, into: str = "place", count: int = 0) -> DataFrame:
-    """Each row's place in a fixed permutation, by (7919 key mod CODES, key); the places are dealt in buckets of codes, more of them for more rows."""
-    code = F.pmod(F.col(key) * 7919, F.lit(CODES))
-    width = max(1, CODES // max(BUCKETS, -(-count // BUCKET_ROWS)) + 1)
-    return numbered(rows.withColumn("_code", code), into, F.floor(F.col("_code") / width).cast("int"), ["_code", key]).drop("_code")
+def shuffled(rows: DataFrame, key: str, into: str = "place", seed: int = 42, count: int | None = None) -> DataFrame:
+    """Each row's place in a seeded permutation of all places; count: the rows, if they are counted already."""
+    n = rows.count() if count is None else count
+    ranked = sampling.hash_ranked(rows, "_rank", key)
+    return ranked.withColumn(into, sampling.permuted(F.col("_rank"), n, seed).cast("long")).drop("_rank")
 
 
-def train_validation(rows: DataFrame, key: str, fraction: float = config.DEFAULTS.train_fraction) -> DataFrame:
+def train_validation(rows: DataFrame, key: str, fraction: float = config.DEFAULTS.train_fraction, seed: int = 42) -> DataFrame:
     """rows with place and split: the first floor(fraction n) train, the rest validation; without a rest, all are both."""
     total = rows.count()
-    placed, cut = shuffled(rows, key, count=total), int(total * fraction)
+    placed, cut = shuffled(rows, key, seed=seed, count=total), int(total * fraction)
     split = F.array(F.lit("train"), F.lit("validation")) if cut >= total else F.when(F.col("place") < cut, F.array(F.lit("train"))).otherwise(F.array(F.lit("validation")))
     return placed.withColumn("split", F.explode(split))
 

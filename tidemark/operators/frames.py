@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
-from tidemark.functions.signals import clamp, col, exact_mean, exact_std, logistic_posture, safe_divide
+from tidemark.functions.signals import clamp, col, exact_mean, exact_std, logistic_posture, round_4, safe_divide
 from tidemark.functions.vectors import keypoint_motion
 
 #: Distress is motion's standard deviation by this.
@@ -132,7 +132,7 @@ def latency_gate(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
 def series_of(value: str, settings: Settings = DEFAULTS) -> Column:
     """Aggregate: the first values of a clip in frame order, four places each. Only those are gathered."""
     kept = F.when(F.col("frame_idx") < settings.series_cap, F.struct("frame_idx", F.col(value).alias("x")))
-    return F.transform(F.array_sort(F.collect_list(kept)), lambda r: F.bround(r["x"], 4))
+    return F.transform(F.array_sort(F.collect_list(kept)), lambda r: round_4(r["x"]))
 
 
 def series(frames: DataFrame, value: str, into: str, settings: Settings = DEFAULTS) -> DataFrame:

@@ -197,6 +197,14 @@ def _reply_rows(evidence: str, stripped: bool) -> list[tuple]:
     return rows if stripped else [*rows, (10, 0, "fainting", 0.9, 0, evidence, a)]
 
 
+
+def _mix(x: str, seed: int) -> str:
+    """31 bits of a number and a seed, by products under 2 ** 63."""
+    first = f"(({x} % 2147483648) * 1540483477 + ({x} // 2147483648) % 2147483648 + {seed * 40503}) % 4294967296"
+    fold = lambda y, shift, m: f"list_transform([{y}], lambda y: (xor(y, y >> {shift}) % 2147483648 * {m}) % 4294967296 + y // 2147483648)[1]"
+    return f"list_transform([{fold(fold(first, 16, 668265263), 15, 374761393)}], lambda y: xor(y, y >> 16) % 2147483648)[1]"
+
+
 ORACLES: dict[str, str] = {
     "clip_signals": f"WITH {SIGNALS} SELECT * FROM signals",
     "camera_signals": f"WITH {CAMERAS}, {_SUMS} SELECT * FROM signals",
@@ -282,11 +290,26 @@ FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""",
 UNION ALL {_synthetic('none', 10_000_000, 400)} UNION ALL {_synthetic('shoplifting', 20_000_000, 300)}""",
     "sft_rows": f"""WITH {_LABELLED} SELECT sample_id, label, md5({_text(TRAINING)} || {_WINDOW_SUMMARY} || {_text(TAIL)}) AS prompt_md5, {_RESPONSE.replace('EVIDENCE', _template('label', 0)).replace('ACTION', _template('label', 1))} AS response FROM labelled""",
     "sft_scan": f"""WITH {_LABELLED} SELECT {_RESPONSE.replace('EVIDENCE', _template('label', 0)).replace('ACTION', _template('label', 1))} AS response, count(*) AS n, count(DISTINCT {_WINDOW_SUMMARY}) AS prompts FROM labelled GROUP BY 1""",
-    "sft_balanced": """WITH ranked AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id % 64, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events),
-most AS (SELECT max(n) AS m FROM ranked)
-SELECT event_type, event_id, copy FROM ranked, most, LATERAL (SELECT unnest(range(0, (m - 1 - r) // n + 1)) AS copy)""",
-    "train_val_split": """WITH placed AS (SELECT vec_id, CAST(label AS BIGINT) AS label, row_number() OVER (ORDER BY (vec_id * 7919) % 10007, vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings)
-SELECT vec_id, label, place, CASE WHEN place < floor(n * CAST(0.85 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split FROM placed""",
+    "sft_balanced": f"""WITH coded AS (SELECT event_type, event_id, {_mix('event_id', 0)} AS code FROM events),
+ranked AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY code, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM coded),
+short AS (SELECT event_type, n, (SELECT max(n) FROM ranked) - n AS m FROM ranked GROUP BY 1, 2),
+draws AS (SELECT event_type, n, unnest(range(m)) AS j FROM short),
+taken AS (SELECT event_type, ({_mix('j', 84)} * 2147483648 + {_mix('j', 85)}) % n AS r, count(*) AS times FROM draws GROUP BY 1, 2)
+SELECT event_type, event_id, unnest(range(coalesce(times, 0) + 1)) AS copy FROM ranked LEFT JOIN taken USING (event_type, r)""",
+    "train_val_split": f"""WITH coded AS (SELECT vec_id, CAST(label AS BIGINT) AS label, {_mix('vec_id', 0)} AS code, count(*) OVER () AS n FROM embeddings),
+ranked AS (SELECT *, CAST(floor(sqrt(n)) AS BIGINT) + 1 AS a, row_number() OVER (ORDER BY code, vec_id) - 1 AS x FROM coded),
+sized AS (SELECT *, (n + a - 1) // a AS b FROM ranked),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT vec_id, n, a, b, x AS y, 0 AS k FROM sized
+    UNION ALL SELECT vec_id, n, a, b, (high2 * a + low2) AS y, k + 1 FROM (
+      SELECT *, (high1 + {_mix('low2', 171)}) % b AS high2 FROM (
+        SELECT *, (low1 + {_mix('high1', 170)}) % a AS low2 FROM (
+          SELECT *, (y // a + {_mix('low1', 169)}) % b AS high1 FROM (
+            SELECT *, (y % a + {_mix('(y // a)', 168)}) % a AS low1 FROM w WHERE k = 0 OR y >= n))))
+  ) SELECT vec_id, y AS place FROM w WHERE k > 0 AND y < n
+)
+SELECT vec_id, label, place, CASE WHEN place < floor(n * CAST(0.85 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split FROM sized JOIN walk USING (vec_id)""",
     "chat_messages": f"""SELECT doc_id, CAST(0 AS BIGINT) AS pos, 'system' AS role, CASE WHEN doc_id % 2 = 0 THEN 'Own system.' ELSE {_text(SYSTEM)} END AS content FROM documents
 UNION ALL SELECT doc_id, 1, 'user', trim(lang) FROM documents UNION ALL SELECT doc_id, 2, 'assistant', trim(source) FROM documents""",
     "chat_render": _CHATS.format(f"CASE WHEN arg_min(role, turn) <> 'system' THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) ELSE '' END || string_agg({_BLOCK}, '' ORDER BY turn)"),
