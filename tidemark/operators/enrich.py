@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,19 +45,65 @@ def http_hosted(endpoint: str, key: str, timeout: float = 15.0, temperature: flo
     return ask
 
 
-def ask_model(rows: DataFrame, key: str, text: str, client: Callable[[str], str]) -> DataFrame:
-    """(key, reply) for each row; a failed call is an empty reply. Filter rows before: Spark won't move a filter below this."""
-    kind = rows.schema[key].dataType.simpleString()
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls a model: calls in flight, tries for each, the first pause between them (it doubles), and seconds for all of a partition's."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(t: str) -> str:
+    in_flight: int = 8
+    tries: int = 3
+    pause: float = 0.5
+    deadline: float = 3600.0
+
+
+def answers(texts: Iterator[str], client: Callable[[str], str], calls: Calls) -> Iterator[str]:
+    """The reply to each text, in order, with at most in_flight calls at once and as many texts read ahead.
+
+    A call that fails is tried again after a pause; after its last try, or past the
+    deadline, the reply is empty.
+    """
+    end = time.monotonic() + calls.deadline
+
+    def one(text: str) -> str:
+        for k in range(calls.tries):
+            if time.monotonic() >= end:
+                return ""
             try:
-                return client(t)
+                return client(text)
             except Exception:  # noqa: BLE001 - the model is optional
-                return ""
+                if k < calls.tries - 1:
+                    time.sleep(max(0.0, min(calls.pause * 2**k, end - time.monotonic())))
+        return ""
+
+    with ThreadPoolExecutor(calls.in_flight) as pool:
+        waiting: deque = deque()
+        for text in texts:
+            waiting.append(pool.submit(one, text))
+            if len(waiting) >= calls.in_flight:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
 
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "reply": [one(t) for t in batch[text]]})
+def ask_model(rows: DataFrame, key: str, text: str, client: Callable[[str], str], calls: Calls = Calls()) -> DataFrame:  # noqa: B008 - it is frozen
+    """(key, reply) for each row; a failed call is an empty reply. Filter rows before: Spark won't move a filter below this."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: deque = deque()
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                keys.extend(batch[key])
+                yield from batch[text]
+
+        done: list[str] = []
+        for reply in answers(texts(), client, calls):
+            done.append(reply)
+            if len(done) >= 256:
+                yield pd.DataFrame({key: [keys.popleft() for _ in done], "reply": done})
+                done = []
+        if done:
+            yield pd.DataFrame({key: [keys.popleft() for _ in done], "reply": done})
 
     return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, reply string")
 

@@ -241,6 +241,8 @@ changed AS (SELECT *, abs(brightness - lag(brightness) OVER v) AS m, abs(area -
 SELECT clip_id, count(*) AS sample_count, coalesce({_mean('m')}, CAST(0 AS DOUBLE)) AS motion_mean, coalesce({_std('m')}, CAST(0 AS DOUBLE)) AS motion_std, {_mean('h', 1_000_000)} AS horizontal_posture_score,
   {_mean('aspect_ratio', 10_000)} AS aspect_ratio_mean, coalesce({_mean('a')}, CAST(0 AS DOUBLE)) AS area_change_mean FROM changed GROUP BY clip_id""",
     "signal_bundles": f"""WITH {SIGNALS}, {LATENCY} SELECT clip_id, motion_mean, distress_score, met_target, false AS fast_available, frame_count_processed AS frames, CAST(100 AS BIGINT) AS target_ms FROM signals JOIN latency USING (clip_id)""",
+    "avi_frame_scan": """WITH f AS (SELECT user_id AS clip_id, row_number() OVER w - 1 AS frame_idx, CAST(floor(value) AS BIGINT) % 256 AS v, lag(CAST(floor(value) AS BIGINT) % 256) OVER w AS b, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT clip_id, frame_idx, n AS total_frames, v * 1000 AS brightness_thousandths, coalesce(abs(v - b), 0) * 1000 AS motion_thousandths FROM f WHERE frame_idx < 600""",
     "motion_series": f"WITH {CAMERAS} SELECT clip_id, count(*) AS n, string_agg(CAST({_scaled('motion')} AS VARCHAR), ',' ORDER BY frame_idx) AS series FROM moved WHERE frame_idx < 120 GROUP BY clip_id",
     "pixel_motion": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS g FROM embeddings),
 l AS (SELECT *, lag(g) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM v)

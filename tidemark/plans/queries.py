@@ -12,7 +12,7 @@ from tidemark.operators import classify as C
 from tidemark.operators import curate, frames, network, windows
 from tidemark.operators import model as ml
 from tidemark.plans import online
-from tidemark.sources import readers, sinks
+from tidemark.sources import avi, readers, sinks
 from tidemark.streaming import live
 
 # The class that an event type stands for, and the gap that ends a session.
@@ -563,30 +563,45 @@ def session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.sessions(table(spark, sf_dir, "events"), SESSION_GAP, "user_id").select("user_id", _time("start").alias("start"), "n", "value_hundredths")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files in one trigger, as they need not be in the order of ts; the path is a pattern, so that it may be a file or a folder."""
-    return live.stream_events(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=1_000_000)
+#: Stretches of time in which a stream's events land.
+STRETCHES = 5
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
 
 
 def stream_motion_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = live.finish(live.motion_state(_stream(spark, sf_dir).select(F.col("user_id").alias("clip_id"), "event_id", "ts", "value")))
+    out = live.replay(_events(spark, sf_dir), lambda rows: live.motion_state(rows.withColumnRenamed("user_id", "clip_id")), STRETCHES)
     return out.select("clip_id", "event_id", *_long(frame_idx="frame_idx", downscale_hundredths="downscale_hundredths", skip_stride="skip_stride"), signals.scaled("motion", 1000).alias("motion_thousandths"))
 
 
 def stream_watermark_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of closed hours; the last hour stays open under the watermark."""
-    out = live.finish(live.tumbling(live.late_dropped(_stream(spark, sf_dir), "10 minutes"), "1 hour", "event_type"))
+    out = live.replay(_events(spark, sf_dir), lambda rows: live.tumbling(live.late_dropped(rows, "10 minutes"), "1 hour", "event_type"), STRETCHES)
     return out.select(_time("start").alias("start"), "event_type", "n", "value_hundredths")
 
 
 def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("user_id"), F.col("quality").cast("long").alias("quality"))
-    out = live.finish(live.with_labels(_stream(spark, sf_dir).select("event_id", "user_id"), labels, "user_id"))
+    out = live.replay(_events(spark, sf_dir), lambda rows: live.with_labels(rows.select("event_id", "user_id"), labels, "user_id"), STRETCHES)
     return out.select("event_id", "user_id", "quality")
 
 
 def stream_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.finish(live.once_each(_stream(spark, sf_dir), "event_id", "10 minutes").select("event_id", "user_id"))
+    """Each stretch brings the last two hours of the one before again."""
+    return live.replay(_events(spark, sf_dir), lambda rows: live.once_each(rows, "event_id", "3 hours").select("event_id", "user_id"), STRETCHES, again="2 hours")
+
+
+def avi_frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of gray frames, one for each event, written as AVI files and read back by ranges of their bytes."""
+    folder = live.shared_folder(spark)
+    level = F.pmod(F.floor("value"), F.lit(256)).cast("int")
+    pixels = F.unhex(F.repeat(F.lpad(F.hex(level), 2, "0"), 16))
+    sinks.write_clips(_frames(spark, sf_dir).select(F.col("clip_id").cast("string").alias("clip_id"), "frame_idx", pixels.alias("pixels")), folder, 4, 4)
+    rows = avi.read_avi(spark, folder, partitionBytes=avi.PARTITION_BYTES)
+    clip = F.regexp_extract("clip_id", r"([^/]+)\.avi$", 1).cast("long")
+    return rows.select(clip.alias("clip_id"), *_long(frame_idx="frame_idx", total_frames="total_frames"), signals.scaled("brightness", 1000).alias("brightness_thousandths"), signals.scaled("motion", 1000).alias("motion_thousandths"))
 
 
 def pose_event_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -628,7 +643,7 @@ def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     clip_signals, camera_signals, clip_latency_summary, latency_gate, clip_incidents, clip_incidents_fastpath, incident_reports, incident_alerts, incident_evidence, incident_summary_top2, report_listing, report_point, reports_scan, alerts_scan, landed_uploads,
-    frame_motion, horizontal_posture, stride_sampled_frames, sampled_signals, signal_bundles, motion_series, pixel_motion, adaptive_controller, adaptive_controller_skipping,
+    frame_motion, horizontal_posture, avi_frame_scan, stride_sampled_frames, sampled_signals, signal_bundles, motion_series, pixel_motion, adaptive_controller, adaptive_controller_skipping,
     sliding_windows, window_counts, window_signals, window_incidents, head_window_pad, runtime_tensor, longest_track, frame_key_order, window_store_scan,
     label_csv_scan, annotations_scan, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
     sft_union, sft_rows, sft_scan, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text, multimodal_summary_shares,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -134,25 +135,32 @@ def largest_box(mask: np.ndarray) -> tuple[int, int, int, int] | None:
     return int(columns.min()) - 1, int(rows.min()) - 1, int(np.ptp(columns)) + 1, int(np.ptp(rows)) + 1
 
 
+def to_small_gray(frame: np.ndarray, settings: Settings = DEFAULTS) -> np.ndarray:
+    return to_gray(resize_area(frame, settings.initial_downscale))
+
+
+def measure(frame: np.ndarray, before: np.ndarray | None, settings: Settings = DEFAULTS) -> tuple[tuple, np.ndarray]:
+    """(brightness, motion, aspect ratio, area, latency) of a frame, and its small gray image for the next one."""
+    began = time.perf_counter()
+    gray = to_small_gray(frame, settings)
+    soft = blur(gray)
+    motion = 0.0 if before is None else float(np.abs(gray.astype(np.int16) - before.astype(np.int16)).mean())
+    box = largest_box(soft > otsu(soft))
+    ratio, area = (box[2] / max(box[3], 1.0), float(box[2] * box[3])) if box else (0.0, 0.0)
+    return (float(gray.mean()), motion, ratio, area, (time.perf_counter() - began) * 1000), gray
+
+
 def frame_rows(frames: Iterator[np.ndarray], settings: Settings = DEFAULTS) -> Iterator[tuple]:
     """(index, brightness, motion, aspect ratio, area, latency) of a clip's frames, in order, at most max_frames.
 
     Only the frame before is held. Frames keep one size, so two always compare.
     """
-    import time
-
     before = None
     for k, frame in enumerate(frames):
         if k >= settings.max_frames:
             return
-        began = time.perf_counter()
-        gray = to_gray(resize_area(frame, settings.initial_downscale))
-        soft = blur(gray)
-        motion = 0.0 if before is None else float(np.abs(gray.astype(np.int16) - before).mean())
-        box = largest_box(soft > otsu(soft))
-        ratio, area = (box[2] / max(box[3], 1.0), float(box[2] * box[3])) if box else (0.0, 0.0)
-        before = gray.astype(np.int16)
-        yield k, float(gray.mean()), motion, ratio, area, (time.perf_counter() - began) * 1000
+        values, before = measure(frame, before, settings)
+        yield k, *values
 
 
 def decode(clips: DataFrame, decoder: FrameDecoder, settings: Settings = DEFAULTS) -> DataFrame:

@@ -17,9 +17,12 @@ def read_clips(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def stream_clips(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A landing folder as a stream of uploads."""
-    return spark.readStream.format("binaryFile").schema(schemas.CLIP).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def stream_clips(spark: SparkSession, path: str, files_per_trigger: int = 100, archive: str | None = None) -> DataFrame:
+    """A landing folder as a stream of uploads; with `archive`, files that finished batches have read are moved there."""
+    reader = spark.readStream.format("binaryFile").schema(schemas.CLIP).option("maxFilesPerTrigger", files_per_trigger)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.load(path)
 
 
 def upload_error(path: Column | str = "path", length: Column | str = "length") -> Column:

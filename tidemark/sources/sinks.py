@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import smtplib
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from email.mime.text import MIMEText
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.text import upload_name
 from tidemark.operators.classify import alerts
+from tidemark.sources import avi
 
 
 def write_reports(reports: DataFrame, path: str, kind: str = "json") -> None:
@@ -45,19 +52,29 @@ def report_batches(reports_path: str, alerts_path: str, settings: Settings = DEF
     return run
 
 
+@contextmanager
+def _mail_server(settings: Settings, connect: Callable) -> Iterator:
+    with connect(settings.alert_host, settings.alert_port) as server:
+        server.starttls()
+        server.login(settings.alert_user, settings.alert_password)
+        yield server
+
+
+def _message(row: Row, settings: Settings) -> MIMEText:
+    message = MIMEText(str({k: v for k, v in row.asDict(recursive=True).items() if k != "_digest"}), "plain", "utf-8")
+    message["Subject"] = f"Critical incident {row.report_id}"
+    message["From"], message["To"] = settings.alert_from, settings.alert_to
+    return message
+
+
 def mail_alerts(found: DataFrame, settings: Settings = DEFAULTS, connect: Callable = smtplib.SMTP) -> int:
-    """Send each alert by mail; nothing unless host, recipient, user and password are all set. Returns how many were sent."""
+    """Send each alert by mail; nothing unless host, recipient, user and password are all set. Returns how many were sent. See mail_batches for alerts that are sent once."""
     if not settings.mail_available():
         return 0
     sent = 0
-    with connect(settings.alert_host, settings.alert_port) as server:
-        server.starttls()
-        server.login(settings.alert_user, settings.alert_password)
+    with _mail_server(settings, connect) as server:
         for row in found.toLocalIterator():
-            message = MIMEText(str(row.asDict(recursive=True)), "plain", "utf-8")
-            message["Subject"] = f"Critical incident {row.report_id}"
-            message["From"], message["To"] = settings.alert_from, settings.alert_to
-            server.send_message(message)
+            server.send_message(_message(row, settings))
             sent += 1
     return sent
 
@@ -68,6 +85,88 @@ def land_uploads(clips: DataFrame, path: str) -> None:
     clips.withColumn("landed_name", name).write.mode("append").parquet(path)
 
 
+def write_clips(frames: DataFrame, path: str, width: int, height: int, channels: int = 1, fps: float = 25.0) -> int:
+    """An uncompressed AVI file for each clip_id below a path, from frames with frame_idx and pixels (bytes, the first row on top). Returns how many.
+
+    A clip is one file and so one task's, which writes frame after frame and holds one. A
+    file is written under another name and then renamed, so one that a lost task left
+    is replaced.
+    """
+    counted = frames.withColumn("_n", F.count("*").over(Window.partitionBy("clip_id")))
+    dealt = counted.repartition("clip_id").sortWithinPartitions("clip_id", "frame_idx").select("clip_id", "_n", "pixels")
+    shape, size = (height, width) if channels == 1 else (height, width, channels), avi.frame_bytes(width, height, channels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        clip, left, out, done = None, 0, None, 0
+        for batch in batches:
+            for c, n, pixels in zip(*(batch.column(k).to_pylist() for k in ("clip_id", "_n", "pixels")), strict=True):
+                if out is None:
+                    clip, left, hidden = c, n, f"{root}/_{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(hidden)
+                    out.write(avi.avi_head(width, height, channels, n, fps))
+                out.write(avi.frame_chunk(np.frombuffer(pixels, np.uint8).reshape(shape)))
+                left -= 1
+                if not left:
+                    out.write(avi.avi_index(n, size))
+                    out.close()
+                    fs.move(hidden, f"{root}/{clip}.avi")
+                    out, done = None, done + 1
+        yield pa.record_batch([pa.array([done], pa.int64())], ["n"])
+
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def send_once(ledger: str, send: Callable[[Row], None], key: list[str], every: int = 1) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that sends each row once, by a digest of its key columns.
+
+    Digests of what was sent are kept below `ledger`, and rows that stand there or come
+    twice in a batch aren't sent. They are written after every `every` rows, and for the
+    rows before a failure, so a batch that runs again sends only what is left; a driver
+    that is lost between sending and writing repeats `every` rows at most. Rows are sent
+    from the driver one by one: this is for the few that a gate lets through.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        digest = F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)
+        rows = batch.withColumn("_digest", digest).dropDuplicates(["_digest"])
+        try:
+            rows = rows.join(spark.read.parquet(ledger), "_digest", "left_anti")
+        except AnalysisException:  # nothing has been sent yet
+            pass
+        sent: list[str] = []
+
+        def note() -> None:
+            if sent:
+                spark.createDataFrame([(d, number) for d in sent], "_digest string, batch long").coalesce(1).write.mode("append").parquet(ledger)
+                sent.clear()
+
+        try:
+            for row in rows.sort("_digest").toLocalIterator():
+                send(row)
+                sent.append(row["_digest"])
+                if len(sent) >= every:
+                    note()
+        finally:
+            note()
+
+    return run
+
+
+def mail_batches(ledger: str, settings: Settings = DEFAULTS, connect: Callable = smtplib.SMTP) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over reports that mails each critical incident's alert once; nothing where mail isn't set up."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not settings.mail_available():
+            return
+        with _mail_server(settings, connect) as server:
+            send_once(ledger, lambda row: server.send_message(_message(row, settings)), ["report_id", "critical_incidents"])(alerts(batch, settings), number)
+
+    return run
+
+
 def write_annotations(clips: DataFrame, path: str) -> None:
     """label and frames as JSON lines."""
     clips.select("label", "frames").write.mode("overwrite").json(path)

@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.schemas import EVENT
 
 
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one only where the session names none and all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,70 +35,212 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finish(stream: DataFrame, mode: str = "append", processed: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+#: Keyed state of any kind needs this store.
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, queries that start keep their state in the store that keyed state needs."""
+    key, value = STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def finish(stream: DataFrame, mode: str = "append", processed: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame:
     """Run a stream over what there is and return its result as a table.
 
     Append results go to Parquet files, exactly once; complete and update results to one
-    folder for each batch, of which the last of each key counts for the caller.
+    folder for each batch, of which the last of each key counts for the caller. A folder
+    that is given again goes on from its checkpoint.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append" and processed is None:
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        write = processed or (lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-        query = writer.foreachBatch(write).start()
+    with keyed_store(spark):
+        if mode == "append" and processed is None:
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            write = processed or (lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+            query = writer.foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def replay(events: DataFrame, build: Callable[[DataFrame], DataFrame], parts: int = 5, again: str | None = None) -> DataFrame:
+    """The result of a stream that gets a table of events in `parts` stretches of time, one after the other.
+
+    Each stretch lands as files and is read by a new start on the same checkpoint, so
+    keyed state, watermarks and files seen go from one trigger to the next. `again` lets
+    each stretch bring the last of the one before once more, of that length. A table
+    without a single ts is one stretch.
+    """
+    spark = events.sparkSession
+    folder = shared_folder(spark)
+    at = F.col("ts").cast("timestamp")
+    marks = events.agg(F.percentile_approx(at.cast("double"), F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).first()[0] if parts > 1 else None
+    edges = [None, *sorted(set(marks or [])), None]
+    out = None
+    for low, high in zip(edges, edges[1:], strict=False):
+        seconds = at.cast("double")
+        mine = F.lit(True) if low is None else (seconds >= low if again is None else at + F.expr(f"interval {again}") >= F.timestamp_seconds(F.lit(low)))
+        rows = events.where(mine if high is None else mine & (seconds < high))
+        rows.write.mode("append").parquet(f"{folder}/in")
+        out = finish(build(stream_events(spark, f"{folder}/in", 1_000_000)), folder=folder)
+    return out
+
+
 # ---- keyed state
 
 
 _MOTION = "clip_id long, event_id long, frame_idx int, value double, motion double, downscale_hundredths int, skip_stride int"
-_STATE = "value double, frames int, d int, s int"
+_STATE = "value double, frames int, late int, ms long"
+_HELD = "ts long, event_id long, value double"
 
 
-def motion_state(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Motion and the controller's state after each frame of a stream with clip_id, event_id, ts and value.
+class MotionProcessor(StatefulProcessor):
+    """Motion and the controller's state after each frame of a clip.
 
-    The state of a clip is its last value, its frame count, and downscale and stride.
-    Frames of a batch are put in order; across batches they are taken as they come.
+    A clip's value state is its last value, how many frames it has had, how many were
+    late, and when: downscale and stride follow from the late ones. A frame that comes
+    over `idle` after the one before begins its clip anew, and a timer on the watermark
+    takes the state away by then, so what is kept follows the clips that are alive. With
+    `hold`, frames wait in a list state until the watermark has passed them, and so are
+    taken in the order of time however files and triggers deal them. State may be given
+    to start with.
     """
-    target = settings.latency_target_ms
-    down, least = round(settings.downscale_step * 100), round(settings.min_downscale * 100)
-    start = (None, 0, round(settings.initial_downscale * 100), 1)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, frames, d, s = state.get if state.exists else start
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        out = []
-        for event, now in zip(rows["event_id"], rows["value"], strict=True):
-            if now > target:
-                d, s = max(least, d - down), min(settings.max_stride, s + 1)
-            out.append((key[0], event, frames, now, 0.0 if value is None else abs(now - value) * 0.2, d, s))
-            value, frames = float(now), frames + 1
-        state.update((value, frames, d, s))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _MOTION.split(", ")])
-
-    return frames.groupBy("clip_id").applyInPandasWithState(step, _MOTION, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def latency_gate(reports_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps clips which missed the target apart."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        met = F.coalesce(F.col("met_target"), F.lit(False))
-        batch.persist()
-        try:
-            batch.where(met).write.mode("overwrite").parquet(f"{reports_path}/batch={number}")
-            batch.where(~met).write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
-        finally:
-            batch.unpersist()
-
-    return run
+
+    def __init__(self, settings: Settings, idle: timedelta, hold: bool):
+        self.settings, self.idle_ms, self.hold = settings, int(idle.total_seconds() * 1000), hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _STATE)
+        self.timer = handle.getValueState("timer", "at long")
+        self.held = handle.getListState("held", _HELD)
+
+    def _wake(self, at: int) -> None:
+        """One timer for each clip."""
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _taken(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "event_id"])
+        value, frames, late, seen = self.last.get() if self.last.exists() else (None, 0, 0, None)
+        now, ms, n = rows["value"].to_numpy(np.float64), rows["ts"].to_numpy() // 1000, len(rows)
+        # where a clip begins, at first or after it was idle, whenever its frames and timers come
+        anew = np.diff(ms, prepend=ms[0] if seen is None else seen) > self.idle_ms
+        anew[0] |= value is None
+        begin = np.maximum.accumulate(np.where(anew, np.arange(n), -1))
+        over = np.concatenate([[0], np.cumsum(now > self.settings.latency_target_ms)])
+        index = np.arange(n) - begin + np.where(begin < 0, frames - 1, 0)
+        over = over[1:] - np.where(begin < 0, -late, over[begin])
+        before = np.where(anew, now, np.concatenate([[now[0] if value is None else value], now[:-1]]))
+        s = self.settings
+        first, down, least = (round(x * 100) for x in (s.initial_downscale, s.downscale_step, s.min_downscale))
+        self.last.update((float(now[-1]), int(index[-1]) + 1, int(over[-1]), int(ms[-1])))
+        return pd.DataFrame({
+            "clip_id": key[0], "event_id": rows["event_id"].to_numpy(), "frame_idx": index.astype(np.int32), "value": now, "motion": np.abs(now - before) * 0.2,
+            "downscale_hundredths": np.maximum(min(first, least), first - over * down).astype(np.int32), "skip_stride": np.minimum(s.max_stride, over + 1).astype(np.int32),
+        })
+
+    def _released(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        """The held frames that the watermark has passed; the others wait on, with a timer for the first of them."""
+        held = pd.DataFrame(list(self.held.get()), columns=["ts", "event_id", "value"])
+        ready = held["ts"] // 1000 < watermark
+        if ready.any():
+            yield self._taken(key, held[ready])
+        if ready.all():
+            self.held.clear()
+        else:
+            self.held.put([tuple(r) for r in held[~ready].itertuples(index=False)])
+        latest = int(held["ts"].max()) // 1000
+        self._wake(latest + self.idle_ms if ready.all() else int(held["ts"][~ready].min()) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 - Spark's name
+        new = pd.concat(list(rows))[["ts", "event_id", "value"]]
+        new["ts"] = new["ts"].astype("datetime64[us]").astype("int64")
+        if self.hold:
+            self.held.appendList([tuple(r) for r in new.itertuples(index=False)])
+            yield from self._released(key, timerValues.getCurrentWatermarkInMs())
+        else:
+            yield self._taken(key, new)
+            self._wake(int(new["ts"].max()) // 1000 + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.timer.clear()
+        if self.hold and self.held.exists():
+            yield from self._released(key, timerValues.getCurrentWatermarkInMs())
+        else:
+            self.last.clear()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802
+        r = initialState.iloc[0]
+        self.last.update((float(r["value"]), int(r["frames"]), int(r["late"]), None))
+        self._wake(timerValues.getCurrentWatermarkInMs() + self.idle_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def motion_state(frames: DataFrame, settings: Settings = DEFAULTS, idle: timedelta = timedelta(days=365), delay: str = "0 seconds", hold: bool = False, start: DataFrame | None = None) -> DataFrame:
+    """Motion and the controller's state after each frame of a stream with clip_id, event_id, ts and value; see MotionProcessor.
+
+    `delay` is the watermark's; `start` has clip_id, value, frames and late of clips that
+    go on from elsewhere. Without `hold`, frames of a batch are put in order and batches
+    are taken as they come.
+    """
+    rows = frames.select("clip_id", "event_id", "ts", "value").withWatermark("ts", delay)
+    start = start.groupBy("clip_id") if start is not None else None
+    return rows.groupBy("clip_id").transformWithStateInPandas(MotionProcessor(settings, idle, hold), _MOTION, "Append", "EventTime", start)
+
+
+# ---- metering
+
+
+def metered(frames: DataFrame, ms: str = "latency_ms", settings: Settings = DEFAULTS, name: str = "meter") -> DataFrame:
+    """frames, whose number, 95th percentile and violations of the latency target are measured as each batch passes."""
+    late = F.count_if(F.col(ms) > settings.latency_target_ms)
+    return frames.observe(name, F.count("*").alias("frames"), F.percentile_approx(ms, 0.95, 10_000).alias("p95_ms"), F.max(ms).alias("max_ms"), late.alias("violations"))
+
+
+class Meter(StreamingQueryListener):
+    """Writes a row for each batch of metered streams below a path: query_id, batch_id, frames, p95_ms, max_ms, violations, batch_ms.
+
+    A batch that runs again replaces its row; batches without input write none.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "meter"):
+        self.spark, self.path, self.name = spark, path, name
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - Spark's names
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        m = p.observedMetrics.get(self.name)
+        if m is None or not m.frames:
+            return
+        row = [(str(p.id), int(p.batchId), int(m.frames), float(m.p95_ms), float(m.max_ms), int(m.violations), int(p.batchDuration))]
+        kinds = "query_id string, batch_id long, frames long, p95_ms double, max_ms double, violations long, batch_ms long"
+        self.spark.createDataFrame(row, kinds).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{p.id}/{p.batchId}")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def read_meter(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
 # ---- event time
