@@ -65,6 +65,16 @@ def test_on_tables(spark, tmp_path):
     assert rows.limit(0).transform(lambda d: network.predict_network(net, d, "window")).select(F.size("event_probs")).collect() == []
 
 
+def test_partitions_change_rounding_alone(spark):
+    x, y = toy(120)
+    rows = spark.createDataFrame([(k, a.tolist(), "abc"[b], "validation" if k % 5 == 0 else "train") for k, (a, b) in enumerate(zip(x, y))], "id long, window array<array<float>>, label string, split string")
+    one, eight = (network.train_network(rows.repartition(p), "window", "label", weighted=True, epochs=2, steps=3) for p in (1, 8))
+    for name, value in one.parameters.items():
+        assert eight.parameters[name] == pytest.approx(value, abs=1e-4)
+    with pytest.raises(ValueError):
+        network.train_network(rows.limit(0), "window", "label")
+
+
 def test_any_model_in_batches(spark):
     from tidemark.operators.model import batch_model_udf
 

@@ -1,22 +1,28 @@
-"""The window classifier: a small convolutional network, fitted on the driver and applied in batches.
+"""The window classifier: a small convolutional network, fitted and applied on the executors.
 
 Two convolutions of 64 channels over three frames, a maximum of two, one of 128, the mean
-over time, 128 units, dropout and a softmax. Fitting takes at most `FIT_ROWS` windows, the
-ones of the least hashes; prediction reads all rows, in Arrow batches on the executors.
+over time, 128 units, dropout and a softmax. Fitting reads all windows: they are kept as
+blocks of arrays on the executors, each step sends the parameters out and sums up the
+gradients of its batch in a tree, and the driver holds parameters and their moments
+alone. Prediction reads all rows, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import io
 import json
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: Windows that a network is fitted on, at most.
-FIT_ROWS = 50_000
+#: Rows of a block, and batches of an epoch over a table: a batch is that share of its rows, whatever their number.
+BLOCK_ROWS, STEPS = 4096, 10
 # Channels, units, dropout, learning rate, batch, epochs and patience.
 CHANNELS, UNITS, DROPOUT, RATE, BATCH, EPOCHS, PATIENCE = (64, 64, 128), 128, 0.2, 1e-3, 64, 25, 5
 
@@ -54,7 +60,7 @@ class Network:
 
     def _forward(self, x: np.ndarray, drop: np.ndarray | None = None) -> dict[str, np.ndarray]:
         p, s = self.parameters, {}
-        s["x1"] = _around(x.astype(np.float32))
+        s["x1"] = _around(x.astype(p["c1"].dtype))
         s["y1"] = np.maximum(s["x1"] @ p["c1"] + p["c1b"], 0)
         s["x2"] = _around(s["y1"])
         s["y2"] = np.maximum(s["x2"] @ p["c2"] + p["c2b"], 0)
@@ -85,7 +91,7 @@ class Network:
 
         d = s["out"].copy()
         d[np.arange(len(y)), y] -= 1
-        d = layer("d2", s["x5"], d * (weight / len(y)).astype(np.float32)[:, None])
+        d = layer("d2", s["x5"], d * (weight / len(y)).astype(d.dtype)[:, None])
         d = layer("d1", s["x4"], (d if drop is None else d * drop) * (s["y4"] > 0))
         d = np.repeat(d[:, None] / s["y3"].shape[1], s["y3"].shape[1], 1)
         d = _gathered(layer("c3", s["x3"], d * (s["y3"] > 0)))
@@ -111,18 +117,14 @@ def fit(x: np.ndarray, y: np.ndarray, x_check: np.ndarray, y_check: np.ndarray,
         x_check, y_check = x, y
     net, rng = Network.fresh(x.shape[2], labels, seed), np.random.default_rng(seed)
     weight = class_weights(y, len(labels)) if weighted else np.ones(len(labels))
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.parameters.items()}
+    moments = fresh_moments(net)
     best, kept, since, step = -1.0, net.parameters, 0, 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for k in range(0, len(x), BATCH):
             at, step = order[k : k + BATCH], step + 1
             drop = (rng.random((len(at), UNITS)) >= DROPOUT).astype(np.float32) / (1 - DROPOUT)
-            for name, d in net.gradients(x[at], y[at], weight[y[at]], drop).items():
-                m, v = moments[name]
-                m += 0.1 * (d - m)
-                v += 0.001 * (d * d - v)
-                net.parameters[name] = net.parameters[name] - (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+            adam(net, moments, net.gradients(x[at], y[at], weight[y[at]], drop), step)
         right = float((net.predict(x_check).argmax(1) == y_check).mean())
         if right > best:
             best, kept, since = right, dict(net.parameters), 0
@@ -133,18 +135,130 @@ def fit(x: np.ndarray, y: np.ndarray, x_check: np.ndarray, y_check: np.ndarray,
     return Network(kept, labels)
 
 
+def fresh_moments(net: Network) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    return {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.parameters.items()}
+
+
+def adam(net: Network, moments: dict[str, tuple[np.ndarray, np.ndarray]], gradients: dict[str, np.ndarray], step: int) -> None:
+    """Move the parameters by one step."""
+    for name, d in gradients.items():
+        m, v = moments[name]
+        m += 0.1 * (d - m)
+        v += 0.001 * (d * d - v)
+        net.parameters[name] = net.parameters[name] - (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(m.dtype)
+
+
 # ---- on tables
 
 
-def train_network(rows: DataFrame, window: str, label: str, weighted: bool = False, most: int = FIT_ROWS, **how: int) -> Network:
-    """rows has windows of one size, a label, and split (train or validation, see `curate.train_validation`)."""
-    labels = sorted(r[0] for r in rows.where(F.col(label).isNotNull()).select(F.col(label).cast("string")).distinct().collect())
-    held = rows.where(F.col(label).isNotNull()).select(F.flatten(window).cast("array<float>").alias("x"), F.size(window).alias("n"), F.col(label).cast("string").alias("y"), "split")
-    held = held.withColumn("_h", F.xxhash64("x", "y")).orderBy("_h").limit(most).toArrow()
-    x = np.array(held["x"].combine_chunks().flatten(), np.float32).reshape(len(held), int(held["n"][0].as_py()) if len(held) else 1, -1)
-    y = np.searchsorted(labels, held["y"].to_pylist()) if labels else np.zeros(0, np.int64)
-    check = np.array([s == "validation" for s in held["split"].to_pylist()], bool)
-    return fit(x[~check], y[~check], x[check], y[check], labels, weighted, **how)
+class Block(NamedTuple):
+    """Windows of some rows, their labels' numbers, hashes of both, and whether they are for checking."""
+
+    x: np.ndarray
+    y: np.ndarray
+    key: np.ndarray
+    check: np.ndarray
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _drawn(key: np.ndarray, *more: int) -> np.ndarray:
+    """64 bits of each key for some purpose; the same wherever its row lies."""
+    for k in more:
+        key = _mixed(key + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return key
+
+
+def blocks_of(rows: DataFrame, window: str, label: str, labels: list[str]) -> RDD:
+    """An RDD of Blocks of the labelled rows, kept on the executors; what is lost of it is made again."""
+    held = rows.where(F.col(label).isNotNull()).select(F.flatten(window).cast("array<float>").alias("x"), F.size(window).alias("n"), F.col(label).cast("string").alias("y"), (F.col("split") == "validation").alias("check"))
+    held = held.withColumn("key", F.xxhash64("x", "y"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                x = np.asarray(part.column("x").flatten(), np.float32)
+                y = np.searchsorted(labels, part.column("y").to_pylist()).astype(np.int64)
+                key, check = part.column("key").to_numpy(), part.column("check").to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array([v], t) for v, t in ((x.tobytes(), pa.binary()), (part.column("n")[0].as_py(), pa.int32()), (y.tobytes(), pa.binary()), (key.tobytes(), pa.binary()), (check.tobytes(), pa.binary()))], ["x", "n", "y", "key", "check"])
+
+    def unpack(r: Row) -> Block:
+        y = np.frombuffer(r.y, np.int64)
+        return Block(np.frombuffer(r.x, np.float32).reshape(len(y), r.n, -1), y, np.frombuffer(r.key, np.int64).view(np.uint64), np.frombuffer(r.check, bool))
+
+    return held.mapInArrow(pack, "x binary, n int, y binary, key binary, check binary").rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _added(a: tuple, b: tuple) -> tuple:
+    if a[0] is None or b[0] is None:
+        return b if a[0] is None else a
+    return {k: v + b[0][k] for k, v in a[0].items()}, a[1] + b[1]
+
+
+def train_network(rows: DataFrame, window: str, label: str, weighted: bool = False, epochs: int = EPOCHS, patience: int = PATIENCE, steps: int = STEPS, seed: int = 42) -> Network:
+    """Fit on all rows: windows of one size, a label, and split (train or validation, see `curate.train_validation`).
+
+    An epoch deals the training rows into `steps` batches by hashes of the rows. Dropout
+    is drawn by them too, and sums are of doubles, so partitions change a result by
+    rounding alone. It stops once the accuracy over the validation rows (without any,
+    over all) hasn't grown for `patience` epochs, with the best epoch's parameters.
+    """
+    spark = rows.sparkSession
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("y"), F.col("split")).count().collect()  # as many as labels
+    labels = sorted({r.y for r in counts})
+    n = np.array([sum(r["count"] for r in counts if r.y == c and r.split != "validation") for c in labels], np.int64)
+    if not n.sum():
+        raise ValueError("no windows to fit on")
+    any_check = any(r.split == "validation" for r in counts)
+    weight = np.maximum(n, 1).sum() / (len(labels) * np.maximum(n, 1)) if weighted else np.ones(len(labels))
+    blocks = blocks_of(rows, window, label, labels)
+    try:
+        width = blocks.map(lambda b: b.x.shape[2]).first()
+        net = Network.fresh(width, labels, seed)
+        net.parameters = {k: v.astype(np.float64) for k, v in net.parameters.items()}
+        moments, best, kept, since, step = fresh_moments(net), -1.0, net.parameters, 0, 0
+        for epoch in range(epochs):
+            for k in range(steps):
+                sent = spark.sparkContext.broadcast(net.parameters)
+
+                def of_block(total: tuple, b: Block, sent=sent, epoch=epoch, k=k) -> tuple:
+                    mine = np.flatnonzero(~b.check & (_drawn(b.key, seed, epoch) % np.uint64(steps) == k))
+                    own = Network(sent.value, labels)
+                    for lo in range(0, len(mine), 512):
+                        at = mine[lo : lo + 512]
+                        units = _drawn(b.key[at, None] + np.arange(UNITS, dtype=np.uint64)[None], seed, epoch, 1)
+                        drop = (units >= np.uint64(int(DROPOUT * 2**64))) / (1 - DROPOUT)
+                        g = own.gradients(b.x[at], b.y[at], weight[b.y[at]], drop)
+                        total = _added(total, ({name: d * len(at) for name, d in g.items()}, len(at)))
+                    return total
+
+                total, m = blocks.treeAggregate((None, 0), of_block, _added)
+                sent.destroy()
+                if m:
+                    step += 1
+                    adam(net, moments, {name: d / m for name, d in total.items()}, step)
+            sent = spark.sparkContext.broadcast(net.parameters)
+
+            def judged(b: Block, sent=sent) -> tuple[int, int]:
+                at = np.flatnonzero(b.check) if any_check else np.arange(len(b.y))
+                return int((Network(sent.value, labels).predict(b.x[at]).argmax(1) == b.y[at]).sum()), len(at)
+
+            right, m = blocks.map(judged).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+            sent.destroy()
+            if right / m > best:
+                best, kept, since = right / m, dict(net.parameters), 0
+            else:
+                since += 1
+                if since >= patience:
+                    break
+    finally:
+        blocks.unpersist()
+    return Network({k: v.astype(np.float32) for k, v in kept.items()}, labels)
 
 
 def predict_network(net: Network, rows: DataFrame, window: str) -> DataFrame:

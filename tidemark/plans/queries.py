@@ -613,15 +613,15 @@ def pose_event_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pose_event_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a network learns which windows move much, from their values and motion: windows judged, and 90 in 100 right."""
+    """Whether a network learns which windows move much, from their values and motion: validation windows judged, and 90 in 100 right."""
     rows = frames.motion_frames(_frames(spark, sf_dir), ORDER).select("clip_id", "frame_idx", "event_id", "motion", F.array(F.col("motion") / 10, F.col("value") / 100).cast("array<float>").alias("features"))
     cut = windows.sliding_windows(rows)
     level = cut.groupBy("clip_id", "start").agg(signals.exact_mean("motion").alias("m"))
     cut = windows.tensor_windows(cut).join(level, ["clip_id", "start"]).withColumn("label", F.when(F.col("m") > 10, "much").otherwise("little"))
     cut = cut.withColumn("sample_id", F.col("clip_id") * 1000 + F.col("start"))
-    rounds = max(network.EPOCHS, 12_000 // max(1, cut.count()))  # as many steps for few windows
-    net = network.train_network(curate.train_validation(cut, "sample_id"), "window", "label", weighted=True, epochs=rounds, patience=rounds)
-    out = network.predict_network(net, cut, "window")
+    split = curate.train_validation(cut, "sample_id")
+    net = network.train_network(split, "window", "label", weighted=True)
+    out = network.predict_network(net, split.where("split = 'validation'"), "window")
     return out.agg(F.count("*").alias("n"), (F.avg((F.col("top_event") == F.col("label")).cast("double")) >= 0.9).alias("learned"))
 
 
