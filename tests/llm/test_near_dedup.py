@@ -161,6 +161,41 @@ def test_boilerplate_links_nothing_and_is_settled_nowhere(spark, monkeypatch):
     assert sum(seats) < 300  # chance candidates only, not the group with the footer
 
 
+@pytest.mark.parametrize("n", [4000, 8000])
+def test_pages_of_a_template_are_settled_in_linear_room(spark, monkeypatch, n):
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(90)]
+    rows = [(k, " ".join(template + [f"w{rng.randrange(10**7)}" for _ in range(12)])) for k in range(n)]  # likeness 0.786
+    seats, pairs = [], []
+    real, real_pairs = nd._exact_links, nd._rare_pairs
+    monkeypatch.setattr(nd, "_exact_links", lambda texts, s, *a: seats.append(s.count()) or real(texts, s, *a))
+    monkeypatch.setattr(nd, "_rare_pairs", lambda *a: (lambda p: pairs.append(p.count()) or p)(nd.cut(real_pairs(*a))))
+    got = run(spark, rows)
+    assert len(got) == n and all(i == root and kept for i, _, root, kept in got)
+    assert sum(seats) <= 2 * n and sum(pairs) <= n // 100 and (pairs or sum(seats) < n)
+
+
+@pytest.mark.parametrize(("block", "common"), [(5, 500_000), (9, 3), (3, 0)])
+def test_links_outside_a_clusters_main_part(spark, monkeypatch, block, common):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "COMMON", common)
+    monkeypatch.setattr(nd, "PIVOTS", 1)
+    rng = random.Random(block)
+    template, rows = [f"t{k}" for k in range(60)], []
+    for k in range(40):  # pages of one template in small groups, some of them alike enough, of several sizes
+        own = [f"g{k // 3}x{j}" for j in range(rng.randrange(4, 14))]
+        for j in rng.sample(range(len(own)), rng.randrange(0, 3)):
+            own[j] = f"z{k}y{j}"
+        cut = rng.randrange(0, 60)
+        rows.append((k, " ".join(template[:cut] + own + template[cut:])))
+    used = []
+    real = nd._rare_pairs
+    monkeypatch.setattr(nd, "_rare_pairs", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(nd, "agree", lambda t: 20)  # all are candidates
+    assert run(spark, rows) == brute(rows)
+    assert used
+
+
 def test_recall_at_the_threshold(spark):
     rng = random.Random(8)
     rows = []

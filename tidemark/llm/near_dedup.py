@@ -25,8 +25,10 @@ Candidates are spanning forests, never all pairs. The candidates' components hol
 every link, and are settled on the full sets of 128-bit shingles, exactly: those of up
 to `BLOCK` classes and `BLOCK_SHINGLES` shingles in one task with one sparse-to-dense
 product, larger ones in blocks which share pivots; classes that aren't linked with the
-component's main part then are compared with every block in a second round. All
-counts, components and links stay distributed.
+component's main part are then compared with those of its classes that share one of
+their rarest shingles, by prefix filtering, which is exact too and spares the pages of a
+template that have enough of their own. All counts, components and links stay
+distributed.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ SALT_ROWS = 20_000
 #: Large nodes up to this number (some 100 bytes each) are sent to all tasks; beyond it they are joined.
 BROADCAST_NODES = 200_000
 BLOCK, BLOCK_SHINGLES, PIVOTS = 1500, 4_000_000, 32
+#: Shingles that are listed as common in their clusters, at most (16 bytes each); the rest count as rare.
+COMMON = 500_000
 #: Ends of links with more others than this are joined by a broadcast, as long as it has at most BROADCAST_NODES of them.
 HUB = 1000
 #: Links whose components one task settles, at most (8 megabytes).
@@ -464,14 +468,23 @@ def _settle(threshold: int):
     return run
 
 
-def _exact_links(texts: DataFrame, seats: DataFrame, size: int, threshold: int) -> DataFrame:
-    """(u, v): links among the classes that share a group; seats: group, id, h1, h2."""
-    width = partitions(texts.sparkSession)
+def _with_texts(texts: DataFrame, seats: DataFrame) -> DataFrame:
+    """seats (with id) with the texts of their classes."""
     seats = cut(seats)
     few = seats.limit(BROADCAST_SEATS + 1).count() <= BROADCAST_SEATS
     seats = F.broadcast(seats) if few else seats.hint("shuffle_hash")
-    sets = texts.join(seats, texts["key"] == seats["id"]).select("group", "id", "h1", "h2", "text").mapInArrow(_full_sets(size), _SET_SQL)
-    return sets.repartition(width, "group").sortWithinPartitions("group").mapInArrow(_settle(threshold), _EDGE_SQL)
+    return texts.join(seats, texts["key"] == seats["id"])
+
+
+def _sets(texts: DataFrame, seats: DataFrame, size: int) -> DataFrame:
+    """Full sets of seats (group, id, h1, h2)."""
+    return _with_texts(texts, seats).select("group", "id", "h1", "h2", "text").mapInArrow(_full_sets(size), _SET_SQL)
+
+
+def _exact_links(texts: DataFrame, seats: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(u, v): links among the classes that share a group; seats: group, id, h1, h2."""
+    width = partitions(texts.sparkSession)
+    return _sets(texts, seats, size).repartition(width, "group").sortWithinPartitions("group").mapInArrow(_settle(threshold), _EDGE_SQL)
 
 
 def _parts() -> Column:
@@ -500,11 +513,97 @@ def _settled(texts: DataFrame, classes: DataFrame, candidates: DataFrame, size:
     rest = cut(named.join(largest, "cluster").where("root != _main").select("cluster", "blocks", "id", "n", "h1", "h2"))
     if rest.isEmpty():
         return roots
-    parts = rest.groupBy("cluster").agg(_parts().alias("parts"))
-    rest = rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts").cast("long")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    against = large.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    seats = rest.select(at("block", "part"), "id", "h1", "h2").unionByName(against.select(at("block", "part"), "id", "h1", "h2")).distinct()
-    return components(links.unionByName(_exact_links(texts, seats, size, threshold)))
+    pairs = cut(_rare_pairs(texts, large, rest, size, threshold))
+    if pairs.isEmpty():
+        return roots
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    seats = pairs.join(many, "u").withColumn("group", F.xxhash64("u", F.pmod(F.xxhash64("v"), "_parts")))
+    seats = seats.select("group", F.col("u").alias("id")).unionByName(seats.select("group", F.col("v").alias("id"))).distinct()
+    return components(links.unionByName(_exact_links(texts, seats.join(large.select("id", "h1", "h2"), "id").select("group", "id", "h1", "h2"), size, threshold)))
+
+
+_COUNT_SQL = "cluster long, shingle long, n long"
+_RARE_SQL = "cluster long, shingle long, at long, id long, n long, rest boolean"
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, shingle, sets) of the shingles that several sets of a group share; rows come sorted by group."""
+    group, held = None, []
+
+    def out() -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        values, n = values[n > 1].view(np.int64), n[n > 1]
+        return pa.record_batch([pa.array(np.full(len(n), group)), pa.array(values), pa.array(n)], ["cluster", "shingle", "n"])
+
+    for batch in batches:
+        for g, s in zip(batch.column("group").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            if g != group:
+                if held:
+                    yield out()
+                group, held = g, []
+            held.append(np.frombuffer(s, np.uint64).reshape(2, -1)[0])
+    if held:
+        yield out()
+
+
+def _rarest(common, size: int, threshold: int):
+    """The first shingles of each set, the rarest first, with their places: as many as one of which a similar set must share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            h1, h2, rest = batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), batch.column("rest").to_numpy(zero_copy_only=False)
+            cluster, ids = batch.column("cluster").to_numpy(), batch.column("id").to_numpy()
+            for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.LOWER):
+                h, more, offsets = shingle_sets(w, size)
+                a, b = set_ids(h, more, offsets)
+                rows: list[list[np.ndarray]] = [[] for _ in range(6)]
+                for k in np.flatnonzero((a == h1[lo:hi]) & (b == h2[lo:hi])):
+                    own = h[offsets[k] : offsets[k + 1]]
+                    values, counts = common.value.get(int(cluster[lo + k]), none)
+                    at = np.minimum(np.searchsorted(values, own), max(len(values) - 1, 0))
+                    often = np.where(values[at] == own, counts[at], 0) if len(values) else np.zeros(len(own), np.int64)
+                    m = len(own) + (-threshold * len(own) // 100) + 1
+                    first = own[np.lexsort((own, often))[:m]].view(np.int64)
+                    for column, value in zip(rows, (np.full(m, cluster[lo + k]), first, np.arange(m), np.full(m, ids[lo + k]), np.full(m, len(own)), np.full(m, rest[lo + k])), strict=True):
+                        column.append(value)
+                if rows[0]:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in rows], ["cluster", "shingle", "at", "id", "n", "rest"])
+
+    return run
+
+
+def _rare_pairs(texts: DataFrame, large: DataFrame, rest: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(u, v): pairs of a cluster, one of them in rest, that may be similar, by prefix filtering.
+
+    Under any order of shingles, the larger of two similar sets has one of its first
+    n - ceil(t n) + 1 shingles among the first n - ceil(2 t n / (1 + t)) + 1 of the
+    smaller, and the places of the first one they share leave room for what they must
+    share. So the order changes what this costs and never what it finds. It is by how
+    many sets of a cluster's first block have a shingle: what a template gives to all its
+    pages comes last, and isn't reached by pages that have enough of their own.
+    """
+    spark = texts.sparkSession
+    wanted = large.join(rest.select("cluster").distinct(), "cluster")
+    flagged = wanted.join(rest.select("cluster", "id").distinct().withColumn("rest", F.lit(True)), ["cluster", "id"], "left")
+    flagged = flagged.select("cluster", "id", "h1", "h2", F.coalesce("rest", F.lit(False)).alias("rest"))
+    first = _sets(texts, wanted.where("block = 0").select(F.col("cluster").alias("group"), "id", "h1", "h2"), size)
+    counts = first.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(_count_shared, _COUNT_SQL)
+    listed = counts.orderBy(F.desc("n"), "shingle", "cluster").limit(COMMON).orderBy("cluster").toArrow().to_pandas()
+    common = {}
+    for c, g in listed.groupby("cluster"):
+        values = g["shingle"].to_numpy().view(np.uint64)
+        order = np.argsort(values)
+        common[int(c)] = (values[order], g["n"].to_numpy()[order])
+    sent = spark.sparkContext.broadcast(common)
+    joined = _with_texts(texts, flagged)
+    rare = cut(joined.select("cluster", "id", "h1", "h2", "rest", "text").mapInArrow(_rarest(sent, size, threshold), _RARE_SQL))
+    probe = rare.select("cluster", "shingle", *(F.col(c).alias(f"_{c}") for c in ("at", "id", "n", "rest")))
+    index = rare.where(F.col("at") <= F.col("n") - F.ceil(2 * threshold * F.col("n") / (100 + threshold)))
+    both = index.join(probe, ["cluster", "shingle"]).where("(rest or _rest) and id != _id and _n >= n")
+    need = F.ceil(threshold * (F.col("n") + F.col("_n")) / (100 + threshold))
+    room = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
+    return both.where((100 * F.col("n") >= threshold * F.col("_n")) & (room >= need)).select(F.least("id", "_id").alias("u"), F.greatest("id", "_id").alias("v")).distinct()
 
 
 def _star(links: DataFrame) -> DataFrame:
