@@ -77,8 +77,9 @@ def test_empty_table(spark):
 
 
 def test_levels():
-    assert sd.levels(20) == [10, 20]
-    assert sd.levels(80) == [10, 20, 40, 80]
+    assert sd.levels(20) == [5, 10, 20]
+    assert sd.levels(80) == [5, 10, 20, 40, 80]
+    assert sd.levels(16) == [8, 16]
     assert sd.levels(7) == [7]
 
 
@@ -116,3 +117,24 @@ def test_buckets_follow_the_size(spark, monkeypatch):
     monkeypatch.setattr(sd, "BUCKET_BYTES", 1 << 10)
     rows = corpus(3)
     assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize(("shared", "looked_up"), [(0, 1), (7, 2), (15, 2), (19, 2), (20, 2)])
+def test_levels_stop_when_no_candidate_is_left(spark, monkeypatch, shared, looked_up):
+    words = lambda k, n: [f"{k}w{i}" for i in range(n)]
+    rows = [(k, " ".join(words(k, 25) + words("all", shared) + words(f"{k}z", 25))) for k in range(6)]
+    found = []
+    real = sd.cut
+    monkeypatch.setattr(sd, "cut", lambda df: (lambda c: found.append(c.isEmpty()) or c)(real(df)))
+    assert run(spark, rows) == brute(rows)
+    assert len(found) == looked_up and found[-1] == (shared < 15)
+
+
+def test_buckets_go_by_the_bytes_of_texts(spark, monkeypatch):
+    rows = [(k, "same words again and again " * 400) for k in range(40)]
+    seen = []
+    real = sd._first_lookup
+    monkeypatch.setattr(sd, "_first_lookup", lambda n, level, buckets, docs: seen.append(buckets) or real(n, level, buckets, docs))
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 10_000)
+    assert run(spark, rows) == brute(rows)
+    assert seen == [sum(len(t) for _, t in rows) // 10_000 + 2]

@@ -30,12 +30,6 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes of a table as the planner knows them from its files; where it doesn't, its texts are measured."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

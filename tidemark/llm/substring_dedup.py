@@ -3,7 +3,8 @@
 Level-wise doubling. For windows of n words the levels are ..., n/4, n/2, n. At a
 level under n, each window still in play is represented by the least of the hashes
 of its level-long parts (its anchor: equal windows have equal anchors, and
-neighbouring windows mostly share one, so about one part in six is looked up). Only
+neighbouring windows mostly share one, so at five words of twenty about one part in
+eight is looked up). Only
 windows whose anchor occurs twice go on to twice the length, until the full windows
 that are left are looked up themselves, or none is left. No level loses a repeat.
 Levels under n go by one hash of 64 bits, as a chance collision there only keeps a
@@ -14,8 +15,9 @@ a bounded chunk, settles what repeats inside the chunk, and sends one entry for
 distinct hash to the hash's bucket, packed in binary columns. A window that occurs in
 a third of all documents thus costs its bucket one entry a chunk. The answers
 (document, position) return packed by document bucket and meet the texts in a
-cogroup; the texts are shuffled once for all levels. The buckets' number follows the
-table's size, so that a task holds about `BUCKET_BYTES` of texts whatever their sum.
+cogroup; each level stops there if no candidate is left. The buckets' number follows
+the bytes of the texts themselves, so that a task holds about `BUCKET_BYTES` of them
+whatever their sum and however well the table is compressed.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _words
-from tidemark.llm._spark import cut, partitions, size_of, spread, spread_array, table
+from tidemark.llm._spark import cut, partitions, spread, spread_array, table
 
 #: Entries that a map task gathers before it settles and sends them.
 CHUNK = 4_000_000
@@ -43,7 +45,7 @@ _FLAG = pa.schema([("_db", pa.int32()), ("ids", pa.binary()), ("places", pa.bina
 _FLAG_SQL = "_db int, ids binary, places binary"
 
 
-def levels(n: int, least: int = 8) -> list[int]:
+def levels(n: int, least: int = 5) -> list[int]:
     """The window lengths that are looked up: n, and its halves while they have `least` words."""
     out = [n]
     while out[0] % 2 == 0 and out[0] // 2 >= least:
@@ -331,7 +333,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = max(partitions(spark), size_of(docs) // BUCKET_BYTES + 1)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(partitions(spark), size // BUCKET_BYTES + 1)
     n_buckets, n_doc_buckets = buckets + 1, 2 * buckets + 1
     text = F.col("text").cast("string")
     own = F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(NAMELESS_IDS))
