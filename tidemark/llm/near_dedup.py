@@ -553,7 +553,7 @@ def _rarest(common, size: int, threshold: int):
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             h1, h2, rest = batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), batch.column("rest").to_numpy(zero_copy_only=False)
-            cluster, ids = batch.column("cluster").to_numpy(), batch.column("id").to_numpy()
+            cluster, ids, least = (batch.column(c).to_numpy() for c in ("cluster", "id", "least"))
             for lo, hi, w in _words.words_of(batch.column("text"), _words.NOT_SPACE, _words.LOWER):
                 h, more, offsets = shingle_sets(w, size)
                 a, b = set_ids(h, more, offsets)
@@ -563,7 +563,8 @@ def _rarest(common, size: int, threshold: int):
                     values, counts = common.value.get(int(cluster[lo + k]), none)
                     at = np.minimum(np.searchsorted(values, own), max(len(values) - 1, 0))
                     often = np.where(values[at] == own, counts[at], 0) if len(values) else np.zeros(len(own), np.int64)
-                    m = len(own) + (-threshold * len(own) // 100) + 1
+                    smallest = max(int(least[lo + k]), -(-threshold * len(own) // 100))
+                    m = len(own) - -(-threshold * (len(own) + smallest) // (100 + threshold)) + 1
                     first = own[np.lexsort((own, often))[:m]].view(np.int64)
                     for column, value in zip(rows, (np.full(m, cluster[lo + k]), first, np.arange(m), np.full(m, ids[lo + k]), np.full(m, len(own)), np.full(m, rest[lo + k])), strict=True):
                         column.append(value)
@@ -577,16 +578,18 @@ def _rare_pairs(texts: DataFrame, large: DataFrame, rest: DataFrame, size: int,
     """(u, v): pairs of a cluster, one of them in rest, that may be similar, by prefix filtering.
 
     Under any order of shingles, the larger of two similar sets has one of its first
-    n - ceil(t n) + 1 shingles among the first n - ceil(2 t n / (1 + t)) + 1 of the
-    smaller, and the places of the first one they share leave room for what they must
-    share. So the order changes what this costs and never what it finds. It is by how
+    n - ceil(t (n + m) / (1 + t)) + 1 shingles among the first
+    n - ceil(2 t n / (1 + t)) + 1 of the smaller, m being the least size that may come
+    in the cluster, t n at least; and the places of the first one they share leave room
+    for what they must share. So the order changes what this costs and never what it finds. It is by how
     many sets of a cluster's first block have a shingle: what a template gives to all its
     pages comes last, and isn't reached by pages that have enough of their own.
     """
     spark = texts.sparkSession
     wanted = large.join(rest.select("cluster").distinct(), "cluster")
     flagged = wanted.join(rest.select("cluster", "id").distinct().withColumn("rest", F.lit(True)), ["cluster", "id"], "left")
-    flagged = flagged.select("cluster", "id", "h1", "h2", F.coalesce("rest", F.lit(False)).alias("rest"))
+    flagged = flagged.join(wanted.groupBy("cluster").agg(F.min("n").alias("least")), "cluster")
+    flagged = flagged.select("cluster", "id", "h1", "h2", "least", F.coalesce("rest", F.lit(False)).alias("rest"))
     first = _sets(texts, wanted.where("block = 0").select(F.col("cluster").alias("group"), "id", "h1", "h2"), size)
     counts = first.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(_count_shared, _COUNT_SQL)
     listed = counts.orderBy(F.desc("n"), "shingle", "cluster").limit(COMMON).orderBy("cluster").toArrow().to_pandas()
@@ -597,7 +600,7 @@ def _rare_pairs(texts: DataFrame, large: DataFrame, rest: DataFrame, size: int,
         common[int(c)] = (values[order], g["n"].to_numpy()[order])
     sent = spark.sparkContext.broadcast(common)
     joined = _with_texts(texts, flagged)
-    rare = cut(joined.select("cluster", "id", "h1", "h2", "rest", "text").mapInArrow(_rarest(sent, size, threshold), _RARE_SQL))
+    rare = cut(joined.select("cluster", "id", "h1", "h2", "least", "rest", "text").mapInArrow(_rarest(sent, size, threshold), _RARE_SQL))
     probe = rare.select("cluster", "shingle", *(F.col(c).alias(f"_{c}") for c in ("at", "id", "n", "rest")))
     index = rare.where(F.col("at") <= F.col("n") - F.ceil(2 * threshold * F.col("n") / (100 + threshold)))
     both = index.join(probe, ["cluster", "shingle"]).where("(rest or _rest) and id != _id and _n >= n")
