@@ -15,13 +15,15 @@ a bounded chunk, settles what repeats inside the chunk, and sends one entry for
 distinct hash to the hash's bucket, packed in binary columns. A window that occurs in
 a third of all documents thus costs its bucket one entry a chunk. The answers
 (document, position) return packed by document bucket and meet the texts in a
-cogroup; each level stops there if no candidate is left. The buckets' number follows
+cogroup; each level stops there if no candidate is left. The texts are dealt once, as a
+table in buckets, which all levels read without another shuffle. The buckets' number follows
 the bytes of the texts themselves, so that a task holds about `BUCKET_BYTES` of them
 whatever their sum and however well the table is compressed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _words
-from tidemark.llm._spark import cut, partitions, spread, spread_array, table
+from tidemark.llm._spark import cut, partitions, shared_folder, spread, spread_array, table
 
 #: Entries that a map task gathers before it settles and sends them.
 CHUNK = 4_000_000
@@ -320,6 +322,16 @@ def _finish(n: int):
     return run
 
 
+def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
+    """texts as a table in buckets of _db in the shared folder, so that no level shuffles them again. Its name is gone from the catalog, its files are the run's."""
+    spark, name = texts.sparkSession, f"substring_dedup_{uuid.uuid4().hex}"
+    texts.repartition(buckets, "_db").write.bucketBy(buckets, "_db").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    assert out.columns == texts.columns  # it is resolved now, and no longer needs the name
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and removed (spans of word positions) for each row of docs.
 
@@ -339,7 +351,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     text = F.col("text").cast("string")
     own = F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(NAMELESS_IDS))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("_id"), text.alias("text"))
-    dealt = texts.withColumn("_db", spread(F.col("_id"), n_doc_buckets)).repartition(buckets, "_db")
+    dealt = _dealt(texts.withColumn("_db", spread(F.col("_id"), n_doc_buckets)), buckets)
     flags = None
     steps = levels(window)
     for k, level in enumerate(steps):
