@@ -9,6 +9,7 @@ from tidemark import config
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.signals import get_or, uniform_prior
 from tidemark.functions.text import fill, label_render, stable_id
+from tidemark.operators.ranking import numbered
 
 # Thresholds of the two rules.
 MOVING, CALM, UPRIGHT, UPRIGHT_FAST = 0.5, 0.3, 0.85, 0.8
@@ -201,6 +202,17 @@ def list_reports(reports: DataFrame, recent_first: bool = False) -> DataFrame:
     return reports.orderBy(F.col("created_at").desc(), F.col("report_id").desc()) if recent_first else reports.orderBy(F.col("report_id").desc())
 
 
+def listing_places(reports: DataFrame, into: str, recent_first: bool = False) -> DataFrame:
+    """reports with each one's place from 0 in the order of list_reports; ids begin with hexadecimal digits.
+
+    Places are numbered in buckets of one order: the first digits of ids, or the hours of created_at.
+    """
+    digits = F.conv(F.substring("report_id", 1, 3), 16, 10).cast("int")
+    if recent_first:
+        return numbered(reports, into, -F.floor(F.unix_timestamp("created_at") / 3600), [F.col("created_at").desc(), F.col("report_id").desc()])
+    return numbered(reports, into, -digits, [F.col("report_id").desc()])
+
+
 def report_by_id(reports: DataFrame, report_id: str) -> DataFrame:
     return reports.where(F.col("report_id") == report_id)
 

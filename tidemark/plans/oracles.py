@@ -179,8 +179,8 @@ _RESPONSE = """'[{"incident_type": "' || label || '", "confidence": ' || CASE WH
 
 def _incidents(rows: list[tuple]) -> str:
     values = ", ".join(f"({i}, {p}, '{t}', CAST({c} AS DOUBLE), CAST({s} AS DOUBLE), {_text(e)}, {_text(a)})" for i, p, t, c, s, e, a in rows)
-    return f"""SELECT CAST(reply_id AS BIGINT) AS reply_id, CAST(pos AS BIGINT) AS pos, incident_type, confidence, timestamp_seconds, evidence, recommended_action
-FROM (VALUES {values}) v(reply_id, pos, incident_type, confidence, timestamp_seconds, evidence, recommended_action)"""
+    return f"""SELECT event_id AS reply_id, CAST(pos AS BIGINT) AS pos, incident_type, confidence, timestamp_seconds, evidence, recommended_action
+FROM events JOIN (VALUES {values}) v(reply, pos, incident_type, confidence, timestamp_seconds, evidence, recommended_action) ON event_id % 10 + 1 = reply"""
 
 
 def _reply_rows(evidence: str, stripped: bool) -> list[tuple]:
@@ -226,6 +226,7 @@ FROM fast_incidents WHERE incident_type <> 'none' AND confidence >= 0.4""",
 lines AS (SELECT camera, string_agg(incident_type || ' (' || printf('%.2f', confidence) || ')', ', ' ORDER BY k) AS line FROM top WHERE k <= 2 GROUP BY camera)
 SELECT camera, CASE WHEN line IS NULL THEN {_text(QUIET)} ELSE 'Detected potential incident(s): ' || line || '. Local alert workflow engaged.' END AS summary FROM (SELECT DISTINCT user_id % 10 AS camera FROM events) LEFT JOIN lines USING (camera)""",
     "report_listing": f"WITH {REPORTS} SELECT report_id, source_filename, CAST(emitted AS BIGINT) AS shown_incidents, CASE WHEN met THEN 'Yes' ELSE 'No' END AS target_met FROM reports",
+    "report_order": f"WITH {REPORTS} SELECT report_id, clip_id, row_number() OVER (ORDER BY report_id DESC) - 1 AS listed, row_number() OVER (ORDER BY clip_id % 50 DESC, report_id DESC) - 1 AS shown FROM reports",
     "report_point": f"WITH {REPORTS} SELECT report_id, clip_id, source_filename, summary FROM reports WHERE clip_id = 7",
     "reports_scan": f"""WITH {REPORTS} SELECT report_id, source_filename, processing_time_ms, met AS met_latency_target, summary, '2024-02-01 00:00:00' AS created_at, CASE WHEN emitted THEN incident_type ELSE 'none' END AS incident_type,
   CASE WHEN emitted THEN confidence ELSE CAST(0.8 AS DOUBLE) END AS confidence, evidence AS note FROM reports""",
@@ -274,6 +275,10 @@ FROM windows JOIN names ON label_id = clip_id % 5 GROUP BY clip_id, start""",
     "label_csv_scan": "SELECT 'u' || user_id AS filename, event_type AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1",
     "annotations_scan": f"""SELECT 'c' || label AS label, count(*) AS n, CAST(sum({_scaled('CAST(embedding[52] AS DOUBLE)')}) AS BIGINT) AS motion_thousandths,
   CAST(sum(list_sum(list_transform(range(0, 17), lambda j: {_scaled('CAST(embedding[3 * j + 1] AS DOUBLE)')}))) AS BIGINT) AS x_thousandths FROM embeddings GROUP BY label""",
+    "pose_annotations": f"""WITH v AS (SELECT vec_id // 40 AS clip, CAST(vec_id % 40 AS VARCHAR) AS key, {_AT.format(1)} AS x, {_AT.format(2)} AS y, count(*) OVER (PARTITION BY vec_id // 40) AS n FROM embeddings),
+l AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS by_ FROM v WINDOW w AS (PARTITION BY clip ORDER BY key))
+SELECT 'l' || clip % 5 AS label, count(*) AS frames, CAST(sum({_scaled('CASE WHEN bx IS NULL THEN CAST(0 AS DOUBLE) ELSE list_sum(list_transform(range(1, 18), lambda j: sqrt((x[j] - bx[j]) * (x[j] - bx[j]) + (y[j] - by_[j]) * (y[j] - by_[j])))) / 17 END')}) AS BIGINT) AS motion_thousandths
+FROM l WHERE n >= 32 AND clip % 7 <> 0 GROUP BY 1""",
     "label_join": "SELECT doc_id, trim(lang) AS lang, n_chars, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id)",
     "unlabeled_docs": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_map_last_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1",

@@ -144,6 +144,15 @@ def report_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("report_id", "source_filename", F.size(shown).cast("long").alias("shown_incidents"), F.when(F.col("met_latency_target"), "Yes").otherwise("No").alias("target_met"))
 
 
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report's place in the listing (by id downwards) and in the history (newest first, then by id downwards)."""
+    hours = F.col("clip_id") % 50
+    made = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) + hours * 3600)
+    rows = _reports(spark, sf_dir).withColumn("created_at", made)
+    rows = C.listing_places(C.listing_places(rows, "listed"), "shown", recent_first=True)
+    return rows.select("report_id", "clip_id", "listed", "shown")
+
+
 def report_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of clip 7, by its id, from stored reports of which one partition is read."""
     folder = live.shared_folder(spark)
@@ -325,6 +334,26 @@ def annotations_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("m").alias("motion_thousandths"), F.sum("x").alias("x_thousandths"))
 
 
+#: Vectors that make the frames of one pose file.
+POSES = 40
+
+
+def pose_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pose files of forty frames, written as JSON with a label map, read back, joined, kept as annotations and read again; in sums by label."""
+    folder = live.shared_folder(spark)
+    rows = _vectors(spark, sf_dir).withColumn("clip", F.floor(F.col("vec_id") / POSES))
+    frame = F.struct((F.col("vec_id") % POSES).cast("string").alias("key"), F.slice("v", 1, 51).alias("keypoints"))
+    tracks = rows.groupBy("clip").agg(F.map_from_entries(F.collect_list(F.struct(frame["key"].alias("key"), F.struct(frame["keypoints"].alias("keypoints")).alias("frame")))).alias("frames"))
+    name = F.concat(F.lit("c"), F.col("clip").cast("string"), F.lit(readers.POSE_GLOB[1:]))
+    sinks.write_texts(tracks.select(name.alias("name"), F.to_json(F.create_map(F.lit("p1"), F.col("frames"))).alias("text")), f"{folder}/poses")
+    named = rows.select("clip").distinct().where("clip % 7 != 0").select(name.alias("filename"), F.concat(F.lit("l"), (F.col("clip") % 5).cast("string")).alias("label"))
+    named.write.option("header", "true").csv(f"{folder}/labels")
+    poses = frames.track_motion(readers.annotation_frames(readers.read_pose_files(spark, f"{folder}/poses")))
+    sinks.write_annotations(sinks.annotation_records(poses, readers.read_label_map(spark, f"{folder}/labels")), f"{folder}/kept")
+    kept = readers.read_annotations(spark, f"{folder}/kept").select("label", F.explode("frames").alias("f"))
+    return kept.groupBy("label").agg(F.count("*").alias("frames"), F.sum(signals.scaled("f.motion", 1000)).alias("motion_thousandths"))
+
+
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.trim("lang").alias("lang"), "n_chars")
     return curate.label_join(docs, table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "n_chars", *_long(quality="quality", toxic="toxic"))
@@ -479,8 +508,10 @@ REPLIES = (
 )
 
 
-def _replies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "reply_id long, reply string")
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the ten replies for each event, by its number."""
+    reply = F.element_at(F.array(*(F.lit(text) for _, text in REPLIES)), (F.col("event_id") % len(REPLIES)).cast("int") + 1)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("reply_id"), reply.alias("reply"))
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -488,11 +519,11 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def llm_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(parse_replies(_replies(spark), "reply_id", "reply"))
+    return _parsed(parse_replies(_replies(spark, sf_dir), "reply_id", "reply"))
 
 
 def llm_reply_parse_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(parse_replies(_replies(spark), "reply_id", "reply", strip=False, default_evidence=LOCAL_EVIDENCE))
+    return _parsed(parse_replies(_replies(spark, sf_dir), "reply_id", "reply", strip=False, default_evidence=LOCAL_EVIDENCE))
 
 
 def llm_reply_parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,10 +673,10 @@ def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    clip_signals, camera_signals, clip_latency_summary, latency_gate, clip_incidents, clip_incidents_fastpath, incident_reports, incident_alerts, incident_evidence, incident_summary_top2, report_listing, report_point, reports_scan, alerts_scan, landed_uploads,
+    clip_signals, camera_signals, clip_latency_summary, latency_gate, clip_incidents, clip_incidents_fastpath, incident_reports, incident_alerts, incident_evidence, incident_summary_top2, report_listing, report_order, report_point, reports_scan, alerts_scan, landed_uploads,
     frame_motion, horizontal_posture, avi_frame_scan, stride_sampled_frames, sampled_signals, signal_bundles, motion_series, pixel_motion, adaptive_controller, adaptive_controller_skipping,
     sliding_windows, window_counts, window_signals, window_incidents, head_window_pad, runtime_tensor, longest_track, frame_key_order, window_store_scan,
-    label_csv_scan, annotations_scan, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
+    label_csv_scan, annotations_scan, pose_annotations, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
     sft_union, sft_rows, sft_scan, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text, multimodal_summary_shares,
     llm_reply_parse, llm_reply_parse_local, llm_reply_parse_events, upload_validation, suffix_parse, embedding_reshape, keypoint_bbox, keypoint_motion,
     tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, pose_event_classifier, pose_event_network, incident_rollup, segment_revenue,
