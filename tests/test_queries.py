@@ -58,6 +58,30 @@ def test_the_model_predicts(spark):
     assert len(rows) == 75 and all(0 <= r.top_confidence <= 1 for r in rows)
 
 
+def test_predictions_match_plain_arithmetic(spark):
+    import numpy as np
+
+    from tidemark.operators import curate
+    from tidemark.operators import model as ml
+
+    rows = curate.train_validation(Q._vectors(spark, SF), "vec_id")
+    model = ml.train_classifier(rows.where("split = 'train'"), "v", "label")
+    index, scaler, net = model.stages[:3]
+    got = {r.vec_id: (r.top_event, r.top_confidence) for r in ml.predict(model, rows, "v").collect()}
+    held = rows.collect()
+    x = (np.array([r.v for r in held]) - scaler.mean.toArray()) / scaler.std.toArray()
+    weights, at = net.weights.toArray(), 0
+    layers = net.getLayers()
+    for k, (a, b) in enumerate(zip(layers, layers[1:])):
+        w = weights[at : at + a * b].reshape(b, a, order="F").T
+        x = x @ w + weights[at + a * b : at + (a + 1) * b]
+        at += (a + 1) * b
+        x = 1 / (1 + np.exp(-x)) if k < len(layers) - 2 else np.exp(x - x.max(1, keepdims=True)) / np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)
+    for r, p in zip(held, x):
+        top, confidence = got[r.vec_id]
+        assert confidence == pytest.approx(p.max(), abs=1e-9) and p[index.labels.index(top)] == pytest.approx(p.max(), abs=1e-9)
+
+
 def test_the_model_learns_what_can_be_learned(spark, tmp_path):
     from pyspark.sql import functions as F
 

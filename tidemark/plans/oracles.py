@@ -353,6 +353,7 @@ SELECT clip_id, event_id, frame_idx, greatest(25, 50 - 10 * v) AS downscale_hund
 WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY h, event_type""",
     "stream_static_join": "SELECT event_id, user_id, CAST(quality AS BIGINT) AS quality FROM events LEFT JOIN labels ON user_id = doc_id",
     "stream_once_each": "SELECT event_id, user_id FROM events",
+    "pose_event_accuracy": "SELECT n - CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n, true AS learned FROM (SELECT count(*) AS n FROM embeddings)",
     "pose_event_network": "SELECT n - CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n, true AS learned FROM (SELECT CAST(sum(CASE WHEN n >= 32 THEN (n - 32) // 8 + 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM events GROUP BY user_id))",
     "incident_rollup": f"WITH {CLASSIFIED} SELECT clip_id % 10 AS camera, incident_type, count(*) AS n, count(*) FILTER (emitted) AS emitted FROM incidents GROUP BY ROLLUP (clip_id % 10, incident_type)",
     "segment_revenue": """SELECT c_mktsegment, n_name, count(*) AS lines, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS revenue_hundredths

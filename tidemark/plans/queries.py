@@ -643,6 +643,15 @@ def pose_event_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "label", "top_event", "top_confidence")
 
 
+def pose_event_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the model learns which of a vector's first two values is the larger: validation vectors judged, and 85 in 100 right."""
+    rows = _vectors(spark, sf_dir).withColumn("side", F.when(F.get("v", 0) > F.get("v", 1), "first").otherwise("second"))
+    rows = curate.train_validation(rows, "vec_id")
+    model = ml.train_classifier(rows.where("split = 'train'"), "v", "side")
+    found = ml.accuracy(ml.predict(model, rows.where("split = 'validation'"), "v"), "side")
+    return found.select("n", (F.col("right") >= 0.85 * F.col("n")).alias("learned"))
+
+
 def pose_event_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a network learns which windows move much, from their values and motion: validation windows judged, and 90 in 100 right."""
     rows = frames.motion_frames(_frames(spark, sf_dir), ORDER).select("clip_id", "frame_idx", "event_id", "motion", F.array(F.col("motion") / 10, F.col("value") / 100).cast("array<float>").alias("features"))
@@ -679,5 +688,5 @@ QUERIES = (
     label_csv_scan, annotations_scan, pose_annotations, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
     sft_union, sft_rows, sft_scan, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text, multimodal_summary_shares,
     llm_reply_parse, llm_reply_parse_local, llm_reply_parse_events, upload_validation, suffix_parse, embedding_reshape, keypoint_bbox, keypoint_motion,
-    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, pose_event_classifier, pose_event_network, incident_rollup, segment_revenue,
+    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, pose_event_classifier, pose_event_accuracy, pose_event_network, incident_rollup, segment_revenue,
 )
