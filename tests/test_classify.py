@@ -112,3 +112,13 @@ def test_routes(spark):
     hosted = spark.createDataFrame([(2, "h")], "clip_id long, who string")
     assert sorted(map(tuple, C.choose_route(hosted, rules, "clip_id", "hosted").collect())) == [(1, "r"), (2, "h")]
     assert sorted(map(tuple, C.choose_route(hosted, rules, "clip_id", "local").collect())) == [(1, "r"), (2, "r")]
+
+
+def test_reports_are_stamped_when_they_are_made(spark):
+    from tidemark.operators import classify as C
+
+    before = spark.sql("SELECT current_timestamp() AS t").first().t
+    rows = spark.createDataFrame([("c", "c.mp4", 1.0, True)], "clip_id string, source_filename string, processing_time_ms double, met_target boolean")
+    clips = rows.withColumns({"incident_type": F.lit("none"), "confidence": F.lit(0.9)})
+    made = clips.select(*[c for c in C._report_columns(config.DEFAULTS, None, None) if not isinstance(c, str) and "created_at" in str(c)]).first()[0]
+    assert before <= made <= spark.sql("SELECT current_timestamp() AS t").first().t

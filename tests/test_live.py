@@ -100,14 +100,9 @@ def test_repeats_are_dropped_over_triggers(spark):
 
 def test_meter_writes_a_row_for_each_batch(spark, tmp_path):
     rows = events(spark, [(k % 3, k, (37 * k) % 160) for k in range(90)])
-    meter = live.Meter(spark, str(tmp_path / "meter"))
-    spark.streams.addListener(meter)
-    try:
+    with live.metering(spark, str(tmp_path / "meter")):
         build = lambda r: live.metered(r, "value").select("event_id", "user_id")
         in_steps(spark, str(tmp_path), [rows.where(f"event_id % 3 = {k}") for k in range(3)], build)
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-    finally:
-        spark.streams.removeListener(meter)
     got = live.read_meter(spark, str(tmp_path / "meter")).orderBy("batch_id").collect()
     target = config.DEFAULTS.latency_target_ms
     want = rows.groupBy(F.expr("event_id % 3").alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95).alias("p"), F.max("value").alias("m"), F.count_if(F.col("value") > target).alias("v")).orderBy("k").collect()

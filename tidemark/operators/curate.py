@@ -109,7 +109,7 @@ def train_validation(rows: DataFrame, key: str, fraction: float = config.DEFAULT
 
 
 def distribution(rows: DataFrame, label: str) -> DataFrame:
-    """Counts by label, the total, and whole percentages, halves up."""
+    """Counts by label, the total, and whole percentages, halves up. The window without a key sees a row for each label, as few as there are."""
     counts = class_counts(rows, label)
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counts.select(label, "n", total.alias("total"), F.floor(F.col("n") * 100 / total + 0.5).cast("long").alias("percent"))

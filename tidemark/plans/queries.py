@@ -624,6 +624,15 @@ def stream_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.replay(_events(spark, sf_dir), lambda rows: live.once_each(rows, "event_id", "3 hours").select("event_id", "user_id"), STRETCHES, again="2 hours")
 
 
+def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener measured of each batch as the stream passed, in sums over the batches."""
+    path = live.shared_folder(spark)
+    with live.metering(spark, path):
+        live.replay(_events(spark, sf_dir), lambda rows: live.metered(rows, "value").select("event_id"), STRETCHES)
+    rows = live.read_meter(spark, path)
+    return rows.agg(F.count("*").alias("batches"), F.sum("frames").alias("frames"), F.sum("violations").alias("violations"), signals.scaled(F.max("max_ms"), 100).alias("max_hundredths"), F.bool_and(F.col("p95_ms") <= F.col("max_ms")).alias("in_order"))
+
+
 def avi_frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of gray frames, one for each event, written as AVI files and read back by ranges of their bytes."""
     folder = live.shared_folder(spark)
@@ -688,5 +697,5 @@ QUERIES = (
     label_csv_scan, annotations_scan, pose_annotations, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
     sft_union, sft_rows, sft_scan, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text, multimodal_summary_shares,
     llm_reply_parse, llm_reply_parse_local, llm_reply_parse_events, upload_validation, suffix_parse, embedding_reshape, keypoint_bbox, keypoint_motion,
-    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, pose_event_classifier, pose_event_accuracy, pose_event_network, incident_rollup, segment_revenue,
+    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, stream_meter, pose_event_classifier, pose_event_accuracy, pose_event_network, incident_rollup, segment_revenue,
 )

@@ -239,6 +239,18 @@ class Meter(StreamingQueryListener):
         pass
 
 
+@contextmanager
+def metering(spark: SparkSession, path: str) -> Iterator[None]:
+    """While it lasts, metered streams write a row for each batch below a path; at its end all rows are there."""
+    meter = Meter(spark, path)
+    spark.streams.addListener(meter)
+    try:
+        yield
+    finally:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        spark.streams.removeListener(meter)
+
+
 def read_meter(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
