@@ -142,8 +142,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _range_bounds(ids: DataFrame) -> list[int]:
     """The least ids of the ranges, ascending; the first is the least of all.
 
-    They come from about RANGE_SAMPLE ids for each range, by a hash of the id, sorted at
-    the driver: some eight megabytes at the most, however many documents there are.
+    They come from about RANGE_SAMPLE ids for each range, drawn by a hash of the id and
+    sorted at the driver as one array: a million longs or two, however many documents
+    there are.
     """
     n, least = ids.agg(F.count("*"), F.min("_id")).first()
     if not n:
@@ -153,7 +154,7 @@ def _range_bounds(ids: DataFrame) -> list[int]:
         return [least]
     one_in = max(1, n // (parts * RANGE_SAMPLE))
     drawn = ids.where(F.pmod(F.xxhash64("_id"), F.lit(one_in)) == 0).distinct()
-    found = sorted(r[0] for r in drawn.limit(4 * parts * RANGE_SAMPLE).collect())
+    found = sorted(drawn.toArrow()["_id"].to_pylist())
     return sorted({least, *(found[k * len(found) // parts] for k in range(1, parts) if found)})
 
 
