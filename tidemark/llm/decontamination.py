@@ -28,7 +28,7 @@ from tidemark.llm._spark import column_index, cut, table
 
 BASE = 64
 #: Words of an automaton, about (some two kilobytes each in a worker), and of a piece of an item.
-MOST_WORDS, PIECE = 300_000, 10_000
+MOST_WORDS, PIECE = 200_000, 10_000
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", _SPAN), ("spans", _SPAN)])

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._spark import cut, table
 
-#: Rules of a trie, about (it takes some 300 bytes for each).
-MOST_RULES = 1_000_000
+#: Rules of a trie, about (with its rules it takes some 900 bytes for each).
+MOST_RULES = 500_000
 
 
 class Rule(NamedTuple):
@@ -49,45 +49,65 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_FOLD), m[2]) if m else ("", "")
 
 
+class Node:
+    """Labels, then under `path` segments; `own` is the rule that ends here, `ends` those with a part of a segment more, by that part."""
+
+    __slots__ = ("labels", "path", "segments", "own", "ends", "sizes")
+
+    def __init__(self):
+        self.labels = self.path = self.segments = self.own = self.ends = self.sizes = None
+
+
 class Trie:
-    """Nodes are dicts: "host label" from the right, then a path node under "/"."""
+    """Nodes of host labels from the right, then of path segments; what a node doesn't have costs it nothing."""
 
     def __init__(self, rules: list[Rule]):
-        self.root: dict = {}
+        self.root = Node()
         for rule in rules:
             node = self.root
             for label in reversed(rule.host.split(".")) if rule.host else ():
-                node = node.setdefault("labels", {}).setdefault(label, {})
-            node = node.setdefault("path", {})
+                if node.labels is None:
+                    node.labels = {}
+                node = node.labels.get(label) or node.labels.setdefault(label, Node())
+            node.path = node = node.path or Node()
             *segments, rest = rule.path.split("/")
             for segment in segments:
-                node = node.setdefault("segments", {}).setdefault(segment, {})
+                if node.segments is None:
+                    node.segments = {}
+                node = node.segments.get(segment) or node.segments.setdefault(segment, Node())
             # what follows the last slash may be a part of a segment
-            ends = node.setdefault("ends", {})
-            held = ends.get(rest)
-            if held is None or (rule.verdict, str(rule)) < (held.verdict, str(held)):
-                ends[rest] = rule
-                if len(rest) not in (sizes := node.setdefault("sizes", [])):
-                    sizes.append(len(rest))
-                    sizes.sort(reverse=True)
+            held = (node.ends or {}).get(rest) if rest else node.own
+            if held is not None and (rule.verdict, str(rule)) >= (held.verdict, str(held)):
+                continue
+            if not rest:
+                node.own = rule
+                continue
+            if node.ends is None:
+                node.ends, node.sizes = {}, []
+            node.ends[rest] = rule
+            if len(rest) not in node.sizes:
+                node.sizes.append(len(rest))
+                node.sizes.sort(reverse=True)
 
     def find(self, host: str, path: str) -> Rule | None:
         """The rule that fits with the longest host and path together; of equals the one with the longer host, then allow before block."""
         best, size = None, (-1, -1)
         segments = path.split("/")
-        node: dict | None = self.root
+        node: Node | None = self.root
         labels = reversed(host.split(".")) if host else iter(())
         while node is not None:
-            at, k = node.get("path"), 0
+            at, k = node.path, 0
             while at is not None:
-                for n in at.get("sizes", ()):
-                    if n <= len(segments[k]) and (rule := at["ends"].get(segments[k][:n])) is not None:
-                        if (new := (len(rule.host) + len(rule.path), len(rule.host))) > size:
-                            best, size = rule, new
+                fits = at.own
+                for n in at.sizes or ():
+                    if n <= len(segments[k]) and (rule := at.ends.get(segments[k][:n])) is not None:
+                        fits = rule
                         break
-                at = at.get("segments", {}).get(segments[k]) if k < len(segments) - 1 else None
+                if fits is not None and (new := (len(fits.host) + len(fits.path), len(fits.host))) > size:
+                    best, size = fits, new
+                at = at.segments.get(segments[k]) if at.segments and k < len(segments) - 1 else None
                 k += 1
-            node = node.get("labels", {}).get(label) if (label := next(labels, None)) is not None else None
+            node = node.labels.get(label) if node.labels and (label := next(labels, None)) is not None else None
         return best
 
 
