@@ -274,3 +274,16 @@ def test_model_calls(spark):
     settings = config.Settings(hosted_endpoint="http://h", hosted_key="k")
     assert enrich.hosted_client_of(settings) is None and enrich.hosted_client_of(config.Settings(hosted_endpoint="http://h", hosted_key="k", offline_mode=False)) is not None
     assert enrich.REFINE_TIMEOUT == 8 and enrich.refine_client_of(settings) is None
+
+
+def test_class_counts_are_shown(spark, capsys):
+    sinks.show_class_counts(spark.createDataFrame([("b",), ("a",), ("b",)], "label string"), "label")
+    shown = [[c.strip() for c in line.split("|")[1:-1]] for line in capsys.readouterr().out.splitlines() if line.startswith("|")]
+    assert shown == [["label", "count"], ["a", "1"], ["b", "2"]]
+
+
+def test_texts_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.json", "{}"), ("b.json", None), ("c.json", "é")], "name string, text string")
+    for _ in range(2):  # a second run replaces the files
+        assert sinks.write_texts(rows, str(tmp_path / "t")) == 3
+    assert {p.name: p.read_text() for p in (tmp_path / "t").iterdir()} == {"a.json": "{}", "b.json": "", "c.json": "é"}
