@@ -70,3 +70,36 @@ def test_rows_without_an_id_are_alone(spark):
     df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
     got = sorted(len(r.t) for r in cf.format_chats(df).select(cf.read_turns(F.col("formatted")).alias("t")).collect())
     assert got == [1, 2]
+
+
+def test_spans_over_many_goes_and_blocks(spark, monkeypatch):
+    rows = [(1, k, "assistant" if k % 7 < 4 else "user", f"t{k} é#" * (k % 3)) for k in range(900)] + [(2, k, "assistant", "x") for k in range(600)] + [(3, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spans = lambda: {r.conv_id: (r.formatted, [tuple(s) for s in r.loss_spans]) for r in cf.format_chats(df).collect()}
+    want = spans()
+    for go in (1, 7, 10_000):
+        monkeypatch.setattr(cf, "GO", go)
+        assert spans() == want
+    for c, (text, found) in want.items():
+        learned = [t for i, _, r, t in rows if i == c and r == "assistant"]
+        assert [cf_unescaped(text[a : a + n]) for a, n, _, _ in found] == learned
+        assert [text.encode()[at : at + n].decode() for _, _, at, n in found] == [text[a : a + n] for a, n, _, _ in found]
+
+
+def cf_unescaped(text):
+    import re
+
+    return re.sub(r"\\(.)", r"\1", text)
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    seconds = []
+    for n in (6_000, 48_000):
+        df = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], "some text") for k in range(n)], "conv_id long, turn long, role string, text string").cache()
+        df.count()
+        began = time.perf_counter()
+        assert cf.format_chats(df).select("loss_spans").first()[0][-1].length == 9
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * max(seconds[0], 1.5)

@@ -12,8 +12,9 @@ gives the text back. The loss mask is the spans of the assistant's texts, in cod
 points and in bytes of UTF-8; read-back cuts the bytes, which needs no walk from the
 string's start.
 
-A conversation is one string and so one row. Work on it grows with its length; the
-list of its spans is copied for each turn, which counts from some ten thousand on.
+A conversation is one string and so one row. Work on it grows with its length: places
+are running sums over the lengths of what is written, taken by goes of some hundred
+pieces, so that no list of spans is copied for each turn.
 """
 
 from __future__ import annotations
@@ -66,24 +67,47 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     written = F.transform("_turns", lambda t: F.struct(escape(t["role"], True).alias("role"), escape(t["text"]).alias("text")))
     chats = chats.select("conv_id", written.alias("_written")).select("conv_id", merge_turns(F.col("_written")).alias("_blocks"))
     render = lambda b: F.concat(F.lit(HEAD), b["role"], F.lit(MIDDLE), F.array_join(b["texts"], NEXT), F.lit(END))
+    return chats.select("conv_id", F.array_join(F.transform("_blocks", render), "").alias("formatted"), loss_spans("_blocks").alias("loss_spans"))
+
+
+#: Pieces whose places are summed up in one go; the lists of these are joined at the end, so that long conversations take linear time.
+GO = 256
+
+
+def loss_spans(blocks: str) -> Column:
+    """The spans of learned texts in the text that is written of blocks, from the lengths of what stands before each."""
     number = lambda x: x.cast("long")
-    state = F.struct(number(F.lit(0)).alias("start"), number(F.lit(0)).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
 
-    def moved(x: Column, chars: Column, size: Column, spans: Column) -> Column:
-        return F.struct((x["start"] + chars).alias("start"), (x["at"] + size).alias("at"), spans.alias("spans"))
+    def pieces(b: Column) -> Column:
+        """What a block writes: for each text what leads to it, itself, and what ends the block after the last."""
+        last = F.size(b["texts"]) - 1
+
+        def one(t: Column, k: Column) -> Column:
+            lead = lambda length: F.when(k == 0, number(length(b["role"])) + len(HEAD + MIDDLE)).otherwise(len(NEXT))
+            tail = number(F.when(k == last, len(END)).otherwise(0))
+            return F.struct(lead(F.char_length).alias("lead"), lead(F.octet_length).alias("lead_bytes"), number(F.char_length(t)).alias("chars"), number(F.octet_length(t)).alias("bytes"), tail.alias("tail"), (b["role"] == LEARNED).alias("learned"))
+
+        return F.transform(b["texts"], one)
+
+    def state(start: Column, at: Column, spans: Column) -> Column:
+        return F.struct(number(start).alias("start"), number(at).alias("at"), spans.alias("spans"))
+
+    def step(s: Column, p: Column) -> Column:
+        span = F.struct((s["start"] + p["lead"]).alias("start"), p["chars"].alias("length"), (s["at"] + p["lead_bytes"]).alias("at"), p["bytes"].alias("bytes"))
+        spans = F.when(p["learned"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"])
+        return state(s["start"] + p["lead"] + p["chars"] + p["tail"], s["at"] + p["lead_bytes"] + p["bytes"] + p["tail"], spans)
+
+    def summed(every: Column) -> Column:
+        none = F.array().cast(f"array<{_SPAN}>")
+        starts = F.when(F.size(every) > 0, F.sequence(F.lit(1), F.size(every), F.lit(GO))).otherwise(F.array().cast("array<int>"))
 
-    def texts(s: Column, b: Column) -> Column:
-        def one(x: Column, t: Column) -> Column:
-            chars, size = number(F.char_length(t)), number(F.octet_length(t))
-            span = F.struct(x["start"].alias("start"), chars.alias("length"), x["at"].alias("at"), size.alias("bytes"))
-            spans = F.when(b["role"] == LEARNED, F.concat(x["spans"], F.array(span))).otherwise(x["spans"])
-            return moved(x, chars + len(NEXT), size + len(NEXT), spans)
+        def go(s: Column, k: Column) -> Column:
+            done = F.aggregate(F.slice(every, k, F.lit(GO)), state(s["start"], s["at"], none), step)
+            return F.get(F.transform(F.array(done), lambda d: state(d["start"], d["at"], F.concat(s["spans"], F.array(d["spans"])))), F.lit(0))
 
-        begin = moved(s, number(F.char_length(b["role"])) + len(HEAD + MIDDLE), number(F.octet_length(b["role"])) + len(HEAD + MIDDLE), s["spans"])
-        return F.aggregate(b["texts"], begin, one, lambda x: moved(x, F.lit(len(END) - len(NEXT)), F.lit(len(END) - len(NEXT)), x["spans"]))
+        return F.aggregate(starts, state(F.lit(0), F.lit(0), F.array().cast(f"array<array<{_SPAN}>>")), go, lambda s: F.flatten(s["spans"]))
 
-    spans = F.aggregate("_blocks", state, texts, lambda x: x["spans"])
-    return chats.select("conv_id", F.array_join(F.transform("_blocks", render), "").alias("formatted"), spans.alias("loss_spans"))
+    return F.get(F.transform(F.array(F.flatten(F.transform(blocks, pieces))), summed), F.lit(0))
 
 
 def read_turns(formatted: Column) -> Column:
