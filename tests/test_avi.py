@@ -55,6 +55,11 @@ def test_frames_are_those_of_one_task_for_any_partitions(spark, folder):
     assert signals(avi.read_avi(spark, f"file://{folder}", partitionBytes=5000)) == want
 
 
+def test_whole_files_decode_to_the_same_frames(spark, folder):
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.avi").load(str(folder))
+    assert signals(decode.decode(files, avi.AviDecoder())) == signals(avi.read_avi(spark, str(folder)))
+
+
 def test_frames_cap_and_one_file(spark, folder):
     got = signals(avi.read_avi(spark, str(folder / "a.avi"), maxFrames=11, partitionBytes=9000))
     assert got == single("a.avi", moving(30), most=11)

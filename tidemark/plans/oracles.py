@@ -354,6 +354,7 @@ WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE G
     "stream_static_join": "SELECT event_id, user_id, CAST(quality AS BIGINT) AS quality FROM events LEFT JOIN labels ON user_id = doc_id",
     "stream_once_each": "SELECT event_id, user_id FROM events",
     "stream_meter": "SELECT CAST(5 AS BIGINT) AS batches, count(*) AS frames, count(*) FILTER (value > 100) AS violations, CAST(round(max(value) * 100) AS BIGINT) AS max_hundredths, true AS in_order FROM events",
+    "live_uploads": "SELECT DISTINCT user_id AS clip_id, CASE user_id % 10 WHEN 3 THEN 'unsupported type' WHEN 4 THEN 'unreadable' ELSE 'report' END AS outcome FROM events",
     "pose_event_accuracy": "SELECT n - CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n, true AS learned FROM (SELECT count(*) AS n FROM embeddings)",
     "pose_event_network": "SELECT n - CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS n, true AS learned FROM (SELECT CAST(sum(CASE WHEN n >= 32 THEN (n - 32) // 8 + 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM events GROUP BY user_id))",
     "incident_rollup": f"WITH {CLASSIFIED} SELECT clip_id % 10 AS camera, incident_type, count(*) AS n, count(*) FILTER (emitted) AS emitted FROM incidents GROUP BY ROLLUP (clip_id % 10, incident_type)",

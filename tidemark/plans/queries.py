@@ -633,17 +633,40 @@ def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("batches"), F.sum("frames").alias("frames"), F.sum("violations").alias("violations"), signals.scaled(F.max("max_ms"), 100).alias("max_hundredths"), F.bool_and(F.col("p95_ms") <= F.col("max_ms")).alias("in_order"))
 
 
+def _gray(rows: DataFrame) -> DataFrame:
+    """Frames of 4 x 4 pixels as gray as their value."""
+    level = F.pmod(F.floor("value"), F.lit(256)).cast("int")
+    return rows.select("clip_id", "frame_idx", F.unhex(F.repeat(F.lpad(F.hex(level), 2, "0"), 16)).alias("pixels"))
+
+
 def avi_frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of gray frames, one for each event, written as AVI files and read back by ranges of their bytes."""
     folder = live.shared_folder(spark)
-    level = F.pmod(F.floor("value"), F.lit(256)).cast("int")
-    pixels = F.unhex(F.repeat(F.lpad(F.hex(level), 2, "0"), 16))
-    sinks.write_clips(_frames(spark, sf_dir).select(F.col("clip_id").cast("string").alias("clip_id"), "frame_idx", pixels.alias("pixels")), folder, 4, 4)
+    sinks.write_clips(_gray(_frames(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))), folder, 4, 4)
     rows = avi.read_avi(spark, folder, partitionBytes=avi.PARTITION_BYTES)
     clip = F.regexp_extract("clip_id", r"([^/]+)\.avi$", 1).cast("long")
     return rows.select(clip.alias("clip_id"), *_long(frame_idx="frame_idx", total_frames="total_frames"), signals.scaled("brightness", 1000).alias("brightness_thousandths"), signals.scaled("motion", 1000).alias("motion_thousandths"))
 
 
+def live_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each upload of a landing folder that is read in five batches: of users' clips as AVI files, one in ten
+    is a text file and one in ten isn't a clip."""
+    folder = live.shared_folder(spark)
+    rows = _frames(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
+    kind = F.col("clip_id").cast("long") % 10
+    sinks.write_clips(_gray(rows.where(~kind.isin(3, 4))), f"{folder}/in", 4, 4)
+    names = rows.where(kind.isin(3, 4)).select("clip_id").distinct()
+    sinks.write_texts(names.select(F.concat("clip_id", F.when(kind == 3, ".txt").otherwise(".avi")).alias("name"), F.lit("no clip").alias("text")), f"{folder}/in")
+    found = online.LiveSinks.below(f"{folder}/out")
+    batch = rows.select("clip_id").distinct().count() // STRETCHES + 1
+    online.run_live(spark, f"{folder}/in", found, avi.AviDecoder(), f"{folder}/state", config.Settings(latency_target_ms=10_000_000), files=batch).awaitTermination()
+    base = lambda c: F.regexp_extract(c, r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("clip_id")
+    reports = spark.read.schema("source_filename string").json(found.reports).select(base("source_filename"), F.lit("report").alias("outcome"))
+    late = spark.read.schema("clip_id string").json(found.late).select(base("clip_id"), F.lit("late").alias("outcome"))
+    rejected = spark.read.schema("path string, reason string").json(found.rejected).select(base("path"), F.col("reason").alias("outcome"))
+    return reports.unionByName(late).unionByName(rejected)
+
+
 def pose_event_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right answers of a model on the validation part; features are the vectors, classes the ten labels."""
     rows = curate.train_validation(_vectors(spark, sf_dir), "vec_id")
@@ -697,5 +720,5 @@ QUERIES = (
     label_csv_scan, annotations_scan, pose_annotations, label_join, unlabeled_docs, label_map_last_wins, label_template_join, label_vocabulary, class_counts, class_weights, event_distribution, dashboard, reasoning_join,
     sft_union, sft_rows, sft_scan, sft_balanced, train_val_split, chat_messages, chat_render, chat_render_plain, token_truncate, multimodal_summary_text, multimodal_summary_shares,
     llm_reply_parse, llm_reply_parse_local, llm_reply_parse_events, upload_validation, suffix_parse, embedding_reshape, keypoint_bbox, keypoint_motion,
-    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, stream_meter, pose_event_classifier, pose_event_accuracy, pose_event_network, incident_rollup, segment_revenue,
+    tumbling, sliding, session, stream_motion_state, stream_watermark_agg, stream_static_join, stream_once_each, stream_meter, live_uploads, pose_event_classifier, pose_event_accuracy, pose_event_network, incident_rollup, segment_revenue,
 )

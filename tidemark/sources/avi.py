@@ -159,6 +159,15 @@ def decode_range(f, size: int, low: int, high: int, path: str, settings: Setting
         yield (path, k, *values, len(starts), header.fps or settings.default_fps)
 
 
+class AviDecoder:
+    """A FrameDecoder for whole AVI files, as uploads bring them: frames are decoded one by one."""
+
+    def open(self, content: bytes) -> tuple[float, int, Iterator[np.ndarray]]:
+        f = io.BytesIO(content)
+        header, starts, sizes = read_index(f, len(content))
+        return header.fps, len(starts), (frame_image(header, content[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True))
+
+
 class Range(InputPartition):
     def __init__(self, path: str, low: int, high: int):
         self.path, self.low, self.high = path, low, high
