@@ -114,8 +114,17 @@ def hot_rows():
     return rows + [(begin, begin, 9, "same")] * 70  # equal rows
 
 
-@pytest.mark.parametrize("limit", [1, 7, 40, 100_000])
-def test_layout_and_rewrite(spark, tmp_path, limit):
+@pytest.mark.parametrize("limit, task_rows", [(1, 1_000_000), (7, 50), (40, 1_000_000), (100_000, 1_000_000)])
+def test_layout_and_rewrite(spark, tmp_path, monkeypatch, limit, task_rows):
+    monkeypatch.setattr(T, "TASK_ROWS", task_rows)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)
+    try:
+        layout_and_rewrite(spark, tmp_path, limit)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def layout_and_rewrite(spark, tmp_path, limit):
     rows = hot_rows()
     rows = rows[:120] if limit == 1 else rows
     early = [k % 9 != 8 and (r[0] is None or r[0] < datetime(2024, 3, 1)) for k, r in enumerate(rows)]

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._spark import cut, drop_folder, partitions, shared_folder, table
 
 NULL = "null"
+#: Rows of a task, about, where rows are sorted.
+TASK_ROWS = 1_000_000
 _LEAF_SQL = "leaf string, start long, n long"
 
 
@@ -120,6 +122,11 @@ def _router(starts: np.ndarray, after: int):
     return route
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """As many tasks as the session names, or more for many rows."""
+    return max(partitions(spark), -(-rows // TASK_ROWS))
+
+
 def _lanes(columns: list[Column]) -> list[Column]:
     """Sums of 32-bit lanes of two hashes of each row: equal for equal rows in any order."""
     out = []
@@ -153,12 +160,13 @@ def lay_out(rows: DataFrame, folder: str, limit: int, moment: Column, order: lis
     every = [F.col(f"`{c}`") for c in columns]
     timed = timed.withColumn(leaf, _router(np.array([x[1] for x in found], np.int64), len(found))(F.col(hour))).withColumn(tie, F.xxhash64(*every))
 
+    tasks = _tasks(spark, sum(sizes))
     large = [k for k, n in enumerate(sizes) if n > limit]
     planned = timed.withColumn(part, F.lit(1))
     if large:
         sort = [leaf, m, *order, tie]
         ranged = timed.filter(F.col(leaf).isin(large)).withColumn(at, F.monotonically_increasing_id())
-        ranged = ranged.repartitionByRange(partitions(spark), *sort, at).sortWithinPartitions(*sort, at)
+        ranged = ranged.repartitionByRange(tasks, *sort, at).sortWithinPartitions(*sort, at)
         ranged = cut(ranged.withColumn(at, F.monotonically_increasing_id()).withColumn(of, F.shiftright(at, 33)))
         sums = Window.partitionBy(leaf).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
         # a row for each task and leaf that meet: as many as tasks and leaves together, at most
@@ -186,9 +194,9 @@ def lay_out(rows: DataFrame, folder: str, limit: int, moment: Column, order: lis
     if todo:
         if len(todo) < len(files):
             planned = planned.join(F.broadcast(spark.createDataFrame(todo, f"`{leaf}` int, `{part}` int")), [leaf, part], "left_semi")
-        dealt = planned.repartition(leaf, part).sortWithinPartitions(leaf, part, m, *order, tie)
+        dealt = planned.repartition(tasks, leaf, part).sortWithinPartitions(leaf, part, m, *order, tie)
         hidden = f"{folder}/_{token}"
-        dealt.select(*every, leaf, part).write.partitionBy(leaf, part).parquet(hidden)
+        dealt.select(*every, leaf, part).write.option("maxRecordsPerFile", 0).partitionBy(leaf, part).parquet(hidden)
         path_of = {(f.leaf, f.part): f.path for f in out if f.rewritten}
         listed = fs.listFiles(store.Path(hidden), True)
         moved = 0
@@ -209,8 +217,11 @@ def lay_out(rows: DataFrame, folder: str, limit: int, moment: Column, order: lis
     return sorted(out, key=lambda f: (f.leaf, f.part))
 
 
-def file_digests(spark: SparkSession, folder: str, column: str) -> DataFrame:
-    """file_name, and the digest of a column's values in decimal, joined by commas in file order, of each file of a folder."""
+def file_digests(spark: SparkSession, folder: str, column: str, n_rows: int = 0) -> DataFrame:
+    """file_name, and the digest of a column's values in decimal, joined by commas in file order, of each file of a folder.
+
+    `n_rows`, if known, is how many rows the folder has: more tasks share many of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, digest = None, None
@@ -232,7 +243,7 @@ def file_digests(spark: SparkSession, folder: str, column: str) -> DataFrame:
             yield pa.record_batch([pa.array([x], pa.string()) for x in (name, digest.hexdigest())], ["file_name", "sha256"])
 
     rows = spark.read.parquet(folder).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("_row"), F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("value"))
-    return rows.repartition("file_name").sortWithinPartitions("file_name", "_row").select("file_name", "value").mapInArrow(run, "file_name string, sha256 string")
+    return rows.repartition(_tasks(spark, n_rows), "file_name").sortWithinPartitions("file_name", "_row").select("file_name", "value").mapInArrow(run, "file_name string, sha256 string")
 
 
 # Fixed values of the query: when the starting files end, files of the whole table, and how moments are made of ts.
@@ -263,5 +274,5 @@ def op13_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.createDataFrame(rows, "leaf string, part long, n_rows long, n_new long, path string, rewritten boolean, file_name string")
     if not files:
         return out.select("leaf", "part", "n_rows", "n_new", "path", "rewritten", F.lit("").alias("columns"), F.lit("").alias("ids_sha256"))
-    digests = file_digests(spark, folder, "click_id")
+    digests = file_digests(spark, folder, "click_id", sum(f.n_rows for f in files))
     return out.join(digests, "file_name").select("leaf", "part", "n_rows", "n_new", "path", "rewritten", F.lit(",".join(clicks.columns)).alias("columns"), F.col("sha256").alias("ids_sha256"))
