@@ -229,3 +229,36 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 10_000_000), (4, "short text of words")]
     got = {r[0]: r for r in run(spark, rows)}
     assert got[2][2] == 1 and got[3][1] == 1 and got[3][2] == 3 and got[4][3]
+
+
+def joined_rows(spark, after):
+    """Rows that inner joins by node made in the queries after a number."""
+    store, n = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        at = runs.apply(k).executionId()
+        if at > after:
+            nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+            for j in range(nodes.size()):
+                node = nodes.apply(j)
+                if "Join [node" in node.desc() and "Inner" in node.desc():
+                    for i in range(node.metrics().size()):
+                        m = node.metrics().apply(i)
+                        if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                            n += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return n
+
+
+def test_a_row_of_a_large_node_is_joined_once_with_its_pivot(spark):
+    """Classes that all take one label cost one joined row for each root, and a group twice as large twice as many."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    made = []
+    for n in (200, 400):
+        rows = [(k, " ".join([*base, f"end{k}"])) for k in range(n)]
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsList().last().executionId() if store.executionsCount() else -1
+        assert {r[2] for r in run(spark, rows)} == {0}
+        made.append(joined_rows(spark, before))
+    roots = nd.TREES * nd.BRANCHES
+    assert 100 * roots < made[0] <= 250 * roots and made[1] <= 500 * roots

@@ -301,21 +301,23 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
     bits = F.array(*(F.lit(int(np.uint64(1 << int(k)).view(np.int64))) for k in _ROOTS))
     rows = classes.select(F.posexplode("nodes").alias("_k", "node"), "id", "n", "sketch").select("node", "id", "n", "sketch", F.get(bits, F.col("_k")).alias("used"), F.lit(None).cast("long").alias("label"))
     own = F.coalesce("label", "id")
+    # a node's pivot has the least of these: rows without a label first, then by a hash whose order the shift keeps
+    place = F.shiftright(F.xxhash64("node", "id"), 2) + F.when(F.col("label").isNotNull(), F.lit(1 << 62)).otherwise(F.lit(0))
     found, depth = None, 0
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("_c"), (F.min(own) == F.max(own)).alias("_one"))
-        large = cut(sizes.where(F.col("_c") > LIMIT).select("node", "_one"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("_c"), (F.min(own) == F.max(own)).alias("_one"), F.min(place).alias("_place"))
+        large = cut(sizes.where(F.col("_c") > LIMIT).select("node", "_one", "_place"))
         number = large.count()
         sent = F.broadcast if number <= BROADCAST_NODES else lambda df: df
-        small = rows.join(sent(large), "node", "left_anti") if number else rows
+        small = rows.join(sent(large.select("node")), "node", "left_anti") if number else rows
         links = small.select("node", "id", "n", "sketch").repartition(width, "node").sortWithinPartitions("node").mapInArrow(_compare(least_size, threshold), _EDGE_SQL)
         found = links if found is None else found.unionByName(links)
         if not number:
             return found.distinct()
-        inside = rows.join(sent(large.where(~F.col("_one"))), "node").select(rows.columns)
-        first = F.struct(F.col("label").isNotNull().alias("labelled"), F.xxhash64("node", "id").alias("h"), "id", "n", "sketch")
-        pivots = inside.groupBy("node").agg(F.min(first).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch"))
-        tied = cut(inside.join(sent(pivots), "node").mapInArrow(_tie(least_size, threshold), _TIED_SQL))
+        first = F.struct(F.xxhash64("node", "id").alias("h"), "id", "n", "sketch")
+        firsts = rows.withColumn("_place", place).join(sent(large.where(~F.col("_one")).select("node", "_place")), ["node", "_place"])
+        pivots = firsts.groupBy("node").agg(F.min(first).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch"))
+        tied = cut(rows.join(sent(pivots), "node").mapInArrow(_tie(least_size, threshold), _TIED_SQL))
         found = found.unionByName(tied.where("tie and id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")))
         # labels that the pivot ties together; a path has at most one for each of its levels
         same = F.col("tie")
@@ -329,7 +331,8 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
         state = counts.groupBy("node").agg(F.sum("_k").alias("_c"), F.max(F.when(F.col("label").isNotNull(), F.struct("_k", "label"))).alias("_main"))
         others = F.col("_c") - F.col("_main._k")
         state = state.select("node", F.col("_main.label").alias("_label"), others.alias("_others"), F.ceil(F.col("_c") / SALT_ROWS).alias("_salts"), F.ceil(others / OPEN).alias("_chunks"), (others <= F.greatest(F.lit(OPEN), F.col("_c") / OPEN_SHARE)).alias("_done"))
-        labelled, depth = cut(labelled.join(sent(state), "node")), depth + 1  # read three times from here
+        # a node whose classes all have its main label is settled; the others' rows are read three times from here
+        labelled, depth = cut(labelled.join(sent(state.where("not _done or _others > 0")), "node")), depth + 1
         ends = labelled.where("_done and _others > 0")
         few = ends.where("label is null or label != _label").withColumn("_s", F.explode(F.expr("sequence(0L, _salts - 1)"))).withColumn("_k", F.expr("pmod(xxhash64(id, 3), _chunks)")).withColumn("few", F.lit(True))
         all_of = ends.withColumn("_s", F.expr("pmod(xxhash64(id), _salts)")).withColumn("_k", F.explode(F.expr("sequence(0L, _chunks - 1)"))).withColumn("few", F.lit(False))
