@@ -92,3 +92,29 @@ def test_two_segments_and_top_down_rows(tmp_path):
     assert (avi.frame_image(top, f.read(int(sizes[0])))[::-1] == first[0]).all()
     with pytest.raises(ValueError):
         avi.frame_image(avi.Header(25.0, 4, 4, 24, b"H264", b"00", False), b"x" * 48)
+
+
+def test_short_clips_share_partitions(spark, tmp_path):
+    body = clip_bytes(moving(3, 8, 8, True))
+    for k in range(600):
+        (tmp_path / f"{k:03}.avi").write_bytes(body)
+    df = avi.read_avi(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() <= 3
+    assert df.groupBy("clip_id").count().where("count = 3").count() == 600
+
+
+@pytest.mark.parametrize("gray", [True, False])
+def test_stacks_of_frames_measure_as_single_ones(monkeypatch, gray):
+    images = moving(40, 23, 17, gray)
+    many = [r[:-1] for r in decode.frame_rows(iter(images))]
+    monkeypatch.setattr(decode, "BATCH_FRAMES", 1)
+    assert [r[:-1] for r in decode.frame_rows(iter(images))] == many
+
+
+def test_frames_before_one_that_cannot_be_read_stay():
+    def broken():
+        yield from moving(5)
+        raise ValueError
+
+    rows = decode.frame_rows(broken())
+    assert [next(rows)[0] for _ in range(5)] == list(range(5))
