@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -112,3 +113,49 @@ def test_meter_writes_a_row_for_each_batch(spark, tmp_path):
 @pytest.mark.parametrize("query", [Q.avi_frame_scan])
 def test_clips_of_whole_tables(spark, query):
     assert query(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+class Store:
+    """A value state, a list state and timers that count the calls they get."""
+
+    def __init__(self):
+        self.calls, self.value, self.at = 0, None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def _call(self):
+        self.calls += 1
+
+    def exists(self):
+        self._call()
+        return self.value is not None
+
+    def get(self):
+        self._call()
+        return self.value
+
+    def update(self, value):
+        self._call()
+        self.value = value
+
+    def registerTimer(self, at):
+        self._call()
+        self.at.add(at)
+
+    def deleteTimer(self, at):
+        self._call()
+        self.at.remove(at)
+
+
+def test_a_batch_reads_and_writes_a_clip_state_once():
+    store, made = Store(), live.MotionProcessor(config.DEFAULTS, timedelta(days=1), False)
+    made.init(store)
+    frame = lambda e, v: Row(micros=e * 1_000_000, event_id=e, value=v)
+    got = list(made.handleInputRows((7,), iter([frame(2, 30.0), frame(1, 10.0)]), None))
+    assert store.calls == 3 and store.at == {2_000 + 86_400_000}
+    got += list(made.handleInputRows((7,), iter([frame(3, None), frame(4, 130.0)]), None))
+    assert store.calls == 5 and len(store.at) == 1
+    assert [(r.event_id, r.frame_idx, r.motion, r.skip_stride) for r in got] == [(1, 0, 0.0, 1), (2, 1, 4.0, 1), (3, 2, None, 1), (4, 3, None, 2)]
