@@ -81,3 +81,12 @@ def test_any_model_in_batches(spark):
     sums = batch_model_udf(lambda: lambda x: x.sum(2), [2, 3], 2)
     rows = spark.createDataFrame([(k, [float(k)] * 6) for k in range(5)], "k long, v array<float>")
     assert [r.s for r in rows.select("k", sums("v").alias("s")).orderBy("k").collect()] == [[3.0 * k, 3.0 * k] for k in range(5)]
+
+
+def test_blocks_are_computed_in_single_precision(spark, monkeypatch):
+    x, y = toy(40)
+    rows = spark.createDataFrame([(k, a.tolist(), "abc"[b], "train") for k, (a, b) in enumerate(zip(x, y))], "id long, window array<array<float>>, label string, split string")
+    real, sent = spark.sparkContext.broadcast, []
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append({p.dtype for p in v.values()}) or real(v))
+    network.train_network(rows, "window", "label", epochs=1, steps=1)
+    assert sent == [{np.dtype(np.float32)}] * 2

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and batches of an epoch over a table: a batch is that share of its rows, whatever their number.
 BLOCK_ROWS, STEPS = 4096, 10
+#: Windows whose gradients are computed at once, so that their arrays stay in a processor's cache.
+GRADIENT_ROWS = 64
 # Channels, units, dropout, learning rate, batch, epochs and patience.
 CHANNELS, UNITS, DROPOUT, RATE, BATCH, EPOCHS, PATIENCE = (64, 64, 128), 128, 0.2, 1e-3, 64, 25, 5
 
@@ -204,8 +206,8 @@ def train_network(rows: DataFrame, window: str, label: str, weighted: bool = Fal
     """Fit on all rows: windows of one size, a label, and split (train or validation, see `curate.train_validation`).
 
     An epoch deals the training rows into `steps` batches by hashes of the rows. Dropout
-    is drawn by them too, and sums are of doubles, so partitions change a result by
-    rounding alone. It stops once the accuracy over the validation rows (without any,
+    is drawn by them too. Blocks are computed in single precision and summed in doubles,
+    so partitions change a result by rounding alone. It stops once the accuracy over the validation rows (without any,
     over all) hasn't grown for `patience` epochs, with the best epoch's parameters.
     """
     spark = rows.sparkSession
@@ -221,20 +223,21 @@ def train_network(rows: DataFrame, window: str, label: str, weighted: bool = Fal
         width = blocks.map(lambda b: b.x.shape[2]).first()
         net = Network.fresh(width, labels, seed)
         net.parameters = {k: v.astype(np.float64) for k, v in net.parameters.items()}
+        single = lambda: {k: v.astype(np.float32) for k, v in net.parameters.items()}  # noqa: E731 - what blocks are computed with
         moments, best, kept, since, step = fresh_moments(net), -1.0, net.parameters, 0, 0
         for epoch in range(epochs):
             for k in range(steps):
-                sent = spark.sparkContext.broadcast(net.parameters)
+                sent = spark.sparkContext.broadcast(single())
 
                 def of_block(total: tuple, b: Block, sent=sent, epoch=epoch, k=k) -> tuple:
                     mine = np.flatnonzero(~b.check & (_drawn(b.key, seed, epoch) % np.uint64(steps) == k))
                     own = Network(sent.value, labels)
-                    for lo in range(0, len(mine), 512):
-                        at = mine[lo : lo + 512]
+                    for lo in range(0, len(mine), GRADIENT_ROWS):
+                        at = mine[lo : lo + GRADIENT_ROWS]
                         units = _drawn(b.key[at, None] + np.arange(UNITS, dtype=np.uint64)[None], seed, epoch, 1)
-                        drop = (units >= np.uint64(int(DROPOUT * 2**64))) / (1 - DROPOUT)
+                        drop = (units >= np.uint64(int(DROPOUT * 2**64))) * np.float32(1 / (1 - DROPOUT))
                         g = own.gradients(b.x[at], b.y[at], weight[b.y[at]], drop)
-                        total = _added(total, ({name: d * len(at) for name, d in g.items()}, len(at)))
+                        total = _added(total, ({name: d.astype(np.float64) * len(at) for name, d in g.items()}, len(at)))
                     return total
 
                 total, m = blocks.treeAggregate((None, 0), of_block, _added)
@@ -242,7 +245,7 @@ def train_network(rows: DataFrame, window: str, label: str, weighted: bool = Fal
                 if m:
                     step += 1
                     adam(net, moments, {name: d / m for name, d in total.items()}, step)
-            sent = spark.sparkContext.broadcast(net.parameters)
+            sent = spark.sparkContext.broadcast(single())
 
             def judged(b: Block, sent=sent) -> tuple[int, int]:
                 at = np.flatnonzero(b.check) if any_check else np.arange(len(b.y))
