@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.sources import avi, decode
@@ -111,6 +112,69 @@ def test_stacks_of_frames_measure_as_single_ones(monkeypatch, gray):
     assert [r[:-1] for r in decode.frame_rows(iter(images))] == many
 
 
+def test_short_clips_share_stacks():
+    clips = [(f"{k}.avi", moving(1 + k % 5, 9 if k % 50 == 49 else 8, 8, True)) for k in range(300)]
+    clips.insert(7, ("long.avi", moving(4_500, 8, 8, True)))
+    got, stacks = {}, 0
+    for runs, columns in decode.clip_stacks(((name,), iter(images)) for name, images in clips):
+        rows = iter(zip(*(c.tolist() for c in columns[:-1]), strict=True))
+        stacks += 1
+        for (name,), first, n in runs:
+            got.setdefault(name, []).extend((first + k, *next(rows)) for k in range(n))
+        assert not list(rows)
+    most = config.DEFAULTS.max_frames
+    assert got == {name: [r[:-1] for r in decode.frame_rows(iter(images))] for name, images in clips} and len(got["long.avi"]) == most
+    assert stacks < 20
+
+
+def test_an_upload_that_breaks_inside_costs_no_other(spark, tmp_path):
+    body = clip_bytes(moving(6))
+    codec = body.index(b"strf") + 8 + 16
+    (tmp_path / "good.avi").write_bytes(body)
+    (tmp_path / "coded.avi").write_bytes(body[:codec] + b"H264" + body[codec + 4 :])
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert signals(decode.decode(files, avi.AviDecoder())) == sorted(single("good.avi", moving(6))) == signals(avi.read_avi(spark, str(tmp_path)))
+
+
+class Grows:
+    """Three frames, then a larger one, as the bytes of each file."""
+
+    def open(self, content):
+        return 0.0, 4, iter([*moving(3), moving(1, 60, 60)[0]])
+
+
+def test_a_clip_ends_where_its_frames_change_size(spark, tmp_path):
+    for name in ("a.mp4", "b.mp4"):
+        (tmp_path / name).write_bytes(b"x")
+    got = signals(decode.decode(spark.read.format("binaryFile").load(str(tmp_path)), Grows()))
+    assert [r[:6] for r in got] == [r[:6] for name in ("a.mp4", "b.mp4") for r in single(name, moving(3))] and {r[6] for r in got} == {4}
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+def test_clips_written_in_pieces(spark, tmp_path, monkeypatch, channels):
+    from tidemark.sources import sinks
+
+    images = {f"c{n}": moving(n, 7, 5, channels == 1) for n in (1, 2, 9)}
+    rows = spark.createDataFrame([(c, k, image.tobytes()) for c, v in images.items() for k, image in enumerate(v)], "clip_id string, frame_idx int, pixels binary")
+    for piece in (1, 1 << 20):
+        monkeypatch.setattr(sinks, "CHUNK_BYTES", piece)
+        assert sinks.write_clips(rows, str(tmp_path / str(piece)), 7, 5, channels) == 3
+        for c, v in images.items():
+            assert (tmp_path / str(piece) / f"{c}.avi").read_bytes() == clip_bytes(v)
+    short = rows.withColumn("pixels", F.expr("substring(pixels, 1, if(clip_id = 'c9' and frame_idx = 8, 4, 1000))"))
+    with pytest.raises(Exception, match="clip c9"):
+        sinks.write_clips(short, str(tmp_path / "short"), 7, 5, channels)
+
+
+@pytest.mark.parametrize("pixels", [1, 2, 4, 30, 255])
+def test_thresholds_over_few_pixels_are_those_over_levels(pixels):
+    rng = np.random.default_rng(pixels)
+    for top in (1, 2, 5, 256):
+        few = rng.integers(0, top, (500, 1, pixels), dtype=np.uint8)
+        # 256 copies of an image have its levels in its shares
+        assert (decode._thresholds(few) == decode._thresholds(np.repeat(few, 256, axis=1))).all()
+
+
 def test_frames_before_one_that_cannot_be_read_stay():
     def broken():
         yield from moving(5)

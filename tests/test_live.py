@@ -5,6 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark import config
+from tidemark.plans import online
 from tidemark.plans import queries as Q
 from tidemark.streaming import live
 
@@ -115,6 +116,22 @@ def test_clips_of_whole_tables(spark, query):
     assert query(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_a_batch_of_many_uploads_takes_few_tasks(spark, tmp_path, monkeypatch):
+    rows = events(spark, [(k % 700, k, k % 160) for k in range(1000)]).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("props", F.lit('{"k": 1}'))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    started, real = [], online.run_live
+    monkeypatch.setattr(online, "run_live", lambda *args, **kw: started.append(real(*args, **kw)) or started[0])
+    before = spark.conf.getAll
+    out = Q.live_uploads(spark, str(tmp_path))
+    want = {(k, {3: "unsupported type", 4: "unreadable"}.get(k % 10, "report")) for k in range(700)}
+    got = out.collect()
+    assert len(got) == 700 and {tuple(r) for r in got} == want and spark.conf.getAll == before
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(str(started[0].runId)) for s in tracker.getJobInfo(job).stageIds]
+    tasks = [s.numTasks for s in stages if s]
+    assert len(tasks) > 20 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
 class Store:
     """A value state, a list state and timers that count the calls they get."""
 

@@ -107,9 +107,10 @@ def live_batch(sinks: LiveSinks, decoder: decode.FrameDecoder, settings: Setting
         own = _kept(f"{sinks.clips}/batch={number}")
         kept: list[DataFrame] = []
         found = analyze(uploads, decoder, settings, client, keep=lambda rows: kept.append(own(rows)) or kept[0])
-        accepted, _ = readers.accepted_uploads(uploads)
-        unread = accepted.select("path", "length").join(kept[0].select(F.col("clip_id").alias("path")), "path", "left_anti").withColumn("reason", F.lit("unreadable"))
-        found.rejected.unionByName(unread).write.mode("overwrite").json(f"{sinks.rejected}/batch={number}")
+        # an upload that isn't accepted is never decoded, so one look at the batch tells all that are rejected
+        judged = uploads.select("path", "length", readers.upload_error().alias("why"))
+        rejected = judged.join(kept[0].select(F.col("clip_id").alias("path")), "path", "left_anti")
+        rejected.select("path", "length", F.coalesce("why", F.lit("unreadable")).alias("reason")).write.mode("overwrite").json(f"{sinks.rejected}/batch={number}")
         late = found.late.select("clip_id", "frame_count_processed", "p50_ms", "p95_ms", "max_ms", "violations")
         late.write.mode("overwrite").json(f"{sinks.late}/batch={number}")
         write(found.reports, number)
@@ -123,7 +124,8 @@ def run_live(spark: SparkSession, uploads: str, sinks: LiveSinks, decoder: decod
     """Start a query that analyses what lands in a folder, `files` uploads a batch; see live_batch for what becomes of them.
 
     With `archive`, uploads that a finished batch has read are moved there; `mail` is a
-    foreachBatch function over the reports, see sinks.mail_batches.
+    foreachBatch function over the reports, see sinks.mail_batches. Where uploads are many
+    and small, let the query run within readers.many_files.
     """
     stream = readers.stream_clips(spark, uploads, files, archive).writeStream.foreachBatch(live_batch(sinks, decoder, settings, client, mail)).option("checkpointLocation", checkpoint)
     return stream.trigger(**(trigger or {"availableNow": True})).start()
